@@ -51,7 +51,11 @@ def _pearson_pairs(df: DataFrame, pairs: list[tuple[Column, Column]]) -> list[fl
 
 
 def _long(spark, columns: Sequence[str], values: dict[tuple[str, str], float | None]) -> DataFrame:
-    rows = [(a, b, values.get((a, b), values.get((b, a)))) for a in columns for b in columns]
+    def val(a, b):
+        v = values.get((a, b), values.get((b, a)))
+        return None if v is None else float(v)
+
+    rows = [(a, b, val(a, b)) for a in columns for b in columns]
     return spark.createDataFrame(rows, "col_a string, col_b string, r double")
 
 

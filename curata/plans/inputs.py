@@ -68,8 +68,8 @@ DERIVED = {
                     WHEN 3 THEN '-INF'
                     WHEN 4 THEN 'null'
                     WHEN 5 THEN ''
-                    WHEN 6 THEN concat(' ', CAST(o_custkey AS VARCHAR), ' ')
-                    ELSE CAST(CAST(o_custkey AS DOUBLE) / 4 AS VARCHAR) END AS raw
+                    WHEN 6 THEN concat(' ', CAST(o_custkey AS STRING), ' ')
+                    ELSE CAST(CAST(o_custkey AS DOUBLE) / 4 AS STRING) END AS raw
         FROM orders""",
     # lineitem with missing extended price on every 13th line (regression imputation)
     "lineitem_gaps": """

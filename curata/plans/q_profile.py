@@ -93,7 +93,7 @@ def _p2_sql() -> str:
         if kind == "txt":
             parts.append(
                 f"SELECT '{c}' AS column_name, 'character' AS type, count(*) - count({c}) AS missing, "
-                f"count(DISTINCT {c}) AS distinct, CAST(NULL AS BIGINT) AS zeros, CAST(NULL AS DOUBLE) AS mean, "
+                f"count(DISTINCT {c}) AS \"distinct\", CAST(NULL AS BIGINT) AS zeros, CAST(NULL AS DOUBLE) AS mean, "
                 f"CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS sd, CAST(NULL AS DOUBLE) AS min, "
                 f"CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS iqr, CAST(NULL AS DOUBLE) AS skewness, "
                 f"CAST(NULL AS BIGINT) AS outliers, {mf} AS most_frequent, {mfc} AS freq_count FROM src"
@@ -111,7 +111,7 @@ def _p2_sql() -> str:
             f"(SELECT avg({x}) AS m FROM src) mm WHERE {c} IS NOT NULL)"
         )
         parts.append(
-            f"SELECT '{c}' AS column_name, '{typ}' AS type, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct, "
+            f"SELECT '{c}' AS column_name, '{typ}' AS type, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS \"distinct\", "
             f"count(*) FILTER (WHERE {x} = 0) AS zeros, avg({x}) AS mean, {q}[2] AS median, stddev_samp({x}) AS sd, "
             f"min({x}) AS min, max({x}) AS max, {q}[3] - {q}[1] AS iqr, {mom} AS skewness, {outl} AS outliers, "
             f"{mf} AS most_frequent, {mfc} AS freq_count FROM src"
@@ -119,7 +119,7 @@ def _p2_sql() -> str:
     body = "\nUNION ALL\n".join(parts)
     return with_derived(
         "orders_gaps",
-        f"""SELECT column_name, type, missing, distinct, zeros, round(mean, 4) AS mean, round(median, 4) AS median,
+        f"""SELECT column_name, type, missing, "distinct", zeros, round(mean, 4) AS mean, round(median, 4) AS median,
        round(sd, 4) AS sd, round(min, 4) AS min, round(max, 4) AS max, round(iqr, 4) AS iqr,
        round(skewness, 6) AS skewness, outliers, most_frequent, freq_count
 FROM ({body})""",
@@ -168,7 +168,7 @@ def _p4_sql_v2(src: str, c: str) -> str:
     """Histogram of one column in SQL: pretty() breakpoints by arithmetic,
     right-closed cells with the 1e-7 fuzz, empty cells kept."""
     return f"""
-(WITH v AS (SELECT CAST({c} AS DOUBLE) AS x FROM {src} WHERE {c} IS NOT NULL),
+SELECT * FROM (WITH v AS (SELECT CAST({c} AS DOUBLE) AS x FROM {src} WHERE {c} IS NOT NULL),
   mm AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 10 AS cell FROM v),
   b AS (SELECT *, power(10, floor(log10(cell))) AS base FROM mm),
   u1 AS (SELECT *, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN 2 * base ELSE base END AS unit1 FROM b),
