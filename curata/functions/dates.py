@@ -53,8 +53,8 @@ def parse_mixed_dates(c: Column) -> Column:
     wins, so an ambiguous ``01/02/2020`` is read day-first.
     """
     s = F.regexp_replace(F.trim(c.cast("string")), "[^0-9A-Za-z]+", "-")
-    four = [F.try_to_date(s, F.lit(f)) for f in MIXED_DATE_ORDERS if "yyyy" in f]
-    two = [F.try_to_date(s, F.lit(f)) for f in MIXED_DATE_ORDERS if "yyyy" not in f]
+    four = [F.try_to_date(s, f) for f in MIXED_DATE_ORDERS if "yyyy" in f]
+    two = [F.try_to_date(s, f) for f in MIXED_DATE_ORDERS if "yyyy" not in f]
     two_pivot = [
         F.when(F.year(d) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d) for d in two
     ]

@@ -380,7 +380,7 @@ def c22_remove_duplicates(spark, sf_dir):
     return consistency.remove_duplicates(derived(spark, sf_dir, "orders_dups"))
 
 
-_TITLE = "array_to_string(list_transform(regexp_extract_all(lower(priority_text), '(\\p{L}+|\\P{L}+)', 1), x -> upper(x[1]) || x[2:]), '')"
+_TITLE = "array_to_string(list_transform(regexp_extract_all(lower(priority_text), '(\\p{L}+|\\P{L}+)', 1), lambda x: upper(x[1]) || x[2:]), '')"
 _TRIM = "regexp_replace(priority_text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')"
 
 for _name, _case, _expr in (

@@ -66,24 +66,31 @@ def _collinear_sql(src: str, cols: list[str], threshold: float, prefer: str, cor
     return f"SELECT DISTINCT column_name FROM ({body}) WHERE abs(r) > {threshold}"
 
 
-@query(
-    "m1_collinear_pearson_first",
-    _collinear_sql("lineitem", LI_NUM, 0.3, "first", lambda a, b: f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"),
-)
+PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def _pearson_pair(a: str, b: str) -> str:
+    return f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+
+
+@query("m1_collinear_pearson_first", _collinear_sql("part", PART_NUM, 0.3, "first", _pearson_pair))
 def m1_collinear_pearson_first(spark, sf_dir):
-    names = red.collinear_columns(table(spark, sf_dir, "lineitem").select(*LI_NUM), 0.3, "pearson", "first")
+    names = red.collinear_columns(table(spark, sf_dir, "part").select(*PART_NUM), 0.3, "pearson", "first")
     return spark.createDataFrame([(n,) for n in names], "column_name string")
 
 
-@query(
-    "m1_collinear_pearson_last",
-    _collinear_sql("lineitem", LI_NUM, 0.3, "last", lambda a, b: f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"),
-)
+@query("m1_collinear_pearson_last", _collinear_sql("part", PART_NUM, 0.3, "last", _pearson_pair))
 def m1_collinear_pearson_last(spark, sf_dir):
-    names = red.collinear_columns(table(spark, sf_dir, "lineitem").select(*LI_NUM), 0.3, "pearson", "last")
+    names = red.collinear_columns(table(spark, sf_dir, "part").select(*PART_NUM), 0.3, "pearson", "last")
     return spark.createDataFrame([(n,) for n in names], "column_name string")
 
 
+@query("m1_drop_collinear_table", f"SELECT p_partkey, p_size FROM part")
+def m1_drop_collinear_table(spark, sf_dir):
+    """The reduced table itself (p_retailprice goes: |r| > 0.3 with p_partkey, prefer last)."""
+    return red.drop_collinear(table(spark, sf_dir, "part").select(*PART_NUM), 0.3, "pearson", "last")
+
+
 def _spearman_pair(a: str, b: str) -> str:
     return (
         f"(SELECT corr(ra, rb) FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS ra, "
@@ -92,13 +99,10 @@ def _spearman_pair(a: str, b: str) -> str:
     )
 
 
-PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
-
-
-@query("m1_collinear_spearman", _collinear_sql("(SELECT 1)", PART_NUM, 0.5, "first", _spearman_pair))
+@query("m1_collinear_spearman", _collinear_sql("(SELECT 1)", PART_NUM, 0.3, "first", _spearman_pair))
 def m1_collinear_spearman(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(*PART_NUM)
-    names = red.collinear_columns(part, 0.5, "spearman", "first")
+    names = red.collinear_columns(part, 0.3, "spearman", "first")
     return spark.createDataFrame([(n,) for n in names], "column_name string")
 
 
@@ -109,8 +113,8 @@ def _kendall_pair(a: str, b: str) -> str:
          / sqrt(CAST(count(*) FILTER (WHERE nx) AS DOUBLE) * count(*) FILTER (WHERE ny)) FROM p)"""
 
 
-@query("m1_collinear_kendall", _collinear_sql("(SELECT 1)", PART_NUM, 0.5, "last", _kendall_pair))
+@query("m1_collinear_kendall", _collinear_sql("(SELECT 1)", PART_NUM, 0.3, "last", _kendall_pair))
 def m1_collinear_kendall(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(*PART_NUM)
-    names = red.collinear_columns(part, 0.5, "kendall", "last")
+    names = red.collinear_columns(part, 0.3, "kendall", "last")
     return spark.createDataFrame([(n,) for n in names], "column_name string")
