@@ -64,8 +64,10 @@ def exact_percentiles(
     base = df.select(*_cols(by), v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
     if buckets is None:
-        # size the bucket count from the largest group (one small aggregate)
+        # size from the largest group (rows bound its distinct values)
         biggest = base.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= _ROWS_PER_BUCKET:
+            return _small_percentiles(df, base, by, probs, names, whole)
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 20 * buckets)
@@ -131,6 +133,44 @@ def exact_percentiles(
     return groups.join(out, by, "left")
 
 
+def _interpolated(probs: Sequence[float], names: Sequence[str]) -> list[Column]:
+    """Aggregates over (_pi, _side, _h, _v) rows -> one interpolated value per p."""
+    aggs = []
+    for i, name in enumerate(names):
+        lo = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 0), F.col("_v")))
+        hi = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 1), F.col("_v")))
+        h = F.max(F.when(F.col("_pi") == i, F.col("_h")))
+        frac = h - F.floor(h)
+        aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
+    return aggs
+
+
+def _small_percentiles(df, base, by, probs, names, whole):
+    """Plan for groups of at most ``_ROWS_PER_BUCKET`` rows: one window over
+    each group's distinct values (bounded) gives cumulative counts; the
+    wanted ranks are picked by a grouped aggregate on the same partitioning."""
+    counted = base.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*_cols(by)).orderBy("_v")
+    cum = counted.withColumn("_c1", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_tot", F.sum("_n").over(Window.partitionBy(*_cols(by)))
+    )
+    aggs = []
+    for i, name in enumerate(names):
+        h = (F.col("_tot") - 1).cast("double") * F.lit(float(probs[i]))
+        lo_r, hi_r = F.floor(h), F.ceil(h)
+        start = F.col("_c1") - F.col("_n")
+        lo = F.max(F.when((start <= lo_r) & (lo_r < F.col("_c1")), F.col("_v")))
+        hi = F.max(F.when((start <= hi_r) & (hi_r < F.col("_c1")), F.col("_v")))
+        hh = F.max(h)
+        frac = hh - F.floor(hh)
+        aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
+    out = cum.groupBy(*_cols(by)).agg(*aggs)
+    if whole:
+        return df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(out, by, "left").drop("_g")
+    groups = df.select(*_cols(by)).distinct()
+    return groups.join(out, by, "left")
+
+
 def global_percentiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Exact percentiles of a whole column as Python floats (a few scalars)."""
     row = exact_percentiles(df, value, probs).first()
@@ -230,6 +270,13 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
     )
     if buckets is None:
         biggest = counted.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= _ROWS_PER_BUCKET:
+            # every group's distinct values fit one bounded window
+            w = Window.partitionBy(*_cols(by)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+            out = counted.select(
+                *_cols(by), F.col("_v").alias(value), "_cnt", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before")
+            )
+            return out.drop("_g") if whole else out
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
     cuts = counted.groupBy(*_cols(by)).agg(
@@ -267,11 +314,15 @@ def running_sums(
     if whole:
         df = df.withColumn("_g", F.lit(0))
         by = ["_g"]
+    v = F.col(f"`{value}`")
     if buckets is None:
         biggest = df.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= _ROWS_PER_BUCKET:
+            w = Window.partitionBy(*_cols(by)).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+            out = df.select("*", *[F.sum(f"`{s}`").over(w).alias(f"_cum{s}") for s in sums])
+            return out.drop("_g") if whole else out
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
-    v = F.col(f"`{value}`")
     cuts = df.groupBy(*_cols(by)).agg(F.percentile_approx(v, cut_probs, max(10_000, 20 * buckets)).alias("_cuts"))
     tagged = df.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
     wb = Window.partitionBy(*_cols(by)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -286,3 +337,39 @@ def running_sums(
         *[(F.col(f"_o{i}") + F.col(f"_l{i}")).alias(f"_cum{s}") for i, s in enumerate(sums)],
     )
     return out.drop("_g") if whole else out
+
+
+def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True):
+    """(n, means, sample covariance matrix) of column expressions, in two
+    cheap passes: means (and the row count), then sums of products of the
+    mean-shifted values -- plain ``sum`` buffers instead of one central-moment
+    aggregate per pair, and numerically stable because of the shift.
+
+    With ``complete`` only rows where every expression is non-NULL are used.
+    """
+    import numpy as np
+
+    p = len(exprs)
+    cols = [e.cast("double").alias(f"_m{i}") for i, e in enumerate(exprs)]
+    sub = df.select(*cols)
+    if complete:
+        cond = F.lit(True)
+        for i in range(p):
+            cond = cond & F.col(f"_m{i}").isNotNull()
+        sub = sub.where(cond)
+    first = sub.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_m{i}").alias(f"a{i}") for i in range(p)]).first()
+    n = first["n"]
+    means = np.array([np.nan if first[f"a{i}"] is None else first[f"a{i}"] for i in range(p)])
+    if n == 0:
+        return 0, means, np.full((p, p), np.nan)
+    d = [F.col(f"_m{i}") - F.lit(float(means[i])) for i in range(p)]
+    sums = [F.sum(d[i]).alias(f"s{i}") for i in range(p)]
+    prods = [F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
+    row = sub.agg(*sums, *prods).first()
+    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
+    cov = np.full((p, p), np.nan)
+    if n > 1:
+        for i in range(p):
+            for j in range(i, p):
+                cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - s[i] * s[j] / n) / (n - 1)
+    return n, means + s / n, cov

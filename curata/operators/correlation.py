@@ -23,30 +23,50 @@ from curata.functions.stats import value_ranks
 _AGGS_PER_JOB = 600
 
 
-def _pair_exprs(x: Column, y: Column, i: int) -> list[Column]:
-    both = x.isNotNull() & y.isNotNull()
-    xm, ym = F.when(both, x), F.when(both, y)
-    return [
-        F.covar_samp(xm, ym).alias(f"cv{i}"),
-        F.stddev_samp(xm).alias(f"sx{i}"),
-        F.stddev_samp(ym).alias(f"sy{i}"),
-    ]
-
-
 def _pearson_pairs(df: DataFrame, pairs: list[tuple[Column, Column]]) -> list[float | None]:
-    """Pearson r for each (x, y) pair, several pairs per aggregate job."""
+    """Pearson r for each (x, y) pair on the rows where both are present.
+
+    Pass 1: per pair, the count and means over complete rows.  Pass 2: sums of
+    products of mean-shifted values (plain ``sum`` buffers, stable thanks to
+    the shift).  Many pairs share each pass.
+    """
     out: list[float | None] = []
-    per_job = max(1, _AGGS_PER_JOB // 3)
+    per_job = max(1, _AGGS_PER_JOB // 6)
     for start in range(0, len(pairs), per_job):
         chunk = pairs[start : start + per_job]
-        exprs = [e for i, (x, y) in enumerate(chunk) for e in _pair_exprs(x, y, i)]
-        row = df.agg(*exprs).first()
+        masks = [(x.isNotNull() & y.isNotNull(), x.cast("double"), y.cast("double")) for x, y in chunk]
+        first = df.agg(
+            *[
+                e
+                for i, (m, x, y) in enumerate(masks)
+                for e in (F.count_if(m).alias(f"n{i}"), F.avg(F.when(m, x)).alias(f"mx{i}"), F.avg(F.when(m, y)).alias(f"my{i}"))
+            ]
+        ).first()
+        exprs = []
+        for i, (m, x, y) in enumerate(masks):
+            mx, my = first[f"mx{i}"], first[f"my{i}"]
+            if mx is None:
+                continue
+            dx = F.when(m, x - F.lit(float(mx)))
+            dy = F.when(m, y - F.lit(float(my)))
+            exprs += [
+                F.sum(dx).alias(f"sx{i}"), F.sum(dy).alias(f"sy{i}"),
+                F.sum(dx * dx).alias(f"xx{i}"), F.sum(dy * dy).alias(f"yy{i}"), F.sum(dx * dy).alias(f"xy{i}"),
+            ]
+        row = df.agg(*exprs).first() if exprs else None
         for i in range(len(chunk)):
-            cv, sx, sy = row[f"cv{i}"], row[f"sx{i}"], row[f"sy{i}"]
-            if cv is None or not sx or not sy or math.isnan(cv):
+            n = first[f"n{i}"]
+            if not n or n < 2 or first[f"mx{i}"] is None:
+                out.append(None)
+                continue
+            sx, sy = row[f"sx{i}"], row[f"sy{i}"]
+            cxx = row[f"xx{i}"] - sx * sx / n
+            cyy = row[f"yy{i}"] - sy * sy / n
+            cxy = row[f"xy{i}"] - sx * sy / n
+            if cxx <= 0 or cyy <= 0:
                 out.append(None)
             else:
-                out.append(max(-1.0, min(1.0, cv / (sx * sy))))
+                out.append(max(-1.0, min(1.0, cxy / math.sqrt(cxx * cyy))))
     return out
 
 
@@ -80,38 +100,39 @@ def with_average_ranks(df: DataFrame, column: str, rank_col: str) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Spearman matrix (P7): Pearson on average ranks.
 
-    Ranks come from distributed running counts.  When two columns have the
-    same NULL rows the per-column ranks are reused; otherwise the pair is
-    re-ranked on its complete rows.
+    All pairs at once: rows are unpivoted to (pair, x, y) keeping the pair's
+    complete rows, average ranks of x and of y come from distributed running
+    counts grouped by pair, and one grouped aggregate gives every r.
     """
     base = df.select(*[numeric_column(df, c).alias(c) for c in columns])
-    cnt_exprs = [F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(columns)]
     pairs = list(combinations(columns, 2))
-    idx = {c: i for i, c in enumerate(columns)}
-    cnt_exprs += [
-        F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias(f"m_{idx[a]}_{idx[b]}")
-        for a, b in pairs
-    ]
-    cnt = base.agg(*cnt_exprs).first()
-    ranked = base
-    for i, c in enumerate(columns):
-        ranked = with_average_ranks(ranked, c, f"_r{i}")
-    shared, own = [], []
-    for a, b in pairs:
-        if cnt[f"m_{idx[a]}_{idx[b]}"] == cnt[f"n_{idx[a]}"] == cnt[f"n_{idx[b]}"]:
-            shared.append((a, b))
-        else:
-            own.append((a, b))
     values: dict[tuple[str, str], float | None] = {}
-    todo = shared + [(c, c) for c in columns]
-    rs = _pearson_pairs(ranked, [(F.col(f"_r{idx[a]}"), F.col(f"_r{idx[b]}")) for a, b in todo])
-    values.update(dict(zip(todo, rs)))
-    for a, b in own:
-        sub = base.where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).select(
-            F.col(f"`{a}`").alias("_a"), F.col(f"`{b}`").alias("_b")
+    if pairs:
+        items = [
+            F.struct(F.lit(k).alias("pid"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
+            for k, (a, b) in enumerate(pairs)
+        ]
+        long = base.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(
+            F.col("x").isNotNull() & F.col("y").isNotNull()
+        )
+        rx = value_ranks(long.select("pid", "x"), "x", by=["pid"]).select(
+            "pid", "x", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("rx")
+        )
+        ry = value_ranks(long.select("pid", "y"), "y", by=["pid"]).select(
+            "pid", "y", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("ry")
         )
-        sub = with_average_ranks(with_average_ranks(sub, "_a", "_ra"), "_b", "_rb")
-        values[(a, b)] = _pearson_pairs(sub, [(F.col("_ra"), F.col("_rb"))])[0]
+        ranked = long.join(rx, ["pid", "x"]).join(ry, ["pid", "y"])
+        stats = ranked.groupBy("pid").agg(
+            F.covar_samp("rx", "ry").alias("cv"), F.stddev_samp("rx").alias("sx"), F.stddev_samp("ry").alias("sy")
+        )
+        for r in stats.collect():
+            cv, sx, sy = r["cv"], r["sx"], r["sy"]
+            ok = cv is not None and sx and sy and not math.isnan(cv)
+            values[pairs[r["pid"]]] = max(-1.0, min(1.0, cv / (sx * sy))) if ok else None
+    # the diagonal: 1 when the column varies, else undefined
+    sd = base.agg(*[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    for i, c in enumerate(columns):
+        values[(c, c)] = 1.0 if sd[f"s{i}"] else None
     return _long(df.sparkSession, columns, values)
 
 

@@ -85,27 +85,15 @@ def handle_missing(
 
 
 def fit_least_squares(df: DataFrame, target: str, features: Sequence[str]) -> tuple[float, np.ndarray, int]:
-    """OLS with intercept on complete rows, from one aggregate of centred
-    cross products (covar_pop is numerically stable); solved on the driver
+    """OLS with intercept on complete rows, from mean-shifted cross-product
+    sums (two aggregate passes, numerically stable); solved on the driver
     with a pseudo-inverse, i.e. the minimum-norm solution when features are
     collinear.  Returns (intercept, coefficients, rows used)."""
-    cols = [target, *features]
-    complete = F.lit(True)
-    for f in cols:
-        complete = complete & F.col(f"`{f}`").isNotNull()
-    sub = df.where(complete).select(*[F.col(f"`{f}`").cast("double").alias(f"v{i}") for i, f in enumerate(cols)])
-    p = len(features)
-    exprs = [F.count(F.lit(1)).alias("n")] + [F.avg(f"v{i}").alias(f"m{i}") for i in range(p + 1)]
-    exprs += [F.covar_pop(f"v{i}", f"v{j}").alias(f"c{i}_{j}") for i in range(p + 1) for j in range(i, p + 1)]
-    row = sub.agg(*exprs).first()
-    n = row["n"]
+    from curata.functions.stats import comoments
+
+    n, means, cov = comoments(df, [F.col(f"`{f}`") for f in [target, *features]], complete=True)
     if n < 2:
         raise ValueError("not enough complete rows to fit a regression")
-    cov = np.zeros((p + 1, p + 1))
-    for i in range(p + 1):
-        for j in range(i, p + 1):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    means = np.array([row[f"m{i}"] for i in range(p + 1)])
     sxx, sxy = cov[1:, 1:], cov[1:, 0]
     beta = np.linalg.pinv(sxx) @ sxy
     intercept = means[0] - beta @ means[1:]

@@ -30,25 +30,10 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 def _covariance(df: DataFrame, cols: Sequence[str], complete: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, means, sample covariance) of ``cols`` over complete rows, one job."""
-    sub = df
-    if complete:
-        cond = F.lit(True)
-        for c in cols:
-            cond = cond & F.col(f"`{c}`").isNotNull()
-        sub = df.where(cond)
-    x = [F.col(f"`{c}`").cast("double") for c in cols]
-    p = len(cols)
-    exprs = [F.count(F.lit(1)).alias("n")] + [F.avg(x[i]).alias(f"m{i}") for i in range(p)]
-    exprs += [F.covar_samp(x[i], x[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = sub.agg(*exprs).first()
-    cov = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            v = row[f"c{i}_{j}"]
-            cov[i, j] = cov[j, i] = np.nan if v is None else v
-    means = np.array([np.nan if row[f"m{i}"] is None else row[f"m{i}"] for i in range(p)])
-    return row["n"], means, cov
+    """(n, means, sample covariance) of ``cols`` (complete rows when asked)."""
+    from curata.functions.stats import comoments
+
+    return comoments(df, [F.col(f"`{c}`") for c in cols], complete=complete)
 
 
 # --- R1 ------------------------------------------------------------------------------------
