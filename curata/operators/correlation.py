@@ -139,6 +139,38 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- Kendall tau-b --------------------------------------------------------------------
 
 _KENDALL_ROWS_PER_BLOCK = 200_000
+_KENDALL_MAX_BLOCKS = 256
+
+
+def weighted_inversions(rank: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w_i * w_j over pairs i < j with rank_i > rank_j.
+
+    Bottom-up merge counting, vectorised per level: at width s every element
+    of a right half looks up (binary search on keys pair * M + rank) the
+    weight of larger ranks in its left half.  O(n log^2 n), no row loop.
+    """
+    n = len(rank)
+    if n < 2:
+        return 0.0
+    rank = rank.astype(np.int64)
+    m = int(rank.max()) + 1
+    idx = np.arange(n, dtype=np.int64)
+    total = 0.0
+    s = 1
+    while s < n:
+        pair = idx // (2 * s)
+        left = (idx // s) % 2 == 0
+        lk = pair[left] * m + rank[left]
+        order = np.argsort(lk, kind="stable")
+        keys = lk[order]
+        csum = np.concatenate([[0.0], np.cumsum(w[left][order])])
+        rp, rr, rw = pair[~left], rank[~left], w[~left]
+        start = np.searchsorted(keys, rp * m, side="left")
+        end = np.searchsorted(keys, (rp + 1) * m, side="left")
+        upto = np.searchsorted(keys, rp * m + rr, side="right")
+        total += float(np.dot(rw, csum[end] - csum[upto]))
+        s *= 2
+    return total
 
 
 def _discordant(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,25 +179,8 @@ def _discordant(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"d": [0.0]})
     pdf = pdf.sort_values(["x", "y"], kind="mergesort")
     y = pdf["y"].to_numpy()
-    w = pdf["w"].to_numpy(dtype=np.float64)
-    ranks = np.searchsorted(np.unique(y), y) + 1  # 1-based dense rank of y
-    m = int(ranks.max())
-    tree = np.zeros(m + 1, dtype=np.float64)
-    total = 0.0
-    seen = 0.0
-    for r, wt in zip(ranks.tolist(), w.tolist()):
-        # weight already seen with y <= current y
-        s, i = 0.0, r
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        total += wt * (seen - s)
-        i = r
-        while i <= m:
-            tree[i] += wt
-            i += i & -i
-        seen += wt
-    return pd.DataFrame({"d": [total]})
+    ranks = np.searchsorted(np.unique(y), y)  # dense rank of y
+    return pd.DataFrame({"d": [weighted_inversions(ranks, pdf["w"].to_numpy(dtype=np.float64))]})
 
 
 def _block_id(v: Column, cuts: list[float]) -> Column:
@@ -178,54 +193,79 @@ def _block_id(v: Column, cuts: list[float]) -> Column:
 def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> float | None:
     """Kendall tau-b of two columns on their complete rows (P8), exact.
 
-    Discordant pairs are split by value blocks of x and y: pairs in different
-    x- and y-blocks come from the block count matrix; pairs sharing a block are
-    counted inside ``groupBy(block).applyInPandas`` by a weighted inversion
-    count.  No cross join, no group larger than a block.
+    Rows collapse to distinct (x, y, w) first.  Discordant pairs are split by
+    value blocks of x and y (cut points from a quantile sketch of the
+    distinct pairs; a cut value gets a block of its own, so a hot value never
+    shares one): pairs in different x- and y-blocks come from the block count
+    matrix; pairs sharing an x-block, a y-block or both are counted inside one
+    ``groupBy(kind, block).applyInPandas`` by a weighted inversion count, and
+    D = cross + same-x + same-y - same-both.  No cross join, no group larger
+    than a block.
     """
     x = numeric_column(df, a)
     y = numeric_column(df, b)
     sub = df.select(x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     xy = sub.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).cache()
     try:
+        nb = blocks or _KENDALL_MAX_BLOCKS
+        probs = [i / nb for i in range(1, nb)]
         stats = xy.agg(
-            F.sum("w").alias("n"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"), F.count(F.lit(1)).alias("k")
+            F.sum("w").alias("n"),
+            F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"),
+            F.count(F.lit(1)).alias("k"),
+            F.percentile_approx("x", probs, 10_000).alias("qx"),
+            F.percentile_approx("y", probs, 10_000).alias("qy"),
         ).first()
         n = stats["n"] or 0.0
         if n < 2:
             return None
-        n1 = xy.groupBy("x").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
-        n2 = xy.groupBy("y").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
+        if blocks is None:
+            # thin the cut grid to about k / rows-per-block blocks
+            want = int(min(_KENDALL_MAX_BLOCKS, max(4, math.ceil(stats["k"] / _KENDALL_ROWS_PER_BLOCK))))
+            step = max(1, _KENDALL_MAX_BLOCKS // want)
+            qx, qy = (stats["qx"] or [])[step - 1 :: step], (stats["qy"] or [])[step - 1 :: step]
+        else:
+            qx, qy = stats["qx"] or [], stats["qy"] or []
+        cx, cy = sorted(set(qx)), sorted(set(qy))
+        ties = (
+            xy.select(F.explode(F.array(
+                F.struct(F.lit(0).alias("kind"), F.col("x").alias("key"), "w"),
+                F.struct(F.lit(1).alias("kind"), F.col("y").alias("key"), "w"),
+            )).alias("t"))
+            .select("t.*")
+            .groupBy("kind", "key").agg(F.sum("w").alias("t"))
+            .groupBy("kind").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s"))
+            .collect()
+        )
+        tie = {r["kind"]: r["s"] for r in ties}
+        n1, n2 = tie.get(0, 0.0), tie.get(1, 0.0)
         n0 = n * (n - 1) / 2
         n3 = stats["n3"]
-        if blocks is None:
-            blocks = int(min(256, max(4, math.ceil(stats["k"] / _KENDALL_ROWS_PER_BLOCK))))
-        probs = [i / blocks for i in range(1, blocks)]
-        q = sub.agg(F.percentile_approx("x", probs, 10_000).alias("qx"), F.percentile_approx("y", probs, 10_000).alias("qy")).first()
-        cx = sorted(set(q["qx"] or []))
-        cy = sorted(set(q["qy"] or []))
         tagged = xy.withColumn("xb", _block_id(F.col("x"), cx)).withColumn("yb", _block_id(F.col("y"), cy))
         cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w")).collect()
         nx, ny = 2 * len(cx) + 1, 2 * len(cy) + 1
         mat = np.zeros((nx, ny))
         for r in cells:
             mat[r["xb"], r["yb"]] = r["w"]
-        # pairs with xb_i < xb_j and yb_i > yb_j: for each cell, weight in cells
-        # strictly left-below of it (higher x block, lower y block) ...
-        below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)  # sum over xb' >= xb, yb' <= yb
-        d_cross = 0.0
-        for i in range(nx - 1):
-            for j in range(1, ny):
-                if mat[i, j]:
-                    d_cross += mat[i, j] * below[i + 1, j - 1]
-        schema = "d double"
-        fn = _discordant
-        d_x = tagged.groupBy("xb").applyInPandas(lambda p: fn(p[["x", "y", "w"]]), schema).agg(F.sum("d")).first()[0]
-        d_y = tagged.groupBy("yb").applyInPandas(lambda p: fn(p[["x", "y", "w"]]), schema).agg(F.sum("d")).first()[0]
-        d_xy = (
-            tagged.groupBy("xb", "yb").applyInPandas(lambda p: fn(p[["x", "y", "w"]]), schema).agg(F.sum("d")).first()[0]
+        # below[i, j] = weight in cells with xb' >= i and yb' <= j
+        below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)
+        d_cross = float((mat[:-1, 1:] * below[1:, :-1]).sum())
+        # same-x-block (kind 0), same-y-block (kind 1), same cell (kind 2)
+        kinds = F.array(
+            F.struct(F.lit(0).alias("kind"), F.col("xb").alias("k1"), F.lit(0).alias("k2")),
+            F.struct(F.lit(1).alias("kind"), F.col("yb").alias("k1"), F.lit(0).alias("k2")),
+            F.struct(F.lit(2).alias("kind"), F.col("xb").alias("k1"), F.col("yb").alias("k2")),
         )
-        d = d_cross + (d_x or 0) + (d_y or 0) - (d_xy or 0)
+        grouped = tagged.select("x", "y", "w", F.explode(kinds).alias("g")).select("x", "y", "w", "g.*")
+
+        def block(pdf: pd.DataFrame) -> pd.DataFrame:
+            d = _discordant(pdf[["x", "y", "w"]])
+            d["kind"] = int(pdf["kind"].iloc[0])
+            return d
+
+        part = grouped.groupBy("kind", "k1", "k2").applyInPandas(block, "d double, kind int")
+        within = {r["kind"]: r["s"] for r in part.groupBy("kind").agg(F.sum("d").alias("s")).collect()}
+        d = d_cross + within.get(0, 0.0) + within.get(1, 0.0) - within.get(2, 0.0)
         denom = (n0 - n1) * (n0 - n2)
         if denom <= 0:
             return None

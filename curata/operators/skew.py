@@ -32,6 +32,18 @@ def _boxcox_expr(x: Column, lam: float) -> Column:
     return F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
+def _grid_variances(df: DataFrame, t_of, grid: list[float]) -> dict[float, float | None]:
+    """Population variance of ``t_of(lambda)`` for every lambda of ``grid``.
+
+    The grid is exploded as data (each row meets every lambda inside one
+    pipelined stage, then ``groupBy(lambda)``): the generated code is the same
+    for every grid, so repeated passes reuse it.
+    """
+    lam = F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("_lam")
+    rows = df.select("*", lam).groupBy("_lam").agg(F.var_pop(t_of(F.col("_lam"))).alias("_vp")).collect()
+    return {r["_lam"]: r["_vp"] for r in rows}
+
+
 def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float) -> float | None:
     """Grid maximum of the Box-Cox profile log-likelihood after the fudge
     rules; ``None`` means "leave unchanged".  ``lo``/``hi`` are min and max:
@@ -40,20 +52,19 @@ def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float) -> float | Non
     if st["ml"] is None or lo == hi or (BOXCOX_MIN_UNIQUE >= 3 and st["mid"] == 0):
         return None
     gm = math.exp(st["ml"])
-    y = x / F.lit(gm)  # scaling by the geometric mean leaves the argmax unchanged
-    ly = F.log(y)
-    exprs = []
-    for i, lam in enumerate(BOXCOX_GRID):
-        if abs(lam) > BOXCOX_SERIES_EPS:
-            t = (F.pow(y, F.lit(lam)) - 1) / F.lit(lam)
-        else:
-            a = F.lit(lam) * ly
-            t = ly * (1 + a / 2 * (1 + a / 3 * (1 + a / 4)))
-        exprs.append(F.var_pop(t).alias(f"v{i}"))
-    row = df.agg(*exprs).first()
+    base = df.select((x / F.lit(gm)).alias("_y")).where(F.col("_y").isNotNull())  # argmax unchanged by scaling
+
+    def t_of(lam: Column) -> Column:
+        y = F.col("_y")
+        ly = F.log(y)
+        a = lam * ly
+        series = ly * (1 + a / 2 * (1 + a / 3 * (1 + a / 4)))
+        return F.when(F.abs(lam) > BOXCOX_SERIES_EPS, (F.pow(y, lam) - 1) / lam).otherwise(series)
+
+    var = _grid_variances(base, t_of, BOXCOX_GRID)
     best, best_ll = None, -math.inf
-    for i, lam in enumerate(BOXCOX_GRID):
-        v = row[f"v{i}"]
+    for lam in BOXCOX_GRID:
+        v = var.get(float(lam))
         if v is None or v <= 0:
             continue
         ll = -math.log(v)
@@ -68,26 +79,31 @@ def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float) -> float | Non
     return best
 
 
-def _yj_expr(x: Column, lam: float) -> Column:
-    pos = F.log1p(x) if abs(lam) < YJ_EPS else (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
-    neg = -F.log1p(-x) if abs(lam - 2) < YJ_EPS else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / F.lit(2 - lam)
+def _yj_col(x: Column, lam: Column) -> Column:
+    pos = F.when(F.abs(lam) < YJ_EPS, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    neg = F.when(F.abs(lam - 2) < YJ_EPS, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _yj_expr(x: Column, lam: float) -> Column:
+    return _yj_col(x, F.lit(float(lam)))
+
+
 def yeojohnson_lambda(df: DataFrame, x: Column) -> float:
     """Maximise -n/2 ln(var_pop) + (lambda - 1) sum(sign(x) ln(|x| + 1)) over
     lambda in (-5, 5): a grid in one aggregate, refined around the best point."""
-    base = df.agg(F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("c")).first()
-    n, const = base["n"], base["c"]
+    base = df.select(x.alias("_x")).where(F.col("_x").isNotNull())
+    st = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.signum("_x") * F.log1p(F.abs("_x"))).alias("c")).first()
+    n, const = st["n"], st["c"]
     lo, hi = YJ_BOUNDS
     best = 1.0
     for _ in range(YJ_REFINEMENTS):
         step = (hi - lo) / (YJ_GRID_POINTS - 1)
         grid = [lo + i * step for i in range(YJ_GRID_POINTS)]
-        row = df.agg(*[F.var_pop(_yj_expr(x, lam)).alias(f"v{i}") for i, lam in enumerate(grid)]).first()
+        var = _grid_variances(base, lambda lam: _yj_col(F.col("_x"), lam), grid)
         best_ll = -math.inf
-        for i, lam in enumerate(grid):
-            v = row[f"v{i}"]
+        for lam in grid:
+            v = var.get(float(lam))
             if v is None or v <= 0 or math.isnan(v):
                 continue
             ll = -0.5 * n * math.log(v) + (lam - 1) * const
