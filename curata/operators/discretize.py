@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import is_numeric_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, running_sums
+from curata.operators.fitted import Fitted
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_BINS = 4
@@ -43,59 +44,79 @@ def equal_width_breaks(lo: float, hi: float, bins: int) -> list[float]:
     return br
 
 
-def discretize(
+def fit_discretizer(
     df: DataFrame,
     column: str,
     method: str = "equalwidth",
     bins: int = DEFAULT_BINS,
     target: str | None = None,
     seed: int = 1,
-) -> DataFrame:
+) -> Fitted:
+    """Learn the inner breakpoints; every method ends as right-closed codes
+    ``1 + number of inner breaks below x`` in ``<column>_discretized``."""
     require_columns(df, [column])
     if not is_numeric_type(df, column):
         raise ValueError(f"column {column!r} is not numeric")
     method = method.lower()
     x = numeric_column(df, column)
-    new = f"{column}_discretized"
+    inner: list[float] | None
     if method == "equalwidth":
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-        if r["lo"] is None:
-            return df.withColumn(new, F.lit(None).cast("int"))
-        br = equal_width_breaks(r["lo"], r["hi"], bins)
-        return df.withColumn(new, code_from_breaks(x, br[1:-1]))
-    if method == "equalfreq":
+        inner = None if r["lo"] is None else equal_width_breaks(r["lo"], r["hi"], bins)[1:-1]
+    elif method == "equalfreq":
         qs = global_percentiles(df.select(x.alias("_x")), "_x", [i / bins for i in range(bins + 1)])
         if qs[0] is None:
-            return df.withColumn(new, F.lit(None).cast("int"))
-        uniq = sorted(set(qs))
-        if len(uniq) < 2:
-            raise ValueError("breaks are not unique: the column has a single value")
-        return df.withColumn(new, code_from_breaks(x, uniq[1:-1]))
-    if method == "kmeans":
-        return kmeans_codes(df, column, bins, seed)
-    if method == "entropy":
+            inner = None
+        else:
+            uniq = sorted(set(qs))
+            if len(uniq) < 2:
+                raise ValueError("breaks are not unique: the column has a single value")
+            inner = uniq[1:-1]
+    elif method == "kmeans":
+        inner = kmeans_breaks(df, column, bins, seed)
+    elif method == "entropy":
         if target is None:
             raise ValueError("a target column is required for entropy discretisation")
-        cuts = mdlp_cuts(df, column, target)
-        return df.withColumn(new, code_from_breaks(x, cuts))
-    raise ValueError(f"unsupported discretisation method {method!r}; choose one of {METHODS}")
+        inner = mdlp_cuts(df, column, target)
+    else:
+        raise ValueError(f"unsupported discretisation method {method!r}; choose one of {METHODS}")
+    new = f"{column}_discretized"
 
+    def apply(t: DataFrame) -> DataFrame:
+        if inner is None:
+            return t.withColumn(new, F.lit(None).cast("int"))
+        return t.withColumn(new, code_from_breaks(numeric_column(t, column), inner))
 
-def kmeans_codes(df: DataFrame, column: str, k: int = DEFAULT_BINS, seed: int = 1) -> DataFrame:
-    """D3: 1-D k-means (``pyspark.ml``); clusters numbered by ascending centre."""
+    return Fitted("discretize", column, {"method": method, "inner_breaks": inner}, apply)
+
+
+def discretize(
+    df: DataFrame,
+    column: str,
+    method: str = "equalwidth",
+    bins: int = DEFAULT_BINS,
+    target: str | None = None,
+    seed: int = 1,
+) -> DataFrame:
+    return fit_discretizer(df, column, method, bins, target, seed).transform(df)
+
+
+def kmeans_breaks(df: DataFrame, column: str, k: int = DEFAULT_BINS, seed: int = 1) -> list[float]:
+    """D3: 1-D k-means (``pyspark.ml``); the boundaries between clusters
+    numbered by ascending centre are the midpoints of neighbouring centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    x = numeric_column(df, column)
-    keyed = df.withColumn("_kx", x)
-    train = VectorAssembler(inputCols=["_kx"], outputCol="_kv").transform(keyed.where(F.col("_kx").isNotNull()))
+    keyed = df.select(numeric_column(df, column).alias("_kx")).where(F.col("_kx").isNotNull())
+    train = VectorAssembler(inputCols=["_kx"], outputCol="_kv").transform(keyed)
     model = KMeans(k=k, maxIter=KMEANS_MAX_ITER, seed=seed, featuresCol="_kv", predictionCol="_kc").fit(train)
     centres = sorted(float(c[0]) for c in model.clusterCenters())
-    # nearest centre, numbered by ascending centre: in 1-D the boundaries
-    # between clusters are the midpoints of neighbouring centres
-    mids = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:])]
-    code = code_from_breaks(F.col("_kx"), mids)
-    return keyed.withColumn(f"{column}_discretized", code).drop("_kx")
+    return [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:])]
+
+
+def kmeans_codes(df: DataFrame, column: str, k: int = DEFAULT_BINS, seed: int = 1) -> DataFrame:
+    """D3: codes of the nearest k-means centre, numbered by ascending centre."""
+    return fit_discretizer(df, column, "kmeans", k, seed=seed).transform(df)
 
 
 # --- D4: MDLP (Fayyad & Irani) --------------------------------------------------------------

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import is_string_type, require_columns
+from curata.operators.fitted import Fitted
+from curata.session import cut_lineage
 
 # One-hot adds one column per level; beyond this many levels the output
 # schema would be unmanageable, so the operator refuses.
@@ -19,9 +21,8 @@ def _check(df: DataFrame, column: str) -> None:
         raise ValueError(f"column {column!r} must be text (categorical)")
 
 
-def onehot(df: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` by 0/1 columns ``<column>_<level>`` appended last,
-    one per level in sorted order; NULL gives all zeros."""
+def fit_onehot(df: DataFrame, column: str) -> Fitted:
+    """The sorted level list (bounded: one output column per level)."""
     _check(df, column)
     c = F.col(f"`{column}`")
     n_levels = df.agg(F.approx_count_distinct(c)).first()[0]
@@ -30,24 +31,42 @@ def onehot(df: DataFrame, column: str) -> DataFrame:
     levels = [r[0] for r in df.where(c.isNotNull()).select(c).distinct().orderBy(c).collect()]
     if len(levels) > MAX_ONEHOT_LEVELS:
         raise ValueError(f"column {column!r} has {len(levels)} levels (> {MAX_ONEHOT_LEVELS})")
-    dummies = [F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in levels]
-    rest = [F.col(f"`{n}`") for n in df.columns if n != column]
-    return df.select(*rest, *dummies)
 
+    def apply(t: DataFrame) -> DataFrame:
+        cc = F.col(f"`{column}`")
+        dummies = [F.coalesce((cc == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in levels]
+        return t.select(*[F.col(f"`{n}`") for n in t.columns if n != column], *dummies)
 
-def label(df: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` by the 1-based position of its value among the
-    sorted distinct values; NULL stays NULL.
+    return Fitted("onehot", column, {"levels": levels}, apply)
 
-    The positions come from a global row position over the sorted distinct
-    values (no cap on the number of levels); the level table is joined back
-    (AQE broadcasts it when small)."""
+
+def onehot(df: DataFrame, column: str) -> DataFrame:
+    """Replace ``column`` by 0/1 columns ``<column>_<level>`` appended last,
+    one per level in sorted order; NULL gives all zeros."""
+    return fit_onehot(df, column).transform(df)
+
+
+def fit_label(df: DataFrame, column: str) -> Fitted:
+    """A (level, code) table -- 1-based positions of the sorted distinct
+    values from a global row position (no cap on the number of levels).  It is
+    applied by a join (AQE broadcasts it when small; works stream-static)."""
     _check(df, column)
     c = F.col(f"`{column}`")
     levels = df.where(c.isNotNull()).select(c.alias("_lvl")).distinct()
-    ranked = _text_ranks(levels)
-    out = df.join(ranked, c.eqNullSafe(F.col("_lvl")), "left").drop("_lvl")
-    return out.withColumn(column, F.col("_code")).drop("_code")
+    ranked = cut_lineage(_text_ranks(levels))  # materialised once in the shared checkpoint folder
+
+    def apply(t: DataFrame) -> DataFrame:
+        cc = F.col(f"`{column}`")
+        out = t.join(ranked, cc.eqNullSafe(F.col("_lvl")), "left").drop("_lvl")
+        return out.withColumn(column, F.col("_code")).drop("_code")
+
+    return Fitted("label", column, {"levels": ranked}, apply)
+
+
+def label(df: DataFrame, column: str) -> DataFrame:
+    """Replace ``column`` by the 1-based position of its value among the
+    sorted distinct values; NULL stays NULL."""
+    return fit_label(df, column).transform(df)
 
 
 def _text_ranks(levels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from curata.functions import is_numeric_type, is_string_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, most_frequent
+from curata.operators.fitted import Fitted
 
 METHODS = ("mean", "median", "mode", "constant", "remove_row", "remove_col", "regression", "decision_tree", "tree")
 
@@ -32,8 +33,39 @@ def _numeric_features(df: DataFrame, target: str, features: Sequence[str] | None
     ]
 
 
-def impute_value(df: DataFrame, column: str, value) -> DataFrame:
-    return df.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.lit(value).cast(df.schema[column].dataType)))
+def fit_imputer(df: DataFrame, column: str, method: str, constant=None) -> Fitted:
+    """Learn the fill value of ``mean | median | mode | constant`` imputation."""
+    require_columns(df, [column])
+    method = method.lower()
+    numeric = method in ("mean", "median")
+    if method == "mean":
+        fill = df.agg(F.avg(numeric_column(df, column))).first()[0]
+    elif method == "median":
+        fill = global_percentiles(df.select(numeric_column(df, column).alias("_x")), "_x", [0.5])[0]
+    elif method == "mode":
+        row = most_frequent(df, column).first()
+        if row is None or row["mode"] is None:
+            raise ValueError(f"could not compute the mode of {column!r}: no values")
+        fill = row["mode"]
+    elif method == "constant":
+        if constant is None:
+            raise ValueError("a constant must be given")
+        if is_numeric_type(df, column) and not isinstance(constant, (int, float)):
+            raise ValueError("numeric column needs a numeric constant")
+        if is_string_type(df, column) and not isinstance(constant, str):
+            raise ValueError("text column needs a text constant")
+        fill = constant
+    else:
+        raise ValueError(f"not a single-value imputation: {method!r}")
+    dtype = df.schema[column].dataType
+
+    def apply(target: DataFrame) -> DataFrame:
+        if numeric:
+            x = numeric_column(target, column)
+            return target.withColumn(column, x if fill is None else F.coalesce(x, F.lit(float(fill))))
+        return target.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.lit(fill).cast(dtype)))
+
+    return Fitted("impute", column, {"method": method, "fill": fill}, apply)
 
 
 def handle_missing(
@@ -47,27 +79,8 @@ def handle_missing(
     require_columns(df, [column])
     method = method.lower()
     c = F.col(f"`{column}`")
-    if method in ("mean", "median"):
-        x = numeric_column(df, column)
-        df = df.withColumn(column, x)
-        if method == "mean":
-            fill = df.agg(F.avg(f"`{column}`")).first()[0]
-        else:
-            fill = global_percentiles(df, column, [0.5])[0]
-        return df if fill is None else df.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.lit(float(fill))))
-    if method == "mode":
-        row = most_frequent(df, column).first()
-        if row is None or row["mode"] is None:
-            raise ValueError(f"could not compute the mode of {column!r}: no values")
-        return df.withColumn(column, F.coalesce(c, F.lit(row["mode"]).cast(df.schema[column].dataType)))
-    if method == "constant":
-        if constant is None:
-            raise ValueError("a constant must be given")
-        if is_numeric_type(df, column) and not isinstance(constant, (int, float)):
-            raise ValueError("numeric column needs a numeric constant")
-        if is_string_type(df, column) and not isinstance(constant, str):
-            raise ValueError("text column needs a text constant")
-        return impute_value(df, column, constant)
+    if method in ("mean", "median", "mode", "constant"):
+        return fit_imputer(df, column, method, constant).transform(df)
     if method == "remove_row":
         return df.where(c.isNotNull())
     if method == "remove_col":

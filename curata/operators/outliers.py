@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import is_string_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, most_frequent
+from curata.operators.fitted import Fitted
 from curata.operators.schema import drop_flagged
 
 # --- fixed values ----------------------------------------------------------------
@@ -26,59 +27,88 @@ DETECTORS = ("zscore", "iqr", "percentile")
 REPLACEMENTS = ("mean", "median", "mode", "remove_row")
 
 
-def outlier_mask(df: DataFrame, column: str, method: str) -> Column:
-    """Boolean column: is the value an outlier under ``method``.  NULL values
-    give a NULL mask (never flagged)."""
+def fit_outlier_bounds(df: DataFrame, column: str, method: str) -> dict:
+    """Bounds of the detectors: ``zscore`` (mean, population sd), ``iqr``
+    (Tukey fences from exact quartiles), ``percentile`` (exact 1 % / 99 %)."""
     require_columns(df, [column])
     x = numeric_column(df, column)
     method = method.lower()
     if method == "zscore":
         row = df.agg(F.avg(x).alias("m"), F.stddev_pop(x).alias("s")).first()
-        if row["m"] is None or not row["s"]:
-            return F.when(x.isNotNull(), F.lit(False))
-        return F.abs((x - F.lit(row["m"])) / F.lit(row["s"])) > ZSCORE_LIMIT
+        return {"method": method, "mean": row["m"], "sd": row["s"]}
     if method == "iqr":
         q1, q3 = global_percentiles(df.select(x.alias("_x")), "_x", [0.25, 0.75])
         if q1 is None:
-            return F.lit(None).cast("boolean")
-        iqr = q3 - q1
-        return (x < F.lit(q1 - IQR_FACTOR * iqr)) | (x > F.lit(q3 + IQR_FACTOR * iqr))
+            return {"method": method, "lo": None, "hi": None}
+        return {"method": method, "lo": q1 - IQR_FACTOR * (q3 - q1), "hi": q3 + IQR_FACTOR * (q3 - q1)}
     if method == "percentile":
         lo, hi = global_percentiles(df.select(x.alias("_x")), "_x", list(PERCENTILE_BOUNDS))
-        if lo is None:
-            return F.lit(None).cast("boolean")
-        return (x < F.lit(lo)) | (x > F.lit(hi))
+        return {"method": method, "lo": lo, "hi": hi}
     raise ValueError(f"unknown outlier method {method!r}; choose one of {DETECTORS}")
 
 
+def mask_from_bounds(x: Column, b: dict) -> Column:
+    """Outlier flag from fitted bounds; NULL values give a NULL flag."""
+    if b["method"] == "zscore":
+        if b["mean"] is None or not b["sd"]:
+            return F.when(x.isNotNull(), F.lit(False))
+        return F.abs((x - F.lit(b["mean"])) / F.lit(b["sd"])) > ZSCORE_LIMIT
+    if b["lo"] is None:
+        return F.lit(None).cast("boolean")
+    return (x < F.lit(b["lo"])) | (x > F.lit(b["hi"]))
+
+
+def outlier_mask(df: DataFrame, column: str, method: str) -> Column:
+    """Boolean column: is the value an outlier under ``method``.  NULL values
+    give a NULL mask (never flagged)."""
+    return mask_from_bounds(numeric_column(df, column), fit_outlier_bounds(df, column, method))
+
+
 def detect_outliers(df: DataFrame, column: str, method: str) -> DataFrame:
     """One row with ``outlier_count``."""
     mask = outlier_mask(df, column, method)
     return df.agg(F.count_if(F.coalesce(mask, F.lit(False))).cast("long").alias("outlier_count"))
 
 
-def handle_outliers(df: DataFrame, column: str, method: str, replace: str) -> DataFrame:
-    """C17: replace outliers by the mean / median / mode of all values
-    (outliers included), or remove their rows.  The column becomes DOUBLE."""
+def fit_outlier_handler(df: DataFrame, column: str, method: str, replace: str) -> Fitted:
+    """Learn the detector bounds and the replacement value (computed on all
+    values, outliers included; mode falls back to the median)."""
     require_columns(df, [column])
-    df = df.withColumn(column, numeric_column(df, column))
-    mask = outlier_mask(df, column, method)
+    bounds = fit_outlier_bounds(df, column, method)
     replace = replace.lower()
-    c = F.col(f"`{column}`")
+    x = numeric_column(df, column)
     if replace == "remove_row":
-        return drop_flagged(df, mask)
-    if replace == "mean":
-        value = df.agg(F.avg(c)).first()[0]
+        value = None
+    elif replace == "mean":
+        value = df.agg(F.avg(x)).first()[0]
     elif replace == "median":
-        value = global_percentiles(df, column, [0.5])[0]
+        value = global_percentiles(df.select(x.alias("_x")), "_x", [0.5])[0]
     elif replace == "mode":
-        row = most_frequent(df, column).first()
-        value = row["mode"] if row is not None and row["mode"] is not None else global_percentiles(df, column, [0.5])[0]
+        row = most_frequent(df.select(x.alias("_x")), "_x").first()
+        if row is not None and row["mode"] is not None:
+            value = row["mode"]
+        else:
+            value = global_percentiles(df.select(x.alias("_x")), "_x", [0.5])[0]
     else:
         raise ValueError(f"unknown replacement {replace!r}; choose one of {REPLACEMENTS}")
-    if value is None:
-        return df
-    return df.withColumn(column, F.when(F.coalesce(mask, F.lit(False)), F.lit(float(value))).otherwise(c))
+
+    def apply(target: DataFrame) -> DataFrame:
+        target = target.withColumn(column, numeric_column(target, column))
+        mask = mask_from_bounds(F.col(f"`{column}`"), bounds)
+        if replace == "remove_row":
+            return drop_flagged(target, mask)
+        if value is None:
+            return target
+        flagged = F.coalesce(mask, F.lit(False))
+        return target.withColumn(column, F.when(flagged, F.lit(float(value))).otherwise(F.col(f"`{column}`")))
+
+    return Fitted("outliers", column, {**bounds, "replace": replace, "value": value}, apply)
+
+
+def handle_outliers(df: DataFrame, column: str, method: str, replace: str) -> DataFrame:
+    """C17: replace outliers by the mean / median / mode of all values
+    (outliers included), or remove their rows.  The column becomes DOUBLE."""
+    return fit_outlier_handler(df, column, method, replace).transform(df)
 
 
 def _replace_with_inlier_mean(df: DataFrame, column: str, mask: Column) -> DataFrame:

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from curata.functions import is_numeric_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles
+from curata.operators.fitted import Fitted
 
 METHODS = ("minmax", "zscore", "decimal", "robust")
 
 
-def normalize(df: DataFrame, column: str, method: str = "minmax") -> DataFrame:
-    """Scale a numeric column in place.
-
-    minmax: (x - min) / (max - min); zscore: (x - mean) / sd_sample;
-    decimal: x / 10^ceil(log10(max |x|)); robust: (x - median) / IQR.
-    A zero denominator gives NULL.
-    """
+def fit_scaler(df: DataFrame, column: str, method: str = "minmax") -> Fitted:
+    """Learn the statistics of a normalisation (one aggregate, or exact
+    quartiles for ``robust``)."""
     require_columns(df, [column])
     if not is_numeric_type(df, column):
         raise ValueError(f"column {column!r} is not numeric")
@@ -27,25 +24,36 @@ def normalize(df: DataFrame, column: str, method: str = "minmax") -> DataFrame:
     x = numeric_column(df, column)
     if method == "minmax":
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-        if r["lo"] is None:
-            return df.withColumn(column, x)
-        new = F.try_divide(x - F.lit(r["lo"]), F.nullif(F.lit(r["hi"] - r["lo"]), F.lit(0.0)))
+        params = {"center": r["lo"], "scale": None if r["lo"] is None else r["hi"] - r["lo"]}
     elif method == "zscore":
         r = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
-        if r["m"] is None:
-            return df.withColumn(column, x)
-        new = F.try_divide(x - F.lit(r["m"]), F.nullif(F.lit(r["s"]).cast("double"), F.lit(0.0)))
+        params = {"center": r["m"], "scale": r["s"]}
     elif method == "decimal":
         m = df.agg(F.max(F.abs(x))).first()[0]
-        if m is None or m == 0:
-            return df.withColumn(column, F.lit(None).cast("double"))
-        j = math.ceil(math.log10(m))
-        new = x / F.lit(10.0**j)
+        params = {"center": 0.0, "scale": None if not m else 10.0 ** math.ceil(math.log10(m))}
     elif method == "robust":
         q1, q2, q3 = global_percentiles(df.select(x.alias("_x")), "_x", [0.25, 0.5, 0.75])
-        if q2 is None:
-            return df.withColumn(column, x)
-        new = F.try_divide(x - F.lit(q2), F.nullif(F.lit(q3 - q1), F.lit(0.0)))
+        params = {"center": q2, "scale": None if q2 is None else q3 - q1}
     else:
         raise ValueError(f"invalid method {method!r}; choose one of {METHODS}")
-    return df.withColumn(column, new)
+    params["method"] = method
+
+    def apply(target: DataFrame) -> DataFrame:
+        xx = numeric_column(target, column)
+        if params["center"] is None or params["scale"] is None:
+            # no values, or decimal scaling of an all-zero column
+            return target.withColumn(column, xx if params["center"] is None else F.lit(None).cast("double"))
+        new = F.try_divide(xx - F.lit(float(params["center"])), F.nullif(F.lit(float(params["scale"])), F.lit(0.0)))
+        return target.withColumn(column, new)
+
+    return Fitted("normalize", column, params, apply)
+
+
+def normalize(df: DataFrame, column: str, method: str = "minmax") -> DataFrame:
+    """Scale a numeric column in place.
+
+    minmax: (x - min) / (max - min); zscore: (x - mean) / sd_sample;
+    decimal: x / 10^ceil(log10(max |x|)); robust: (x - median) / IQR.
+    A zero denominator gives NULL.
+    """
+    return fit_scaler(df, column, method).transform(df)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import numeric_column, require_columns
+from curata.operators.fitted import Fitted
 
 # --- fixed values -------------------------------------------------------------------
 BOXCOX_GRID = [round(-2 + 0.1 * i, 10) for i in range(41)]  # -2.0 .. 2.0 step 0.1
@@ -113,6 +114,69 @@ def yeojohnson_lambda(df: DataFrame, x: Column) -> float:
     return best
 
 
+def fit_skew(df: DataFrame, column: str, method: str = "auto") -> Fitted:
+    """Check the domain and learn what the transform needs (lambda, the
+    column maximum, the standardisation of Yeo-Johnson)."""
+    require_columns(df, [column])
+    method = method.lower()
+    if method not in METHODS:
+        raise ValueError(f"unknown transformation method {method!r}; choose one of {METHODS}")
+    x = numeric_column(df, column)
+    chk = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count_if(x == 0).alias("zeros")).first()
+    lo, hi = chk["lo"], chk["hi"]
+    params: dict = {"method": method, "max": hi}
+    if lo is not None:
+        if method == "auto":
+            method = "boxcox" if lo > 0 else "yeojohnson"
+        if method in ("boxcox", "log") and lo <= 0:
+            raise ValueError(f"{method} requires all values > 0")
+        if method in ("log1p", "sqrt") and lo < 0:
+            raise ValueError(f"{method} requires all values >= 0")
+        if method == "inv" and chk["zeros"]:
+            raise ValueError("1/x requires no zero values")
+        if method == "boxcox":
+            params["lambda"] = boxcox_lambda(df, x, lo, hi)
+        elif method == "yeojohnson":
+            lam = yeojohnson_lambda(df, x)
+            t = _yj_expr(x, lam)
+            st = df.agg(F.avg(t).alias("m"), F.stddev_samp(t).alias("s")).first()
+            params.update({"lambda": lam, "mean": st["m"], "sd": st["s"]})
+    params["applied"] = method
+
+    def apply(target: DataFrame) -> DataFrame:
+        xx = numeric_column(target, column)
+        if lo is None:
+            return target.withColumn(column, xx)
+        m = params["applied"]
+        shift = F.lit(hi + 1) - xx  # max(x + 1) - x
+        if m == "boxcox":
+            lam = params["lambda"]
+            new = xx if lam is None else _boxcox_expr(xx, lam)
+        elif m == "yeojohnson":
+            t = _yj_expr(xx, params["lambda"])
+            sd = params["sd"]
+            new = F.try_divide(t - F.lit(params["mean"]), F.nullif(F.lit(sd).cast("double"), F.lit(0.0)))
+        elif m == "log":
+            new = F.log10(xx)
+        elif m == "neglog":
+            new = F.log10(shift)
+        elif m == "log1p":
+            new = F.log1p(xx)
+        elif m == "sqrt":
+            new = F.sqrt(xx)
+        elif m == "negsqrt":
+            new = F.sqrt(shift)
+        elif m == "inv":
+            new = 1 / xx
+        elif m == "neginv":
+            new = 1 / shift
+        else:  # square
+            new = xx * xx
+        return target.withColumn(column, new)
+
+    return Fitted("skew", column, params, apply)
+
+
 def reduce_skew(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     """Apply a skewness-reducing transform to a numeric column in place.
 
@@ -120,48 +184,4 @@ def reduce_skew(df: DataFrame, column: str, method: str = "auto") -> DataFrame:
     x >= 0, inv x != 0).  NULLs pass through.  yeojohnson output is
     standardised (mean 0, sample sd 1).
     """
-    require_columns(df, [column])
-    method = method.lower()
-    if method not in METHODS:
-        raise ValueError(f"unknown transformation method {method!r}; choose one of {METHODS}")
-    x = numeric_column(df, column)
-    chk = df.agg(
-        F.min(x).alias("lo"), F.max(x).alias("hi"), F.count_if(x == 0).alias("zeros")
-    ).first()
-    lo, hi = chk["lo"], chk["hi"]
-    if lo is None:
-        return df.withColumn(column, x)
-    if method == "auto":
-        method = "boxcox" if lo > 0 else "yeojohnson"
-    if method in ("boxcox", "log") and lo <= 0:
-        raise ValueError(f"{method} requires all values > 0")
-    if method in ("log1p", "sqrt") and lo < 0:
-        raise ValueError(f"{method} requires all values >= 0")
-    if method == "inv" and chk["zeros"]:
-        raise ValueError("1/x requires no zero values")
-    shift = F.lit(hi + 1) - x  # max(x + 1) - x
-    if method == "boxcox":
-        lam = boxcox_lambda(df, x, lo, hi)
-        new = x if lam is None else _boxcox_expr(x, lam)
-    elif method == "yeojohnson":
-        lam = yeojohnson_lambda(df, x)
-        t = _yj_expr(x, lam)
-        st = df.agg(F.avg(t).alias("m"), F.stddev_samp(t).alias("s")).first()
-        new = F.try_divide(t - F.lit(st["m"]), F.nullif(F.lit(st["s"]).cast("double"), F.lit(0.0)))
-    elif method == "log":
-        new = F.log10(x)
-    elif method == "neglog":
-        new = F.log10(shift)
-    elif method == "log1p":
-        new = F.log1p(x)
-    elif method == "sqrt":
-        new = F.sqrt(x)
-    elif method == "negsqrt":
-        new = F.sqrt(shift)
-    elif method == "inv":
-        new = 1 / x
-    elif method == "neginv":
-        new = 1 / shift
-    else:  # square
-        new = x * x
-    return df.withColumn(column, new)
+    return fit_skew(df, column, method).transform(df)
