@@ -196,15 +196,20 @@ def dbscan_noise_flags(
 ) -> DataFrame:
     """Flag DBSCAN noise points on z-scaled numeric columns (C20), exactly.
 
-    Grid method: points are z-scaled (sample sd); a fine cell of side
-    eps/sqrt(d) in every dimension has diameter <= eps, so a fine cell holding
-    >= min_pts points makes all its points core with no distance computed.
-    Only points in sparse fine cells need neighbour counts: they are joined
-    (equi-join on a coarse cell of side eps over at most 3 dimensions, each
-    point exploded to its 3^k neighbour cells) with all points, filtered by
-    the full distance.  A point is noise when it is not core and no core
-    point lies within eps.  Dense-cell points are never paired with each other,
-    and for them only "is there a core neighbour" matters.
+    Grid method (no cluster labels are needed, only noise):
+
+    * points are z-scaled (sample sd); a fine cell of side eps/sqrt(d) has
+      diameter <= eps, so every point of a fine cell holding >= min_pts
+      points is core, with no distance computed;
+    * only points of sparse fine cells can be noise.  Each is exploded to the
+      3^k coarse cells (side eps, k <= 3 widest dimensions) around it and
+      equi-joined (a) with the sparse points there, by full distance, and
+      (b) with dense cells summarised per (coarse, fine) cell as a count and
+      a bounding box: a box wholly inside the eps-ball adds its count, a box
+      wholly outside adds nothing, and only boxes cut by the ball's surface
+      are expanded to their points.  A hot spot of equal points is one box.
+    * core(p) = neighbours (self included) >= min_pts; noise = not core and
+      no core neighbour (every dense-cell point is core).
 
     Input must have a unique ``id_col``; returns (id_col, noise boolean).
     """
@@ -219,51 +224,79 @@ def dbscan_noise_flags(
                 *[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(cols)],
                 *[F.min(f"`{c}`").alias(f"lo{i}") for i, c in enumerate(cols)],
                 *[F.max(f"`{c}`").alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-    scaled = []
-    spans = []
+    scaled, spans = [], []
     for i, c in enumerate(cols):
-        m, s = st[f"m{i}"], st[f"s{i}"]
-        s = s if s else 1.0
-        scaled.append(((F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s)).alias(f"z{i}"))
-        spans.append(((st[f"hi{i}"] - m) / s - (st[f"lo{i}"] - m) / s, i))
-    pts = df.select(F.col(f"`{id_col}`").alias("_id"), *scaled)
+        m, sd = st[f"m{i}"], st[f"s{i}"] or 1.0
+        scaled.append(((F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(sd)).alias(f"z{i}"))
+        spans.append(((st[f"hi{i}"] - st[f"lo{i}"]) / sd, i))
+    zs = [f"z{i}" for i in range(d)]
+    eps2 = eps * eps
     fine_side = eps / math.sqrt(d)
-    fine = F.array(*[F.floor(F.col(f"z{i}") / fine_side) for i in range(d)])
     coarse_dims = [i for _, i in sorted(spans, reverse=True)[: min(3, d)]]
-    pts = pts.withColumn("_fine", fine).withColumn(
-        "_coarse", F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in coarse_dims])
+    pts = (
+        df.select(F.col(f"`{id_col}`").alias("_id"), *scaled)
+        .withColumn("_fine", F.array(*[F.floor(F.col(z) / fine_side) for z in zs]))
+        .withColumn("_coarse", F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in coarse_dims]))
     )
-    # points per fine cell: an aggregate (map-side combine), joined back
     cell_n = pts.groupBy("_fine").agg(F.count(F.lit(1)).alias("_fine_n"))
     pts = pts.join(cell_n, "_fine").withColumn("_dense", F.col("_fine_n") >= min_pts)
-    sparse = pts.where(~F.col("_dense"))
-    # explode each sparse point to the coarse cells around it
+    sparse = pts.where(~F.col("_dense")).select("_id", "_coarse", *zs)
+    dense = pts.where(F.col("_dense")).select("_coarse", "_fine", *zs)
+
     offsets = [[]]
     for _ in coarse_dims:
         offsets = [o + [k] for o in offsets for k in (-1, 0, 1)]
     shifts = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offsets])
     probe = sparse.select(
-        "_id", *[F.col(f"z{i}").alias(f"q{i}") for i in range(d)],
-        F.explode(F.transform(shifts, lambda s: F.zip_with(F.col("_coarse"), s, lambda a, b: a + b))).alias("_coarse"),
+        "_id", *[F.col(z).alias(f"q{i}") for i, z in enumerate(zs)],
+        F.explode(F.transform(shifts, lambda sh: F.zip_with(F.col("_coarse"), sh, lambda a, b: a + b))).alias("_coarse"),
+    )
+    # (a) sparse neighbours by full distance
+    dist2 = sum((F.col(f"q{i}") - F.col(z)) ** 2 for i, z in enumerate(zs))
+    ss = probe.join(sparse.select(F.col("_id").alias("_nid"), "_coarse", *zs), "_coarse").where(dist2 <= eps2)
+    ss = ss.select("_id", "_nid")
+    # (b) dense cells as (count, bounding box) pieces
+    pieces = dense.groupBy("_coarse", "_fine").agg(
+        F.count(F.lit(1)).alias("_pn"),
+        *[F.min(z).alias(f"lo{i}") for i, z in enumerate(zs)],
+        *[F.max(z).alias(f"hi{i}") for i, z in enumerate(zs)],
     )
-    dist2 = sum((F.col(f"q{i}") - F.col(f"z{i}")) ** 2 for i in range(d))
-    near = probe.join(pts.select(F.col("_id").alias("_nid"), "_coarse", "_dense", *[f"z{i}" for i in range(d)]), "_coarse").where(
-        dist2 <= eps * eps
+    pj = probe.join(pieces, "_coarse")
+    near2 = sum(F.greatest(F.col(f"lo{i}") - F.col(f"q{i}"), F.col(f"q{i}") - F.col(f"hi{i}"), F.lit(0.0)) ** 2 for i in range(d))
+    far2 = sum(F.greatest(F.abs(F.col(f"q{i}") - F.col(f"lo{i}")), F.abs(F.col(f"q{i}") - F.col(f"hi{i}"))) ** 2 for i in range(d))
+    pj = pj.where(near2 <= eps2).withColumn("_inside", far2 <= eps2)
+    whole = pj.where("_inside").groupBy("_id").agg(F.sum("_pn").alias("_dn"))
+    cut = pj.where(~F.col("_inside")).select("_id", "_coarse", "_fine", *[f"q{i}" for i in range(d)])
+    partial = (
+        cut.join(dense, ["_coarse", "_fine"])
+        .where(dist2 <= eps2)
+        .groupBy("_id")
+        .agg(F.count(F.lit(1)).alias("_dn"))
     )
-    sparse_counts = near.groupBy("_id").agg(F.count(F.lit(1)).alias("_k"))
-    sparse_core = sparse_counts.select("_id", (F.col("_k") >= min_pts).alias("_core"))
-    # core flag of every point: dense -> core; sparse -> neighbour count
-    core = pts.select("_id", "_dense").join(sparse_core, "_id", "left").select(
-        "_id", (F.col("_dense") | F.coalesce(F.col("_core"), F.lit(False))).alias("_is_core")
+    dense_n = whole.unionByName(partial).groupBy("_id").agg(F.sum("_dn").alias("_dense_n"))
+    sparse_n = ss.groupBy("_id").agg(F.count(F.lit(1)).alias("_sparse_n"))
+    counts = (
+        sparse.select("_id")
+        .join(sparse_n, "_id", "left")
+        .join(dense_n, "_id", "left")
+        .select(
+            "_id",
+            F.coalesce("_sparse_n", F.lit(0)).alias("_sn"),
+            F.coalesce("_dense_n", F.lit(0)).alias("_dn"),
+        )
+        .withColumn("_core", F.col("_sn") + F.col("_dn") >= min_pts)
     )
-    # a sparse non-core point is a border point if any neighbour is core
-    near_core = near.join(core.select(F.col("_id").alias("_nid"), "_is_core"), "_nid").groupBy("_id").agg(
-        F.bool_or("_is_core").alias("_has_core")
+    core_nb = (
+        ss.join(counts.select(F.col("_id").alias("_nid"), F.col("_core").alias("_ncore")), "_nid")
+        .groupBy("_id")
+        .agg(F.bool_or("_ncore").alias("_has_core"))
     )
-    flags = core.join(near_core, "_id", "left").select(
-        F.col("_id").alias(id_col), (~F.col("_is_core") & ~F.coalesce(F.col("_has_core"), F.lit(False))).alias("noise")
+    sparse_flags = counts.join(core_nb, "_id", "left").select(
+        F.col("_id").alias(id_col),
+        (~F.col("_core") & (F.col("_dn") == 0) & ~F.coalesce(F.col("_has_core"), F.lit(False))).alias("noise"),
     )
-    return flags
+    dense_flags = pts.where(F.col("_dense")).select(F.col("_id").alias(id_col), F.lit(False).alias("noise"))
+    return sparse_flags.unionByName(dense_flags)
 
 
 def dbscan_outliers(

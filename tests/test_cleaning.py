@@ -156,3 +156,17 @@ def test_dates(spark):
     assert consistency.unparsed_dates(d, "s") == 1
     ch = dict(rows(consistency.change_date_format(d, "s", "%d %b %Y"), "id", "s"))
     assert ch[1] == "31 Dec 2020" and ch[3] == "31 Dec 2020" and ch[5] is None
+
+
+def test_dbscan_hot_spot_matches_brute_force(spark):
+    rng = np.random.default_rng(12)
+    hot = np.zeros((400, 3))
+    ring = rng.normal(0, 0.6, (60, 3))
+    far = rng.uniform(-4, 4, (15, 3))
+    a = np.vstack([hot, ring, far])
+    pdf = pd.DataFrame({"rid": np.arange(len(a)), "a": a[:, 0], "b": a[:, 1], "c": a[:, 2]})
+    flags = outliers.dbscan_noise_flags(spark.createDataFrame(pdf), ["a", "b", "c"], eps=0.4, min_pts=6, id_col="rid")
+    got = dict(rows(flags, "rid", "noise"))
+    exp = dbscan_noise_brute(a, 0.4, 6)
+    assert len(got) == len(a)
+    assert [got[i] for i in range(len(a))] == list(exp)
