@@ -67,7 +67,7 @@ def exact_percentiles(
         # size from the largest group (rows bound its distinct values)
         biggest = base.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
         if biggest <= _ROWS_PER_BUCKET:
-            return _small_percentiles(df, base, by, probs, names, whole)
+            return _small_percentiles(df, v, by, probs, names, whole)
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(10_000, 20 * buckets)
@@ -145,31 +145,34 @@ def _interpolated(probs: Sequence[float], names: Sequence[str]) -> list[Column]:
     return aggs
 
 
-def _small_percentiles(df, base, by, probs, names, whole):
+def _small_percentiles(df, v, by, probs, names, whole):
     """Plan for groups of at most ``_ROWS_PER_BUCKET`` rows: one window over
     each group's distinct values (bounded) gives cumulative counts; the
-    wanted ranks are picked by a grouped aggregate on the same partitioning."""
-    counted = base.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*_cols(by)).orderBy("_v")
-    cum = counted.withColumn("_c1", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_tot", F.sum("_n").over(Window.partitionBy(*_cols(by)))
+    wanted ranks are picked by a grouped aggregate on the same partitioning.
+    NULL values stay in as zero-weight rows, so groups without any value come
+    out with NULL results from the same pass (no second scan)."""
+    valued = df.select(*_cols(by), F.when(~F.isnan(v), v).alias("_v"))
+    counted = valued.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
+    nn = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(F.lit(0))
+    w = Window.partitionBy(*_cols(by)).orderBy(F.col("_v").asc_nulls_first())
+    cum = counted.withColumn("_c1", F.sum(nn).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "_tot", F.sum(nn).over(Window.partitionBy(*_cols(by)))
     )
+    present = F.col("_v").isNotNull()
+    start = F.col("_c1") - nn
     aggs = []
     for i, name in enumerate(names):
         h = (F.col("_tot") - 1).cast("double") * F.lit(float(probs[i]))
         lo_r, hi_r = F.floor(h), F.ceil(h)
-        start = F.col("_c1") - F.col("_n")
-        lo = F.max(F.when((start <= lo_r) & (lo_r < F.col("_c1")), F.col("_v")))
-        hi = F.max(F.when((start <= hi_r) & (hi_r < F.col("_c1")), F.col("_v")))
+        lo = F.max(F.when(present & (start <= lo_r) & (lo_r < F.col("_c1")), F.col("_v")))
+        hi = F.max(F.when(present & (start <= hi_r) & (hi_r < F.col("_c1")), F.col("_v")))
         hh = F.max(h)
         frac = hh - F.floor(hh)
         aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
     out = cum.groupBy(*_cols(by)).agg(*aggs)
     if whole:
         return df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(out, by, "left").drop("_g")
-    groups = df.select(*_cols(by)).distinct()
-    return groups.join(out, by, "left")
-
+    return out
 
 def global_percentiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Exact percentiles of a whole column as Python floats (a few scalars)."""
