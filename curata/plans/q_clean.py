@@ -64,6 +64,24 @@ def t7_typecast_integer(spark, sf_dir):
     return schema.typecast(derived(spark, sf_dir, "orders_number_text"), "raw", "integer")
 
 
+@query(
+    "t7_typecast_numeric",
+    with_derived(
+        "orders_number_text",
+        "SELECT o_orderkey, CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE v END AS raw "
+        "FROM (SELECT o_orderkey, TRY_CAST(trim(raw) AS DOUBLE) AS v FROM src)",
+    ),
+)
+def t7_typecast_numeric(spark, sf_dir):
+    return schema.typecast(derived(spark, sf_dir, "orders_number_text"), "raw", "numeric")
+
+
+@query("t7_typecast_factor", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def t7_typecast_factor(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return schema.typecast(o, "o_custkey", "factor")
+
+
 @query("t7_typecast_logical", "SELECT l_orderkey, l_linenumber, l_discount <> 0 AS l_discount FROM lineitem")
 def t7_typecast_logical(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
@@ -340,7 +358,23 @@ def c20_dbscan_remove_noise(spark, sf_dir):
     return outliers.dbscan_outliers(sup, ["s_nationkey", "s_acctbal"], eps=0.5, min_pts=5, id_col="s_suppkey")
 
 
-@query("c20_dbscan_replace")
+_DBSCAN_REPLACE_SQL = """
+WITH s AS (SELECT s_suppkey, s_nationkey, s_acctbal,
+                  (s_nationkey - avg(s_nationkey) OVER ()) / stddev_samp(s_nationkey) OVER () AS z0,
+                  (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS z1 FROM supplier),
+nb AS (SELECT a.s_suppkey AS id, b.s_suppkey AS nid FROM s a JOIN s b
+       ON (a.z0 - b.z0) * (a.z0 - b.z0) + (a.z1 - b.z1) * (a.z1 - b.z1) <= 0.25),
+core AS (SELECT id, count(*) >= 5 AS is_core FROM nb GROUP BY id),
+flag AS (SELECT nb.id, NOT bool_or(c.is_core) AS noise FROM nb JOIN core c ON c.id = nb.nid GROUP BY nb.id),
+t AS (SELECT s.*, flag.noise FROM s JOIN flag ON flag.id = s.s_suppkey),
+m AS (SELECT round_even(avg(s_nationkey), 0) AS mn, round_even(avg(s_acctbal), 0) AS ma FROM t WHERE NOT noise)
+SELECT s_suppkey,
+       CAST(CASE WHEN noise AND s_nationkey > mn THEN mn ELSE s_nationkey END AS INTEGER) AS s_nationkey,
+       CASE WHEN noise AND s_acctbal > ma THEN ma ELSE s_acctbal END AS s_acctbal
+FROM t, m"""
+
+
+@query("c20_dbscan_replace", _DBSCAN_REPLACE_SQL)
 def c20_dbscan_replace(spark, sf_dir):
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     return outliers.dbscan_outliers(sup, ["s_nationkey", "s_acctbal"], action="replace", id_col="s_suppkey")

@@ -62,6 +62,15 @@ def p1_summary_duplicates(spark, sf_dir):
     return profile.dataset_summary(derived(spark, sf_dir, "orders_dups"))
 
 
+@query(
+    "p6_profile_bundle",
+    with_derived("orders_dups", _summary_sql([("o_orderstatus", "txt"), ("o_orderpriority", "txt")], "src")),
+)
+def p6_profile_bundle(spark, sf_dir):
+    """The whole profile (P1-P5 on one cached input); its summary part."""
+    return profile.profile(derived(spark, sf_dir, "orders_dups")).summary
+
+
 @query("p1_summary_lineitem", _summary_sql(LINEITEM_COLS, "lineitem"))
 def p1_summary_lineitem(spark, sf_dir):
     return profile.dataset_summary(table(spark, sf_dir, "lineitem"))
@@ -322,6 +331,17 @@ GROUP BY ALL""",
 )(_agg_query("mad", 4))
 
 
+@query(
+    "a8_group_prod",
+    "SELECT p_brand, round(ln(product(1 + p_size / 1000.0)), 6) AS agg_value FROM part GROUP BY p_brand",
+)
+def a8_group_prod(spark, sf_dir):
+    """Product per group, compared on the log scale (products of ~800 factors)."""
+    part = table(spark, sf_dir, "part").select("p_brand", (1 + F.col("p_size") / 1000.0).alias("f"))
+    out = agg_ops.aggregate(part, ["p_brand"], "prod", "f")
+    return out.select("p_brand", F.round(F.log("agg_value"), 6).alias("agg_value"))
+
+
 @query(
     "a8_group_range",
     with_derived(

@@ -123,9 +123,9 @@ def k2_skew_yeojohnson(spark, sf_dir):
     return rnd(skew.reduce_skew(_customer(spark, sf_dir), "c_acctbal", "yeojohnson"))
 
 
-@query("k3_skew_auto")
+@query("k3_skew_auto", _boxcox_sql())
 def k3_skew_auto(spark, sf_dir):
-    """auto -> Box-Cox for positive columns, Yeo-Johnson otherwise."""
+    """auto -> Box-Cox here (all values positive); Yeo-Johnson otherwise."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return rnd(skew.reduce_skew(o, "o_totalprice", "auto"))
 
