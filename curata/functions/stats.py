@@ -37,6 +37,7 @@ def exact_percentiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     buckets: int | None = None,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact type-7 (linear interpolation) percentiles of ``value`` per group.
 
@@ -51,6 +52,7 @@ def exact_percentiles(
          ``= number of cut points below the value`` -- a pure function of the
          value, so recomputation after executor loss is deterministic;
       3. per-bucket totals (at most ``buckets`` rows per group) give rank offsets;
+         (groups of at most 1M rows skip 1-3: one bounded window per group)
       4. only the buckets holding the wanted ranks are scanned with a window
          over ``(group, bucket)`` ordered by value, to find the exact ranks.
     """
@@ -64,8 +66,11 @@ def exact_percentiles(
     base = df.select(*_cols(by), v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
     if buckets is None:
-        # size from the largest group (rows bound its distinct values)
-        biggest = base.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
+        # size from the largest group (rows bound its distinct values); a
+        # caller that already counted passes ``max_group_rows``
+        biggest = max_group_rows
+        if biggest is None:
+            biggest = base.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
         if biggest <= _ROWS_PER_BUCKET:
             return _small_percentiles(df, v, by, probs, names, whole)
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))

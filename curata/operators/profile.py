@@ -146,7 +146,9 @@ def column_stats(df: DataFrame) -> DataFrame:
         long = df.select(
             F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), num[c].alias("_v")) for c in numeric])).alias("_p")
         ).select("_p._col", "_p._v")
-        for r in exact_percentiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"], names=["q1", "q2", "q3"]).collect():
+        biggest = max(wide[f"nx{i}"] for i in range(len(numeric)))
+        q = exact_percentiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"], names=["q1", "q2", "q3"], max_group_rows=biggest)
+        for r in q.collect():
             quart[r["_col"]] = (r["q1"], r["q2"], r["q3"])
         fences = []
         for i, c in enumerate(numeric):
@@ -351,6 +353,12 @@ class Profile:
     correlation: DataFrame | None
     qualitative: list[str]
     quantitative: list[str]
+    source: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the cached input once the lazy parts are consumed."""
+        if self.source is not None:
+            self.source.unpersist()
 
 
 def profile(df: DataFrame, max_unique_cat: int = 10) -> Profile:
@@ -370,4 +378,5 @@ def profile(df: DataFrame, max_unique_cat: int = 10) -> Profile:
         correlation=corr,
         qualitative=qual,
         quantitative=quant,
+        source=cached,
     )

@@ -81,7 +81,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], numeric: bool = False
     """
     if not columns:
         return {}
-    val = (lambda c: numeric_column(df, c).cast("string")) if numeric else (lambda c: F.col(f"`{c}`").cast("string"))
+    val = (lambda c: numeric_column(df, c)) if numeric else (lambda c: F.col(f"`{c}`").cast("string"))
     pairs = F.array(*[F.struct(F.lit(c).alias("k"), val(c).alias("v")) for c in columns])
     long = df.select(F.explode(pairs).alias("p")).select("p.k", "p.v").where(F.col("v").isNotNull())
     res = long.distinct().groupBy("k").count().collect()

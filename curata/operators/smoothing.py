@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import numeric_column, require_columns
 from curata.functions.stats import exact_percentiles, with_position
+from curata.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_BIN_SIZE = 5
@@ -148,37 +149,46 @@ def lowess(
     pairs = pairs.withColumn("_tw", _tricube(F.abs(F.col("_xd") - F.col("_ax")) / F.col("_h"))).cache()
     rng = ranked.agg(F.max("_xd") - F.min("_xd")).first()[0] or 0.0
 
+    cached = [ranked, windows, windows2, pairs]
     robust = None
     fit = None
-    for it in range(iterations + 1):
-        p = pairs if robust is None else pairs.join(robust, "_r")
-        w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
-        u = F.col("_xd") - F.col("_ax")
-        sums = p.groupBy("_ar", "_ax").agg(
-            F.sum(w).alias("s0"),
-            F.sum(w * u).alias("s1"),
-            F.sum(w * u * u).alias("s2"),
-            F.sum(w * u * u * u).alias("s3"),
-            F.sum(w * u * u * u * u).alias("s4"),
-            F.sum(w * F.col("_y")).alias("t0"),
-            F.sum(w * u * F.col("_y")).alias("t1"),
-            F.sum(w * u * u * F.col("_y")).alias("t2"),
-        )
-        fit = sums.select("_ar", "_ax", _local_fit(degree, rng).alias("_fit"))
-        # fitted value at every row: the anchor itself, or interpolation
-        row_fit = _interpolate(ranked, fit, delta > 0).cache()
-        if it == iterations:
-            break
-        resid = row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e"))
-        med = exact_percentiles(resid, "_e", [0.5]).first()[0] or 0.0
-        cmad = 6.0 * med
-        if cmad == 0:
-            break
-        q = F.col("_e") / F.lit(cmad)
-        robust = resid.select(
-            "_r", F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2)).alias("_rw")
-        ).cache()
-    out_fit = row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth"))
+    try:
+        for it in range(iterations + 1):
+            p = pairs if robust is None else pairs.join(robust, "_r")
+            w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
+            u = F.col("_xd") - F.col("_ax")
+            sums = p.groupBy("_ar", "_ax").agg(
+                F.sum(w).alias("s0"),
+                F.sum(w * u).alias("s1"),
+                F.sum(w * u * u).alias("s2"),
+                F.sum(w * u * u * u).alias("s3"),
+                F.sum(w * u * u * u * u).alias("s4"),
+                F.sum(w * F.col("_y")).alias("t0"),
+                F.sum(w * u * F.col("_y")).alias("t1"),
+                F.sum(w * u * u * F.col("_y")).alias("t2"),
+            )
+            fit = sums.select("_ar", "_ax", _local_fit(degree, rng).alias("_fit"))
+            # fitted value at every row: the anchor itself, or interpolation
+            row_fit = _interpolate(ranked, fit, delta > 0).cache()
+            cached.append(row_fit)
+            if it == iterations:
+                break
+            resid = row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e"))
+            med = exact_percentiles(resid, "_e", [0.5]).first()[0] or 0.0
+            cmad = 6.0 * med
+            if cmad == 0:
+                break
+            q = F.col("_e") / F.lit(cmad)
+            robust = resid.select(
+                "_r", F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2)).alias("_rw")
+            ).cache()
+            cached.append(robust)
+        # the fitted values (one per non-NULL row) are written once to the
+        # shared checkpoint folder; the neighbourhood rows are released
+        out_fit = cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
+    finally:
+        for c in cached:
+            c.unpersist()
     out = src.join(out_fit, "_x", "left").withColumn(column, F.when(y.isNotNull(), F.col("_smooth")))
     return out.drop("_x", "_smooth")
 
