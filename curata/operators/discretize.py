@@ -17,6 +17,8 @@ DEFAULT_BINS = 4
 KMEANS_MAX_ITER = 50
 # Equal-width outer breaks are widened by range / 1000 on each side.
 EQUAL_WIDTH_WIDEN = 1000
+# Entropy discretisation keeps one count column per class.
+MAX_CLASSES = 1000
 # -------------------------------------------------------------------------------------
 
 METHODS = ("equalwidth", "equalfreq", "kmeans", "entropy")
@@ -149,8 +151,10 @@ def mdlp_cuts(df: DataFrame, column: str, target: str, max_levels: int = 64) ->
     base = df.select(x.alias("_v"), F.col(f"`{target}`").cast("string").alias("_y")).where(
         F.col("_v").isNotNull() & F.col("_y").isNotNull()
     )
+    if base.agg(F.approx_count_distinct("_y")).first()[0] > 2 * MAX_CLASSES:
+        raise ValueError("too many classes for entropy discretisation")
     classes = [r[0] for r in base.select("_y").distinct().orderBy("_y").collect()]
-    if len(classes) > 1000:
+    if len(classes) > MAX_CLASSES:
         raise ValueError("too many classes for entropy discretisation")
     k_all = len(classes)
     per_value = base.groupBy("_v").agg(
