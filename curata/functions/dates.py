@@ -41,9 +41,26 @@ STRFTIME_TOKENS = {
 
 
 def parse_dates(c: Column, formats: tuple[str, ...] = DATETIME_FORMATS) -> Column:
-    """Parse text into a TIMESTAMP with a declared list of formats; else NULL."""
+    """Parse text into a wall-clock TIMESTAMP_NTZ (independent of the session
+    time zone) with a declared list of formats; unparsable text -> NULL.
+
+    ``to_timestamp_ntz`` raises on bad input under ANSI mode, so each format
+    is only applied where ``try_to_timestamp`` accepts the text.
+    """
     s = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    return F.coalesce(
+        *[F.when(F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.to_timestamp_ntz(s, F.lit(f))) for f in formats]
+    )
+
+
+def as_wall_clock(c: Column, dtype) -> Column:
+    """A DATE/TIMESTAMP/TIMESTAMP_NTZ column as TIMESTAMP_NTZ; text is parsed."""
+    name = dtype.simpleString()
+    if name == "timestamp_ntz":
+        return c
+    if name in ("date", "timestamp"):
+        return c.cast("timestamp_ntz")
+    return parse_dates(c)
 
 
 def parse_mixed_dates(c: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import parse_dates, parse_mixed_dates, require_columns, strftime_to_spark, title_case, trim_whitespace
+from curata.functions import parse_mixed_dates, require_columns, strftime_to_spark, title_case, trim_whitespace
+from curata.functions.dates import as_wall_clock
 
 CASES = ("lower", "upper", "title")
 
@@ -38,9 +39,7 @@ def trim(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def change_date_format(df: DataFrame, column: str, fmt: str) -> DataFrame:
     """Parse a date column and re-render it with a strftime format."""
     require_columns(df, [column])
-    c = F.col(f"`{column}`")
-    dt = df.schema[column].dataType.simpleString()
-    ts = c.cast("timestamp") if dt in ("date", "timestamp", "timestamp_ntz") else parse_dates(c)
+    ts = as_wall_clock(F.col(f"`{column}`"), df.schema[column].dataType)
     return df.withColumn(column, F.date_format(ts, strftime_to_spark(fmt)))
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.functions.dates import as_wall_clock
 from curata.functions import (
     is_numeric_type,
     is_string_type,
     null_tokens,
     numeric_column,
-    parse_dates,
     require_columns,
 )
 
@@ -145,7 +145,7 @@ def typecast(df: DataFrame, column: str, target: str, strict: bool = False) -> D
     * integer: fractional values -> NULL, or an error when ``strict``.
     * character/string/factor: text; NULL stays NULL.
     * logical: truthiness (numbers: non-zero; text: non-empty); NULL stays NULL.
-    * date: declared list of text formats -> TIMESTAMP; unparsable -> NULL.
+    * date: declared list of text formats -> TIMESTAMP_NTZ; unparsable -> NULL.
     """
     require_columns(df, [column])
     target = target.lower()
@@ -170,11 +170,7 @@ def typecast(df: DataFrame, column: str, target: str, strict: bool = False) -> D
         else:
             new = F.length(c.cast("string")) > 0
     elif target == "date":
-        dt = df.schema[column].dataType
-        if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            new = c.cast("timestamp")
-        else:
-            new = parse_dates(c)
+        new = as_wall_clock(c, df.schema[column].dataType)
     else:
         raise ValueError(f"unknown target type {target!r}; choose one of {TYPECAST_TARGETS}")
     return df.withColumn(column, new)

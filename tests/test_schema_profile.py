@@ -52,6 +52,7 @@ def test_typecasts(spark):
     dates = spark.createDataFrame([("2020-12-31",), ("12/31/2020",), ("31/12/2020",), ("x",), (None,)], "s string")
     got = [r.s for r in schema.typecast(dates, "s", "date").collect()]
     assert got[:3] == [dt.datetime(2020, 12, 31)] * 3 and got[3:] == [None, None]
+    assert schema.typecast(dates, "s", "date").schema["s"].dataType.simpleString() == "timestamp_ntz"
 
 
 def test_drop_columns_ignores_unknown_and_null_mask_keeps(spark):
