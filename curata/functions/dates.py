@@ -78,6 +78,53 @@ def parse_mixed_dates(c: Column) -> Column:
     return F.coalesce(*four, *two_pivot)
 
 
+def _strftime_tokens(fmt: str) -> list[tuple[bool, str]]:
+    """(is_directive, text) pieces of a strftime format."""
+    out: list[tuple[bool, str]] = []
+    i = 0
+    while i < len(fmt):
+        tok = fmt[i : i + 2]
+        if tok in STRFTIME_TOKENS:
+            out.append((True, tok))
+            i += 2
+        elif tok == "%%":
+            out.append((False, "%"))
+            i += 2
+        else:
+            out.append((False, fmt[i]))
+            i += 1
+    return out
+
+
+def format_wall_clock(ts: Column, fmt: str) -> Column:
+    """Render a wall-clock timestamp (TIMESTAMP_NTZ or DATE) with a strftime
+    format without passing through the session time zone: numbers come from
+    the date/time fields, month and day names from the DATE part."""
+    d = F.to_date(ts)
+
+    def pad(c: Column, n: int) -> Column:
+        return F.lpad(c.cast("string"), n, "0")
+
+    field = {
+        "%Y": lambda: pad(F.year(ts), 4),
+        "%y": lambda: pad(F.year(ts) % 100, 2),
+        "%m": lambda: pad(F.month(ts), 2),
+        "%d": lambda: pad(F.dayofmonth(ts), 2),
+        "%H": lambda: pad(F.hour(ts), 2),
+        "%I": lambda: pad((F.hour(ts) + 11) % 12 + 1, 2),
+        "%M": lambda: pad(F.minute(ts), 2),
+        "%S": lambda: pad(F.second(ts), 2),
+        "%p": lambda: F.when(F.hour(ts) < 12, F.lit("AM")).otherwise(F.lit("PM")),
+        "%j": lambda: pad(F.dayofyear(ts), 3),
+        "%b": lambda: F.date_format(d, "MMM"),
+        "%B": lambda: F.date_format(d, "MMMM"),
+        "%a": lambda: F.date_format(d, "EEE"),
+        "%A": lambda: F.date_format(d, "EEEE"),
+    }
+    parts = [field[t]() if is_dir else F.lit(t) for is_dir, t in _strftime_tokens(fmt)]
+    return F.when(ts.isNotNull(), F.concat(*parts)) if parts else F.lit("")
+
+
 def strftime_to_spark(fmt: str) -> str:
     """Translate a strftime format (``%Y-%m-%d``) into a Spark datetime pattern."""
     out: list[str] = []

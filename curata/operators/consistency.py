@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import parse_mixed_dates, require_columns, strftime_to_spark, title_case, trim_whitespace
-from curata.functions.dates import as_wall_clock
+from curata.functions import parse_mixed_dates, require_columns, title_case, trim_whitespace
+from curata.functions.dates import as_wall_clock, format_wall_clock
 
 CASES = ("lower", "upper", "title")
 
@@ -40,7 +40,7 @@ def change_date_format(df: DataFrame, column: str, fmt: str) -> DataFrame:
     """Parse a date column and re-render it with a strftime format."""
     require_columns(df, [column])
     ts = as_wall_clock(F.col(f"`{column}`"), df.schema[column].dataType)
-    return df.withColumn(column, F.date_format(ts, strftime_to_spark(fmt)))
+    return df.withColumn(column, format_wall_clock(ts, fmt))
 
 
 def standardize_dates(df: DataFrame, column: str, output_format: str | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def standardize_dates(df: DataFrame, column: str, output_format: str | None = No
     require_columns(df, [column])
     d = parse_mixed_dates(F.col(f"`{column}`"))
     if output_format is not None:
-        d = F.date_format(d, strftime_to_spark(output_format))
+        d = format_wall_clock(d, output_format)
     return df.withColumn(column, d)
 
 
