@@ -139,7 +139,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- Kendall tau-b --------------------------------------------------------------------
 
 _KENDALL_ROWS_PER_BLOCK = 200_000
-_KENDALL_MAX_BLOCKS = 256
+_KENDALL_MAX_BLOCKS = 1024
 
 
 def weighted_inversions(rank: np.ndarray, w: np.ndarray) -> float:
@@ -242,14 +242,18 @@ def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> flo
         n0 = n * (n - 1) / 2
         n3 = stats["n3"]
         tagged = xy.withColumn("xb", _block_id(F.col("x"), cx)).withColumn("yb", _block_id(F.col("y"), cy))
-        cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w")).collect()
         nx, ny = 2 * len(cx) + 1, 2 * len(cy) + 1
-        mat = np.zeros((nx, ny))
-        for r in cells:
-            mat[r["xb"], r["yb"]] = r["w"]
-        # below[i, j] = weight in cells with xb' >= i and yb' <= j
-        below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)
-        d_cross = float((mat[:-1, 1:] * below[1:, :-1]).sum())
+
+        def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+            # pairs in different x- and y-blocks: a 2-D dominance sum over the
+            # (at most (2B+1)^2) block cells, in one task
+            mat = np.zeros((nx, ny))
+            np.add.at(mat, (pdf["xb"].to_numpy(), pdf["yb"].to_numpy()), pdf["w"].to_numpy())
+            below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)  # xb' >= i, yb' <= j
+            return pd.DataFrame({"d": [float((mat[:-1, 1:] * below[1:, :-1]).sum())]})
+
+        cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w")).withColumn("_one", F.lit(0))
+        d_cross = cells.groupBy("_one").applyInPandas(lambda p: cross(p), "d double").first()[0]
         # same-x-block (kind 0), same-y-block (kind 1), same cell (kind 2)
         kinds = F.array(
             F.struct(F.lit(0).alias("kind"), F.col("xb").alias("k1"), F.lit(0).alias("k2")),
