@@ -37,7 +37,7 @@ def smooth(
     order_by: Sequence[str],
     bin_size: int = DEFAULT_BIN_SIZE,
     regression_type: str = "loess",
-    delta: float = 0.0,
+    anchor_every: int | None = None,
 ) -> DataFrame:
     require_columns(df, [column, *order_by])
     if method == "binning":
@@ -46,9 +46,9 @@ def smooth(
         if regression_type == "linear":
             return linear_trend(df, column, order_by)
         if regression_type == "loess":
-            return lowess(df, column, order_by, frac=LOWESS_FRAC, iterations=LOWESS_ITERATIONS, delta=delta)
+            return lowess(df, column, order_by, frac=LOWESS_FRAC, iterations=LOWESS_ITERATIONS, anchor_every=anchor_every)
         if regression_type == "loess2":
-            return lowess(df, column, order_by, frac=LOESS_SPAN, iterations=0, degree=2, delta=delta)
+            return lowess(df, column, order_by, frac=LOESS_SPAN, iterations=0, degree=2, anchor_every=anchor_every)
         raise ValueError("unsupported regression type; choose loess or linear")
     raise ValueError(f"unsupported smoothing method {method!r}; choose one of {METHODS}")
 
@@ -81,6 +81,14 @@ def _tricube(d: Column) -> Column:
     return F.when(d <= NEAR, F.lit(1.0)).when(d > FAR, F.lit(0.0)).otherwise(F.pow(1 - F.pow(d, 3), 3))
 
 
+# Exact smoothing materialises one row per (point, neighbour): m * k rows.
+# Above this many, fits are computed at anchors and interpolated between,
+# with anchors spaced for about ANCHORED_NEIGHBOUR_ROWS rows per round.
+EXACT_NEIGHBOUR_ROWS = 50_000_000
+ANCHORED_NEIGHBOUR_ROWS = 20_000_000
+MIN_ANCHORS = 100
+
+
 def lowess(
     df: DataFrame,
     column: str,
@@ -88,7 +96,7 @@ def lowess(
     frac: float = LOWESS_FRAC,
     iterations: int = LOWESS_ITERATIONS,
     degree: int = 1,
-    delta: float = 0.0,
+    anchor_every: int | None = None,
 ) -> DataFrame:
     """Locally weighted regression of the value on its row position.
 
@@ -100,13 +108,14 @@ def lowess(
     (``degree=2``), then ``iterations`` rounds of bisquare robustness weights
     from 6 x the median absolute residual.
 
-    Fits are computed at anchor rows: with ``delta=0`` every row is an anchor
-    (the exact smoother); with ``delta>0`` anchors are at least ``delta``
-    apart in x and rows in between are interpolated linearly (the standard
-    lowess speed-up).  Work per round is the neighbourhood join of anchors
-    with the rows in their window plus one ``groupBy(anchor)``.
+    ``anchor_every=1`` fits every row (the exact smoother: m * k neighbour
+    rows per round).  ``anchor_every=s`` fits every s-th row (and the last)
+    and interpolates linearly in x in between -- the interpolation surface
+    lowess/loess implementations use for speed.  By default the exact
+    smoother runs while m * k <= 50M neighbour rows; above that anchors are
+    spaced for about 20M neighbour rows per round, with at least 100 anchors
+    (work then grows linearly with m).
     """
-    spark = df.sparkSession
     src = with_position(df.withColumn(column, numeric_column(df, column)), order_by, "_x")
     y = F.col(f"`{column}`")
     fitted = src.where(y.isNotNull()).select("_x", y.alias("_y"))
@@ -114,16 +123,51 @@ def lowess(
     ranked = ranked.select("_r", F.col("_x").cast("double").alias("_xd"), "_y").cache()
     m = ranked.count()
     if m == 0:
+        ranked.unpersist()
         return src.drop("_x")
     k = max(2, min(m, int(math.floor(frac * m + 1e-10))))
-    # anchors
-    if delta > 0:
-        xs = ranked.select(F.floor(F.col("_xd") / F.lit(delta)).alias("_cell"), "_r")
-        anchors_r = xs.groupBy("_cell").agg(F.min("_r").alias("_r")).select("_r")
-        anchors_r = anchors_r.union(spark.createDataFrame([(m - 1,)], "_r long")).distinct()
+    if anchor_every is None:
+        if m * k <= EXACT_NEIGHBOUR_ROWS:
+            anchor_every = 1
+        else:
+            anchors_wanted = max(MIN_ANCHORS, ANCHORED_NEIGHBOUR_ROWS // k)
+            anchor_every = max(1, math.ceil(m / anchors_wanted))
+    rng = ranked.agg(F.max("_xd") - F.min("_xd")).first()[0] or 0.0
+    if anchor_every <= 1:
+        out_fit = _lowess_exact(ranked, m, k, iterations, degree, rng)
     else:
-        anchors_r = ranked.select("_r")
-    anchors = ranked.join(anchors_r, "_r").select(F.col("_r").alias("_ar"), F.col("_xd").alias("_ax"))
+        out_fit = _lowess_anchored(ranked, m, k, iterations, degree, rng, anchor_every)
+    ranked.unpersist()
+    out = src.join(out_fit, "_x", "left").withColumn(column, F.when(y.isNotNull(), F.col("_smooth")))
+    return out.drop("_x", "_smooth")
+
+
+def _robust_weights(resid: DataFrame) -> DataFrame | None:
+    """Bisquare weights from 6 x the median absolute residual (None: all 1)."""
+    med = exact_percentiles(resid, "_e", [0.5]).first()[0] or 0.0
+    cmad = 6.0 * med
+    if cmad == 0:
+        return None
+    q = F.col("_e") / F.lit(cmad)
+    return resid.select("_r", F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2)).alias("_rw"))
+
+
+def _moment_sums(frame: DataFrame, key: str, w: Column, u: Column) -> DataFrame:
+    return frame.groupBy(key).agg(
+        F.sum(w).alias("s0"),
+        F.sum(w * u).alias("s1"),
+        F.sum(w * u * u).alias("s2"),
+        F.sum(w * u * u * u).alias("s3"),
+        F.sum(w * u * u * u * u).alias("s4"),
+        F.sum(w * F.col("_y")).alias("t0"),
+        F.sum(w * u * F.col("_y")).alias("t1"),
+        F.sum(w * u * u * F.col("_y")).alias("t2"),
+    )
+
+
+def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float) -> DataFrame:
+    """Every row is an anchor: (anchor, neighbour) rows, m * k per round."""
+    anchors = ranked.select(F.col("_r").alias("_ar"), F.col("_xd").alias("_ax"))
     # window start L of each anchor: smallest L with L + k >= m or
     # x_anchor <= (x_L + x_{L+k}) / 2, searched over L in [ar - k + 1, ar]
     cand = anchors.select(
@@ -136,61 +180,110 @@ def lowess(
     ok = cand.join(xl, "_L").join(xr, "_L", "left").where(
         F.col("_xR").isNull() | (F.col("_ax") <= (F.col("_xL") + F.col("_xR")) / 2)
     )
-    windows = ok.groupBy("_ar", "_ax").agg(F.min("_L").alias("_L")).cache()
-    # radius: max distance to the window ends
-    ends = windows.join(xl, "_L").join(
-        ranked.select((F.col("_r") - k + 1).alias("_L"), F.col("_xd").alias("_xE")), "_L"
-    )
-    windows2 = ends.select("_ar", "_ax", "_L", F.greatest(F.col("_ax") - F.col("_xL"), F.col("_xE") - F.col("_ax")).alias("_h")).cache()
-    # neighbourhood pairs (anchor, row in its window)
-    pairs = windows2.select(
-        "_ar", "_ax", "_h", F.explode(F.sequence(F.col("_L"), F.col("_L") + k - 1)).alias("_r")
-    ).join(ranked, "_r")
+    windows = ok.groupBy("_ar", "_ax").agg(F.min("_L").alias("_L"))
+    ends = windows.join(xl, "_L").join(ranked.select((F.col("_r") - k + 1).alias("_L"), F.col("_xd").alias("_xE")), "_L")
+    radius = ends.select("_ar", "_ax", "_L", F.greatest(F.col("_ax") - F.col("_xL"), F.col("_xE") - F.col("_ax")).alias("_h"))
+    pairs = radius.select("_ar", "_ax", "_h", F.explode(F.sequence(F.col("_L"), F.col("_L") + k - 1)).alias("_r")).join(ranked, "_r")
     pairs = pairs.withColumn("_tw", _tricube(F.abs(F.col("_xd") - F.col("_ax")) / F.col("_h"))).cache()
-    rng = ranked.agg(F.max("_xd") - F.min("_xd")).first()[0] or 0.0
-
-    cached = [ranked, windows, windows2, pairs]
+    cached = [pairs]
     robust = None
-    fit = None
     try:
         for it in range(iterations + 1):
             p = pairs if robust is None else pairs.join(robust, "_r")
             w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
-            u = F.col("_xd") - F.col("_ax")
-            sums = p.groupBy("_ar", "_ax").agg(
-                F.sum(w).alias("s0"),
-                F.sum(w * u).alias("s1"),
-                F.sum(w * u * u).alias("s2"),
-                F.sum(w * u * u * u).alias("s3"),
-                F.sum(w * u * u * u * u).alias("s4"),
-                F.sum(w * F.col("_y")).alias("t0"),
-                F.sum(w * u * F.col("_y")).alias("t1"),
-                F.sum(w * u * u * F.col("_y")).alias("t2"),
-            )
-            fit = sums.select("_ar", "_ax", _local_fit(degree, rng).alias("_fit"))
-            # fitted value at every row: the anchor itself, or interpolation
-            row_fit = _interpolate(ranked, fit, delta > 0).cache()
+            sums = _moment_sums(p, "_ar", w, F.col("_xd") - F.col("_ax"))
+            fit = sums.select(F.col("_ar").alias("_r"), _local_fit(degree, rng).alias("_f"))
+            row_fit = ranked.join(fit, "_r").cache()
             cached.append(row_fit)
             if it == iterations:
                 break
-            resid = row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e"))
-            med = exact_percentiles(resid, "_e", [0.5]).first()[0] or 0.0
-            cmad = 6.0 * med
-            if cmad == 0:
+            robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
+            if robust is None:
                 break
-            q = F.col("_e") / F.lit(cmad)
-            robust = resid.select(
-                "_r", F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2)).alias("_rw")
-            ).cache()
+            robust = robust.cache()
             cached.append(robust)
-        # the fitted values (one per non-NULL row) are written once to the
-        # shared checkpoint folder; the neighbourhood rows are released
-        out_fit = cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
+        return cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
+    finally:
+        for c in cached:
+            c.unpersist()
+
+
+def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float, s: int) -> DataFrame:
+    """Fits at every s-th rank (and the last), linear interpolation between.
+
+    * window starts: g(L) = (x_L + x_{L+k}) / 2 is non-decreasing in L, so the
+      start of anchor a is the number of L with g(L) < x_a -- one pass tags
+      every L with how many anchors lie at or below g(L) and a histogram of
+      those tags (at most G + 1 rows) gives all starts;
+    * every row is exploded only to the anchors whose window contains it (a
+      contiguous anchor range, found in the sorted start/end arrays), so the
+      work is about G * k rows spread evenly over all tasks;
+    * anchor parameters (x, radius) and fits travel as literal arrays.
+    """
+    anchor_ranks = list(range(0, m, s))
+    if anchor_ranks[-1] != m - 1:
+        anchor_ranks.append(m - 1)
+    g_n = len(anchor_ranks)
+    ax = {r["_r"]: r["_xd"] for r in ranked.where(F.col("_r").isin(anchor_ranks)).collect()}
+    ax_list = [float(ax[r]) for r in anchor_ranks]
+    xs_arr = F.array(*[F.lit(v) for v in ax_list])
+    # window starts
+    gtab = ranked.select(F.col("_r").alias("_L"), F.col("_xd").alias("_xL")).join(
+        ranked.select((F.col("_r") - k).alias("_L"), F.col("_xd").alias("_xR")), "_L", "left"
+    )
+    g = (F.col("_xL") + F.col("_xR")) / 2
+    tag = F.when(F.col("_xR").isNull(), F.lit(g_n)).otherwise(F.size(F.filter(xs_arr, lambda v: v <= g)))
+    hist = dict(gtab.where(F.col("_L") <= m - 1).select(tag.alias("_A")).groupBy("_A").count().collect())
+    starts, run = [], 0
+    for a in range(g_n):
+        run += hist.get(a, 0)
+        starts.append(min(run, m - k))
+    ends = [st + k - 1 for st in starts]
+    edge = {r["_r"]: r["_xd"] for r in ranked.where(F.col("_r").isin(sorted(set(starts + ends)))).collect()}
+    radius = [max(ax_list[a] - edge[starts[a]], edge[ends[a]] - ax_list[a]) for a in range(g_n)]
+    st_arr = F.array(*[F.lit(v) for v in starts])
+    en_arr = F.array(*[F.lit(v) for v in ends])
+    h_arr = F.array(*[F.lit(float(v)) for v in radius])
+    r = F.col("_r")
+    a_hi = (F.size(F.filter(st_arr, lambda v: v <= r)) - 1).cast("int")
+    a_lo = F.size(F.filter(en_arr, lambda v: v < r)).cast("int")
+    span = F.when(a_lo <= a_hi, F.sequence(a_lo, a_hi)).otherwise(F.array().cast("array<int>"))
+    x_a = F.element_at(xs_arr, F.col("_a") + 1)
+    h_a = F.element_at(h_arr, F.col("_a") + 1)
+
+    def members(rows: DataFrame) -> DataFrame:
+        # each row meets only the anchors whose window holds it; robustness
+        # weights are joined on the m rows before this explode, never after
+        out = rows.select("*", F.explode(span).alias("_a"))
+        return out.withColumn("_u", F.col("_xd") - x_a).withColumn("_tw", _tricube(F.abs(F.col("_u")) / h_a))
+
+    seg = F.least((r / F.lit(s)).cast("int"), F.lit(g_n - 1))
+    robust = None
+    cached: list[DataFrame] = []
+    try:
+        for it in range(iterations + 1):
+            p = members(ranked if robust is None else ranked.join(robust, "_r"))
+            w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
+            fits = {row["_a"]: row["_fit"] for row in _moment_sums(p, "_a", w, F.col("_u")).select("_a", _local_fit(degree, rng).alias("_fit")).collect()}
+            fit_arr = F.array(*[F.lit(float(fits[a]) if fits.get(a) is not None else None).cast("double") for a in range(g_n)])
+            a0 = seg
+            a1 = F.least(seg + 1, F.lit(g_n - 1))
+            x0, x1 = F.element_at(xs_arr, a0 + 1), F.element_at(xs_arr, a1 + 1)
+            f0, f1 = F.element_at(fit_arr, a0 + 1), F.element_at(fit_arr, a1 + 1)
+            t = F.try_divide(F.col("_xd") - x0, x1 - x0)
+            interp = F.when(a0 == a1, f0).otherwise(f0 + t * (f1 - f0))
+            row_fit = ranked.withColumn("_f", interp)
+            if it == iterations:
+                break
+            robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
+            if robust is None:
+                break
+            robust = robust.cache()
+            cached.append(robust)
+        return cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
     finally:
         for c in cached:
             c.unpersist()
-    out = src.join(out_fit, "_x", "left").withColumn(column, F.when(y.isNotNull(), F.col("_smooth")))
-    return out.drop("_x", "_smooth")
 
 
 def _local_fit(degree: int, x_range: float) -> Column:
@@ -209,26 +302,3 @@ def _local_fit(degree: int, x_range: float) -> Column:
     det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)
     a0 = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
     return F.when(F.abs(det) > F.lit(1e-12), a0 / det).otherwise(mean)
-
-
-def _interpolate(ranked: DataFrame, fit: DataFrame, interpolate: bool) -> DataFrame:
-    """Per fitted row: (_r, _xd, _y, _f)."""
-    if not interpolate:
-        return ranked.join(fit.select(F.col("_ar").alias("_r"), F.col("_fit").alias("_f")), "_r")
-    # anchors are at least delta apart in x, so there are at most
-    # range / delta of them: the window pairing each with the next is small
-    a = fit.select("_ar", "_ax", "_fit")
-    w = Window.orderBy("_ar")
-    segs = a.withColumn("_nr", F.lead("_ar").over(w)).withColumn("_nx", F.lead("_ax").over(w)).withColumn(
-        "_nf", F.lead("_fit").over(w)
-    )
-    segs = segs.withColumn("_nr", F.coalesce("_nr", F.col("_ar") + 1))
-    rows = segs.select(
-        "_ar", "_ax", "_fit", "_nx", "_nf", F.explode(F.sequence(F.col("_ar"), F.col("_nr") - 1)).alias("_r")
-    )
-    joined = ranked.join(rows, "_r")
-    t = F.try_divide(F.col("_xd") - F.col("_ax"), F.col("_nx") - F.col("_ax"))
-    f = F.when(F.col("_nx").isNull() | (F.col("_r") == F.col("_ar")), F.col("_fit")).otherwise(
-        F.col("_fit") + t * (F.col("_nf") - F.col("_fit"))
-    )
-    return joined.select("_r", "_xd", "_y", f.alias("_f"))

@@ -164,10 +164,20 @@ def test_lowess_exact_matches_brute_force(spark):
     assert np.allclose([got2[i] for i in np.arange(n)[mask]], exp2, atol=1e-8)
 
 
-def test_lowess_delta_interpolates(spark):
-    n = 200
-    y = np.cos(np.arange(n) / 20.0)
+def test_lowess_anchored_interpolates(spark):
+    rng = np.random.default_rng(6)
+    n = 300
+    y = np.cos(np.arange(n) / 20.0) + rng.normal(scale=0.05, size=n)
+    y[[10, 11, 150]] = np.nan
     df = spark.createDataFrame(pd.DataFrame({"pos": np.arange(n), "y": y}))
-    exact = dict(rows(smoothing.lowess(df, "y", ["pos"], iterations=0), "pos", "y"))
-    approx = dict(rows(smoothing.lowess(df, "y", ["pos"], iterations=0, delta=4.0), "pos", "y"))
-    assert max(abs(exact[i] - approx[i]) for i in range(n)) < 0.01
+    mask = ~np.isnan(y)
+    exact = lowess_ref(np.arange(n)[mask].astype(float), y[mask], 0.3, 3)
+    approx = dict(rows(smoothing.lowess(df, "y", ["pos"], anchor_every=7), "pos", "y"))
+    got = np.array([approx[i] for i in np.arange(n)[mask]])
+    assert np.max(np.abs(got - exact)) < 0.02
+    # anchor rows themselves are fitted exactly when there are no robustness rounds
+    exact0 = lowess_ref(np.arange(n)[mask].astype(float), y[mask], 0.3, 0)
+    a0 = dict(rows(smoothing.lowess(df, "y", ["pos"], iterations=0, anchor_every=7), "pos", "y"))
+    xs = np.arange(n)[mask]
+    for rank in range(0, len(xs), 7):
+        assert a0[xs[rank]] == pytest.approx(exact0[rank], abs=1e-9)
