@@ -12,6 +12,7 @@ from curata.functions import is_string_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, most_frequent
 from curata.operators.fitted import Fitted
 from curata.operators.schema import drop_flagged
+from curata.session import cut_lineage
 
 # --- fixed values ----------------------------------------------------------------
 ZSCORE_LIMIT = 3.0            # detect/handle: |z| > 3 with the population sd
@@ -239,7 +240,9 @@ def dbscan_noise_flags(
         .withColumn("_coarse", F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in coarse_dims]))
     )
     cell_n = pts.groupBy("_fine").agg(F.count(F.lit(1)).alias("_fine_n"))
-    pts = pts.join(cell_n, "_fine").withColumn("_dense", F.col("_fine_n") >= min_pts)
+    # every branch below reads the scored points: write them once to the
+    # shared checkpoint folder instead of re-scanning and re-joining per branch
+    pts = cut_lineage(pts.join(cell_n, "_fine").withColumn("_dense", F.col("_fine_n") >= min_pts))
     sparse = pts.where(~F.col("_dense")).select("_id", "_coarse", *zs)
     dense = pts.where(F.col("_dense")).select("_coarse", "_fine", *zs)
 
@@ -313,8 +316,6 @@ def dbscan_outliers(
 
     cols = list(columns) if columns is not None else [c for c in df.columns if is_numeric_type(df, c) and c != id_col]
     if id_col is None:
-        from curata.session import cut_lineage
-
         df = cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
         id_col = "_rid"
     flags = dbscan_noise_flags(df, cols, eps, min_pts, id_col)
