@@ -6,18 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
-# Text formats tried, in this order, when a string is cast to a date/timestamp.
+# Text formats tried, in this order, when a string is cast to a date/timestamp,
+# each with the text shape it can match (checked first: a failed parse is
+# far more expensive than a regex test).
 DATETIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "d/M/yyyy",
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"),
+    ("yyyy-M-d", r"^\d{4,}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4,}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4,}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4,}$"),
 )
 # Orders tried by the mixed-format standardiser: four-digit years first, then
 # two-digit years; within each, year-month-day, day-month-year, month-day-year.
-MIXED_DATE_ORDERS = ("yyyy-M-d", "d-M-yyyy", "M-d-yyyy", "yy-M-d", "d-M-yy", "M-d-yy")
+MIXED_DATE_ORDERS = (
+    ("yyyy-M-d", r"^\d{4,}-\d{1,2}-\d{1,2}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4,}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4,}$"),
+    ("yy-M-d", r"^\d{2}-\d{1,2}-\d{1,2}$"),
+    ("d-M-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
+    ("M-d-yy", r"^\d{1,2}-\d{1,2}-\d{2}$"),
+)
 # Two-digit years at or above this value are read as 19xx (00-68 -> 20xx).
 TWO_DIGIT_YEAR_PIVOT = 69
 # strftime directive -> Spark datetime pattern.
@@ -40,7 +49,7 @@ STRFTIME_TOKENS = {
 # -----------------------------------------------------------------------------
 
 
-def parse_dates(c: Column, formats: tuple[str, ...] = DATETIME_FORMATS) -> Column:
+def parse_dates(c: Column, formats: tuple[tuple[str, str], ...] = DATETIME_FORMATS) -> Column:
     """Parse text into a wall-clock TIMESTAMP_NTZ (independent of the session
     time zone) with a declared list of formats; unparsable text -> NULL.
 
@@ -49,7 +58,10 @@ def parse_dates(c: Column, formats: tuple[str, ...] = DATETIME_FORMATS) -> Colum
     """
     s = F.trim(c.cast("string"))
     return F.coalesce(
-        *[F.when(F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.to_timestamp_ntz(s, F.lit(f))) for f in formats]
+        *[
+            F.when(s.rlike(shape) & F.try_to_timestamp(s, F.lit(f)).isNotNull(), F.to_timestamp_ntz(s, F.lit(f)))
+            for f, shape in formats
+        ]
     )
 
 
@@ -70,8 +82,8 @@ def parse_mixed_dates(c: Column) -> Column:
     wins, so an ambiguous ``01/02/2020`` is read day-first.
     """
     s = F.regexp_replace(F.trim(c.cast("string")), "[^0-9A-Za-z]+", "-")
-    four = [F.try_to_date(s, f) for f in MIXED_DATE_ORDERS if "yyyy" in f]
-    two = [F.try_to_date(s, f) for f in MIXED_DATE_ORDERS if "yyyy" not in f]
+    four = [F.when(s.rlike(shape), F.try_to_date(s, f)) for f, shape in MIXED_DATE_ORDERS if "yyyy" in f]
+    two = [F.when(s.rlike(shape), F.try_to_date(s, f)) for f, shape in MIXED_DATE_ORDERS if "yyyy" not in f]
     two_pivot = [
         F.when(F.year(d) >= 2000 + TWO_DIGIT_YEAR_PIVOT, F.add_months(d, -1200)).otherwise(d) for d in two
     ]

@@ -39,8 +39,10 @@ def trim(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def change_date_format(df: DataFrame, column: str, fmt: str) -> DataFrame:
     """Parse a date column and re-render it with a strftime format."""
     require_columns(df, [column])
-    ts = as_wall_clock(F.col(f"`{column}`"), df.schema[column].dataType)
-    return df.withColumn(column, format_wall_clock(ts, fmt))
+    # parse once into its own column, then format from it (the formatter
+    # reads the value several times)
+    parsed = df.withColumn("_ts", as_wall_clock(F.col(f"`{column}`"), df.schema[column].dataType))
+    return parsed.withColumn(column, format_wall_clock(F.col("_ts"), fmt)).drop("_ts")
 
 
 def standardize_dates(df: DataFrame, column: str, output_format: str | None = None) -> DataFrame:
@@ -49,9 +51,10 @@ def standardize_dates(df: DataFrame, column: str, output_format: str | None = No
     Unparsable values become NULL; ``unparsed_dates`` counts them."""
     require_columns(df, [column])
     d = parse_mixed_dates(F.col(f"`{column}`"))
-    if output_format is not None:
-        d = format_wall_clock(d, output_format)
-    return df.withColumn(column, d)
+    if output_format is None:
+        return df.withColumn(column, d)
+    parsed = df.withColumn("_d", d)
+    return parsed.withColumn(column, format_wall_clock(F.col("_d"), output_format)).drop("_d")
 
 
 def unparsed_dates(df: DataFrame, column: str) -> int:

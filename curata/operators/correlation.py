@@ -140,6 +140,7 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 _KENDALL_ROWS_PER_BLOCK = 200_000
 _KENDALL_MAX_BLOCKS = 1024
+_KENDALL_DRIVER_CELLS = 100_000
 
 
 def weighted_inversions(rank: np.ndarray, w: np.ndarray) -> float:
@@ -252,8 +253,13 @@ def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> flo
             below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)  # xb' >= i, yb' <= j
             return pd.DataFrame({"d": [float((mat[:-1, 1:] * below[1:, :-1]).sum())]})
 
-        cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w")).withColumn("_one", F.lit(0))
-        d_cross = cells.groupBy("_one").applyInPandas(lambda p: cross(p), "d double").first()[0]
+        cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w"))
+        if nx * ny <= _KENDALL_DRIVER_CELLS:
+            # a small block grid (bounded by nx * ny) is reduced on the driver
+            d_cross = float(cross(cells.toPandas())["d"].iloc[0])
+        else:
+            one = cells.withColumn("_one", F.lit(0))
+            d_cross = one.groupBy("_one").applyInPandas(lambda p: cross(p), "d double").first()[0]
         # same-x-block (kind 0), same-y-block (kind 1), same cell (kind 2)
         kinds = F.array(
             F.struct(F.lit(0).alias("kind"), F.col("xb").alias("k1"), F.lit(0).alias("k2")),
