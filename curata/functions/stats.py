@@ -24,6 +24,13 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+def _stable(df: DataFrame) -> DataFrame:
+    """Write a small derived table once to the shared checkpoint folder."""
+    from curata.session import cut_lineage
+
+    return cut_lineage(df)
+
+
 def unpivot_values(df: DataFrame, columns: Sequence[str], value: Column | None = None) -> DataFrame:
     """Long form ``(_col, _v)`` of ``columns`` cast to DOUBLE (one row per cell)."""
     pairs = [F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_v")) for c in columns]
@@ -78,7 +85,9 @@ def exact_percentiles(
     accuracy = max(10_000, 20 * buckets)
 
     counted = base.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
-    cuts = base.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"))
+    # the sketch is materialised once: a recomputed merge could give other
+    # cut points than the ones other branches already used
+    cuts = _stable(base.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts")))
     tagged = counted.join(cuts, by)
     tagged = tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 
@@ -287,8 +296,8 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
             return out.drop("_g") if whole else out
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
-    cuts = counted.groupBy(*_cols(by)).agg(
-        F.percentile_approx("_v", cut_probs, max(10_000, 20 * buckets)).alias("_cuts")
+    cuts = _stable(
+        counted.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, max(10_000, 20 * buckets)).alias("_cuts"))
     )
     tagged = counted.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     wb = Window.partitionBy(*_cols(by)).orderBy("_b")
@@ -331,7 +340,7 @@ def running_sums(
             return out.drop("_g") if whole else out
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*_cols(by)).agg(F.percentile_approx(v, cut_probs, max(10_000, 20 * buckets)).alias("_cuts"))
+    cuts = _stable(df.groupBy(*_cols(by)).agg(F.percentile_approx(v, cut_probs, max(10_000, 20 * buckets)).alias("_cuts")))
     tagged = df.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
     wb = Window.partitionBy(*_cols(by)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy(*_cols(by), "_b").agg(*[F.sum(f"`{s}`").alias(f"_t{i}") for i, s in enumerate(sums)])

@@ -38,13 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared (distributed) folder and is used
-    as is.  Only when it is unset -- tests and local runs -- a scratch folder is
-    created and registered.
+    as is (unset on a cluster is an error).  Only in local mode, when it is
+    unset -- tests and local runs -- a scratch folder is created and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares (e.g. on HDFS or S3)")
     local_dir = tempfile.mkdtemp(prefix="curata-ckpt-", dir=os.environ.get("CURATA_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)
