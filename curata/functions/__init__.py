@@ -18,7 +18,7 @@ from curata.functions.columns import (
     title_case,
     trim_whitespace,
 )
-from curata.functions.dates import format_wall_clock, parse_dates, parse_mixed_dates, strftime_to_spark
+from curata.functions.dates import format_wall_clock, parse_dates, parse_mixed_dates
 
 __all__ = [
     "NULL_TOKENS",
@@ -33,7 +33,6 @@ __all__ = [
     "r_mod",
     "require_columns",
     "safe_divide",
-    "strftime_to_spark",
     "format_wall_clock",
     "title_case",
     "trim_whitespace",

@@ -29,7 +29,7 @@ MIXED_DATE_ORDERS = (
 )
 # Two-digit years at or above this value are read as 19xx (00-68 -> 20xx).
 TWO_DIGIT_YEAR_PIVOT = 69
-# strftime directive -> Spark datetime pattern.
+# strftime directives understood by the formatter (Spark pattern equivalents).
 STRFTIME_TOKENS = {
     "%Y": "yyyy",
     "%y": "yy",
@@ -135,31 +135,3 @@ def format_wall_clock(ts: Column, fmt: str) -> Column:
     }
     parts = [field[t]() if is_dir else F.lit(t) for is_dir, t in _strftime_tokens(fmt)]
     return F.when(ts.isNotNull(), F.concat(*parts)) if parts else F.lit("")
-
-
-def strftime_to_spark(fmt: str) -> str:
-    """Translate a strftime format (``%Y-%m-%d``) into a Spark datetime pattern."""
-    out: list[str] = []
-    literal: list[str] = []
-
-    def flush() -> None:
-        if literal:
-            text = "".join(literal).replace("'", "''")
-            out.append(f"'{text}'" if any(ch.isalpha() for ch in text) or "'" in text else text)
-            literal.clear()
-
-    i = 0
-    while i < len(fmt):
-        tok = fmt[i : i + 2]
-        if tok in STRFTIME_TOKENS:
-            flush()
-            out.append(STRFTIME_TOKENS[tok])
-            i += 2
-        elif tok == "%%":
-            literal.append("%")
-            i += 2
-        else:
-            literal.append(fmt[i])
-            i += 1
-    flush()
-    return "".join(out)
