@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from curata.functions import is_numeric_type, numeric_column
 from curata.functions.stats import exact_percentiles, top_k_per_group
-from curata.operators.schema import classify_columns, r_type_name
+from curata.operators.schema import classify_and_count, classify_columns, r_type_name
 
 # --- fixed values ---------------------------------------------------------------
 TOP_LABELS = 10          # categorical frequency table keeps this many labels
@@ -42,8 +42,7 @@ def _c(name: str) -> Column:
 def dataset_summary(df: DataFrame, max_unique_cat: int = 10) -> DataFrame:
     """One row: num_rows, num_columns, num_qualitative_columns,
     num_quantitative_columns, num_duplicates (rows repeating an earlier row)."""
-    qual, quant = classify_columns(df, max_unique_cat)
-    n_rows = df.count()
+    qual, quant, n_rows = classify_and_count(df, max_unique_cat)
     n_distinct = df.distinct().count()
     spark = df.sparkSession
     schema = (

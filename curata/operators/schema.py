@@ -42,7 +42,13 @@ def r_type_name(dt: T.DataType) -> str:
 
 
 def classify_columns(df: DataFrame, max_unique_cat: int = MAX_UNIQUE_CATEGORICAL) -> tuple[list[str], list[str]]:
-    """Split columns into (qualitative, quantitative) lists.
+    """Split columns into (qualitative, quantitative) lists."""
+    qual, quant, _ = classify_and_count(df, max_unique_cat)
+    return qual, quant
+
+
+def classify_and_count(df: DataFrame, max_unique_cat: int = MAX_UNIQUE_CATEGORICAL) -> tuple[list[str], list[str], int]:
+    """Column roles plus the row count, from the same aggregate pass.
 
     Numeric with more than ``max_unique_cat`` distinct non-null values ->
     quantitative; any other non-empty column -> qualitative; all-NULL columns
@@ -52,7 +58,7 @@ def classify_columns(df: DataFrame, max_unique_cat: int = MAX_UNIQUE_CATEGORICAL
     """
     cols = df.columns
     numeric = [c for c in cols if is_numeric_type(df, c)]
-    aggs = [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]
+    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]
     aggs += [F.approx_count_distinct(numeric_column(df, c)).alias(f"d{i}") for i, c in enumerate(numeric)]
     row = df.agg(*aggs).first()
     nonempty = {c: row[f"n{i}"] > 0 for i, c in enumerate(cols)}
@@ -70,7 +76,7 @@ def classify_columns(df: DataFrame, max_unique_cat: int = MAX_UNIQUE_CATEGORICAL
             (quant if distinct > max_unique_cat else qual).append(c)
         else:
             qual.append(c)
-    return qual, quant
+    return qual, quant, row["_rows"]
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str], numeric: bool = False) -> dict[str, int]:
