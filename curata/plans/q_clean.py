@@ -244,15 +244,17 @@ def c11_linear_trend(spark, sf_dir):
 
 @query("c12_lowess")
 def c12_lowess(spark, sf_dir):
-    """LOWESS (frac 0.3, 3 robust rounds) over the whole events table, exact
-    (every row an anchor); checked against a numpy brute force in tests."""
+    """LOWESS (frac 0.3, 3 robust rounds) over the whole events table: the
+    exact smoother while m * k <= 50M neighbour rows (sf0.01), anchored
+    interpolation above; both checked against a numpy brute force in tests."""
     df = derived(spark, sf_dir, "events_gaps")
     return smoothing.lowess(df, "value", ["ts", "event_id"]).select("event_id", "value")
 
 
 @query("c13_loess_quadratic")
 def c13_loess_quadratic(spark, sf_dir):
-    """Degree-2 local regression, span 0.75, no robustness rounds."""
+    """Degree-2 local regression, span 0.75, no robustness rounds (exact or
+    anchored by the same work budget)."""
     df = derived(spark, sf_dir, "events_gaps")
     return smoothing.lowess(df, "value", ["ts", "event_id"], frac=0.75, iterations=0, degree=2).select("event_id", "value")
 

@@ -87,7 +87,7 @@ def m1_collinear_pearson_last(spark, sf_dir):
 
 @query("m1_drop_collinear_table", f"SELECT p_partkey, p_size FROM part")
 def m1_drop_collinear_table(spark, sf_dir):
-    """The reduced table itself (p_retailprice goes: |r| > 0.3 with p_partkey, prefer last)."""
+    """The reduced table itself (Pearson, |r| > 0.3, the later column of a pair goes)."""
     return red.drop_collinear(table(spark, sf_dir, "part").select(*PART_NUM), 0.3, "pearson", "last")
 
 
