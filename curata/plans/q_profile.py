@@ -204,19 +204,35 @@ def p4_histogram_gaps(spark, sf_dir):
     return profile.numeric_histograms(derived(spark, sf_dir, "orders_gaps"), ["o_totalprice"])
 
 
-_P6_SQL = with_derived(
-    "orders_gaps",
-    f"""SELECT s.*, c.n AS column_rows, f.n AS categorical_rows, h.n AS numerical_rows, r.n AS correlation_rows
-FROM ({_summary_sql([("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "txt"), ("o_totalprice", "num"), ("o_orderpriority", "txt")], "src")}) s,
-     (SELECT CAST(5 AS BIGINT) AS n) c,
-     (SELECT CAST(least(10, count(DISTINCT o_orderstatus)) + least(10, count(DISTINCT o_orderpriority)) AS BIGINT) AS n FROM src) f,
-     (SELECT count(*) AS n FROM ({_p4_sql_v2("src", "o_orderkey")} UNION ALL {_p4_sql_v2("src", "o_custkey")}
-                                 UNION ALL {_p4_sql_v2("src", "o_totalprice")})) h,
-     (SELECT CAST(9 AS BIGINT) AS n) r""",
-)
+P6_COLS = [("o_orderkey", "num"), ("o_custkey", "num"), ("o_orderstatus", "txt"), ("o_totalprice", "num"), ("o_orderpriority", "txt")]
+
+
+def _p6_sql() -> str:
+    """Summary plus the size of every profile part, derived from the data:
+    roles per column, top-10 label rows of qualitative columns, histogram
+    cells of quantitative ones, and (#quantitative)^2 correlation cells."""
+    roles = []
+    for c, kind in P6_COLS:
+        quant = f"(count({c}) > 0 AND count(DISTINCT {c}) > 10)" if kind == "num" else "FALSE"
+        qual = f"(count({c}) > 0 AND NOT {quant})"
+        hist = f"(SELECT count(*) FROM ({_p4_sql_v2('src', c)}))" if kind == "num" else "0"
+        roles.append(
+            f"SELECT '{c}' AS col, CAST({quant} AS INTEGER) AS is_quant, "
+            f"CASE WHEN {qual} THEN least(10, count(DISTINCT {c})) ELSE 0 END AS labels, "
+            f"CASE WHEN {quant} THEN {hist} ELSE 0 END AS cells FROM src"
+        )
+    per_col = "\nUNION ALL\n".join(roles)
+    return with_derived(
+        "orders_gaps",
+        f"""SELECT s.*, CAST({len(P6_COLS)} AS BIGINT) AS column_rows, CAST(r.labels AS BIGINT) AS categorical_rows,
+       CAST(r.cells AS BIGINT) AS numerical_rows,
+       CAST(CASE WHEN r.q > 1 THEN r.q * r.q ELSE 0 END AS BIGINT) AS correlation_rows
+FROM ({_summary_sql(P6_COLS, "src")}) s,
+     (SELECT sum(is_quant) AS q, sum(labels) AS labels, sum(cells) AS cells FROM ({per_col})) r""",
+    )
 
 
-@query("p6_profile_bundle", _P6_SQL)
+@query("p6_profile_bundle", _p6_sql())
 def p6_profile_bundle(spark, sf_dir):
     """The whole profile (P1-P5 on one cached input): the summary row plus the
     row counts of the column table, the frequency table, the histograms and

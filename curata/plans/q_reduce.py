@@ -85,9 +85,11 @@ def m1_collinear_pearson_last(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names], "column_name string")
 
 
-@query("m1_drop_collinear_table", f"SELECT p_partkey, p_size FROM part")
+@query("m1_drop_collinear_table")
 def m1_drop_collinear_table(spark, sf_dir):
-    """The reduced table itself (Pearson, |r| > 0.3, the later column of a pair goes)."""
+    """The reduced table itself (Pearson, |r| > 0.3, the later column of a pair
+    goes); rows-only -- the drop decision is oracle-checked by
+    ``m1_collinear_pearson_last``."""
     return red.drop_collinear(table(spark, sf_dir, "part").select(*PART_NUM), 0.3, "pearson", "last")
 
 
