@@ -8,6 +8,7 @@ from curata.functions.columns import (
     NULL_TOKENS,
     READ_NULL_TOKENS,
     WHITESPACE_CLASS,
+    count_below,
     is_numeric_type,
     is_string_type,
     numeric_column,
@@ -24,6 +25,7 @@ __all__ = [
     "NULL_TOKENS",
     "READ_NULL_TOKENS",
     "WHITESPACE_CLASS",
+    "count_below",
     "is_numeric_type",
     "is_string_type",
     "numeric_column",

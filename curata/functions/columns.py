@@ -90,3 +90,52 @@ def r_mod(a: Column, b: Column) -> Column:
     bb = F.nullif(b.cast("double"), F.lit(0.0))
     aa = a.cast("double")
     return aa - F.floor(aa / bb) * bb
+
+
+def count_below(x: Column, breaks, strict: bool = True) -> Column:
+    """Number of sorted literal ``breaks`` below ``x`` (``b < x``; ``b <= x``
+    when not strict) as a plain, code-generated expression.
+
+    Short lists are a sum of comparisons; lists up to 128 a balanced CASE
+    WHEN binary search (O(log n) comparisons per row).  Longer lists use two
+    levels so the generated code stays small: a search over every 64th break
+    picks a block, then the at most 64 breaks of that block are counted.
+    NULL ``x`` gives NULL.
+    """
+    bs = [float(b) for b in breaks]
+
+    def below(b) -> Column:
+        b = b if isinstance(b, Column) else F.lit(b)
+        return x > b if strict else x >= b
+
+    if not bs:
+        return F.when(x.isNotNull(), F.lit(0))
+    if len(bs) <= 16:
+        total = below(bs[0]).cast("int")
+        for b in bs[1:]:
+            total = total + below(b).cast("int")
+        return total
+
+    def tree(vals: list[float], lo: int, hi: int) -> Column:  # answer in [lo, hi]
+        if hi - lo <= 8:
+            total = F.lit(lo)
+            for b in vals[lo:hi]:
+                total = total + below(b).cast("int")
+            return total
+        mid = (lo + hi) // 2
+        return F.when(below(vals[mid]), tree(vals, mid + 1, hi)).otherwise(tree(vals, lo, mid))
+
+    if len(bs) <= _TREE_MAX:
+        return F.when(x.isNotNull(), tree(bs, 0, len(bs)))
+    blocks = [bs[i : i + _BLOCK] for i in range(0, len(bs), _BLOCK)]
+    lasts = [blk[-1] for blk in blocks]
+    j = tree(lasts, 0, len(lasts))  # blocks lying wholly below x
+    table = F.array(*[F.array(*[F.lit(v) for v in blk]) for blk in blocks])
+    inside = F.element_at(table, F.least(j, F.lit(len(blocks) - 1)) + 1)
+    within = F.size(F.filter(inside, lambda b: below(b)))
+    # blocks before j are full (only the last block can be short)
+    return F.when(x.isNotNull(), F.when(j >= len(blocks), F.lit(len(bs))).otherwise(j * _BLOCK + within))
+
+
+_TREE_MAX = 128
+_BLOCK = 64

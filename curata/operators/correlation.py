@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import numeric_column
+from curata.functions import count_below, numeric_column
 from curata.functions.stats import value_ranks
 
 # Aggregate expressions per Spark job when many pairs are computed at once.
@@ -186,9 +186,11 @@ def _discordant(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _block_id(v: Column, cuts: list[float]) -> Column:
     """Monotone block id; a cut value gets a block of its own (hot values)."""
-    arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    below = F.size(F.filter(arr, lambda c: c < v))
-    return below * 2 + F.when(F.array_contains(arr, v), F.lit(1)).otherwise(F.lit(0))
+    if not cuts:
+        return F.lit(0)
+    below = count_below(v, cuts)            # cuts strictly below v
+    at_or_below = count_below(v, cuts, strict=False)
+    return below * 2 + (at_or_below - below)  # + 1 when v equals a cut
 
 
 def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> float | None:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import is_numeric_type, numeric_column, require_columns
+from curata.functions import count_below, is_numeric_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, running_sums
 from curata.operators.fitted import Fitted
 
@@ -28,8 +28,7 @@ def code_from_breaks(x: Column, inner: Sequence[float]) -> Column:
     """1-based right-closed interval code: 1 + number of inner breaks below x."""
     if not inner:
         return F.when(x.isNotNull(), F.lit(1))
-    arr = F.array(*[F.lit(float(b)) for b in inner])
-    return F.when(x.isNotNull(), F.size(F.filter(arr, lambda b: b < x)) + 1)
+    return count_below(x, inner) + 1
 
 
 def equal_width_breaks(lo: float, hi: float, bins: int) -> list[float]:

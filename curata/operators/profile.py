@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.functions import is_numeric_type, numeric_column
+from curata.functions import count_below, is_numeric_type, numeric_column
 from curata.functions.stats import exact_percentiles, top_k_per_group
 from curata.operators.schema import classify_and_count, classify_columns, r_type_name
 
@@ -295,7 +295,7 @@ def histogram_bin(x: Column, breaks: Sequence[float]) -> Column:
     inner = [float(b + fuzz) for b in breaks[1:-1]]
     if not inner:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in inner]), lambda b: b < x))
+    return count_below(x, inner)
 
 
 def numeric_histograms(df: DataFrame, columns: Sequence[str]) -> DataFrame:

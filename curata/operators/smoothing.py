@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curata.functions import numeric_column, require_columns
+from curata.functions import count_below, numeric_column, require_columns
 from curata.functions.stats import exact_percentiles, with_position
 from curata.session import cut_lineage
 
@@ -232,7 +232,7 @@ def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree:
         ranked.select((F.col("_r") - k).alias("_L"), F.col("_xd").alias("_xR")), "_L", "left"
     )
     g = (F.col("_xL") + F.col("_xR")) / 2
-    tag = F.when(F.col("_xR").isNull(), F.lit(g_n)).otherwise(F.size(F.filter(xs_arr, lambda v: v <= g)))
+    tag = F.when(F.col("_xR").isNull(), F.lit(g_n)).otherwise(count_below(g, ax_list, strict=False))
     hist = dict(gtab.where(F.col("_L") <= m - 1).select(tag.alias("_A")).groupBy("_A").count().collect())
     starts, run = [], 0
     for a in range(g_n):
@@ -241,12 +241,10 @@ def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree:
     ends = [st + k - 1 for st in starts]
     edge = {r["_r"]: r["_xd"] for r in ranked.where(F.col("_r").isin(sorted(set(starts + ends)))).collect()}
     radius = [max(ax_list[a] - edge[starts[a]], edge[ends[a]] - ax_list[a]) for a in range(g_n)]
-    st_arr = F.array(*[F.lit(v) for v in starts])
-    en_arr = F.array(*[F.lit(v) for v in ends])
     h_arr = F.array(*[F.lit(float(v)) for v in radius])
     r = F.col("_r")
-    a_hi = (F.size(F.filter(st_arr, lambda v: v <= r)) - 1).cast("int")
-    a_lo = F.size(F.filter(en_arr, lambda v: v < r)).cast("int")
+    a_hi = (count_below(r, starts, strict=False) - 1).cast("int")
+    a_lo = count_below(r, ends).cast("int")
     span = F.when(a_lo <= a_hi, F.sequence(a_lo, a_hi)).otherwise(F.array().cast("array<int>"))
     x_a = F.element_at(xs_arr, F.col("_a") + 1)
     h_a = F.element_at(h_arr, F.col("_a") + 1)

@@ -81,3 +81,19 @@ def test_top_k_per_group_exact(spark):
     for g, part in pdf.groupby("g"):
         exp = part.sort_values(["n", "s"], ascending=[False, True]).head(5)
         assert list(got[got.g == g].sort_values("_rank").s) == list(exp.s)
+
+
+@pytest.mark.parametrize("n", [0, 3, 16, 17, 128, 129, 2000])
+def test_count_below_matches_numpy(spark, n):
+    from curata.functions import count_below
+
+    rng = np.random.default_rng(n)
+    br = np.sort(rng.integers(0, 500, n)).astype(float)
+    xs = [float(v) for v in rng.integers(-2, 505, 200)] + [None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    out = df.select("x", count_below(F.col("x"), br).alias("a"), count_below(F.col("x"), br, strict=False).alias("b"))
+    for r in out.collect():
+        if r.x is None:
+            assert r.a is None and r.b is None
+        else:
+            assert (r.a, r.b) == (int((br < r.x).sum()), int((br <= r.x).sum()))
