@@ -24,6 +24,20 @@ def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
+def _tag_buckets(frame: DataFrame, cuts: DataFrame, by: Sequence[str], value: Column, whole: bool) -> DataFrame:
+    """Bucket id = number of cut points below the value.  With one group the
+    cut list (at most 4095 values) is collected once and becomes a
+    code-generated lookup; per group it is joined and scanned."""
+    from curata.functions.columns import count_below
+
+    if whole:
+        row = cuts.first()
+        cut_list = sorted(row["_cuts"] or []) if row is not None else []
+        return frame.withColumn("_b", count_below(value, cut_list))
+    tagged = frame.join(cuts, list(by))
+    return tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
+
+
 def _stable(df: DataFrame) -> DataFrame:
     """Write a small derived table once to the shared checkpoint folder."""
     from curata.session import cut_lineage
@@ -88,8 +102,7 @@ def exact_percentiles(
     # the sketch is materialised once: a recomputed merge could give other
     # cut points than the ones other branches already used
     cuts = _stable(base.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts")))
-    tagged = counted.join(cuts, by)
-    tagged = tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    tagged = _tag_buckets(counted, cuts, by, F.col("_v"), whole)
 
     # per-bucket totals and offsets: <= buckets rows per group
     wb = Window.partitionBy(*_cols(by)).orderBy("_b")
@@ -299,7 +312,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
     cuts = _stable(
         counted.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, max(10_000, 20 * buckets)).alias("_cuts"))
     )
-    tagged = counted.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    tagged = _tag_buckets(counted, cuts, by, F.col("_v"), whole)
     wb = Window.partitionBy(*_cols(by)).orderBy("_b")
     offsets = (
         tagged.groupBy(*_cols(by), "_b")
@@ -341,7 +354,7 @@ def running_sums(
         buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
     cut_probs = [i / buckets for i in range(1, buckets)]
     cuts = _stable(df.groupBy(*_cols(by)).agg(F.percentile_approx(v, cut_probs, max(10_000, 20 * buckets)).alias("_cuts")))
-    tagged = df.join(cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+    tagged = _tag_buckets(df, cuts, by, v, whole)
     wb = Window.partitionBy(*_cols(by)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy(*_cols(by), "_b").agg(*[F.sum(f"`{s}`").alias(f"_t{i}") for i, s in enumerate(sums)])
     offsets = offsets.select(

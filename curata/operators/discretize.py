@@ -166,8 +166,7 @@ def mdlp_cuts(df: DataFrame, column: str, target: str, max_levels: int = 64) ->
         for _ in range(max_levels):
             if not open_ivals:
                 break
-            arr = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-            tagged = per_value.withColumn("_iv", F.size(F.filter(arr, lambda c: c < F.col("_v"))))
+            tagged = per_value.withColumn("_iv", count_below(F.col("_v"), cuts))
             tagged = tagged.where(F.col("_iv").isin(list(open_ivals)))
             run = running_sums(tagged, "_v", names, by=["_iv"])  # adds _cum_* (inclusive) per interval
             totals = {
