@@ -33,27 +33,38 @@ def _boxcox_expr(x: Column, lam: float) -> Column:
     return F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
 
 
-def _grid_variances(df: DataFrame, t_of, grid: list[float]) -> dict[float, float | None]:
+def _grid_variances(df: DataFrame, t_of, grid: list[float], extra: list[Column] | None = None):
     """Population variance of ``t_of(lambda)`` for every lambda of ``grid``.
 
     The grid is exploded as data (each row meets every lambda inside one
     pipelined stage, then ``groupBy(lambda)``): the generated code is the same
-    for every grid, so repeated passes reuse it.
+    for every grid, so repeated passes reuse it.  ``extra`` aggregates ride
+    along (their value is taken from any lambda's row).
     """
     lam = F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("_lam")
-    rows = df.select("*", lam).groupBy("_lam").agg(F.var_pop(t_of(F.col("_lam"))).alias("_vp")).collect()
-    return {r["_lam"]: r["_vp"] for r in rows}
-
-
-def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float) -> float | None:
+    extra = extra or []
+    rows = (
+        df.select("*", lam)
+        .groupBy("_lam")
+        .agg(F.var_pop(t_of(F.col("_lam"))).alias("_vp"), *[e.alias(f"_e{i}") for i, e in enumerate(extra)])
+        .collect()
+    )
+    var = {r["_lam"]: r["_vp"] for r in rows}
+    extras = [rows[0][f"_e{i}"] if rows else None for i in range(len(extra))]
+    return var, extras
+
+
+def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float, mean_log: float | None = None) -> float | None:
     """Grid maximum of the Box-Cox profile log-likelihood after the fudge
     rules; ``None`` means "leave unchanged".  ``lo``/``hi`` are min and max:
-    a value strictly between them proves at least three distinct values."""
-    st = df.agg(F.avg(F.log(x)).alias("ml"), F.count_if((x > F.lit(lo)) & (x < F.lit(hi))).alias("mid")).first()
-    if st["ml"] is None or lo == hi or (BOXCOX_MIN_UNIQUE >= 3 and st["mid"] == 0):
+    a value strictly between them proves at least three distinct values (that
+    count rides along in the grid pass)."""
+    if mean_log is None:
+        mean_log = df.agg(F.avg(F.log(x))).first()[0]
+    if mean_log is None or lo == hi:
         return None
-    gm = math.exp(st["ml"])
-    base = df.select((x / F.lit(gm)).alias("_y")).where(F.col("_y").isNotNull())  # argmax unchanged by scaling
+    gm = math.exp(mean_log)
+    base = df.select((x / F.lit(gm)).alias("_y"), x.alias("_x")).where(F.col("_y").isNotNull())  # argmax unchanged by scaling
 
     def t_of(lam: Column) -> Column:
         y = F.col("_y")
@@ -62,7 +73,10 @@ def boxcox_lambda(df: DataFrame, x: Column, lo: float, hi: float) -> float | Non
         series = ly * (1 + a / 2 * (1 + a / 3 * (1 + a / 4)))
         return F.when(F.abs(lam) > BOXCOX_SERIES_EPS, (F.pow(y, lam) - 1) / lam).otherwise(series)
 
-    var = _grid_variances(base, t_of, BOXCOX_GRID)
+    mid = F.count_if((F.col("_x") > F.lit(lo)) & (F.col("_x") < F.lit(hi)))
+    var, (n_mid,) = _grid_variances(base, t_of, BOXCOX_GRID, [mid])
+    if BOXCOX_MIN_UNIQUE >= 3 and not n_mid:
+        return None  # fewer than three distinct values: left unchanged
     best, best_ll = None, -math.inf
     for lam in BOXCOX_GRID:
         v = var.get(float(lam))
@@ -101,7 +115,7 @@ def yeojohnson_lambda(df: DataFrame, x: Column) -> float:
     for _ in range(YJ_REFINEMENTS):
         step = (hi - lo) / (YJ_GRID_POINTS - 1)
         grid = [lo + i * step for i in range(YJ_GRID_POINTS)]
-        var = _grid_variances(base, lambda lam: _yj_col(F.col("_x"), lam), grid)
+        var, _ = _grid_variances(base, lambda lam: _yj_col(F.col("_x"), lam), grid)
         best_ll = -math.inf
         for lam in grid:
             v = var.get(float(lam))
@@ -122,7 +136,12 @@ def fit_skew(df: DataFrame, column: str, method: str = "auto") -> Fitted:
     if method not in METHODS:
         raise ValueError(f"unknown transformation method {method!r}; choose one of {METHODS}")
     x = numeric_column(df, column)
-    chk = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count_if(x == 0).alias("zeros")).first()
+    chk = df.agg(
+        F.min(x).alias("lo"),
+        F.max(x).alias("hi"),
+        F.count_if(x == 0).alias("zeros"),
+        F.avg(F.when(x > 0, F.log(x))).alias("ml"),  # used by Box-Cox when every value is positive
+    ).first()
     lo, hi = chk["lo"], chk["hi"]
     params: dict = {"method": method, "max": hi}
     if lo is not None:
@@ -135,7 +154,7 @@ def fit_skew(df: DataFrame, column: str, method: str = "auto") -> Fitted:
         if method == "inv" and chk["zeros"]:
             raise ValueError("1/x requires no zero values")
         if method == "boxcox":
-            params["lambda"] = boxcox_lambda(df, x, lo, hi)
+            params["lambda"] = boxcox_lambda(df, x, lo, hi, chk["ml"])
         elif method == "yeojohnson":
             lam = yeojohnson_lambda(df, x)
             t = _yj_expr(x, lam)

@@ -177,3 +177,8 @@ def test_mdlp_matches_reference(spark):
     assert len(cuts) >= 2
     codes = discretize.discretize(df, "v", "entropy", target="y")
     assert codes.agg(F.max("v_discretized")).first()[0] == len(cuts) + 1
+
+
+def test_boxcox_two_distinct_values_unchanged(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 2.0), (4, None)], "id int, v double")
+    assert dict(rows(skew.reduce_skew(df, "v", "boxcox"), "id", "v")) == {1: 2.0, 2: 5.0, 3: 2.0, 4: None}
