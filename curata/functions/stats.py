@@ -369,13 +369,15 @@ def running_sums(
     return out.drop("_g") if whole else out
 
 
-def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True):
+def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True, non_null: list | None = None):
     """(n, means, sample covariance matrix) of column expressions, in two
     cheap passes: means (and the row count), then sums of products of the
     mean-shifted values -- plain ``sum`` buffers instead of one central-moment
     aggregate per pair, and numerically stable because of the shift.
 
     With ``complete`` only rows where every expression is non-NULL are used.
+    ``non_null``, when given, receives each expression's non-NULL count from
+    the first pass.
     """
     import numpy as np
 
@@ -387,8 +389,14 @@ def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True):
         for i in range(p):
             cond = cond & F.col(f"_m{i}").isNotNull()
         sub = sub.where(cond)
-    first = sub.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_m{i}").alias(f"a{i}") for i in range(p)]).first()
+    first = sub.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f"_m{i}").alias(f"a{i}") for i in range(p)],
+        *[F.count(f"_m{i}").alias(f"c{i}") for i in range(p)],
+    ).first()
     n = first["n"]
+    if non_null is not None:
+        non_null.extend(first[f"c{i}"] for i in range(p))
     means = np.array([np.nan if first[f"a{i}"] is None else first[f"a{i}"] for i in range(p)])
     if n == 0:
         return 0, means, np.full((p, p), np.nan)

@@ -48,10 +48,12 @@ def pca_reduce(df: DataFrame, threshold: float = PCA_THRESHOLD) -> DataFrame:
     num = numeric_columns(df)
     if not num:
         raise ValueError("no numeric columns found for dimensionality reduction")
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(num)]).first()
-    if any(nulls[f"n{i}"] for i in range(len(num))):
+    from curata.functions.stats import comoments
+
+    counts: list[int] = []
+    n, means, cov = comoments(df, [F.col(f"`{c}`") for c in num], complete=False, non_null=counts)
+    if any(c < n for c in counts):
         raise ValueError("cannot perform PCA: missing values in numeric features")
-    n, means, cov = _covariance(df, num, complete=False)
     sd = np.sqrt(np.diag(cov))
     if np.any(~np.isfinite(sd)) or np.any(sd == 0):
         raise ValueError("cannot rescale a constant/zero column to unit variance")

@@ -181,3 +181,12 @@ def test_lowess_anchored_interpolates(spark):
     xs = np.arange(n)[mask]
     for rank in range(0, len(xs), 7):
         assert a0[xs[rank]] == pytest.approx(exact0[rank], abs=1e-9)
+
+
+def test_pca_rejects_nulls_and_constant_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (2.0, 5.0)], "a double, b double")
+    with pytest.raises(ValueError):
+        red.pca_reduce(df)
+    const = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0)], "a double, b double")
+    with pytest.raises(ValueError):
+        red.pca_reduce(const)
