@@ -29,13 +29,6 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c in df.columns if is_numeric_type(df, c) and c not in exclude]
 
 
-def _covariance(df: DataFrame, cols: Sequence[str], complete: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, means, sample covariance) of ``cols`` (complete rows when asked)."""
-    from curata.functions.stats import comoments
-
-    return comoments(df, [F.col(f"`{c}`") for c in cols], complete=complete)
-
-
 # --- R1 ------------------------------------------------------------------------------------
 
 
@@ -81,14 +74,15 @@ def pca_reduce(df: DataFrame, threshold: float = PCA_THRESHOLD) -> DataFrame:
 
 
 class _Gram:
-    """Centred cross-product matrix of [y, x1..xp] on complete rows."""
+    """Centred cross-product matrix of [y, x1..xq] on complete rows; the x's
+    are column expressions (numeric columns and level dummies)."""
+
+    def __init__(self, df: DataFrame, y: Column, xs: Sequence[Column]):
+        from curata.functions.stats import comoments
 
-    def __init__(self, df: DataFrame, target: str, features: Sequence[str]):
-        cols = [target, *features]
-        n, means, cov = _covariance(df, cols, complete=True)
+        n, _, cov = comoments(df, [y, *xs], complete=True)
         self.n = n
         self.s = cov * (n - 1)  # sums of centred cross products
-        self.p = len(features)
 
     def rss(self, subset: Sequence[int]) -> float:
         syy = self.s[0, 0]
@@ -114,35 +108,71 @@ class _Gram:
         return self.n * math.log(rss / self.n) + STEP_AIC_K * edf
 
 
+def _predictor_groups(df: DataFrame, feats: Sequence[str]) -> tuple[list[Column], list[list[int]]]:
+    """Column expressions and, per predictor, the indices it owns: a numeric
+    column is one term; a text column is one 0/1 dummy per level except the
+    first (sorted), entering and leaving the model together.  A NULL value
+    makes the row incomplete."""
+    from curata.operators.encode import MAX_ONEHOT_LEVELS
+
+    exprs: list[Column] = []
+    groups: list[list[int]] = []
+    for f in feats:
+        c = F.col(f"`{f}`")
+        if is_numeric_type(df, f):
+            groups.append([len(exprs)])
+            exprs.append(c.cast("double"))
+            continue
+        txt = c.cast("string")
+        if df.agg(F.approx_count_distinct(txt)).first()[0] > 2 * MAX_ONEHOT_LEVELS:
+            raise ValueError(f"predictor {f!r} has too many levels")
+        levels = [r[0] for r in df.where(txt.isNotNull()).select(txt.alias("l")).distinct().orderBy("l").collect()]
+        if len(levels) > MAX_ONEHOT_LEVELS:
+            raise ValueError(f"predictor {f!r} has too many levels")
+        idx = []
+        for lv in levels[1:]:
+            idx.append(len(exprs))
+            exprs.append(F.when(txt.isNull(), F.lit(None).cast("double")).otherwise((txt == F.lit(lv)).cast("double")))
+        groups.append(idx)
+    return exprs, groups
+
+
 def stepwise(df: DataFrame, target: str, direction: str = "forward", features: Sequence[str] | None = None) -> DataFrame:
     """Stepwise OLS selection by AIC (forward from the intercept model,
-    backward / both from the full model).  Returns the target then the chosen
-    predictors.  One aggregate builds the Gram matrix; every step is a small
+    backward / both from the full model).  Every other column is a candidate
+    predictor; text columns enter as groups of level dummies.  Rows with a
+    NULL in any used column are left out.  Returns the target then the
+    chosen predictors.  One Gram-matrix aggregate; every step is a small
     solve on the driver."""
     require_columns(df, [target])
-    feats = list(features) if features is not None else numeric_columns(df, exclude=[target])
+    feats = list(features) if features is not None else [c for c in df.columns if c != target]
     if not feats:
         raise ValueError("no candidate predictors")
-    g = _Gram(df.withColumn(target, numeric_column(df, target)), target, feats)
+    exprs, groups = _predictor_groups(df, feats)
+    g = _Gram(df, numeric_column(df, target), exprs)
     if g.n < 2:
         raise ValueError("not enough complete rows")
     direction = direction.lower()
+    if direction not in ("forward", "backward", "both"):
+        raise ValueError("direction must be forward, backward or both")
+
+    def terms(chosen: Sequence[int]) -> list[int]:
+        return sorted(i for grp in chosen for i in groups[grp])
+
     full = list(range(len(feats)))
-    if direction == "backward" and not math.isfinite(g.aic(full)):
+    if direction == "backward" and not math.isfinite(g.aic(terms(full))):
         raise ValueError("full model has -Inf AIC (perfect fit); backward selection cannot proceed")
     current = [] if direction == "forward" else full[:]
-    cur_aic = g.aic(current)
+    cur_aic = g.aic(terms(current))
     while True:
         cands = []
         if direction in ("backward", "both"):
             cands += [[j for j in current if j != d] for d in current]
         if direction in ("forward", "both"):
             cands += [sorted(current + [a]) for a in full if a not in current]
-        if direction not in ("forward", "backward", "both"):
-            raise ValueError("direction must be forward, backward or both")
         if not cands:
             break
-        scored = [(g.aic(c), c) for c in cands]
+        scored = [(g.aic(terms(c)), c) for c in cands]
         best_aic, best = min(scored, key=lambda t: t[0])
         if not best_aic < cur_aic - STEP_AIC_TOL:
             break

@@ -26,6 +26,14 @@ for _dir in ("forward", "backward", "both"):
     query(f"r2_stepwise_{_dir}" if _dir == "forward" else (f"r3_stepwise_{_dir}" if _dir == "backward" else "r4_stepwise_both"))(_fn)
 
 
+@query("r4_stepwise_both_text_predictors")
+def r4_stepwise_both_text_predictors(spark, sf_dir):
+    """Stepwise (both directions) with the text columns l_returnflag and
+    l_linestatus as dummy groups beside the numeric columns."""
+    li = table(spark, sf_dir, "lineitem").select(*LI_NUM, "l_returnflag", "l_linestatus")
+    return red.stepwise(li, "l_extendedprice", "both")
+
+
 def _scores_sql(target: str, feats: list[str], k: int) -> str:
     parts = [f"SELECT '{f}' AS feature, {i} AS pos, abs(corr(CAST({f} AS DOUBLE), {target})) AS score FROM lineitem" for i, f in enumerate(feats)]
     body = "\nUNION ALL\n".join(parts)

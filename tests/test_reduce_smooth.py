@@ -190,3 +190,50 @@ def test_pca_rejects_nulls_and_constant_columns(spark):
     const = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 5.0)], "a double, b double")
     with pytest.raises(ValueError):
         red.pca_reduce(const)
+
+
+def _design(pdf, cols):
+    mats = [np.ones((len(pdf), 1))]
+    for c in cols:
+        if pdf[c].dtype == object:
+            levels = sorted(pdf[c].unique())
+            mats.append(np.column_stack([(pdf[c] == lv).astype(float) for lv in levels[1:]]))
+        else:
+            mats.append(pdf[[c]].to_numpy(float))
+    return np.hstack(mats)
+
+
+def _aic_groups(pdf, target, cols):
+    X = _design(pdf, cols)
+    beta, *_ = np.linalg.lstsq(X, pdf[target], rcond=None)
+    rss = float(((pdf[target] - X @ beta) ** 2).sum())
+    return len(pdf) * math.log(rss / len(pdf)) + 2 * np.linalg.matrix_rank(X)
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+def test_stepwise_with_text_predictor(spark, direction):
+    rng = np.random.default_rng(31)
+    n = 240
+    grp = rng.choice(["a", "b", "c"], n)
+    x1 = rng.normal(size=n)
+    noise = rng.normal(size=n)
+    y = 2 * x1 + np.select([grp == "a", grp == "b"], [0.0, 3.0], -2.0) + rng.normal(scale=0.5, size=n)
+    pdf = pd.DataFrame({"y": y, "x1": x1, "noise": noise, "grp": grp})
+    feats = ["x1", "noise", "grp"]
+    cur = [] if direction == "forward" else list(feats)
+    cur_aic = _aic_groups(pdf, "y", cur)
+    while True:
+        cands = []
+        if direction in ("backward", "both"):
+            cands += [[c for c in cur if c != d] for d in cur]
+        if direction in ("forward", "both"):
+            cands += [[c for c in feats if c in cur or c == a] for a in feats if a not in cur]
+        if not cands:
+            break
+        best = min(cands, key=lambda c: _aic_groups(pdf, "y", c))
+        if not _aic_groups(pdf, "y", best) < cur_aic - 1e-7:
+            break
+        cur, cur_aic = best, _aic_groups(pdf, "y", best)
+    out = red.stepwise(spark.createDataFrame(pdf), "y", direction)
+    assert out.columns == ["y"] + cur
+    assert "grp" in out.columns
