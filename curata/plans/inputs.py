@@ -84,7 +84,8 @@ DERIVED = {
         FROM lineitem""",
     # whole-number values with far spikes
     "events_whole": """
-        SELECT event_id, CASE WHEN event_id % 200 = 0 THEN floor(value) * 50 ELSE floor(value) END AS value
+        SELECT event_id,
+               CAST(CASE WHEN event_id % 200 = 0 THEN floor(value) * 50 ELSE floor(value) END AS DOUBLE) AS value
         FROM events""",
     # groups including one whose values are all missing
     "orders_group_gaps": """
