@@ -35,7 +35,7 @@ def rnd(df: DataFrame, digits: int = 6, columns: list[str] | None = None) -> Dat
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if f.dataType.simpleString() in ("double", "float") and (columns is None or f.name in columns):
-            c = F.round(c, digits).alias(f.name)
+            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)  # + 0.0 turns -0.0 into 0.0
         cols.append(c)
     return df.select(*cols)
 
