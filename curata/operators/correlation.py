@@ -193,17 +193,98 @@ def _block_id(v: Column, cuts: list[float]) -> Column:
     return below * 2 + (at_or_below - below)  # + 1 when v equals a cut
 
 
-def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> float | None:
+_KENDALL_GROUP_ROWS = 200_000  # distinct (x, y) rows one task counts directly
+_KENDALL_SUB_BLOCKS = 64
+
+
+def _grouped_discordant(df: DataFrame, keys: list[str], limit: int = _KENDALL_GROUP_ROWS, depth: int = 0) -> DataFrame:
+    """Weighted discordant pairs per group of ``keys`` over rows (keys, x, y, w).
+
+    Groups up to ``limit`` rows are counted inside one ``applyInPandas`` task
+    each; groups with a single x or a single y value have none.  Larger groups
+    are split by their own value blocks of x and y (quantile-sketch cuts, a
+    cut value keeping a block of its own): pairs in different x- and y-blocks
+    come from the group's block-count matrix, pairs sharing a block from this
+    same function applied to the block groups -- so no task ever holds more
+    than ``limit`` rows or one group's block matrix.
+    """
+    kc = [F.col(k) for k in keys]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys) + ", d double"
+
+    def count_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _discordant(pdf[["x", "y", "w"]])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "d"]]
+
+    largest = df.groupBy(*kc).count().agg(F.max("count")).first()[0] or 0
+    if largest <= limit:  # every group fits one task
+        return df.groupBy(*kc).applyInPandas(count_group, schema)
+    sizes = df.groupBy(*kc).agg(
+        F.count(F.lit(1)).alias("_n"),
+        (F.min("x") == F.max("x")).alias("_one_x"),
+        (F.min("y") == F.max("y")).alias("_one_y"),
+    )
+    small_keys = sizes.where(F.col("_n") <= limit).select(*kc)
+    flat = sizes.where((F.col("_n") > limit) & (F.col("_one_x") | F.col("_one_y"))).select(*kc, F.lit(0.0).alias("d"))
+    big_keys = sizes.where((F.col("_n") > limit) & ~F.col("_one_x") & ~F.col("_one_y")).select(*kc)
+    small = df.join(small_keys, keys, "left_semi").groupBy(*kc).applyInPandas(count_group, schema)
+    result = small.unionByName(flat)
+    # split every large group by its own value blocks
+    from curata.functions.stats import _stable
+
+    probs = [i / _KENDALL_SUB_BLOCKS for i in range(1, _KENDALL_SUB_BLOCKS)]
+    big = df.join(big_keys, keys, "left_semi")
+    cuts = _stable(big.groupBy(*kc).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx("x", probs, 10_000))).alias("_qx"),
+        F.array_sort(F.array_distinct(F.percentile_approx("y", probs, 10_000))).alias("_qy"),
+    ))
+
+    def block(v: str, q: str) -> Column:
+        return F.size(F.filter(q, lambda c: c < F.col(v))) * 2 + F.array_contains(F.col(q), F.col(v)).cast("int")
+
+    kind, k1, k2 = f"_kind{depth}", f"_k1_{depth}", f"_k2_{depth}"
+    tagged = big.join(cuts, keys).withColumn("_xb", block("x", "_qx")).withColumn("_yb", block("y", "_qy")).drop("_qx", "_qy")
+
+    def cross_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        nx, ny = int(pdf["_xb"].max()) + 1, int(pdf["_yb"].max()) + 1
+        mat = np.zeros((nx, ny))
+        np.add.at(mat, (pdf["_xb"].to_numpy(), pdf["_yb"].to_numpy()), pdf["w"].to_numpy())
+        below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)
+        out = pd.DataFrame({"d": [float((mat[:-1, 1:] * below[1:, :-1]).sum())]})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "d"]]
+
+    cells = tagged.groupBy(*kc, "_xb", "_yb").agg(F.sum("w").alias("w"))
+    cross = cells.groupBy(*kc).applyInPandas(cross_group, schema)
+    kinds = F.array(
+        F.struct(F.lit(0).alias(kind), F.col("_xb").alias(k1), F.lit(0).alias(k2)),
+        F.struct(F.lit(1).alias(kind), F.col("_yb").alias(k1), F.lit(0).alias(k2)),
+        F.struct(F.lit(2).alias(kind), F.col("_xb").alias(k1), F.col("_yb").alias(k2)),
+    )
+    split = tagged.select(*kc, "x", "y", "w", F.explode(kinds).alias("_g")).select(*kc, "x", "y", "w", "_g.*")
+    inner = _grouped_discordant(split, [*keys, kind, k1, k2], limit, depth + 1)
+    signed = F.when(F.col(kind) == 2, -F.col("d")).otherwise(F.col("d"))
+    within = inner.groupBy(*kc).agg(F.sum(signed).alias("_w"))
+    big_d = cross.join(within, keys, "left").select(*kc, (F.col("d") + F.coalesce("_w", F.lit(0.0))).alias("d"))
+    return result.unionByName(big_d)
+
+
+def kendall_tau(
+    df: DataFrame, a: str, b: str, blocks: int | None = None, group_rows: int = _KENDALL_GROUP_ROWS
+) -> float | None:
     """Kendall tau-b of two columns on their complete rows (P8), exact.
 
     Rows collapse to distinct (x, y, w) first.  Discordant pairs are split by
     value blocks of x and y (cut points from a quantile sketch of the
     distinct pairs; a cut value gets a block of its own, so a hot value never
     shares one): pairs in different x- and y-blocks come from the block count
-    matrix; pairs sharing an x-block, a y-block or both are counted inside one
-    ``groupBy(kind, block).applyInPandas`` by a weighted inversion count, and
-    D = cross + same-x + same-y - same-both.  No cross join, no group larger
-    than a block.
+    matrix; pairs sharing an x-block, a y-block or both are counted per block
+    by a weighted inversion count in ``applyInPandas`` (blocks above
+    ``group_rows`` rows are split again, recursively), and
+    D = cross + same-x + same-y - same-both.  No cross join, no task holding
+    more than ``group_rows`` rows.
     """
     x = numeric_column(df, a)
     y = numeric_column(df, b)
@@ -269,13 +350,7 @@ def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None) -> flo
             F.struct(F.lit(2).alias("kind"), F.col("xb").alias("k1"), F.col("yb").alias("k2")),
         )
         grouped = tagged.select("x", "y", "w", F.explode(kinds).alias("g")).select("x", "y", "w", "g.*")
-
-        def block(pdf: pd.DataFrame) -> pd.DataFrame:
-            d = _discordant(pdf[["x", "y", "w"]])
-            d["kind"] = int(pdf["kind"].iloc[0])
-            return d
-
-        part = grouped.groupBy("kind", "k1", "k2").applyInPandas(block, "d double, kind int")
+        part = _grouped_discordant(grouped, ["kind", "k1", "k2"], group_rows)
         within = {r["kind"]: r["s"] for r in part.groupBy("kind").agg(F.sum("d").alias("s")).collect()}
         d = d_cross + within.get(0, 0.0) + within.get(1, 0.0) - within.get(2, 0.0)
         denom = (n0 - n1) * (n0 - n2)

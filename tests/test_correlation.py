@@ -56,3 +56,12 @@ def test_pearson_constant_column_is_null(spark):
     assert m[("a", "k")] is None and m[("k", "k")] is None
     exp = np.corrcoef([1.0, 3.0, 4.0], [2.0, 7.0, 1.0])[0, 1]
     assert m[("a", "b")] == pytest.approx(exp) and m[("a", "a")] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("group_rows", [20, 60])
+def test_kendall_recursive_blocks_match_brute_force(tied, group_rows):
+    df, pdf = tied
+    got = correlation.kendall_tau(df, "x", "y", blocks=3, group_rows=group_rows)
+    assert got == pytest.approx(kendall_brute(pdf.x.values, pdf.y.values), abs=1e-12)
+    got2 = correlation.kendall_tau(df, "x", "z", blocks=3, group_rows=group_rows)
+    assert got2 == pytest.approx(kendall_brute(pdf.x.values, pdf.z.values), abs=1e-12)
