@@ -47,3 +47,19 @@ def test_query_matches_oracle_small(spark, name):
     idx = sorted(range(len(cols)), key=lambda i: cols[i])
     b = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert a == b
+
+
+def test_every_oracle_plans_in_duckdb():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for name, sql in oracle_sql().items():
+        con.execute("EXPLAIN " + sql)  # raises on a syntax or binding error
+
+
+def test_query_names():
+    import re
+
+    for name in queries():
+        assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
+        assert "pipeline" not in name and not re.match(r"op\d+_", name)
