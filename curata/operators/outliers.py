@@ -21,6 +21,8 @@ PERCENTILE_BOUNDS = (0.01, 0.99)
 LIB_ZSCORE_THRESHOLD = 2.5    # library z-score rule (sample sd)
 DBSCAN_EPS = 0.5
 DBSCAN_MIN_PTS = 5
+DBSCAN_MAX_KEY_DIMS = 6         # coarse join key grows up to this many dimensions
+DBSCAN_MAX_KEY_POINTS = 20_000  # ... while one key holds more sparse points than this
 RARE_THRESHOLD = 0.1
 # ----------------------------------------------------------------------------------
 
@@ -203,7 +205,8 @@ def dbscan_noise_flags(
       diameter <= eps, so every point of a fine cell holding >= min_pts
       points is core, with no distance computed;
     * only points of sparse fine cells can be noise.  Each is exploded to the
-      3^k coarse cells (side eps, k <= 3 widest dimensions) around it and
+      3^k coarse cells (side eps; k = the 3 widest dimensions, more -- up to
+      6 -- while one cell still gathers too many sparse points) around it and
       equi-joined (a) with the sparse points there, by full distance, and
       (b) with dense cells summarised per (coarse, fine) cell as a count and
       a bounding box: a box wholly inside the eps-ball adds its count, a box
@@ -233,16 +236,27 @@ def dbscan_noise_flags(
     zs = [f"z{i}" for i in range(d)]
     eps2 = eps * eps
     fine_side = eps / math.sqrt(d)
-    coarse_dims = [i for _, i in sorted(spans, reverse=True)[: min(3, d)]]
-    pts = (
-        df.select(F.col(f"`{id_col}`").alias("_id"), *scaled)
-        .withColumn("_fine", F.array(*[F.floor(F.col(z) / fine_side) for z in zs]))
-        .withColumn("_coarse", F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in coarse_dims]))
+    by_span = [i for _, i in sorted(spans, reverse=True)]
+    pts = df.select(F.col(f"`{id_col}`").alias("_id"), *scaled).withColumn(
+        "_fine", F.array(*[F.floor(F.col(z) / fine_side) for z in zs])
     )
     cell_n = pts.groupBy("_fine").agg(F.count(F.lit(1)).alias("_fine_n"))
     # every branch below reads the scored points: write them once to the
     # shared checkpoint folder instead of re-scanning and re-joining per branch
     pts = cut_lineage(pts.join(cell_n, "_fine").withColumn("_dense", F.col("_fine_n") >= min_pts))
+    # coarse join key (cells of side eps): the widest 3 dimensions, more (up
+    # to 6) while one key still gathers too many sparse points
+    n_key = min(3, d)
+    while True:
+        key = F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in by_span[:n_key]])
+        if n_key >= min(d, DBSCAN_MAX_KEY_DIMS):
+            break
+        crowd = pts.where(~F.col("_dense")).groupBy(key.alias("_k")).count().agg(F.max("count")).first()[0] or 0
+        if crowd <= DBSCAN_MAX_KEY_POINTS:
+            break
+        n_key += 1
+    coarse_dims = by_span[:n_key]
+    pts = pts.withColumn("_coarse", key)
     sparse = pts.where(~F.col("_dense")).select("_id", "_coarse", *zs)
     dense = pts.where(F.col("_dense")).select("_coarse", "_fine", *zs)
 

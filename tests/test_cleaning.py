@@ -170,3 +170,16 @@ def test_dbscan_hot_spot_matches_brute_force(spark):
     exp = dbscan_noise_brute(a, 0.4, 6)
     assert len(got) == len(a)
     assert [got[i] for i in range(len(a))] == list(exp)
+
+
+def test_dbscan_high_dimension_key_growth_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "DBSCAN_MAX_KEY_POINTS", 5)
+    rng = np.random.default_rng(13)
+    a = np.vstack([rng.normal(0, 0.15, (40, 5)), rng.uniform(-3, 3, (40, 5))])
+    cols = [f"c{i}" for i in range(5)]
+    pdf = pd.DataFrame(a, columns=cols)
+    pdf.insert(0, "rid", np.arange(len(a)))
+    flags = outliers.dbscan_noise_flags(spark.createDataFrame(pdf), cols, eps=0.9, min_pts=4, id_col="rid")
+    got = dict(rows(flags, "rid", "noise"))
+    exp = dbscan_noise_brute(a, 0.9, 4)
+    assert [got[i] for i in range(len(a))] == list(exp)
