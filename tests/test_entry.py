@@ -60,6 +60,9 @@ def test_every_oracle_plans_in_duckdb():
 def test_query_names():
     import re
 
+    from curata.plans.catalog import REGISTRY
+
     for name in queries():
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
+    for name in REGISTRY:  # these names belong to the optional operators
         assert "pipeline" not in name and not re.match(r"op\d+_", name)
