@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import lines
+from curata.llm import lines, secrets
 from curata.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_line_dedup"] = lines.ORACLE_LINE_DEDUP
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret scan of every whole text of ``documents``: counts and digest of the base kinds, all spans."""
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
