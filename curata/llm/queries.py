@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from curata.llm import lines, secrets
+from curata.llm import lines, secrets, syncmers, topk
 from curata.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,18 @@ ORACLES["op10_line_dedup"] = lines.ORACLE_LINE_DEDUP
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret scan of every whole text of ``documents``: counts and digest of the base kinds, all spans."""
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every whole text of ``documents`` and of its edited text, with their likeness."""
+    return syncmers.edited_neighbours(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products of every 100th vector of ``embeddings`` against all others."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op3_exact_topk"] = topk.ORACLE_TOP_K

@@ -71,7 +71,7 @@ def test_minimal_and_parser_errors():
 
 
 def test_find_and_redact(spark):
-    rows = [(1, None, "x", 5), (2, "", "x", 6), (3, "é token = 'abcdefgh9' ghp_" + "a1" * 20, "y", 7), (3, "é token = 'abcdefgh9' ghp_" + "a1" * 20, "y", 7), (None, "clean", None, 8)]
+    rows = [(1, None, "x", 5), (2, "", "x", 6), (3, "é token = 'abcdefgh9' ghp_" + "Zk" * 20, "y", 7), (3, "é token = 'abcdefgh9' ghp_" + "Zk" * 20, "y", 7), (None, "clean", None, 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int")
     got = secrets.find_secrets(docs).collect()
     assert len(got) == 5
