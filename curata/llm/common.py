@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +56,10 @@ def schema_with(df: DataFrame, keep: list[str], added: dict[str, str]) -> str:
     low = {k.lower() for k in added}
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return ", ".join(f"`{k}` {v}" for k, v in [*((k, kinds[k]) for k in keep if k.lower() not in low), *added.items()])
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed Parquet table in the shared folder: for rows that hold much data."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
