@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import extract, lines, packing, secrets, simhash, syncmers, topk
+from curata.llm import bpe, extract, lines, packing, secrets, simhash, syncmers, topk
 from curata.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page of ``pages`` from its whole html."""
     return extract.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole text of ``documents`` and the text decoded from them, as digests."""
+    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])

@@ -20,14 +20,14 @@ _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETT
 _PLAIN = re.compile("[!-~¡-ÿ]+")
 
 
-def _byte_signs() -> dict[int, str]:
+def byte_signs() -> dict[int, str]:
     """The character that byte-level vocabularies use for each byte: itself if it prints, else one above 255."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_SIGNS = _byte_signs()
+_SIGNS = byte_signs()
 _TO_SIGNS = {c: "".join(_SIGNS[b] for b in chr(c).encode()) for c in range(0x100)}
 
 
