@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,41 +101,54 @@ def _triples(codes: np.ndarray, n: int) -> Iterator[tuple[float, np.ndarray]]:
         yield DECAY**q, np.where((x > 0) & (y > 0) & (z > 0), (x * CODES + y) * CODES + z, 0)
 
 
-def decisions(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+def decisions(words: list[str], weights: np.ndarray, bias: float, part: int = 16384) -> np.ndarray:
     """The machine's decision for each unit."""
-    if not words:
-        return np.zeros(0)
-    codes, begins, norm = _coded(words)
-    n = len(codes) - SPAN
-    at = np.zeros(n)
-    for w, triple in _triples(codes, n):
-        at += w * weights[triple]
-    return np.add.reduceat(at, begins) / norm + bias
-
-
-def _expanded(words: list[str]) -> np.ndarray:
-    """One column a unit: its normalised weight on every triple."""
-    out = np.zeros((CODES**3, len(words)), dtype=np.float32)
-    codes, begins, norm = _coded(words)
-    n = len(codes) - SPAN
-    owner = np.searchsorted(begins, np.arange(n), side="right") - 1
-    for w, triple in _triples(codes, n):
-        np.add.at(out, (triple, owner), w)
-    out[0] = 0
-    return out / norm.astype(np.float32)
-
-
-def _against(words: list[str], expanded: np.ndarray, part: int = 2048) -> np.ndarray:
-    """Kernel of each unit with each landmark, whose expansions are the columns."""
-    rows = []
+    out = [np.zeros(0)]
     for a in range(0, len(words), part):
         codes, begins, norm = _coded(words[a : a + part])
         n = len(codes) - SPAN
-        at = np.zeros((n, expanded.shape[1]), dtype=np.float32)
+        at = np.zeros(n)
         for w, triple in _triples(codes, n):
-            at += np.float32(w) * expanded[triple]
-        rows.append(np.add.reduceat(at, begins, axis=0) / norm[:, None])
-    return np.concatenate(rows) if rows else np.zeros((0, expanded.shape[1]))
+            at += w * weights[triple]
+        out.append(np.add.reduceat(at, begins) / norm + bias)
+    return np.concatenate(out)
+
+
+class Landmarks:
+    """Units expanded to their normalised weights on triples; one row for each triple that any of them holds."""
+
+    def __init__(self, words: list[str]):
+        codes, begins, norm = _coded(words)
+        n = len(codes) - SPAN
+        owner = np.searchsorted(begins, np.arange(n), side="right") - 1
+        held = [(w, triple) for w, triple in _triples(codes, n)]
+        self.used = np.unique(np.concatenate([t for _, t in held]))
+        self.used = self.used[self.used > 0]
+        self.row = np.zeros(CODES**3, dtype=np.int32)  # row 0 is of all other triples
+        self.row[self.used] = np.arange(1, len(self.used) + 1)
+        self.rows = np.zeros((len(self.used) + 1, len(words)), dtype=np.float32)
+        for w, triple in held:
+            np.add.at(self.rows, (self.row[triple], owner), w)
+        self.rows[0] = 0
+        self.rows /= norm.astype(np.float32)
+
+    def kernel(self, words: list[str], part: int = 2048) -> np.ndarray:
+        """Kernel of each unit with each landmark."""
+        out = [np.zeros((0, self.rows.shape[1]))]
+        for a in range(0, len(words), part):
+            codes, begins, norm = _coded(words[a : a + part])
+            n = len(codes) - SPAN
+            at = np.zeros((n, self.rows.shape[1]), dtype=np.float32)
+            for w, triple in _triples(codes, n):
+                at += np.float32(w) * self.rows[self.row[triple]]
+            out.append(np.add.reduceat(at, begins, axis=0) / norm[:, None])
+        return np.concatenate(out)
+
+    def weights(self, coefficients: np.ndarray) -> np.ndarray:
+        """One weight a triple that stands for a weighted sum of kernels with the landmarks."""
+        out = np.zeros(CODES**3)
+        out[self.used] = self.rows[1:] @ coefficients
+        return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
@@ -182,65 +196,89 @@ class Model:
 
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """A model from labelled texts; without texts of both classes, one that scores everything near 0."""
-    bags = [[units(s) for s in _SENTENCE.split(t) if s.strip()] for t in texts]
-    every = [set().union(*b, *([units(t)] if t else [])) for b, t in zip(bags, texts, strict=True)]
-    bad = [i for i, y in enumerate(toxic) if y == 1 and every[i]]
-    good = [i for i, y in enumerate(toxic) if y == 0 and every[i]]
+    number: dict[str, int] = {}
+
+    def known(found: set[str]) -> np.ndarray:
+        return np.array([number.setdefault(u, len(number)) for u in sorted(found)], dtype=np.int32)
+
+    every = [known(units(t)) for t in texts]
+    bad = [i for i, y in enumerate(toxic) if y == 1 and len(every[i])]
+    good = [i for i, y in enumerate(toxic) if y == 0 and len(every[i])]
     none = Model(np.zeros(CODES**3), -1.0, 0.0, 6.0)
     if not bad or not good:
         return none
+    bad, good = _without_near_copies(bad, every, list(number)), _without_near_copies(good, every, list(number))
+    sentences = {i: [known(units(s)) for s in _SENTENCE.split(texts[i]) if s.strip()] for i in bad}
+    words = list(number)
     rng = np.random.default_rng(seed)
-    in_bad, in_good = (Counter(w for i in own for w in every[i]) for own in (bad, good))
-
-    def odds(w):
-        return math.log((in_bad[w] + 0.5) / (len(bad) + 1)) - math.log((in_good[w] + 0.5) / (len(good) + 1))
-
+    count = lambda own: np.bincount(np.concatenate([every[i] for i in own]), minlength=len(words))
+    in_bad, in_good = count(bad), count(good)
+    odds = np.log((in_bad + 0.5) / (len(bad) + 1)) - np.log((in_good + 0.5) / (len(good) + 1))
     # first witnesses: in every toxic text the unit that speaks most for toxic texts; texts without one wait
-    speaks = {w: n * odds(w) for w, n in in_bad.items() if n >= 3 and odds(w) > 2.0}
-    witnesses = [max(own, key=lambda w: (speaks[w], w)) for i in bad if (own := [w for w in every[i] if w in speaks])]
+    speaks = np.where((in_bad >= 3) & (odds > 2.0), in_bad * odds, 0.0)
+    loud = speaks > 0.05 * speaks.max()
+    always = [int(u) for i in bad for u in every[i] if loud[u]]
+    witnesses = always + [int(own[np.argmax(speaks[own])]) for i in bad if speaks[own := every[i]].any() and not loud[own].any()]
     if not witnesses:
-        witnesses = [max(every[i], key=lambda w: (odds(w), w)) for i in bad]
-    clean = sorted(in_good)
+        witnesses = [int(every[i][np.argmax(odds[every[i]])]) for i in bad]
+    clean = np.flatnonzero(in_good)
     model = none
-    hard: list[str] = []
-    for round_ in range(ROUNDS):
+    hard = np.zeros(0, dtype=np.int64)
+    value = np.zeros(len(words))
+    for _ in range(ROUNDS):
         counts = Counter(witnesses)
-        positive = sorted(counts, key=lambda w: (-counts[w], w))[:2000]
-        sample = [clean[i] for i in rng.permutation(len(clean))[:3000]]
-        negative = [w for w in dict.fromkeys([*hard, *sample]) if w not in counts]
-        chosen = _spread(positive, LANDMARKS // 2) + _spread(negative, LANDMARKS // 2)
-        expanded = _expanded(chosen)
-        gram = expanded.T.astype(np.float64) @ expanded
-        value, vector = np.linalg.eigh(gram)
-        ok = value > 1e-6 * value.max()
-        root = vector[:, ok] / np.sqrt(value[ok])
-        spoilt = [_with_insertion(w, rng) for w in positive[:300]]
-        x = _against([*positive, *spoilt, *negative], expanded) @ root
+        positive = sorted(counts, key=lambda w: (-counts[w], words[w]))[:2000]
+        negative = list(dict.fromkeys([*hard.tolist(), *clean[rng.permutation(len(clean))[:3000]].tolist()]))
+        negative = [w for w in negative if w not in counts]
+        name = lambda own: [words[w] for w in own]
+        chosen = Landmarks(_spread(name(positive), LANDMARKS // 2) + _spread(name(negative), LANDMARKS // 2))
+        size, vector = np.linalg.eigh(chosen.rows.T.astype(np.float64) @ chosen.rows)
+        ok = size > 1e-6 * size.max()
+        root = vector[:, ok] / np.sqrt(size[ok])
+        spoilt = [_with_insertion(words[w], rng) for w in positive[:300]]
+        x = chosen.kernel([*name(positive), *spoilt, *name(negative)]) @ root
         y = np.concatenate([np.ones(len(positive) + len(spoilt)), -np.ones(len(negative))])
         seen = np.sqrt(np.array([counts[w] for w in positive + positive[:300]], dtype=np.float64))
         seen[len(positive) :] *= 0.3
         against = np.where(np.isin(negative, hard), 3.0, 1.0)
-        weight = np.concatenate([seen / seen.sum(), 3.0 * against / against.sum()]) * 1000
+        weight = np.concatenate([seen / seen.sum(), 3.0 * against / max(against.sum(), 1.0)]) * 1000
         w = _svm(x, y, weight)
-        model = Model(expanded @ (root @ w[:-1]), float(w[-1]), 0.0, 6.0)
-        score = dict(zip(clean, decisions(clean, model.weights, model.bias).tolist(), strict=True))
-        hard = list(dict.fromkeys([*sorted(clean, key=lambda u: -score[u])[:1500], *hard]))
-        spoken = sorted(set().union(*(every[i] for i in bad)))
-        value_of = dict(zip(spoken, decisions(spoken, model.weights, model.bias).tolist(), strict=True))
-        witnesses = []
-        for i in bad:  # the best unit of each sentence that is toxic by itself
-            own = [max(s, key=lambda u: (value_of[u], u)) for s in bags[i] if s and s <= value_of.keys()]
-            witnesses += [u for u in own if value_of[u] > 0 and odds(u) > 0]
+        model = Model(chosen.weights(root @ w[:-1]), float(w[-1]), 0.0, 6.0)
+        value = decisions(words, model.weights, model.bias)
+        hard = np.array(list(dict.fromkeys([*clean[np.argsort(-value[clean], kind="stable")[:1500]].tolist(), *hard.tolist()])), dtype=np.int64)
+        # the best unit of each sentence that is toxic by itself
+        best = [int(s[np.argmax(value[s])]) for i in bad for s in sentences[i] if len(s)]
+        witnesses = always + [u for u in best if value[u] > 0 and odds[u] > 0]
         if not witnesses:
             break
-    top_good = np.sort([max(score[u] for u in every[i]) for i in good])
-    top_bad = np.sort([max(value_of[u] for u in every[i]) for i in bad])
-    # the threshold with the fewest errors, in the middle of the gap that allows it
+    top_good, top_bad = (np.sort([value[every[i]].max() for i in own]) for own in (good, bad))
+    # the threshold with the fewest errors, in the middle of the gap that allows it; a clean text counts three times;
+    # well above the decision for a unit that shares nothing with any landmark
     cuts = np.unique(np.concatenate([top_good, top_bad]))
     cuts = np.concatenate([[cuts[0] - 1], (cuts[:-1] + cuts[1:]) / 2, [cuts[-1] + 1]])
+    cuts = np.maximum(cuts, model.bias + 0.3 * (np.median(top_bad) - model.bias))
     errors = (len(top_good) - np.searchsorted(top_good, cuts)) / len(top_good) * 3 + np.searchsorted(top_bad, cuts) / len(top_bad)
-    best = np.flatnonzero(errors == errors.min())
-    return Model(model.weights, model.bias, float(cuts[best[len(best) // 2]]), 6.0)
+    best_cuts = np.flatnonzero(errors == errors.min())
+    return Model(model.weights, model.bias, float(cuts[best_cuts[len(best_cuts) // 2]]), 6.0)
+
+
+def _without_near_copies(own: list[int], every: list[np.ndarray], words: list[str]) -> list[int]:
+    """The texts but those that share 7 of 10 units with an earlier one: copies would lend their rare words weight."""
+    crc = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    leaders: dict[tuple, int] = {}
+    left = []
+    for i in own:
+        keys = []
+        for salt in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F):
+            h = crc[every[i]] * np.uint64(salt) % np.uint64((1 << 32) - 5)
+            keys.append((salt, *np.sort(h)[:3].tolist()))
+        near = {leaders[k] for k in keys if k in leaders}
+        shared = (len(np.intersect1d(every[i], every[j])) for j in near)
+        if all(n < 0.7 * (len(every[i]) + len(every[j]) - n) for n, j in zip(shared, near, strict=True)):
+            left.append(i)
+            for k in keys:
+                leaders.setdefault(k, i)
+    return left
 
 
 def _spread(words: list[str], n: int) -> list[str]:
@@ -250,7 +288,7 @@ def _spread(words: list[str], n: int) -> list[str]:
     words = words[:800]
     chosen, near = [0], np.full(len(words), -np.inf)
     while len(chosen) < n:
-        near = np.maximum(near, _against(words, _expanded([words[chosen[-1]]]))[:, 0])
+        near = np.maximum(near, Landmarks([words[chosen[-1]]]).kernel(words)[:, 0])
         near[chosen[-1]] = np.inf
         chosen.append(int(np.argmin(near)))
     return [words[i] for i in chosen]
@@ -276,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The kept columns (default: all), ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every whole text.
 
-    A text's score comes from its highest unit.  Null, empty and blank texts have the score of a neutral unit.
+    A text's score comes from its highest unit.  Null, empty and blank texts score near 0.
     Added columns (their names are a parameter) replace kept ones of their name; repeated rows get equal results.
     """
     keep = list(docs.columns) if keep is None else keep
@@ -296,7 +334,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 for c in range(0, len(new), 8192):
                     part = new[c : c + 8192]
                     known.update(zip(part, decisions(part, m.weights, m.bias).tolist(), strict=True))
-                out += [m.score(max(map(known.__getitem__, x), default=m.bias)) for x in bags]
+                out += [m.score(max(map(known.__getitem__, x), default=m.threshold - 1.0)) for x in bags]
             yield with_columns(b, keep, {names[0]: pa.array(out, pa.float64()), names[1]: pa.array([int(s >= 0.5) for s in out], pa.int32())})
 
     needed = list(dict.fromkeys([*keep, text_col]))

@@ -38,7 +38,7 @@ def test_every_stage_against_brute_force(spark):
         rows, before = out.collect(), {r.doc_id: r for r in docs.collect()}
         if name == "toxicity":
             model = toxicity.train(docs, labels)
-            keep = {d for d, r in before.items() if model.score(max(toxicity.decisions(sorted(toxicity.units(r.text or "")), model.weights, model.bias), default=model.bias)) < 0.5}
+            keep = {d for d, r in before.items() if model.score(max(toxicity.decisions(sorted(toxicity.units(r.text or "")), model.weights, model.bias), default=model.threshold - 1.0)) < 0.5}
             assert {r.doc_id: r for r in rows} == {d: r for d, r in before.items() if d in keep} and 0 < len(rows) < len(before)
         elif name == "line dedup":
             assert {r.doc_id: r.text for r in rows} == brute_lines([(d, r.text or "") for d, r in before.items()])

@@ -24,7 +24,7 @@ def kernel(a, b):
 
 def test_kernel_equals_brute_force():
     words = ["idiot", "idxiot", "moron", "a", "", "ab", "banana", "élève", "aaaaaaaa"]
-    got = t._against(words, t._expanded(words))
+    got = t.Landmarks(words).kernel(words)
     want = [[kernel(a, b) for b in words] for a in words]
     assert np.allclose(got, want, atol=1e-5)
     assert got[0][1] > 5 * got[0][2]  # an inserted letter costs less than another word
@@ -59,7 +59,7 @@ def model():
 
 
 def highest(model, text):
-    return model.score(max(t.decisions(sorted(t.units(text)), model.weights, model.bias), default=model.bias))
+    return model.score(max(t.decisions(sorted(t.units(text)), model.weights, model.bias), default=model.threshold - 1.0))
 
 
 def test_finds_words_gaps_and_insertions(model):
