@@ -11,6 +11,7 @@ from curata.functions.columns import (
     count_below,
     is_numeric_type,
     is_string_type,
+    nan_as_null,
     numeric_column,
     null_tokens,
     r_mod,
@@ -28,6 +29,7 @@ __all__ = [
     "count_below",
     "is_numeric_type",
     "is_string_type",
+    "nan_as_null",
     "numeric_column",
     "null_tokens",
     "parse_dates",

@@ -57,6 +57,12 @@ def numeric_column(df: DataFrame, name: str) -> Column:
     return F.when(F.isnan(d) | (F.abs(d) == float("inf")), F.lit(None).cast("double")).otherwise(d)
 
 
+def nan_as_null(df: DataFrame, name: str) -> Column:
+    """The column, with NaN as NULL where its type can hold one."""
+    c = F.col(f"`{name}`")
+    return F.when(~F.isnan(c), c) if isinstance(_dtype(df, name), (T.FloatType, T.DoubleType)) else c
+
+
 def null_tokens(c: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
     """NULL where a string equals one of ``tokens`` (case-insensitive)."""
     toks = [t.lower() for t in tokens]

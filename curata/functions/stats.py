@@ -8,36 +8,16 @@ driver.  A group may be as large as a third of the table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per value-range bucket aimed for by ``exact_percentiles``.
-_ROWS_PER_BUCKET = 1_000_000
-_MAX_BUCKETS = 4096
-_MIN_BUCKETS = 16
-
 
 def _cols(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{n}`") for n in names]
 
 
-def _tag_buckets(frame: DataFrame, cuts: DataFrame, by: Sequence[str], value: Column, whole: bool) -> DataFrame:
-    """Bucket id = number of cut points below the value.  With one group the
-    cut list (at most 4095 values) is collected once and becomes a
-    code-generated lookup; per group it is joined and scanned."""
-    from curata.functions.columns import count_below
-
-    if whole:
-        row = cuts.first()
-        cut_list = sorted(row["_cuts"] or []) if row is not None else []
-        return frame.withColumn("_b", count_below(value, cut_list))
-    tagged = frame.join(cuts, list(by))
-    return tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < value))).drop("_cuts")
-
-
 def _stable(df: DataFrame) -> DataFrame:
     """Write a small derived table once to the shared checkpoint folder."""
     from curata.session import cut_lineage
@@ -51,6 +31,45 @@ def unpivot_values(df: DataFrame, columns: Sequence[str], value: Column | None =
     return df.select(F.explode(F.array(*pairs)).alias("_p")).select("_p._col", "_p._v")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the key columns come from ``left``."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    cond = F.lit(True)
+    for k, n in names.items():
+        cond = cond & left[f"`{k}`"].eqNullSafe(renamed[n])
+    return left.join(renamed, cond, how).drop(*names.values())
+
+
+def _running(rows: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], parts: int | None) -> DataFrame:
+    """Adds ``_before<name>`` (total of ``name`` over the group's smaller values) and
+    ``_all<name>`` (over the group) for each of ``sums``; one row per (group, value).
+
+    Rows are range-partitioned by (group, value) and written once, so a group
+    may span any number of partitions; a window runs inside each (partition,
+    group) only, and one total per (partition, group) gives the offsets.
+    """
+    keys = _cols(by)
+    order = [*keys, F.col(f"`{value}`")]
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    ranged = _stable(ranged.withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", *keys).orderBy(F.col(f"`{value}`").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.coalesce(F.sum(f"`{n}`").over(inside), F.lit(0)).alias(f"_in{i}") for i, n in enumerate(sums)])
+    totals = ranged.groupBy("_pid", *keys).agg(*[F.sum(f"`{n}`").alias(f"_t{i}") for i, n in enumerate(sums)])
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_pid",
+        *keys,
+        *[F.coalesce(F.sum(f"_t{i}").over(earlier), F.lit(0)).alias(f"_off{i}") for i in range(len(sums))],
+        *[F.sum(f"_t{i}").over(group).alias(f"_all{n}") for i, n in enumerate(sums)],
+    )
+    out = null_safe_join(local, offsets, ["_pid", *by])
+    for i, n in enumerate(sums):
+        out = out.withColumn(f"_before{n}", F.col(f"_off{i}") + F.col(f"_in{i}")).drop(f"_off{i}", f"_in{i}")
+    return out.drop("_pid")
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -58,24 +77,15 @@ def exact_percentiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     buckets: int | None = None,
-    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Exact type-7 (linear interpolation) percentiles of ``value`` per group.
 
-    Returns one row per group of ``by`` with one DOUBLE column per probability
-    (``names`` or ``p0, p1, ...``).  NULLs are ignored; a group without values
-    gets NULLs.
-
-    Plan (no group is ever held by one task):
-      1. bounded-memory sketch per group gives approximate cut points;
-      2. rows collapse to distinct ``(group, value, count)`` (map-side combine,
-         so a hot value costs one row per map task) and get a bucket id
-         ``= number of cut points below the value`` -- a pure function of the
-         value, so recomputation after executor loss is deterministic;
-      3. per-bucket totals (at most ``buckets`` rows per group) give rank offsets;
-         (groups of at most 1M rows skip 1-3: one bounded window per group)
-      4. only the buckets holding the wanted ranks are scanned with a window
-         over ``(group, bucket)`` ordered by value, to find the exact ranks.
+    Returns one row per group of ``by`` (NULL keys are a group) with one DOUBLE
+    column per probability (``names`` or ``p0, p1, ...``).  NULLs and NaN are
+    ignored; a group without values gets NULLs.  Rows collapse to distinct
+    ``(group, value, count)`` first (map-side combine); ``_running`` gives each
+    value its ranks, and the wanted ranks are picked by an aggregate per group.
+    ``buckets``: number of range partitions (default: the session's).
     """
     by = list(by)
     names = list(names) if names is not None else [f"p{i}" for i in range(len(probs))]
@@ -84,123 +94,23 @@ def exact_percentiles(
         df = df.withColumn("_g", F.lit(0))
         by = ["_g"]
     v = F.col(f"`{value}`").cast("double")
-    base = df.select(*_cols(by), v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-
-    if buckets is None:
-        # size from the largest group (rows bound its distinct values); a
-        # caller that already counted passes ``max_group_rows``
-        biggest = max_group_rows
-        if biggest is None:
-            biggest = base.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= _ROWS_PER_BUCKET:
-            return _small_percentiles(df, v, by, probs, names, whole)
-        buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
-    cut_probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(10_000, 20 * buckets)
-
-    counted = base.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # the sketch is materialised once: a recomputed merge could give other
-    # cut points than the ones other branches already used
-    cuts = _stable(base.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts")))
-    tagged = _tag_buckets(counted, cuts, by, F.col("_v"), whole)
-
-    # per-bucket totals and offsets: <= buckets rows per group
-    wb = Window.partitionBy(*_cols(by)).orderBy("_b")
-    totals = (
-        tagged.groupBy(*_cols(by), "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_off", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_tot", F.sum("_bn").over(Window.partitionBy(*_cols(by))))
-    )
-    # wanted ranks (0-based): floor and ceil of (n - 1) * p for every p
-    want = F.array(
-        *[
-            F.struct(F.lit(i).alias("_pi"), F.lit(side).alias("_side"), F.lit(float(p)).alias("_p"))
-            for i, p in enumerate(probs)
-            for side in (0, 1)
-        ]
-    )
-    targets = (
-        totals.select(*_cols(by), "_tot")
-        .distinct()
-        .select(*_cols(by), "_tot", F.explode(want).alias("_w"))
-        .select(*_cols(by), "_tot", "_w._pi", "_w._side", "_w._p")
-        .withColumn("_h", (F.col("_tot") - 1).cast("double") * F.col("_p"))
-        .withColumn(
-            "_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")).cast("long")
-        )
-    )
-    located = targets.join(totals.select(*_cols(by), "_b", "_off", "_bn"), by).where(
-        (F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_bn"))
-    )
-    wanted_buckets = located.select(*_cols(by), "_b").distinct()
-    wv = Window.partitionBy(*_cols(by), "_b").orderBy("_v")
-    inside = (
-        tagged.join(wanted_buckets, by + ["_b"], "left_semi")
-        .withColumn("_c1", F.sum("_n").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    picked = (
-        located.join(inside, by + ["_b"])
-        .where(
-            (F.col("_r") >= F.col("_off") + F.col("_c1") - F.col("_n")) & (F.col("_r") < F.col("_off") + F.col("_c1"))
-        )
-        .select(*_cols(by), "_pi", "_side", "_h", "_v")
-    )
-    aggs = []
-    for i, name in enumerate(names):
-        lo = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 1), F.col("_v")))
-        h = F.max(F.when(F.col("_pi") == i, F.col("_h")))
-        frac = h - F.floor(h)
-        aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
-    out = picked.groupBy(*_cols(by)).agg(*aggs)
-    if whole:
-        return df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(out, by, "left").drop("_g")
-    groups = df.select(*_cols(by)).distinct()
-    return groups.join(out, by, "left")
-
-
-def _interpolated(probs: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Aggregates over (_pi, _side, _h, _v) rows -> one interpolated value per p."""
+    # rows without a value stay in with no weight, so that their group comes out
+    counted = df.select(*_cols(by), F.when(~F.isnan(v), v).alias("_v")).groupBy(*_cols(by), "_v").agg(F.count("_v").alias("_n"))
+    ranked = _running(counted, by, "_v", ["_n"], buckets)
+    present, start, stop = F.col("_v").isNotNull(), F.col("_before_n"), F.col("_before_n") + F.col("_n")
     aggs = []
-    for i, name in enumerate(names):
-        lo = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("_pi") == i) & (F.col("_side") == 1), F.col("_v")))
-        h = F.max(F.when(F.col("_pi") == i, F.col("_h")))
-        frac = h - F.floor(h)
-        aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
-    return aggs
-
-
-def _small_percentiles(df, v, by, probs, names, whole):
-    """Plan for groups of at most ``_ROWS_PER_BUCKET`` rows: one window over
-    each group's distinct values (bounded) gives cumulative counts; the
-    wanted ranks are picked by a grouped aggregate on the same partitioning.
-    NULL values stay in as zero-weight rows, so groups without any value come
-    out with NULL results from the same pass (no second scan)."""
-    valued = df.select(*_cols(by), F.when(~F.isnan(v), v).alias("_v"))
-    counted = valued.groupBy(*_cols(by), "_v").agg(F.count(F.lit(1)).alias("_n"))
-    nn = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(F.lit(0))
-    w = Window.partitionBy(*_cols(by)).orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn("_c1", F.sum(nn).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "_tot", F.sum(nn).over(Window.partitionBy(*_cols(by)))
-    )
-    present = F.col("_v").isNotNull()
-    start = F.col("_c1") - nn
-    aggs = []
-    for i, name in enumerate(names):
-        h = (F.col("_tot") - 1).cast("double") * F.lit(float(probs[i]))
-        lo_r, hi_r = F.floor(h), F.ceil(h)
-        lo = F.max(F.when(present & (start <= lo_r) & (lo_r < F.col("_c1")), F.col("_v")))
-        hi = F.max(F.when(present & (start <= hi_r) & (hi_r < F.col("_c1")), F.col("_v")))
-        hh = F.max(h)
+    for p, name in zip(probs, names, strict=True):
+        h = (F.col("_all_n") - 1).cast("double") * F.lit(float(p))
+        at = lambda r: F.max(F.when(present & (start <= r) & (r < stop), F.col("_v")))
+        lo, hi, hh = at(F.floor(h)), at(F.ceil(h)), F.max(h)
         frac = hh - F.floor(hh)
         aggs.append(F.when(frac == 0, lo).otherwise((1 - frac) * lo + frac * hi).alias(name))
-    out = cum.groupBy(*_cols(by)).agg(*aggs)
+    out = ranked.groupBy(*_cols(by)).agg(*aggs)
     if whole:
         return df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(out, by, "left").drop("_g")
     return out
 
+
 def global_percentiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Exact percentiles of a whole column as Python floats (a few scalars)."""
     row = exact_percentiles(df, value, probs).first()
@@ -249,85 +159,48 @@ def most_frequent(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
 
 
 def with_position(df: DataFrame, order_by: Sequence[str], name: str = "_pos") -> DataFrame:
-    """Attach a global 0-based row position following ``order_by``.
-
-    The frame is range-partitioned and sorted by the order keys, then written
-    to the shared checkpoint folder so every later job sees the same
-    partitions (also after an executor loss).  Rows per partition (a tiny
-    aggregate) become offsets on the driver; the in-partition index comes from
-    ``monotonically_increasing_id`` (partition id in the upper bits, row index
-    in the lower 33 bits), so no further shuffle is needed.
+    """Attach a global 0-based row position following ``order_by``; ties follow
+    the other (orderable) columns, so the partitioning never matters.
+
+    The frame is range-partitioned and sorted by the order keys and written to
+    the shared checkpoint folder, so every later job sees the same partitions
+    (also after an executor loss).  Rows per partition (one row a partition,
+    at most the session's shuffle partitions) become offsets; the in-partition
+    index is the lower part of ``monotonically_increasing_id``.
     """
     from curata.session import cut_lineage
 
     keys = _cols(order_by)
-    n_parts = max(1, df.rdd.getNumPartitions())
-    ranged = cut_lineage(df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys))
-    counts = dict(ranged.groupBy(F.spark_partition_id().alias("pid")).count().collect())
-    offsets, run = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = run
-        run += counts[pid]
-    mid = F.monotonically_increasing_id()
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    pos = local
-    if offsets:
-        off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))])
-        pos = local + F.coalesce(off_map[F.shiftright(F.col("_mid"), 33).cast("int")], F.lit(0))
-    return ranged.withColumn("_mid", mid).withColumn(name, pos.cast("long")).drop("_mid")
+    ties = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in order_by and f.dataType.typeName() not in ("map", "variant")]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys, *ties)
+    placed = cut_lineage(
+        ranged.withColumns({"_pid": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    )
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    # one row a partition: small enough for every task by construction
+    return placed.join(F.broadcast(offsets), "_pid").withColumn(name, F.col("_off") + F.col("_row")).drop("_pid", "_row", "_off")
 
 
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Running counts over value order: one row per distinct non-NULL value with
     ``_cnt`` (its rows) and ``_before`` (rows of the group with a smaller value).
 
-    Average 1-based rank of the value = ``_before + (_cnt + 1) / 2``.
-    Distinct values are cut into value-range buckets by a sketch of their
-    quantiles, bucket totals become offsets (a few rows per group) and a window
-    runs inside each (group, bucket) only -- never over a whole group.
+    Average 1-based rank of the value = ``_before + (_cnt + 1) / 2``.  NULL keys
+    are a group.  Same plan as ``exact_percentiles``.
     """
     by = list(by)
-    whole = not by
-    if whole:
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
     v = F.col(f"`{value}`").cast("double")
+    keys = by or ["_g"]
     counted = (
-        df.select(*_cols(by), v.alias("_v"))
-        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*_cols(by), "_v")
+        df.select(*(_cols(by) or [F.lit(0).alias("_g")]), v.alias(value))
+        .where(F.col(f"`{value}`").isNotNull() & ~F.isnan(f"`{value}`"))
+        .groupBy(*_cols(keys), f"`{value}`")
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    if buckets is None:
-        biggest = counted.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= _ROWS_PER_BUCKET:
-            # every group's distinct values fit one bounded window
-            w = Window.partitionBy(*_cols(by)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-            out = counted.select(
-                *_cols(by), F.col("_v").alias(value), "_cnt", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_before")
-            )
-            return out.drop("_g") if whole else out
-        buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
-    cut_probs = [i / buckets for i in range(1, buckets)]
-    cuts = _stable(
-        counted.groupBy(*_cols(by)).agg(F.percentile_approx("_v", cut_probs, max(10_000, 20 * buckets)).alias("_cuts"))
-    )
-    tagged = _tag_buckets(counted, cuts, by, F.col("_v"), whole)
-    wb = Window.partitionBy(*_cols(by)).orderBy("_b")
-    offsets = (
-        tagged.groupBy(*_cols(by), "_b")
-        .agg(F.sum("_cnt").alias("_bn"))
-        .withColumn("_off", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_bn")
-    )
-    wv = Window.partitionBy(*_cols(by), "_b").orderBy("_v")
-    local = tagged.withColumn(
-        "_lb", F.coalesce(F.sum("_cnt").over(wv.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    out = local.join(offsets, by + ["_b"]).select(
-        *_cols(by), F.col("_v").alias(value), "_cnt", (F.col("_off") + F.col("_lb")).alias("_before")
-    )
-    return out.drop("_g") if whole else out
+    out = _running(counted, keys, value, ["_cnt"], buckets)
+    return out.select(*_cols(by), F.col(f"`{value}`"), "_cnt", F.col("_before_cnt").alias("_before"))
 
 
 def running_sums(
@@ -336,37 +209,33 @@ def running_sums(
     """Inclusive running totals of ``sums`` over ``value`` order per group.
 
     ``df`` must hold one row per (group, value).  Adds ``_cum<name>`` for each
-    name in ``sums``.  Same plan as ``value_ranks``: value-range buckets from
-    a quantile sketch, bucket totals -> offsets, window only inside a bucket.
+    name in ``sums``.  NULL keys are a group.  Same plan as ``exact_percentiles``.
     """
-    by = list(by)
-    whole = not by
-    if whole:
-        df = df.withColumn("_g", F.lit(0))
-        by = ["_g"]
-    v = F.col(f"`{value}`")
-    if buckets is None:
-        biggest = df.groupBy(*_cols(by)).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= _ROWS_PER_BUCKET:
-            w = Window.partitionBy(*_cols(by)).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-            out = df.select("*", *[F.sum(f"`{s}`").over(w).alias(f"_cum{s}") for s in sums])
-            return out.drop("_g") if whole else out
-        buckets = int(min(_MAX_BUCKETS, max(_MIN_BUCKETS, math.ceil(biggest / _ROWS_PER_BUCKET))))
-    cut_probs = [i / buckets for i in range(1, buckets)]
-    cuts = _stable(df.groupBy(*_cols(by)).agg(F.percentile_approx(v, cut_probs, max(10_000, 20 * buckets)).alias("_cuts")))
-    tagged = _tag_buckets(df, cuts, by, v, whole)
-    wb = Window.partitionBy(*_cols(by)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*_cols(by), "_b").agg(*[F.sum(f"`{s}`").alias(f"_t{i}") for i, s in enumerate(sums)])
-    offsets = offsets.select(
-        *_cols(by), "_b", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(sums))]
-    )
-    wv = Window.partitionBy(*_cols(by), "_b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(f"`{s}`").over(wv).alias(f"_l{i}") for i, s in enumerate(sums)])
-    out = local.join(offsets, by + ["_b"]).select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"_o{i}") + F.col(f"_l{i}")).alias(f"_cum{s}") for i, s in enumerate(sums)],
+    keys = list(by) or ["_g"]
+    rows = df if by else df.withColumn("_g", F.lit(0))
+    out = _running(rows, keys, value, list(sums), buckets)
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"`_before{s}`") + F.col(f"`{s}`")).alias(f"_cum{s}") for s in sums]
     )
-    return out.drop("_g") if whole else out
+
+
+def solve_normal(sxx, sxy):
+    """Least-squares coefficients and rank from centred (co)variance sums.
+
+    Solved on the correlation scale, so features of any width count alike;
+    constant features get 0 and exact collinearity the minimum-norm solution
+    on that scale (predictions do not depend on it).
+    """
+    import numpy as np
+
+    scale = np.sqrt(np.clip(np.diag(sxx), 0.0, None))
+    on = np.flatnonzero(scale > 0)
+    beta = np.zeros(len(scale))
+    if not len(on):
+        return beta, 0
+    corr = sxx[np.ix_(on, on)] / np.outer(scale[on], scale[on])
+    beta[on] = np.linalg.pinv(corr, rcond=1e-10, hermitian=True) @ (sxy[on] / scale[on]) / scale[on]
+    return beta, int(np.linalg.matrix_rank(corr, tol=1e-10 * len(on), hermitian=True))
 
 
 def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True, non_null: list | None = None):

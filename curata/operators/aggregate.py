@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import numeric_column, require_columns
-from curata.functions.stats import exact_percentiles
+from curata.functions.stats import exact_percentiles, null_safe_join
 
 # --- fixed values -----------------------------------------------------------------
 # Scale that makes the median absolute deviation consistent with the sd.
@@ -75,6 +75,6 @@ def aggregate(df: DataFrame, group_by: Sequence[str] | str, agg_func: str, agg_c
         return q.select(*keys, (F.col("_q3") - F.col("_q1")).alias("agg_value"))
     # mad: median absolute deviation from the group median, times 1.4826
     med = exact_percentiles(src, "_x", [0.5], by=group_by, names=["_med"])
-    dev = src.join(med, group_by, "left").select(*keys, F.abs(F.col("_x") - F.col("_med")).alias("_dev"))
+    dev = null_safe_join(src, med, group_by, "left").select(*keys, F.abs(F.col("_x") - F.col("_med")).alias("_dev"))
     m = exact_percentiles(dev, "_dev", [0.5], by=group_by, names=["_mad"])
     return m.select(*keys, (F.col("_mad") * MAD_CONSTANT).alias("agg_value"))

@@ -9,9 +9,6 @@ from curata.functions import is_string_type, require_columns
 from curata.operators.fitted import Fitted
 from curata.session import cut_lineage
 
-# One-hot adds one column per level; beyond this many levels the output
-# schema would be unmanageable, so the operator refuses.
-MAX_ONEHOT_LEVELS = 1000
 METHODS = ("onehot", "label")
 
 
@@ -21,16 +18,15 @@ def _check(df: DataFrame, column: str) -> None:
         raise ValueError(f"column {column!r} must be text (categorical)")
 
 
-def fit_onehot(df: DataFrame, column: str) -> Fitted:
-    """The sorted level list (bounded: one output column per level)."""
+def fit_onehot(df: DataFrame, column: str, max_levels: int | None = None) -> Fitted:
+    """The sorted level list (one output column per level, so the list is as
+    long as the output is wide).  More levels than ``max_levels``, if given, are
+    an error; for columns with very many levels the long form suits better."""
     _check(df, column)
     c = F.col(f"`{column}`")
-    n_levels = df.agg(F.approx_count_distinct(c)).first()[0]
-    if n_levels > 2 * MAX_ONEHOT_LEVELS:
-        raise ValueError(f"column {column!r} has too many levels for one-hot encoding")
     levels = [r[0] for r in df.where(c.isNotNull()).select(c).distinct().orderBy(c).collect()]
-    if len(levels) > MAX_ONEHOT_LEVELS:
-        raise ValueError(f"column {column!r} has {len(levels)} levels (> {MAX_ONEHOT_LEVELS})")
+    if max_levels is not None and len(levels) > max_levels:
+        raise ValueError(f"column {column!r} has {len(levels)} levels (> {max_levels})")
 
     def apply(t: DataFrame) -> DataFrame:
         cc = F.col(f"`{column}`")

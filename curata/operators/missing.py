@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.functions import is_numeric_type, is_string_type, numeric_column, require_columns
-from curata.functions.stats import global_percentiles, most_frequent
+from curata.functions import is_numeric_type, is_string_type, nan_as_null, numeric_column, require_columns
+from curata.functions.stats import global_percentiles, most_frequent, value_ranks
 from curata.operators.fitted import Fitted
 
 METHODS = ("mean", "median", "mode", "constant", "remove_row", "remove_col", "regression", "decision_tree", "tree")
@@ -43,7 +43,7 @@ def fit_imputer(df: DataFrame, column: str, method: str, constant=None) -> Fitte
     elif method == "median":
         fill = global_percentiles(df.select(numeric_column(df, column).alias("_x")), "_x", [0.5])[0]
     elif method == "mode":
-        row = most_frequent(df, column).first()
+        row = most_frequent(df.withColumn(column, nan_as_null(df, column)), column).first()
         if row is None or row["mode"] is None:
             raise ValueError(f"could not compute the mode of {column!r}: no values")
         fill = row["mode"]
@@ -63,7 +63,7 @@ def fit_imputer(df: DataFrame, column: str, method: str, constant=None) -> Fitte
         if numeric:
             x = numeric_column(target, column)
             return target.withColumn(column, x if fill is None else F.coalesce(x, F.lit(float(fill))))
-        return target.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.lit(fill).cast(dtype)))
+        return target.withColumn(column, F.coalesce(nan_as_null(target, column), F.lit(fill).cast(dtype)))
 
     return Fitted("impute", column, {"method": method, "fill": fill}, apply)
 
@@ -78,11 +78,10 @@ def handle_missing(
 ) -> DataFrame:
     require_columns(df, [column])
     method = method.lower()
-    c = F.col(f"`{column}`")
     if method in ("mean", "median", "mode", "constant"):
         return fit_imputer(df, column, method, constant).transform(df)
     if method == "remove_row":
-        return df.where(c.isNotNull())
+        return df.where(nan_as_null(df, column).isNotNull())
     if method == "remove_col":
         return df.drop(column)
     if method == "regression":
@@ -99,16 +98,16 @@ def handle_missing(
 
 def fit_least_squares(df: DataFrame, target: str, features: Sequence[str]) -> tuple[float, np.ndarray, int]:
     """OLS with intercept on complete rows, from mean-shifted cross-product
-    sums (two aggregate passes, numerically stable); solved on the driver
-    with a pseudo-inverse, i.e. the minimum-norm solution when features are
-    collinear.  Returns (intercept, coefficients, rows used)."""
-    from curata.functions.stats import comoments
+    sums (two aggregate passes, numerically stable); solved on the driver on
+    the correlation scale (``solve_normal``).  NaN counts as missing.  Returns
+    (intercept, coefficients, rows used)."""
+    from curata.functions.stats import comoments, solve_normal
 
-    n, means, cov = comoments(df, [F.col(f"`{f}`") for f in [target, *features]], complete=True)
+    n, means, cov = comoments(df, [numeric_column(df, f) for f in [target, *features]], complete=True)
     if n < 2:
         raise ValueError("not enough complete rows to fit a regression")
     sxx, sxy = cov[1:, 1:], cov[1:, 0]
-    beta = np.linalg.pinv(sxx) @ sxy
+    beta, _ = solve_normal(sxx, sxy)
     intercept = means[0] - beta @ means[1:]
     return float(intercept), beta, n
 
@@ -119,15 +118,16 @@ def regression_impute(df: DataFrame, column: str, features: Sequence[str] | None
     df = df.withColumn(column, numeric_column(df, column))
     feats = _numeric_features(df, column, features)
     if not feats:
-        raise ValueError("no numeric features available for regression imputation")
+        raise ValueError("regression needs a numeric predictor column")
     if df.where(F.col(f"`{column}`").isNotNull()).limit(2).count() < 2:
-        raise ValueError("not enough non-missing values to perform regression")
+        raise ValueError(f"regression needs two known values of {column!r}")
     intercept, beta, _ = fit_least_squares(df, column, feats)
     pred: Column = F.lit(intercept)
     complete = F.lit(True)
     for b, f in zip(beta, feats):
-        pred = pred + F.lit(float(b)) * F.col(f"`{f}`").cast("double")
-        complete = complete & F.col(f"`{f}`").isNotNull()
+        x = numeric_column(df, f)
+        pred = pred + F.lit(float(b)) * x
+        complete = complete & x.isNotNull()
     return df.withColumn(column, F.coalesce(F.col(f"`{column}`"), F.when(complete, pred)))
 
 
@@ -135,13 +135,28 @@ def regression_impute(df: DataFrame, column: str, features: Sequence[str] | None
 
 
 def _feature_frame(df: DataFrame, feats: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Mean-filled features plus one missing-indicator per feature."""
-    means = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"m{i}") for i, f in enumerate(feats)]).first()
-    out, names = df, []
+    """Mean-filled features plus one missing-indicator per feature.  Text (and
+    any other non-numeric) features become level numbers by falling frequency,
+    joined from a level table, so any number of levels will do."""
+    out, codes = df, {}
+    for i, f in enumerate(feats):
+        if is_numeric_type(df, f):
+            codes[f] = numeric_column(df, f)
+            continue
+        text = F.col(f"`{f}`").cast("string")
+        levels = df.select(text.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
+        ranked = value_ranks(levels.withColumn("_neg", (-F.col("_cnt")).cast("double")), "_neg")
+        inside = Window.partitionBy("_neg").orderBy("_v")
+        numbered = levels.withColumn("_neg", (-F.col("_cnt")).cast("double")).join(ranked, "_neg")
+        numbered = numbered.select(F.col("_v").alias(f"_lv{i}"), (F.col("_before") + F.row_number().over(inside) - 1).cast("double").alias(f"_code{i}"))
+        out = out.join(numbered, text == numbered[f"_lv{i}"], "left").drop(f"_lv{i}")
+        codes[f] = F.col(f"_code{i}")
+    means = out.agg(*[F.avg(codes[f]).alias(f"m{i}") for i, f in enumerate(feats)]).first()
+    names = []
     for i, f in enumerate(feats):
         m = means[f"m{i}"] if means[f"m{i}"] is not None else 0.0
-        out = out.withColumn(f"_f{i}", F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(float(m))))
-        out = out.withColumn(f"_na{i}", F.col(f"`{f}`").isNull().cast("double"))
+        out = out.withColumn(f"_f{i}", F.coalesce(codes[f], F.lit(float(m))))
+        out = out.withColumn(f"_na{i}", codes[f].isNull().cast("double"))
         names += [f"_f{i}", f"_na{i}"]
     return out, names
 
@@ -158,12 +173,12 @@ def boosted_impute(df: DataFrame, column: str, features: Sequence[str] | None =
         raise ValueError("no numeric features available for tree imputation")
     any_feat = F.lit(False)
     for f in feats:
-        any_feat = any_feat | F.col(f"`{f}`").isNotNull()
+        any_feat = any_feat | nan_as_null(df, f).isNotNull()
     framed, names = _feature_frame(df.withColumn("_any", any_feat), feats)
     assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(framed)
     train = assembled.where(F.col(f"`{column}`").isNotNull() & F.col("_any"))
     if train.limit(2).count() < 2:
-        raise ValueError("not enough complete cases to perform tree imputation")
+        raise ValueError("boosting needs two rows that have a known value and a predictor")
     model = GBTRegressor(featuresCol="_features", labelCol=column, seed=seed, maxIter=100, maxDepth=5).fit(train)
     scored = model.setPredictionCol("_pred").transform(assembled)
     filled = F.when(F.col(f"`{column}`").isNull() & F.col("_any"), F.col("_pred")).otherwise(F.col(f"`{column}`"))
@@ -171,18 +186,19 @@ def boosted_impute(df: DataFrame, column: str, features: Sequence[str] | None =
 
 
 def tree_impute(df: DataFrame, column: str, features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
-    """One decision tree; regression for a numeric target, classification
-    (labels restored from indices) for a text target."""
+    """One decision tree over all other columns; regression for a numeric
+    target, classification (labels restored from indices) for a text target."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
-    feats = _numeric_features(df, column, features)
+    feats = [f for f in (features if features is not None else df.columns) if f != column]
+    require_columns(df, feats)
     if not feats:
-        raise ValueError("no numeric features available for tree imputation")
+        raise ValueError("a tree needs at least one other column")
     framed, names = _feature_frame(df, feats)
     assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(framed)
-    known = assembled.where(F.col(f"`{column}`").isNotNull())
+    known = assembled.where(nan_as_null(df, column).isNotNull())
     if is_numeric_type(df, column):
         model = DecisionTreeRegressor(featuresCol="_features", labelCol=column, seed=seed).fit(
             known.withColumn(column, F.col(f"`{column}`").cast("double"))
@@ -195,7 +211,7 @@ def tree_impute(df: DataFrame, column: str, features: Sequence[str] | None = Non
         scored = model.setPredictionCol("_pidx").transform(assembled)
         scored = IndexToString(inputCol="_pidx", outputCol="_pred", labels=indexer.labels).transform(scored)
         pred = F.col("_pred")
-    return scored.withColumn(column, F.coalesce(F.col(f"`{column}`"), pred)).select(*df.columns)
+    return scored.withColumn(column, F.coalesce(nan_as_null(df, column), pred)).select(*df.columns)
 
 
 # --- C9b ----------------------------------------------------------------------------------

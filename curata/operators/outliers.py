@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import is_string_type, numeric_column, require_columns
+from curata.functions import is_numeric_type, is_string_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, most_frequent
 from curata.operators.fitted import Fitted
 from curata.operators.schema import drop_flagged
@@ -132,9 +132,15 @@ def _replace_with_inlier_mean(df: DataFrame, column: str, mask: Column) -> DataF
     return df.withColumn(column, F.when(flagged, value_col.cast(df.schema[column].dataType)).otherwise(F.col(f"`{column}`")))
 
 
+def _require_numeric(df: DataFrame, column: str) -> None:
+    require_columns(df, [column])
+    if not is_numeric_type(df, column):
+        raise ValueError(f"{column!r} has to be numeric for outlier detection")
+
+
 def zscore_outliers(df: DataFrame, column: str, threshold: float = LIB_ZSCORE_THRESHOLD, action: str = "remove") -> DataFrame:
     """|x - mean| / sd_sample > threshold; remove rows or replace."""
-    require_columns(df, [column])
+    _require_numeric(df, column)
     x = numeric_column(df, column)
     row = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).first()
     if row["m"] is None or not row["s"]:
@@ -145,7 +151,7 @@ def zscore_outliers(df: DataFrame, column: str, threshold: float = LIB_ZSCORE_TH
 
 def iqr_outliers(df: DataFrame, column: str, factor: float = IQR_FACTOR, action: str = "remove") -> DataFrame:
     """Outside [q1 - factor IQR, q3 + factor IQR]; remove rows or replace."""
-    require_columns(df, [column])
+    _require_numeric(df, column)
     x = numeric_column(df, column)
     q1, q3 = global_percentiles(df.select(x.alias("_x")), "_x", [0.25, 0.75])
     if q1 is None:
@@ -220,10 +226,10 @@ def dbscan_noise_flags(
     cols = list(columns) if columns is not None else [c for c in df.columns if c != id_col]
     d = len(cols)
     if d == 0:
-        raise ValueError("no numeric columns available for DBSCAN")
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        raise ValueError("DBSCAN needs a numeric column")
+    nulls = df.agg(*[F.count_if(numeric_column(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     if any(nulls[f"n{i}"] for i in range(d)):
-        raise ValueError("DBSCAN cannot run with NULL values; impute them first")
+        raise ValueError("every point needs all its coordinates: fill or drop NULL and NaN before DBSCAN")
     st = df.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cols)],
                 *[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(cols)],
                 *[F.min(f"`{c}`").alias(f"lo{i}") for i, c in enumerate(cols)],

@@ -136,7 +136,6 @@ def column_stats(df: DataFrame) -> DataFrame:
             F.min(x).alias(f"min{i}"),
             F.max(x).alias(f"max{i}"),
             F.skewness(x).alias(f"sk{i}"),
-            F.count(x).alias(f"nx{i}"),
         ]
     wide = df.agg(*aggs).first()
 
@@ -145,8 +144,7 @@ def column_stats(df: DataFrame) -> DataFrame:
         long = df.select(
             F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), num[c].alias("_v")) for c in numeric])).alias("_p")
         ).select("_p._col", "_p._v")
-        biggest = max(wide[f"nx{i}"] for i in range(len(numeric)))
-        q = exact_percentiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"], names=["q1", "q2", "q3"], max_group_rows=biggest)
+        q = exact_percentiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"], names=["q1", "q2", "q3"])
         for r in q.collect():
             quart[r["_col"]] = (r["q1"], r["q2"], r["q3"])
         fences = []

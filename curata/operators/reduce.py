@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import is_numeric_type, numeric_column, require_columns
+from curata.functions.stats import solve_normal
 from curata.operators.correlation import correlation_matrix
 
 # --- fixed values -----------------------------------------------------------------
@@ -40,16 +41,16 @@ def pca_reduce(df: DataFrame, threshold: float = PCA_THRESHOLD) -> DataFrame:
     threshold = float(threshold)
     num = numeric_columns(df)
     if not num:
-        raise ValueError("no numeric columns found for dimensionality reduction")
+        raise ValueError("PCA needs a numeric column")
     from curata.functions.stats import comoments
 
     counts: list[int] = []
-    n, means, cov = comoments(df, [F.col(f"`{c}`") for c in num], complete=False, non_null=counts)
+    n, means, cov = comoments(df, [numeric_column(df, c) for c in num], complete=False, non_null=counts)
     if any(c < n for c in counts):
-        raise ValueError("cannot perform PCA: missing values in numeric features")
+        raise ValueError("PCA needs every numeric column free of NULL and NaN")
     sd = np.sqrt(np.diag(cov))
     if np.any(~np.isfinite(sd)) or np.any(sd == 0):
-        raise ValueError("cannot rescale a constant/zero column to unit variance")
+        raise ValueError("PCA needs numeric columns that vary")
     corr = cov / np.outer(sd, sd)
     vals, vecs = np.linalg.eigh(corr)
     order = np.argsort(vals)[::-1]
@@ -91,14 +92,15 @@ class _Gram:
         idx = [i + 1 for i in subset]
         sxx = self.s[np.ix_(idx, idx)]
         sxy = self.s[idx, 0]
-        beta = np.linalg.pinv(sxx) @ sxy
-        return float(max(syy - beta @ sxy, 0.0))
+        beta, _ = solve_normal(sxx, sxy)
+        left = float(max(syy - beta @ sxy, 0.0))
+        return left if left > 1e-12 * float(syy) else 0.0  # a perfect fit, to rounding
 
     def rank(self, subset: Sequence[int]) -> int:
         if not subset:
             return 0
         idx = [i + 1 for i in subset]
-        return int(np.linalg.matrix_rank(self.s[np.ix_(idx, idx)]))
+        return solve_normal(self.s[np.ix_(idx, idx)], self.s[idx, 0])[1]
 
     def aic(self, subset: Sequence[int]) -> float:
         rss = self.rss(subset)
@@ -113,8 +115,6 @@ def _predictor_groups(df: DataFrame, feats: Sequence[str]) -> tuple[list[Column]
     column is one term; a text column is one 0/1 dummy per level except the
     first (sorted), entering and leaving the model together.  A NULL value
     makes the row incomplete."""
-    from curata.operators.encode import MAX_ONEHOT_LEVELS
-
     exprs: list[Column] = []
     groups: list[list[int]] = []
     for f in feats:
@@ -124,11 +124,7 @@ def _predictor_groups(df: DataFrame, feats: Sequence[str]) -> tuple[list[Column]
             exprs.append(c.cast("double"))
             continue
         txt = c.cast("string")
-        if df.agg(F.approx_count_distinct(txt)).first()[0] > 2 * MAX_ONEHOT_LEVELS:
-            raise ValueError(f"predictor {f!r} has too many levels")
         levels = [r[0] for r in df.where(txt.isNotNull()).select(txt.alias("l")).distinct().orderBy("l").collect()]
-        if len(levels) > MAX_ONEHOT_LEVELS:
-            raise ValueError(f"predictor {f!r} has too many levels")
         idx = []
         for lv in levels[1:]:
             idx.append(len(exprs))
@@ -161,7 +157,7 @@ def stepwise(df: DataFrame, target: str, direction: str = "forward", features: S
 
     full = list(range(len(feats)))
     if direction == "backward" and not math.isfinite(g.aic(terms(full))):
-        raise ValueError("full model has -Inf AIC (perfect fit); backward selection cannot proceed")
+        raise ValueError("the full model leaves no residual, so its AIC is not finite and nothing can be dropped by it")
     current = [] if direction == "forward" else full[:]
     cur_aic = g.aic(terms(current))
     while True:
@@ -169,7 +165,7 @@ def stepwise(df: DataFrame, target: str, direction: str = "forward", features: S
         if direction in ("backward", "both"):
             cands += [[j for j in current if j != d] for d in current]
         if direction in ("forward", "both"):
-            cands += [sorted(current + [a]) for a in full if a not in current]
+            cands += [current + [a] for a in full if a not in current]
         if not cands:
             break
         scored = [(g.aic(terms(c)), c) for c in cands]
@@ -177,7 +173,7 @@ def stepwise(df: DataFrame, target: str, direction: str = "forward", features: S
         if not best_aic < cur_aic - STEP_AIC_TOL:
             break
         current, cur_aic = best, best_aic
-    chosen = [feats[i] for i in sorted(current)]
+    chosen = [feats[i] for i in current]  # in table order; what a forward step adds comes last
     return df.select(F.col(f"`{target}`"), *[F.col(f"`{c}`") for c in chosen])
 
 

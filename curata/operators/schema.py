@@ -13,7 +13,7 @@ from curata.functions import (
     is_numeric_type,
     is_string_type,
     null_tokens,
-    numeric_column,
+    nan_as_null, numeric_column,
     require_columns,
 )
 
@@ -63,7 +63,7 @@ def classify_and_count(df: DataFrame, max_unique_cat: int = MAX_UNIQUE_CATEGORIC
     row = df.agg(*aggs).first()
     nonempty = {c: row[f"n{i}"] > 0 for i, c in enumerate(cols)}
     approx = {c: row[f"d{i}"] for i, c in enumerate(numeric)}
-    unsure = [c for c in numeric if nonempty[c] and approx[c] <= _APPROX_SURE]
+    unsure = [c for c in numeric if nonempty[c] and approx[c] <= max(_APPROX_SURE, 2 * max_unique_cat)]
     exact: dict[str, int] = {}
     if unsure:
         exact = distinct_counts(df, unsure, numeric=True)
@@ -186,9 +186,16 @@ def typecast(df: DataFrame, column: str, target: str, strict: bool = False) -> D
 
 
 def drop_null_rows(df: DataFrame, column: str) -> DataFrame:
-    """Keep rows whose ``column`` is not NULL (F1)."""
+    """Keep rows whose ``column`` is neither NULL nor NaN (F1)."""
     require_columns(df, [column])
-    return df.where(F.col(f"`{column}`").isNotNull())
+    return df.where(nan_as_null(df, column).isNotNull())
+
+
+def factor_labels(df: DataFrame, column: str) -> DataFrame:
+    """The sorted labels of a factor column, one row each (T7d)."""
+    require_columns(df, [column])
+    text = F.col(f"`{column}`").cast("string")
+    return df.select(text.alias("label")).where(F.col("label").isNotNull()).distinct().orderBy("label")
 
 
 def drop_flagged(df: DataFrame, mask: Column) -> DataFrame:

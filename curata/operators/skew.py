@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import numeric_column, require_columns
+from curata.functions import is_numeric_type, numeric_column, require_columns
 from curata.operators.fitted import Fitted
 
 # --- fixed values -------------------------------------------------------------------
@@ -135,6 +135,8 @@ def fit_skew(df: DataFrame, column: str, method: str = "auto") -> Fitted:
     method = method.lower()
     if method not in METHODS:
         raise ValueError(f"unknown transformation method {method!r}; choose one of {METHODS}")
+    if not is_numeric_type(df, column):
+        raise ValueError(f"skewness can only be reduced in a numeric column; {column!r} is not one")
     x = numeric_column(df, column)
     chk = df.agg(
         F.min(x).alias("lo"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions import count_below, numeric_column, require_columns
-from curata.functions.stats import exact_percentiles, with_position
+from curata.functions.stats import exact_percentiles, running_sums, with_position
 from curata.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------------
@@ -81,12 +81,9 @@ def _tricube(d: Column) -> Column:
     return F.when(d <= NEAR, F.lit(1.0)).when(d > FAR, F.lit(0.0)).otherwise(F.pow(1 - F.pow(d, 3), 3))
 
 
-# Exact smoothing materialises one row per (point, neighbour): m * k rows.
-# Above this many, fits are computed at anchors and interpolated between,
-# with anchors spaced for about ANCHORED_NEIGHBOUR_ROWS rows per round.
-EXACT_NEIGHBOUR_ROWS = 50_000_000
-ANCHORED_NEIGHBOUR_ROWS = 20_000_000
-MIN_ANCHORS = 100
+# Points that are packed into one row; a pair of such rows is compared in arrays.
+CHUNK = 1024
+NEIGHBOURS = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
 
 
 def lowess(
@@ -108,13 +105,11 @@ def lowess(
     (``degree=2``), then ``iterations`` rounds of bisquare robustness weights
     from 6 x the median absolute residual.
 
-    ``anchor_every=1`` fits every row (the exact smoother: m * k neighbour
-    rows per round).  ``anchor_every=s`` fits every s-th row (and the last)
-    and interpolates linearly in x in between -- the interpolation surface
-    lowess/loess implementations use for speed.  By default the exact
-    smoother runs while m * k <= 50M neighbour rows; above that anchors are
-    spaced for about 20M neighbour rows per round, with at least 100 anchors
-    (work then grows linearly with m).
+    Every row is fitted, at any size: m * k neighbour terms a round, summed in
+    arrays over pairs of packed rows (m * k / CHUNK partial rows).  Only on
+    request, ``anchor_every=s`` fits every s-th row (and the last) and
+    interpolates linearly in x in between -- the interpolation surface that
+    lowess/loess implementations use for speed, an approximation.
     """
     src = with_position(df.withColumn(column, numeric_column(df, column)), order_by, "_x")
     y = F.col(f"`{column}`")
@@ -126,14 +121,8 @@ def lowess(
         ranked.unpersist()
         return src.drop("_x")
     k = max(2, min(m, int(math.floor(frac * m + 1e-10))))
-    if anchor_every is None:
-        if m * k <= EXACT_NEIGHBOUR_ROWS:
-            anchor_every = 1
-        else:
-            anchors_wanted = max(MIN_ANCHORS, ANCHORED_NEIGHBOUR_ROWS // k)
-            anchor_every = max(1, math.ceil(m / anchors_wanted))
     rng = ranked.agg(F.max("_xd") - F.min("_xd")).first()[0] or 0.0
-    if anchor_every <= 1:
+    if anchor_every is None or anchor_every <= 1:
         out_fit = _lowess_exact(ranked, m, k, iterations, degree, rng)
     else:
         out_fit = _lowess_anchored(ranked, m, k, iterations, degree, rng, anchor_every)
@@ -165,47 +154,77 @@ def _moment_sums(frame: DataFrame, key: str, w: Column, u: Column) -> DataFrame:
     )
 
 
+def _windows(ranked: DataFrame, m: int, k: int) -> DataFrame:
+    """Per row: _r, _xd, window start _L and radius _h.
+
+    g(L) = (x_L + x_{L+k}) / 2 does not fall with L, so a row's start is the
+    number of L with g(L) < x (at most m - k): running counts over the values
+    of g and x together.
+    """
+    right = ranked.select((F.col("_r") - k).alias("_r"), F.col("_xd").alias("_xR"))
+    g = ranked.join(right, "_r").select(((F.col("_xd") + F.col("_xR")) / 2).alias("_v"), F.lit(1).alias("_below"))
+    both = g.unionByName(ranked.select(F.col("_xd").alias("_v"), F.lit(0).alias("_below")))
+    below = running_sums(both.groupBy("_v").agg(F.sum("_below").alias("_below")), "_v", ["_below"])
+    start = below.select(F.col("_v").alias("_xd"), F.least(F.col("_cum_below") - F.col("_below"), F.lit(m - k)).alias("_L"))
+    placed = ranked.join(start, "_xd").select("_r", "_xd", "_L")
+    left = ranked.select(F.col("_r").alias("_L"), F.col("_xd").alias("_xL"))
+    end = ranked.select((F.col("_r") - k + 1).alias("_L"), F.col("_xd").alias("_xE"))
+    radius = F.greatest(F.col("_xd") - F.col("_xL"), F.col("_xE") - F.col("_xd"))
+    return placed.join(left, "_L").join(end, "_L").select("_r", "_xd", "_L", radius.alias("_h"))
+
+
+def _packed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row per CHUNK ranks: _c and the arrays of ``names`` in rank order."""
+    held = F.sort_array(F.collect_list(F.struct("_r", *[n for n in names if n != "_r"]))).alias("_p")
+    return rows.groupBy(F.floor(F.col("_r") / CHUNK).alias("_c")).agg(held).select("_c", *[F.col(f"_p.{n}").alias(n) for n in names])
+
+
+def _pair_sums(k: int):
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                ar, ax, start, h = (np.array(row[c], dtype=float) for c in ("_ar", "_ax", "_L", "_h"))
+                r, x, y, rw = (np.array(row[c], dtype=float) for c in ("_r", "_xd", "_y", "_rw"))
+                u = x[None, :] - ax[:, None]
+                d = np.divide(np.abs(u), h[:, None], out=np.full_like(u, np.nan), where=h[:, None] != 0)
+                w = np.where(d <= NEAR, 1.0, np.where(d > FAR, 0.0, (1 - d**3) ** 3))
+                w = np.where((r[None, :] >= start[:, None]) & (r[None, :] < start[:, None] + k), w, 0.0) * rw[None, :]
+                out = [pa.array(ar.astype(np.int64))]
+                power = w
+                held = {}
+                for j in range(5):
+                    held[f"s{j}"] = power.sum(axis=1)
+                    if j < 3:
+                        held[f"t{j}"] = power @ y
+                    power = power * u
+                yield pa.RecordBatch.from_arrays(out + [pa.array(held[n]) for n in NEIGHBOURS], ["_r", *NEIGHBOURS])
+
+    return sums
+
+
 def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float) -> DataFrame:
-    """Every row is an anchor: (anchor, neighbour) rows, m * k per round."""
-    anchors = ranked.select(F.col("_r").alias("_ar"), F.col("_xd").alias("_ax"))
-    # window start L of each anchor: smallest L with L + k >= m or
-    # x_anchor <= (x_L + x_{L+k}) / 2, searched over L in [ar - k + 1, ar]
-    cand = anchors.select(
-        "_ar",
-        "_ax",
-        F.explode(F.sequence(F.greatest(F.lit(0), F.col("_ar") - k + 1), F.least(F.col("_ar"), F.lit(m - k)))).alias("_L"),
-    )
-    xl = ranked.select(F.col("_r").alias("_L"), F.col("_xd").alias("_xL"))
-    xr = ranked.select((F.col("_r") - k).alias("_L"), F.col("_xd").alias("_xR"))
-    ok = cand.join(xl, "_L").join(xr, "_L", "left").where(
-        F.col("_xR").isNull() | (F.col("_ax") <= (F.col("_xL") + F.col("_xR")) / 2)
-    )
-    windows = ok.groupBy("_ar", "_ax").agg(F.min("_L").alias("_L"))
-    ends = windows.join(xl, "_L").join(ranked.select((F.col("_r") - k + 1).alias("_L"), F.col("_xd").alias("_xE")), "_L")
-    radius = ends.select("_ar", "_ax", "_L", F.greatest(F.col("_ax") - F.col("_xL"), F.col("_xE") - F.col("_ax")).alias("_h"))
-    pairs = radius.select("_ar", "_ax", "_h", F.explode(F.sequence(F.col("_L"), F.col("_L") + k - 1)).alias("_r")).join(ranked, "_r")
-    pairs = pairs.withColumn("_tw", _tricube(F.abs(F.col("_xd") - F.col("_ax")) / F.col("_h"))).cache()
-    cached = [pairs]
+    """Every row is fitted: packed rows of anchors meet the packed rows of points that their windows reach."""
+    windows = _windows(ranked, m, k)
+    anchors = cut_lineage(_packed(windows, ["_r", "_xd", "_L", "_h"]))
+    reach = F.sequence(F.floor(F.array_min("_L") / CHUNK), F.floor((F.array_max("_L") + k - 1) / CHUNK))
+    asked = anchors.select(F.col("_r").alias("_ar"), F.col("_xd").alias("_ax"), "_L", "_h", F.explode(reach).alias("_c"))
     robust = None
-    try:
-        for it in range(iterations + 1):
-            p = pairs if robust is None else pairs.join(robust, "_r")
-            w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
-            sums = _moment_sums(p, "_ar", w, F.col("_xd") - F.col("_ax"))
-            fit = sums.select(F.col("_ar").alias("_r"), _local_fit(degree, rng).alias("_f"))
-            row_fit = ranked.join(fit, "_r").cache()
-            cached.append(row_fit)
-            if it == iterations:
-                break
-            robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
-            if robust is None:
-                break
-            robust = robust.cache()
-            cached.append(robust)
-        return cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
-    finally:
-        for c in cached:
-            c.unpersist()
+    for it in range(iterations + 1):
+        rows = ranked.withColumn("_rw", F.lit(1.0)) if robust is None else ranked.join(robust, "_r")
+        pairs = asked.join(_packed(rows, ["_r", "_xd", "_y", "_rw"]), "_c").select("_ar", "_ax", "_L", "_h", "_r", "_xd", "_y", "_rw")
+        partial = pairs.mapInArrow(_pair_sums(k), ", ".join(["_r long", *(f"{n} double" for n in NEIGHBOURS)]))
+        total = partial.groupBy("_r").agg(*[F.sum(n).alias(n) for n in NEIGHBOURS])
+        row_fit = cut_lineage(ranked.join(total.select("_r", _local_fit(degree, rng).alias("_f")), "_r"))
+        if it == iterations:
+            break
+        robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
+        if robust is None:
+            break
+        robust = cut_lineage(robust)
+    return row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth"))
 
 
 def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float, s: int) -> DataFrame:

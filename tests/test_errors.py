@@ -12,9 +12,15 @@ def test_error_paths(spark):
     rare = spark.createDataFrame([("a",), ("b",)], "c string")
     with pytest.raises(ValueError):
         outliers.rare_categories(rare, "c", 0.9, action="replace")  # every category is rare
-    wide = spark.createDataFrame([(str(i),) for i in range(encode.MAX_ONEHOT_LEVELS + 1)], "c string")
+    wide = spark.createDataFrame([(str(i),) for i in range(1001)], "c string")
     with pytest.raises(ValueError):
-        encode.onehot(wide, "c")
+        encode.fit_onehot(wide, "c", max_levels=1000)
+    for call in (lambda: skew.reduce_skew(rare, "c", "log"), lambda: outliers.zscore_outliers(rare, "c"), lambda: outliers.iqr_outliers(rare, "c")):
+        with pytest.raises(ValueError):
+            call()  # text has no skewness and no outliers
+    nan = spark.createDataFrame([(1, 1.0), (2, float("nan"))], "id int, v double")
+    with pytest.raises(ValueError):
+        outliers.dbscan_noise_flags(nan, ["v"], id_col="id")
     nums = spark.createDataFrame([(1, 1.0), (1, 2.0)], "g int, v double")
     with pytest.raises(ValueError):
         aggregate.aggregate(nums, ["g"], "quantile", "v")  # not on the allow-list

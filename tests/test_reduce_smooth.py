@@ -54,7 +54,7 @@ def step_ref(pdf, target, feats, direction):
         if direction in ("backward", "both"):
             cands += [[c for c in cur if c != d] for d in cur]
         if direction in ("forward", "both"):
-            cands += [[c for c in feats if c in cur or c == a] for a in feats if a not in cur]
+            cands += [cur + [a] for a in feats if a not in cur]
         if not cands:
             return cur
         best = min(cands, key=lambda c: aic(pdf, target, c))
@@ -227,7 +227,7 @@ def test_stepwise_with_text_predictor(spark, direction):
         if direction in ("backward", "both"):
             cands += [[c for c in cur if c != d] for d in cur]
         if direction in ("forward", "both"):
-            cands += [[c for c in feats if c in cur or c == a] for a in feats if a not in cur]
+            cands += [cur + [a] for a in feats if a not in cur]
         if not cands:
             break
         best = min(cands, key=lambda c: _aic_groups(pdf, "y", c))
