@@ -47,6 +47,27 @@ DERIVED = {
     "events_gaps": """
         SELECT event_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value
         FROM events""",
+    # a key with NULLs beside gaps in the value
+    "orders_null_keys": """
+        SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderpriority END AS priority,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS price
+        FROM orders""",
+    # NaN and NULL side by side
+    "orders_nan": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN CAST('NaN' AS DOUBLE)
+               ELSE CAST(o_orderkey % 11 AS DOUBLE) END AS v
+        FROM orders""",
+    # features of very different width: a key up to about 10^11 beside a discount
+    "lineitem_wide": """
+        SELECT l_orderkey * 1000000 AS wide_key, l_linenumber, l_discount,
+               CASE WHEN (l_orderkey + l_linenumber) % 10 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice
+        FROM lineitem""",
+    # a class that follows the quantity but for one row in twenty
+    "lineitem_classes": """
+        SELECT l_orderkey, l_linenumber, l_quantity,
+               CASE WHEN (l_orderkey + 3 * l_linenumber) % 20 = 0 THEN 'odd' WHEN l_quantity <= 12 THEN 'low'
+                    WHEN l_quantity <= 33 THEN 'mid' ELSE 'high' END AS class
+        FROM lineitem""",
     # exact duplicates: two categorical columns of orders
     "orders_dups": "SELECT o_orderstatus, o_orderpriority FROM orders",
     # mixed case and padding (spaces and a tab)

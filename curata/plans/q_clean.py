@@ -178,10 +178,66 @@ def c7_regression_impute(spark, sf_dir):
     return rnd(missing.handle_missing(df, "l_extendedprice", "regression", features=["l_quantity"]), 4)
 
 
-@query("c7_regression_impute_all_features")
+def _ols_sql(src: str, keys: list[str], feats: list[str], target: str, digits: int) -> str:
+    """Least squares on all features at once: each centred feature less its projections on those before it."""
+    ctes = [f"t0 AS (SELECT * FROM src WHERE {target} IS NOT NULL AND " + " AND ".join(f"{f} IS NOT NULL" for f in feats) + ")"]
+    means = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m{i}" for i, f in enumerate(feats))
+    ctes.append(f"mean AS (SELECT {means}, avg({target}) AS my FROM t0)")
+    # e{i} holds feature i made orthogonal to features 0..i-1, on all rows; q{i} its coefficients
+    centred = ", ".join(f"CAST({f} AS DOUBLE) - m{i} AS e{i}" for i, f in enumerate(feats))
+    ctes.append(f"w0 AS (SELECT src.*, {centred}, {target} IS NOT NULL AND " + " AND ".join(f"{f} IS NOT NULL" for f in feats) + " AS fit FROM src, mean)")
+    for i in range(1, len(feats)):
+        coef = ", ".join(f"sum(e{i} * e{j}) / sum(e{j} * e{j}) AS b{i}_{j}" for j in range(i))
+        ctes.append(f"q{i} AS (SELECT {coef} FROM w{i - 1} WHERE fit)")
+        less = " - ".join([f"e{i}", *(f"b{i}_{j} * e{j}" for j in range(i))])
+        ctes.append(f"w{i} AS (SELECT * REPLACE ({less} AS e{i}) FROM w{i - 1}, q{i})")
+    last = len(feats) - 1
+    ctes.append("g AS (SELECT " + ", ".join(f"sum(({target} - my) * e{i}) / sum(e{i} * e{i}) AS g{i}" for i in range(len(feats))) + f" FROM w{last}, mean WHERE fit)")
+    pred = "my + " + " + ".join(f"g{i} * e{i}" for i in range(len(feats)))
+    return ",\n".join(ctes) + f"\nSELECT {', '.join(keys)}, round(COALESCE({target}, {pred}), {digits}) AS {target} FROM w{last}, mean, g"
+
+
+@query(
+    "c7_regression_impute_all_features",
+    with_derived("lineitem_gaps", "").rstrip()
+    + ",\n"
+    + _ols_sql("lineitem_gaps", ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"], ["l_orderkey", "l_linenumber", "l_quantity", "l_discount"], "l_extendedprice", 4),
+)
 def c7_regression_impute_all_features(spark, sf_dir):
-    """All other numeric columns as features (rows-only check; unit-tested against numpy)."""
-    return missing.handle_missing(derived(spark, sf_dir, "lineitem_gaps"), "l_extendedprice", "regression")
+    """All other numeric columns as features."""
+    return rnd(missing.handle_missing(derived(spark, sf_dir, "lineitem_gaps"), "l_extendedprice", "regression"), 4, ["l_extendedprice"])
+
+
+@query(
+    "c7_regression_impute_wide_key",
+    with_derived("lineitem_wide", "").rstrip()
+    + ",\n"
+    + _ols_sql("lineitem_wide", ["wide_key", "l_linenumber", "l_discount"], ["wide_key", "l_linenumber", "l_discount"], "l_extendedprice", 4),
+)
+def c7_regression_impute_wide_key(spark, sf_dir):
+    """Features whose widths differ by twelve orders of magnitude."""
+    return rnd(missing.handle_missing(derived(spark, sf_dir, "lineitem_wide"), "l_extendedprice", "regression"), 4, ["l_extendedprice"])
+
+
+def _nan_query(method: str, **kw):
+    def fn(spark, sf_dir):
+        return missing.handle_missing(derived(spark, sf_dir, "orders_nan"), "v", method, **kw)
+
+    return fn
+
+
+_GOOD = "v IS NOT NULL AND NOT isnan(v)"
+query(
+    "c3_impute_mode_nan",
+    with_derived("orders_nan", f"SELECT o_orderkey, CASE WHEN {_GOOD} THEN v ELSE (SELECT v FROM src WHERE {_GOOD} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) END AS v FROM src"),
+)(_nan_query("mode"))
+query("c4_impute_constant_nan", with_derived("orders_nan", f"SELECT o_orderkey, CASE WHEN {_GOOD} THEN v ELSE 42.5 END AS v FROM src"))(_nan_query("constant", constant=42.5))
+query("c5_remove_rows_nan", with_derived("orders_nan", f"SELECT o_orderkey, v FROM src WHERE {_GOOD}"))(_nan_query("remove_row"))
+
+
+@query("f1_drop_null_rows_nan", with_derived("orders_nan", f"SELECT o_orderkey, v FROM src WHERE {_GOOD}"))
+def f1_drop_null_rows_nan(spark, sf_dir):
+    return schema.drop_null_rows(derived(spark, sf_dir, "orders_nan"), "v")
 
 
 @query("c8_boosted_tree_impute")
@@ -242,21 +298,50 @@ def c11_linear_trend(spark, sf_dir):
     return rnd(smoothing.linear_trend(df, "value", ["ts", "event_id"]).select("event_id", "value"))
 
 
-@query("c12_lowess")
+def _lowess_sql(frac: float, rounds: int, degree: int) -> str:
+    """Local regression over row positions: every point against its k nearest fitted points, O(m * k)."""
+    ctes = [
+        "p AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS x FROM src)",
+        "f AS MATERIALIZED (SELECT event_id, CAST(x AS DOUBLE) AS x, value AS y, row_number() OVER (ORDER BY x) - 1 AS r FROM p WHERE value IS NOT NULL)",
+        f"c AS MATERIALIZED (SELECT m, greatest(2, least(m, CAST(floor({frac} * m + 1e-10) AS BIGINT))) AS k, rng FROM (SELECT count(*) AS m, max(x) - min(x) AS rng FROM f))",
+        "g AS MATERIALIZED (SELECT (a.x + b.x) / 2 AS g FROM f a, c, f b WHERE b.r = a.r + c.k)",
+        # g does not fall with its place, so its rank among all is the number of smaller ones
+        "u AS (SELECT v, sum(n) AS n FROM (SELECT g AS v, 1 AS n FROM g UNION ALL SELECT x, 0 FROM f) GROUP BY v)",
+        "s AS MATERIALIZED (SELECT v, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM u)",
+        "w AS (SELECT f.r, f.x, least(CAST(below AS BIGINT), m - k) AS l FROM f JOIN s ON s.v = f.x, c)",
+        "win AS MATERIALIZED (SELECT w.r, w.x, l, greatest(w.x - a.x, b.x - w.x) AS h FROM w, c, f a, f b WHERE a.r = l AND b.r = l + k - 1)",
+        "k0 AS (SELECT r, 1.0 AS rw FROM f)",
+    ]
+    if degree == 1:
+        line = "CASE WHEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0)) > 0.001 * rng THEN t0 / s0 - ((t1 / s0 - (s1 / s0) * (t0 / s0)) / (s2 / s0 - (s1 / s0) * (s1 / s0))) * (s1 / s0) ELSE t0 / s0 END"
+    else:
+        det = "(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2))"
+        line = f"CASE WHEN abs({det}) > 1e-12 THEN (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / {det} ELSE t0 / s0 END"
+    for i in range(rounds + 1):
+        tri = "CASE WHEN abs(f.x - win.x) / h <= 0.001 THEN 1.0 WHEN abs(f.x - win.x) / h > 0.999 THEN 0.0 ELSE pow(1 - pow(abs(f.x - win.x) / h, 3), 3) END"
+        sums = ", ".join([f"sum(t * pow(d, {j})) AS s{j}" for j in range(5)] + [f"sum(t * pow(d, {j}) * y) AS t{j}" for j in range(3)])
+        ctes.append(f"n{i} AS (SELECT win.r, f.x - win.x AS d, f.y, {tri} * rw AS t FROM win, c, f JOIN k{i} ON k{i}.r = f.r WHERE f.r BETWEEN l AND l + k - 1)")
+        ctes.append(f"f{i} AS MATERIALIZED (SELECT r, {line} AS fit FROM (SELECT r, {sums} FROM n{i} GROUP BY r), c)")
+        if i < rounds:
+            ctes.append(f"e{i} AS MATERIALIZED (SELECT f.r, abs(y - fit) AS e FROM f JOIN f{i} ON f{i}.r = f.r)")
+            q = f"(e / (SELECT 6 * quantile_cont(e, 0.5) FROM e{i}))"
+            ctes.append(f"k{i + 1} AS MATERIALIZED (SELECT r, CASE WHEN {q} <= 0.001 THEN 1.0 WHEN {q} > 0.999 THEN 0.0 ELSE pow(1 - {q} * {q}, 2) END AS rw FROM e{i})")
+    last = f"SELECT p.event_id, round(fit, 6) AS value FROM p LEFT JOIN f ON f.event_id = p.event_id LEFT JOIN f{rounds} ON f{rounds}.r = f.r"
+    return with_derived("events_gaps", "").rstrip() + ",\n" + ",\n".join(ctes) + "\n" + last
+
+
+@query("c12_lowess", _lowess_sql(0.3, 3, 1))
 def c12_lowess(spark, sf_dir):
-    """LOWESS (frac 0.3, 3 robust rounds) over the whole events table: the
-    exact smoother while m * k <= 50M neighbour rows (sf0.01), anchored
-    interpolation above; both checked against a numpy brute force in tests."""
+    """LOWESS (frac 0.3, 3 robust rounds) over the whole events table."""
     df = derived(spark, sf_dir, "events_gaps")
-    return smoothing.lowess(df, "value", ["ts", "event_id"]).select("event_id", "value")
+    return rnd(smoothing.lowess(df, "value", ["ts", "event_id"]).select("event_id", "value"))
 
 
-@query("c13_loess_quadratic")
+@query("c13_loess_quadratic", _lowess_sql(0.75, 0, 2))
 def c13_loess_quadratic(spark, sf_dir):
-    """Degree-2 local regression, span 0.75, no robustness rounds (exact or
-    anchored by the same work budget)."""
+    """Degree-2 local regression, span 0.75, no robustness rounds."""
     df = derived(spark, sf_dir, "events_gaps")
-    return smoothing.lowess(df, "value", ["ts", "event_id"], frac=0.75, iterations=0, degree=2).select("event_id", "value")
+    return rnd(smoothing.lowess(df, "value", ["ts", "event_id"], frac=0.75, iterations=0, degree=2).select("event_id", "value"))
 
 
 # --- C14-C21 ----------------------------------------------------------------------------------------
@@ -402,10 +487,14 @@ def c21_rare_replace(spark, sf_dir):
     return outliers.rare_categories(docs, "lang", _RARE_T, "proportion", "replace")
 
 
-@query("c21_rare_count_remove", "SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY 1 HAVING count(*) < 50)")
+_NATIONS = "SELECT c_custkey, c_nationkey || '/' || c_mktsegment AS kind FROM customer"
+
+
+@query("c21_rare_count_remove", f"WITH src AS ({_NATIONS}) SELECT c_custkey, kind FROM src WHERE kind NOT IN (SELECT kind FROM src GROUP BY 1 HAVING count(*) < 12)")
 def c21_rare_count_remove(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return outliers.rare_categories(docs, "source", 50, "count", "remove")
+    """Kinds of customers (nation and segment) seen under 12 times go."""
+    kind = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment")
+    return outliers.rare_categories(table(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind")), "kind", 12, "count", "remove")
 
 
 # --- C22-C25 -----------------------------------------------------------------------------------------

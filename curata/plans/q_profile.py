@@ -371,6 +371,30 @@ GROUP BY ALL""",
 )(_agg_query("mad", 4))
 
 
+def _null_key_query(func: str):
+    def fn(spark, sf_dir):
+        return rnd(agg_ops.aggregate(derived(spark, sf_dir, "orders_null_keys"), ["priority"], func, "price"), 4)
+
+    return fn
+
+
+query("a6_group_median_null_keys", with_derived("orders_null_keys", "SELECT priority, round(quantile_cont(price, 0.5), 4) AS agg_value FROM src GROUP BY 1"))(
+    _null_key_query("median")
+)
+query(
+    "a8_group_iqr_null_keys",
+    with_derived("orders_null_keys", "SELECT priority, round(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 4) AS agg_value FROM src GROUP BY 1"),
+)(_null_key_query("iqr"))
+query(
+    "a8_group_mad_null_keys",
+    with_derived(
+        "orders_null_keys",
+        """SELECT src.priority, round(quantile_cont(abs(price - med), 0.5) * 1.4826, 4) AS agg_value
+FROM src JOIN (SELECT priority, quantile_cont(price, 0.5) AS med FROM src GROUP BY 1) m ON m.priority IS NOT DISTINCT FROM src.priority GROUP BY 1""",
+    ),
+)(_null_key_query("mad"))
+
+
 @query(
     "a8_group_prod",
     "SELECT p_brand, round(ln(product(1 + p_size / 1000.0)), 6) AS agg_value FROM part GROUP BY p_brand",

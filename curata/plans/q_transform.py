@@ -10,7 +10,7 @@ from curata.operators import discretize as disc
 from curata.operators import encode as enc
 from curata.operators import scale, skew
 from curata.plans.catalog import query, rnd
-from curata.plans.inputs import table
+from curata.plans.inputs import derived, table, with_derived
 
 CUST = "c_custkey, c_nationkey, {v}, c_mktsegment"
 
@@ -253,6 +253,17 @@ def d3_kmeans(spark, sf_dir):
     return disc.discretize(o, "o_totalprice", "kmeans")
 
 
+@query(
+    "d4_entropy_mdlp_classes",
+    with_derived("lineitem_classes", "SELECT l_orderkey, l_linenumber, class, CAST(CASE WHEN l_quantity > 33 THEN 3 WHEN l_quantity > 12 THEN 2 ELSE 1 END AS INTEGER) AS code FROM src"),
+)
+def d4_entropy_mdlp_classes(spark, sf_dir):
+    """Supervised MDLP cuts of the quantity against a class with three levels of it and some noise."""
+    df = derived(spark, sf_dir, "lineitem_classes")
+    out = disc.discretize(df, "l_quantity", "entropy", target="class")
+    return out.select("l_orderkey", "l_linenumber", "class", F.col("l_quantity_discretized").alias("code"))
+
+
 @query("d4_entropy_mdlp")
 def d4_entropy_mdlp(spark, sf_dir):
     """Supervised MDLP cuts of document length against the quality label."""
