@@ -9,11 +9,12 @@ the library as a whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-KEEP = 600_000  # words, and runs, whose ids a worker remembers
+KEEP = 500_000  # words, and runs, whose ids a worker remembers; as many of the generation before
 # Letters and numbers of Latin-1 in lower case; beyond it the library cuts the text.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
@@ -41,6 +42,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def encode(self, utf8: bytes) -> bytes:
@@ -52,27 +54,32 @@ class WordEncoder:
             return b"".join([table[w] for w in words])
         except KeyError:
             if len(table) > KEEP:
-                table.clear()
+                self.older, self.words = table, {}
+                table = self.words
+            known = self.older.get
             for w in set(words).difference(table):
-                table[w] = self._word(w.decode())
+                table[w] = known(w) or self._word(w.decode())
             return b"".join([table[w] for w in words])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self._run(word.lower())
         if not _PLAIN.fullmatch(word):
             return self._whole(word)
-        out = []
-        for run in _RUNS.findall(word.lower()):
-            ids = self.runs.get(run)
-            if ids is None:
-                if len(self.runs) > KEEP:
-                    self.runs.clear()
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(run.translate(_TO_SIGNS))], dtype=self.kind).tobytes()
-                self.runs[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._run(run) for run in _RUNS.findall(word.lower())])
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            if len(self.runs) > KEEP:
+                self.runs.clear()
+            signs = run if run.isascii() and run.isalnum() else run.translate(_TO_SIGNS)
+            ids = array(self.kind.char, [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
+            self.runs[run] = ids
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
