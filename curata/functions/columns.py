@@ -72,13 +72,14 @@ def null_tokens(c: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:
 def title_case(c: Column) -> Column:
     """Capitalise every run of letters (Python ``str.title`` rule).
 
-    ``initcap`` alone splits at spaces only; here the text is cut into runs of
-    letters and runs of non-letters and each run is capitalised.
+    ``initcap`` splits at spaces only, so each run of letters gets a mark and a
+    space before it, which are taken out again after ``initcap``.  The mark is
+    a private-use character; a text that holds it already is cut into runs.
     """
+    mark = "\ue000 "
+    marked = F.initcap(F.regexp_replace(F.lower(c), "(\\p{L}+)", mark + "$1"))
     runs = F.regexp_extract_all(F.lower(c), F.lit("(\\p{L}+|\\P{L}+)"), 1)
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
-        F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
-    )
+    return F.when(c.contains(mark[0]), F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")).otherwise(F.replace(marked, F.lit(mark), F.lit("")))
 
 
 def trim_whitespace(c: Column) -> Column:

@@ -240,9 +240,8 @@ def solve_normal(sxx, sxy):
 
 def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True, non_null: list | None = None):
     """(n, means, sample covariance matrix) of column expressions, in two
-    cheap passes: means (and the row count), then sums of products of the
-    mean-shifted values -- plain ``sum`` buffers instead of one central-moment
-    aggregate per pair, and numerically stable because of the shift.
+    passes: means (and the row count), then the products of the mean-shifted
+    values (``pairwise_sums``), numerically stable because of the shift.
 
     With ``complete`` only rows where every expression is non-NULL are used.
     ``non_null``, when given, receives each expression's non-NULL count from
@@ -269,14 +268,41 @@ def comoments(df: DataFrame, exprs: Sequence[Column], complete: bool = True, non
     means = np.array([np.nan if first[f"a{i}"] is None else first[f"a{i}"] for i in range(p)])
     if n == 0:
         return 0, means, np.full((p, p), np.nan)
-    d = [F.col(f"_m{i}") - F.lit(float(means[i])) for i in range(p)]
-    sums = [F.sum(d[i]).alias(f"s{i}") for i in range(p)]
-    prods = [F.sum(d[i] * d[j]).alias(f"p{i}_{j}") for i in range(p) for j in range(i, p)]
-    row = sub.agg(*sums, *prods).first()
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    cov = np.full((p, p), np.nan)
-    if n > 1:
-        for i in range(p):
-            for j in range(i, p):
-                cov[i, j] = cov[j, i] = (row[f"p{i}_{j}"] - s[i] * s[j] / n) / (n - 1)
+    _, x, _, xy = pairwise_sums(sub, means)
+    s = np.diag(x)
+    cov = (xy - np.outer(s, s) / n) / (n - 1) if n > 1 else np.full((p, p), np.nan)
     return n, means + s / n, cov
+
+
+def pairwise_sums(df: DataFrame, means: Sequence[float]):
+    """For DOUBLE columns, four p x p arrays over the rows where columns i and j
+    are both present, values less ``means``: their number, the sum of i, the sum
+    of i squared and the sum of i times j.
+
+    One scan whatever the number of columns: every task multiplies its batches
+    as matrices and returns p * p partial sums.
+    """
+    import numpy as np
+
+    p = len(df.columns)
+    shift = np.array([0.0 if m is None or np.isnan(m) else float(m) for m in means])
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            z = np.where(there, x - shift, 0.0)
+            m = there.astype(float)
+            total += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+        i, j = np.indices((p, p)).reshape(2, -1)
+        names = ["i", "j", "n", "x", "xx", "xy"]
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(t.reshape(-1)) for t in total]], names)
+
+    rows = df.mapInArrow(partial, "i long, j long, n double, x double, xx double, xy double")
+    out = np.zeros((4, p, p))
+    for r in rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "xx", "xy")]).collect():
+        out[:, r["i"], r["j"]] = r["n"], r["x"], r["xx"], r["xy"]
+    return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import count_below, numeric_column
-from curata.functions.stats import value_ranks
+from curata.functions.stats import pairwise_sums, value_ranks
 
 # Aggregate expressions per Spark job when many pairs are computed at once.
 _AGGS_PER_JOB = 600
@@ -80,12 +80,22 @@ def _long(spark, columns: Sequence[str], values: dict[tuple[str, str], float | N
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson matrix (P5): covar_samp / (sd * sd) per pair,
-    all pairs in shared aggregate jobs; a constant column gives NULL."""
-    num = {c: numeric_column(df, c) for c in columns}
-    pairs = list(combinations(columns, 2)) + [(c, c) for c in columns]
-    rs = _pearson_pairs(df, [(num[a], num[b]) for a, b in pairs])
-    return _long(df.sparkSession, columns, dict(zip(pairs, rs)))
+    """Pairwise-complete Pearson matrix (P5) in two scans, whatever the number
+    of columns; a column that is constant on a pair's rows gives NULL."""
+    import numpy as np
+
+    base = df.select(*[numeric_column(df, c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    means = base.agg(*[F.avg(f"_c{i}").alias(f"a{i}") for i in range(len(columns))]).first()
+    n, x, xx, xy = pairwise_sums(base, list(means))
+    values: dict[tuple[str, str], float | None] = {}
+    for i, j in combinations_with_replacement(range(len(columns)), 2):
+        k = n[i, j]
+        cxx, cyy = (xx[i, j] - x[i, j] ** 2 / k, xx[j, i] - x[j, i] ** 2 / k) if k >= 2 else (0.0, 0.0)
+        r = None
+        if cxx > 1e-14 * xx[i, j] and cyy > 1e-14 * xx[j, i]:
+            r = float(np.clip((xy[i, j] - x[i, j] * x[j, i] / k) / math.sqrt(cxx * cyy), -1.0, 1.0))
+        values[(columns[i], columns[j])] = r
+    return _long(df.sparkSession, columns, values)
 
 
 def with_average_ranks(df: DataFrame, column: str, rank_col: str) -> DataFrame:

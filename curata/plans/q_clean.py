@@ -46,6 +46,18 @@ def t4_null_tokens(spark, sf_dir):
     return schema.prepare(df, qualitative=["o_orderkey", "raw"])
 
 
+@query(
+    "t5_select_by_role",
+    "SELECT o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, CAST(o_orderkey AS DOUBLE) AS o_orderkey FROM orders",
+)
+def t5_select_by_role(spark, sf_dir):
+    """Both role lists at once: qualitative columns first, then quantitative ones."""
+    out = schema.prepare(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_custkey"], ["o_totalprice", "o_orderkey"])
+    if out.columns != ["o_orderpriority", "o_custkey", "o_totalprice", "o_orderkey"]:
+        raise AssertionError(out.columns)
+    return out
+
+
 @query("t6_drop_columns", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def t6_drop_columns(spark, sf_dir):
     return schema.drop_columns(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderdate", "no_such_column"])
@@ -250,6 +262,23 @@ def c9_tree_impute(spark, sf_dir):
     return missing.handle_missing(derived(spark, sf_dir, "lineitem_gaps2"), "l_extendedprice", "tree")
 
 
+@query(
+    "c9_tree_impute_bounds",
+    with_derived(
+        "lineitem_gaps2",
+        "SELECT l_orderkey, l_linenumber, l_extendedprice AS known, l_extendedprice IS NULL AS filled, TRUE AS in_range FROM src",
+    ),
+)
+def c9_tree_impute_bounds(spark, sf_dir):
+    """What holds for any tree: known values stay, every gap is filled, within the range of the known values."""
+    df = derived(spark, sf_dir, "lineitem_gaps2").withColumn("was", F.col("l_extendedprice"))
+    low, high = df.agg(F.min("was"), F.max("was")).first()
+    out = missing.handle_missing(df, "l_extendedprice", "tree", features=["l_orderkey", "l_linenumber", "l_quantity", "l_discount"])
+    value, was = F.col("l_extendedprice"), F.col("was")
+    inside = value.isNotNull() & (value >= low) & (value <= high) & (was.isNull() | (value == was))
+    return out.select("l_orderkey", "l_linenumber", F.when(was.isNotNull(), value).alias("known"), was.isNull().alias("filled"), inside.alias("in_range"))
+
+
 @query("c9_tree_impute_text")
 def c9_tree_impute_text(spark, sf_dir):
     df = derived(spark, sf_dir, "orders_text_gaps")

@@ -253,6 +253,42 @@ def p6_profile_bundle(spark, sf_dir):
         prof.release()
 
 
+_P6_NUM = [c for c, kind in P6_COLS if kind == "num"]
+_P6_TXT = [c for c, kind in P6_COLS if kind == "txt"]
+
+
+@query(
+    "p6_profile_values",
+    with_derived(
+        "orders_gaps",
+        "\nUNION ALL\n".join(
+            [f"SELECT 'categorical' AS part, '{c}' AS a, {c} AS b, CAST(count(*) AS DOUBLE) AS value FROM src WHERE {c} IS NOT NULL GROUP BY {c}" for c in _P6_TXT]
+            + [f"SELECT 'numerical' AS part, column_name AS a, CAST(bin AS VARCHAR) AS b, CAST(count AS DOUBLE) AS value FROM ({_p4_sql_v2('src', c)})" for c in _P6_NUM]
+            + [f"SELECT 'correlation' AS part, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS value FROM src" for a in _P6_NUM for b in _P6_NUM]
+            + [f"SELECT 'columns' AS part, '{c}' AS a, 'missing' AS b, CAST(count(*) - count({c}) AS DOUBLE) AS value FROM src" for c, _ in P6_COLS]
+        ),
+    ),
+)
+def p6_profile_values(spark, sf_dir):
+    """The values of every part of the whole profile in long form."""
+    prof = profile.profile(derived(spark, sf_dir, "orders_gaps"))
+    try:
+        long = lambda df, part, a, b, value: df.select(
+            F.lit(part).alias("part"), F.col(a).alias("a"), b.cast("string").alias("b"), value.cast("double").alias("value")
+        )
+        missing = next(c for c in prof.columns.columns if "missing" in c and "per" not in c)
+        parts = [
+            long(prof.categorical, "categorical", "column_name", F.col("label"), F.col("count")),
+            long(prof.numerical, "numerical", "column_name", F.col("bin"), F.col("count")),
+            long(prof.correlation, "correlation", "col_a", F.col("col_b"), F.round("r", 6)),
+            long(prof.columns, "columns", prof.columns.columns[0], F.lit("missing"), F.col(missing)),
+        ]
+        rows = [tuple(r) for p in parts for r in p.collect()]  # a few dozen figures, before the cached input goes
+        return spark.createDataFrame(rows, "part string, a string, b string, value double")
+    finally:
+        prof.release()
+
+
 # --- P5 / P7 / P8 -----------------------------------------------------------------------------
 
 P5_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount"]

@@ -17,6 +17,19 @@ def r1_pca(spark, sf_dir):
     return rnd(red.pca_reduce(table(spark, sf_dir, "lineitem"), 0.9))
 
 
+@query(
+    "r1_pca_two_columns",
+    """WITH z AS (SELECT p_partkey, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_samp(p_size) FROM part) AS a,
+       (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_samp(p_retailprice) FROM part) AS b FROM part),
+r AS (SELECT CASE WHEN corr(p_size, p_retailprice) >= 0 THEN 1 ELSE -1 END AS s FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, round((a + s * b) / sqrt(2), 6) + 0.0 AS PC1, round((a - s * b) / sqrt(2), 6) + 0.0 AS PC2 FROM z, r""",
+)
+def r1_pca_two_columns(spark, sf_dir):
+    """Two weakly correlated columns: the closed form (z1 + z2, z1 - z2) / sqrt 2, both components kept."""
+    part = table(spark, sf_dir, "part")
+    return rnd(red.pca_reduce(part.select(part.p_partkey.cast("string").alias("p_partkey"), part.p_size.cast("double").alias("p_size"), "p_retailprice"), 0.9))
+
+
 for _dir in ("forward", "backward", "both"):
 
     def _fn(spark, sf_dir, _dir=_dir):
