@@ -37,6 +37,9 @@ from curata.llm.common import shuffle_partitions, text_or_empty, utf8_buffers, w
 
 STEP = 32  # starts of a class in round 2
 ROWS = 1 << 16  # tuples that a task works on together
+# Cores with very many tuples are dealt out over several tasks; a sample of the texts tells which (routes alone depend
+# on it, never results).  The list is bounded; a core it misses is streamed by one task.
+SAMPLE, HEAVY, HEAVY_CORES, SALTS = 16, 1 << 16, 2000, 16
 TAG_BITS = 17
 # A tuple's spot: the anchor's place, whether equal tuples were merged into it, the text's tag, the bytes served before
 # the place and after the first start.
@@ -95,9 +98,10 @@ def _batch(*columns: np.ndarray, names: str = TUPLE) -> pa.RecordBatch:
 SETTLED = "open long, core long, text_key long, tag long, place long, first long, last long, many long"
 
 
-def _first_round(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_round(source: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of tuples sorted by core and outer: settled starts (open 0), and one tuple of each outer of a core that has
-    several (open 1; many: its starts are settled, others may repeat them).
+    several (open 1; many: its starts are settled, others may repeat them).  A heavy core, whose outers are dealt out,
+    counts as one with several.
 
     Works on bounded stretches; only the last run of equal tuples and the core before it are carried on.
     """
@@ -126,6 +130,7 @@ def _first_round(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[:-1] |= c[1:] == c[:-1]
         same[0] |= before is not None and c[0] == before
         same[-1] |= following is not None and c[-1] == following
+        same |= np.isin(c, heavy)
         before = int(c[-1])
         own = at[same]
         yield _batch(np.ones(len(own)), core[own], key[own], tag[own], place[own], first[own], last[own], repeated[same], names=SETTLED)
@@ -223,11 +228,22 @@ def _induced(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield work(pa.Table.from_batches(held))
 
 
+def _heavy_cores(keyed: DataFrame) -> list[int]:
+    """The cores with the most tuples in a sample of the texts, HEAVY_CORES at most, if they have HEAVY in all texts."""
+    sample = keyed.filter((F.pmod("text_key", F.lit(SAMPLE)) == 0) & (F.octet_length("text") >= LENGTH)).select("text_key", "tag", "text")
+    counts = sample.mapInArrow(_tuples, TUPLE).filter("stop < 0").groupBy("core").count().filter(F.col("count") >= HEAVY // SAMPLE)
+    return [r.core for r in counts.orderBy(F.desc("count"), "core").limit(HEAVY_CORES).collect()]
+
+
 def repeated_starts(keyed: DataFrame) -> DataFrame:
     """Of (text_key, tag, text): ranges of starts whose LENGTH bytes also start elsewhere (columns of RANGES)."""
     parts = shuffle_partitions(keyed.sparkSession)
     tuples = keyed.filter(F.octet_length("text") >= LENGTH).select("text_key", "tag", "text").mapInArrow(_tuples, TUPLE)
-    first = written(tuples.repartition(parts, "core").sortWithinPartitions("core", "outer").mapInArrow(_first_round, SETTLED))
+    heavy = _heavy_cores(keyed)
+    salt = F.when(F.col("core").isin(heavy), F.pmod("outer", F.lit(SALTS))).otherwise(F.lit(0)) if heavy else F.lit(0)
+    listed = np.array(heavy, dtype=np.int64)
+    dealt = tuples.withColumn("salt", salt).repartition(parts, "core", "salt").drop("salt").sortWithinPartitions("core", "outer")
+    first = written(dealt.mapInArrow(lambda source: _first_round(source, listed), SETTLED))
     settled = first.filter("open = 0").select("text_key", "tag", "first", "last")
     asked = first.filter("open = 1").groupBy("text_key", "tag").agg(F.collect_list(F.struct("place", "first", "last", "many")).alias("tuples"))
     texts = keyed.select("text_key", "tag", "text").dropDuplicates(["text_key", "tag"])

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from curata.llm import anchors
+from curata.llm import anchors, suffixes
 from curata.llm.queries import QUERIES
 from curata.llm.suffixes import dedup_substrings
 
@@ -77,6 +77,19 @@ def test_edges(spark):
     check(spark, [], 1)
 
 
+def test_heavy_cores_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HEAVY", 32)
+    monkeypatch.setattr(suffixes, "SAMPLE", 2)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage, longer = word(190), word(230)
+    texts = [word(rng.randint(150, 250)) + (passage if i % 2 else longer) + word(rng.randint(100, 250)) for i in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) AS text_key", "0L AS tag").repartition(40)
+    assert suffixes._heavy_cores(keyed)
+    check(spark, texts, 40)
+
+
 def test_kept_bytes_and_null_ids(spark):
     t = "é" * 100 + "0123456789" * 3
     docs = spark.createDataFrame([(None, "abc" + t), (7, t), (7, t[:50])], "doc_id long, text string")
