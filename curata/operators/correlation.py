@@ -107,38 +107,58 @@ def with_average_ranks(df: DataFrame, column: str, rank_col: str) -> DataFrame:
     return keyed.join(ranks, "_rx", "left").drop("_rx")
 
 
+def _rank_of(before, count):
+    return F.col(before) + (F.col(count) + 1) / 2.0
+
+
+def _spearman_whole(base: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """All pairs of columns without a NULL."""
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(columns)])
+    ranks = value_ranks(base.select(F.explode(cells).alias("_p")).select("_p.*"), "v", by=["c"])
+    ranked = base.select(*[F.col(f"`{c}`").alias(f"_v{i}") for i, c in enumerate(columns)])
+    for i in range(len(columns)):
+        own = ranks.where(F.col("c") == i).select(F.col("v").alias(f"_v{i}"), _rank_of("_before", "_cnt").alias(f"_r{i}"))
+        ranked = ranked.join(own, f"_v{i}")
+    rows = ranked.select(*[f"_r{i}" for i in range(len(columns))])
+    middle = (base.count() + 1) / 2.0  # the mean of average ranks
+    n, _, xx, xy = pairwise_sums(rows, [middle] * len(columns))
+    values: dict[tuple[str, str], float | None] = {}
+    for i, j in combinations(range(len(columns)), 2):
+        varies = n[i, j] > 1 and xx[i, j] > 0 and xx[j, i] > 0
+        values[(columns[i], columns[j])] = max(-1.0, min(1.0, float(xy[i, j] / math.sqrt(xx[i, j] * xx[j, i])))) if varies else None
+    return values
+
+
+def _spearman_pairs(base: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Each pair on its own complete rows, all in one long frame."""
+    items = [F.struct(F.lit(k).alias("pid"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for k, (a, b) in enumerate(pairs)]
+    long = base.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    rx = value_ranks(long.select("pid", "x"), "x", by=["pid"]).select("pid", "x", _rank_of("_before", "_cnt").alias("rx"))
+    ry = value_ranks(long.select("pid", "y"), "y", by=["pid"]).select("pid", "y", _rank_of("_before", "_cnt").alias("ry"))
+    ranked = long.join(rx, ["pid", "x"]).join(ry, ["pid", "y"])
+    stats = ranked.groupBy("pid").agg(F.covar_samp("rx", "ry").alias("cv"), F.stddev_samp("rx").alias("sx"), F.stddev_samp("ry").alias("sy"))
+    values: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    for r in stats.collect():
+        cv, sx, sy = r["cv"], r["sx"], r["sy"]
+        ok = cv is not None and sx and sy and not math.isnan(cv)
+        values[pairs[r["pid"]]] = max(-1.0, min(1.0, cv / (sx * sy))) if ok else None
+    return values
+
+
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Spearman matrix (P7): Pearson on average ranks.
 
-    All pairs at once: rows are unpivoted to (pair, x, y) keeping the pair's
-    complete rows, average ranks of x and of y come from distributed running
-    counts grouped by pair, and one grouped aggregate gives every r.
+    Columns without a NULL have the same ranks in every pair: each is ranked
+    once and all their pairs come from one pass over the rank columns.  Pairs
+    with a column that has NULLs are ranked on their own complete rows.
     """
     base = df.select(*[numeric_column(df, c).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    values: dict[tuple[str, str], float | None] = {}
+    holes = base.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+    whole = [c for i, c in enumerate(columns) if not holes[f"h{i}"]]
+    values = _spearman_whole(base, whole) if len(whole) > 1 else {}
+    pairs = [p for p in combinations(columns, 2) if p not in values]
     if pairs:
-        items = [
-            F.struct(F.lit(k).alias("pid"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
-            for k, (a, b) in enumerate(pairs)
-        ]
-        long = base.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(
-            F.col("x").isNotNull() & F.col("y").isNotNull()
-        )
-        rx = value_ranks(long.select("pid", "x"), "x", by=["pid"]).select(
-            "pid", "x", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("rx")
-        )
-        ry = value_ranks(long.select("pid", "y"), "y", by=["pid"]).select(
-            "pid", "y", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("ry")
-        )
-        ranked = long.join(rx, ["pid", "x"]).join(ry, ["pid", "y"])
-        stats = ranked.groupBy("pid").agg(
-            F.covar_samp("rx", "ry").alias("cv"), F.stddev_samp("rx").alias("sx"), F.stddev_samp("ry").alias("sy")
-        )
-        for r in stats.collect():
-            cv, sx, sy = r["cv"], r["sx"], r["sy"]
-            ok = cv is not None and sx and sy and not math.isnan(cv)
-            values[pairs[r["pid"]]] = max(-1.0, min(1.0, cv / (sx * sy))) if ok else None
+        values |= _spearman_pairs(base, pairs)
     # the diagonal: 1 when the column varies, else undefined
     sd = base.agg(*[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)]).first()
     for i, c in enumerate(columns):
