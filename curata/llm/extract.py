@@ -42,8 +42,12 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+# Names with such words speak of the page's state or of topics, not of what the container is: no-sidebar, comments-open, category-legal.
+STATE_WORDS = frozenset("no not non without with has open closed enabled disabled free off on category cat tag term topic status format".split())
+# How surely a container is no main text: by a compound name, form or header; by a plain name or an element; by being hidden.
+WEAK, SURE, HIDDEN = 1, 2, 3
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,12 +61,48 @@ class Block:
     heading: bool
 
 
+def _claims(name: str, attributes: str) -> tuple[int, int]:
+    """How surely a container's element and names say other (0, WEAK, SURE, HIDDEN) and content (0, WEAK, SURE)."""
+    other = SURE if name in OTHER_TAGS and name not in ("form", "header") else WEAK if name in OTHER_TAGS else 0
+    content = SURE if name == "main" else 0
+    own = False  # names itself content in a plain name
+    for hit in _ATTRIBUTE.finditer(attributes):
+        key, value = hit[1].lower(), hit[2] or hit[3] or hit[4] or ""
+        if key == "hidden" and value.lower() != "false" or key == "style" and _UNSEEN.search(value):
+            return HIDDEN, content
+        if key not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            words = {w.lower() for w in _WORD.findall(token)}
+            if not words or words & STATE_WORDS:
+                continue
+            if words <= OTHER_WORDS:
+                other = max(other, SURE)
+            elif words & OTHER_WORDS or token == "hidden":
+                other = max(other, WEAK)
+            elif words & CONTENT_WORDS:
+                own = True
+                if key == "role" and token == "main":
+                    content = SURE
+    if other == WEAK and (own or content) and name not in ("form", "header"):
+        other = 0
+    if other == 0 and not content and (own or name in CONTENT_TAGS):
+        content = WEAK
+    return other, content
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order: character references decoded, white space runs one space, empty blocks left out."""
+    """The page's text blocks in order: character references decoded, white space runs one space, empty blocks left out.
+
+    A container inside another speaks for itself: main text in a container of a doubtful name, or in a form or header, is
+    main text; <main> is wherever it stands.  A form around half of the page's words or more says nothing.
+    """
     out: list[Block] = []
+    forms: list[int] = []  # of each block: the form whose words alone make it other, or -1
+    words_in: list[int] = []  # of each form
     parts: list[str] = []
     linked: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, -1)]  # name, other, content, form, form that counts
     in_link, heading = False, False
 
     def close() -> None:
@@ -71,7 +111,11 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = sum(len(p.split()) for p, a in zip(parts, linked, strict=True) if a)
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(n, words), stack[-1][1], stack[-1][2], heading))
+                _, other, content, form, counts = stack[-1]
+                out.append(Block(text, words, min(n, words), other > 0, content, heading))
+                forms.append(counts)
+                if form >= 0:
+                    words_in[form] += words
             parts.clear()
             linked.clear()
 
@@ -102,22 +146,26 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
             continue
-        _, other, content = stack[-1]
-        attributes = m["attributes"]
-        words = set()
-        if attributes and name != "body":  # what the body's classes say holds for all of the page
-            for hit in _NAMES.finditer(attributes):
-                words.update(w.lower() for w in _WORD.findall(hit[1] or hit[2] or hit[3] or ""))
-            if _HIDDEN.search(attributes):
-                other = True
-        if name in CONTENT_TAGS or words & CONTENT_WORDS:
+        _, other, content, form, counts = stack[-1]
+        # what the body's classes say holds for all of the page
+        says_other, says_content = (0, 0) if name == "body" else _claims(name, m["attributes"] or "")
+        # the header of an article or of the main text holds its title
+        if says_other < HIDDEN and name == "header" and any(x[0] in CONTENT_TAGS for x in stack):
+            says_other = 0
+        if says_content and other <= says_content:
+            other, counts = 0, -1
+        if says_content:
             content = True
-        # the header of an article holds its title; what names itself a comment or advert is one wherever it stands
-        titled = name == "header" and any(x[0] == "article" for x in stack)
-        if (name in OTHER_TAGS or words & OTHER_WORDS) and not titled:
-            other = True
-        stack.append((name, other, content))
+        if name == "form" and says_other < SURE:
+            says_other = 0
+            if form < 0:
+                words_in.append(0)
+                form = counts = len(words_in) - 1
+        stack.append((name, max(other, says_other), content, form, counts))
     close()
+    half = sum(b.words for b in out) / 2
+    for b, f in zip(out, forms, strict=True):
+        b.other = b.other or (f >= 0 and words_in[f] < half)
     return out
 
 
@@ -163,6 +211,22 @@ LABELLED = np.array(
         (25, 0.0, 70, 0.0, 65, 0.0, 1, 1, 0, 0), (6, 0.0, 40, 0.0, 50, 0.0, 1, 1, 0, 0), (3, 1.0, 40, 0.0, 2, 1.0, 1, 1, 0, 0),
         (4, 0.0, 30, 0.0, 20, 0.0, 1, 1, 1, 0), (9, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0), (45, 0.1, 6, 0.0, 0, 0.0, 1, 0, 0, 0),
         (2, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0, 0), (15, 0.0, 200, 0.0, 0, 0.0, 1, 0, 0, 0), (50, 0.4, 30, 0.0, 12, 1.0, 1, 1, 0, 0),
+        # linked adverts and link lists inside articles
+        (6, 1.0, 40, 0.0, 50, 0.0, 1, 1, 0, 0), (12, 1.0, 60, 0.0, 0, 0.0, 1, 1, 0, 0), (4, 0.8, 25, 0.0, 30, 0.1, 1, 1, 0, 0),
+        (2, 1.0, 70, 0.0, 9, 0.0, 1, 1, 1, 0), (18, 0.9, 5, 0.0, 80, 0.05, 1, 1, 0, 0), (8, 0.6, 0, 0.0, 20, 0.0, 1, 1, 0, 0),
+        # runs of short main lines without names
+        (5, 0.0, 6, 0.0, 5, 0.0, 0, 0, 0, 1), (4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 1), (7, 0.0, 7, 0.0, 4, 0.0, 0, 0, 0, 1),
+        (6, 0.0, 40, 0.0, 5, 0.0, 0, 0, 0, 1), (8, 0.0, 35, 0.0, 6, 0.0, 0, 0, 0, 1), (5, 0.0, 6, 0.0, 60, 0.0, 0, 0, 0, 1),
+        (9, 0.0, 8, 0.0, 6, 0.0, 0, 0, 0, 1), (6, 0.0, 7, 0.0, 1, 1.0, 0, 0, 0, 1), (5, 0.0, 6, 0.0, 2, 1.0, 0, 0, 0, 1),
+        (7, 0.0, 8, 0.0, 0, 0.0, 0, 0, 0, 1), (4, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0, 1),
+        (5, 0.0, 1, 1.0, 7, 0.0, 0, 0, 0, 1), (10, 0.0, 9, 0.0, 9, 0.0, 0, 0, 0, 1),
+        # running text before links
+        (40, 0.0, 30, 0.0, 8, 1.0, 0, 0, 0, 1), (90, 0.0, 60, 0.0, 12, 1.0, 0, 0, 0, 1), (30, 0.1, 2, 1.0, 6, 1.0, 0, 0, 0, 1),
+        (45, 0.0, 30, 0.0, 7, 1.0, 0, 1, 0, 1), (25, 0.05, 0, 0.0, 6, 1.0, 0, 1, 0, 1), (12, 0.0, 50, 0.0, 9, 1.0, 0, 1, 0, 1),
+        (16, 0.0, 20, 0.0, 10, 0.9, 0, 1, 0, 1), (14, 0.0, 25, 0.0, 5, 1.0, 0, 0, 0, 1), (9, 0.0, 20, 0.0, 8, 1.0, 0, 1, 1, 1),
+        (40, 0.0, 5, 0.8, 30, 0.0, 0, 0, 0, 1), (20, 0.0, 6, 0.7, 12, 0.0, 0, 1, 0, 1), (15, 0.0, 4, 0.6, 40, 0.0, 0, 0, 0, 1),
+        (8, 0.0, 9, 0.75, 25, 0.0, 0, 1, 0, 1), (60, 0.1, 8, 0.9, 7, 0.9, 0, 0, 0, 1), (26, 0.0, 6, 0.85, 9, 0.8, 0, 1, 0, 1),
+        (40, 0.0, 5, 0.8, 6, 0.5, 0, 0, 0, 1), (25, 0.0, 8, 0.6, 5, 0.0, 0, 0, 0, 1), (30, 0.0, 6, 0.7, 6, 0.0, 0, 1, 0, 1),
     ],
     dtype=np.float64,
 )

@@ -57,3 +57,29 @@ def test_query_finds_the_articles(spark):
         inner = re.sub("</?b>", "", inner)
         want = " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
         assert r.text == want and r.n_chars == len(want)
+
+
+def test_wrappers_do_not_hide_the_article():
+    for before, after in (
+        ("<div class='content no-sidebar'>", "</div>"),
+        ("<article class='post comments-open category-legal'>", "</article>"),
+        ("<form id=aspnetForm action='x'>", "</form>"),
+        ("<div class='overflow-hidden'>", "</div>"),
+        ("<div style='overflow:hidden'>", "</div>"),
+        ("<div class='with-sidebar'><main>", "</main></div>"),
+        ("<div class='sidebar'><main>", "</main></div>"),
+        ("<form><article>", "</article></form>"),
+    ):
+        assert extract.main_text(f"<body>{before}<p>{LONG}</p><p>{LONG}</p>{after}</body>") == f"{PLAIN} {PLAIN}", before
+    assert extract.main_text(f"<body><main><header><h1>The title</h1></header><p>{LONG}</p></main></body>") == f"The title {PLAIN}"
+    for inner in ("<div hidden>", "<div style='color:red; display: none'>", "<section id=comments><article>", "<div class='comment-list'><article class='comment-body'>", "<aside><div class=content>"):
+        assert extract.main_text(f"<body><article><p>{LONG}</p></article>{inner}<p>{LONG}</p></body>") == PLAIN, inner
+
+
+def test_linked_adverts_and_short_lines():
+    advert = "<div class='ad-box'><a href='x'>Buy this very good thing now</a></div>"
+    assert extract.main_text(f"<article><p>{LONG}</p>{advert}<p>{LONG}</p></article>") == f"{PLAIN} {PLAIN}"
+    lines = ["The sun went down behind the hill", "and all the birds were still", "a light came on across the bay", "and called the boats to stay"]
+    poem = "".join(f"<p>{x}</p>" for x in lines)
+    page = f"<body><div><a href=1>Home</a></div><div><a href=2>News</a></div><div><p>{LONG}</p>{poem}</div><div><a href=3>More</a></div></body>"
+    assert extract.main_text(page) == " ".join([PLAIN, *lines])
