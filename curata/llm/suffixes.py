@@ -15,7 +15,10 @@ and what the sort learns is induced to the starts in rounds:
    short of LENGTH.  The tuples now carry their bytes.  Within equal common
    bytes names are induced one byte at a time to either side, each from the
    name before it and the next byte, so that two starts have equal names if and
-   only if they have a common prefix of LENGTH bytes.
+   only if they have a common prefix of LENGTH bytes.  The tuples of a core with
+   more than CLASS of them (a passage that very many texts have in different
+   surroundings) would make classes that no task should hold: their starts go
+   by hashes of their own LENGTH bytes instead, equal ones merged in each task.
 
 Texts are known by 81 bits of hashes.  A text's bytes are shuffled twice, once
 to carry the bytes of round 2 and once to be cut; everything else is tuples.
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ ROWS = 1 << 16  # tuples that a task works on together
 # Cores with very many tuples are dealt out over several tasks; a sample of the texts tells which (routes alone depend
 # on it, never results).  The list is bounded; a core it misses is streamed by one task.
 SAMPLE, HEAVY, HEAVY_CORES, SALTS = 16, 1 << 16, 2000, 16
+CLASS = 1 << 15  # tuples of a core that are compared in classes at most
+STARTS = 1 << 18  # starts whose hashes a task merges together
 TAG_BITS = 17
 # A tuple's spot: the anchor's place, whether equal tuples were merged into it, the text's tag, the bytes served before
 # the place and after the first start.
@@ -155,37 +161,91 @@ def _first_round(source: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterato
         yield from work(rows, None)
 
 
+# Two more kinds of rows, told by the size of ``bytes``: a start of a core with very many tuples (class and 8 bytes: the hash
+# of its LENGTH bytes, base: the start) and a range of settled starts (0 bytes).
 CARRIED = "class long, bytes binary, text_key long, tag long, base long, low int, high int, many long"
 
 
 def _carried(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (text_key, tag, text, open tuples): for each class of starts a tuple with its bytes, zeros where no start of it
-    is served; class is a hash of the bytes that all its starts share."""
+    is served; class is a hash of the bytes that all its starts share, the core among them.  Of crowded tuples: the starts by
+    hash, those that recur in a stretch of the task settled here."""
     span = LENGTH + STEP - 1
+    names = [n.split()[0] for n in CARRIED.split(", ")]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def rows(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 10_000], strict=True), kinds, strict=True)], names)
+
+    def merged(starts: dict[bytes, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        settled: dict[tuple[int, int], list[int]] = {}
+        for digest, held in starts.items():
+            many = int(len(held) > 1 or held[0][3])
+            out.append((int.from_bytes(digest[:8], "little", signed=True), digest[8:], *held[0][:3], 0, 0, many))
+            if len(held) > 1:
+                for key, tag, start, done in held:
+                    if not done:
+                        settled.setdefault((key, tag), []).append(start)
+        for (key, tag), found in settled.items():
+            own = np.sort(np.array(found, dtype=np.int64))
+            at = np.flatnonzero(np.diff(own, prepend=-2) != 1)
+            for first, last in zip(own[at].tolist(), own[np.append(at[1:], len(own)) - 1].tolist(), strict=True):
+                out.append((key, b"", key, tag, first, 0, last - first, 1))
+        yield from rows(out)
+
+    starts: dict[bytes, list[tuple]] = {}
+    n = 0
     for batch in source:
         out: list[tuple] = []
         for key, tag, text, tuples in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             raw = text.encode()
             for t in tuples:
+                if t["crowded"]:
+                    for x in range(t["first"], t["last"] + 1):
+                        starts.setdefault(xxhash.xxh3_128_digest(raw[x : x + LENGTH]), []).append((key, tag, x, t["many"]))
+                    n += t["last"] - t["first"] + 1
+                    if n >= STARTS:
+                        yield from merged(starts)
+                        starts, n = {}, 0
+                    continue
                 for c in range((t["place"] - t["last"]) // STEP, (t["place"] - t["first"]) // STEP + 1):
                     base = t["place"] - STEP * c - STEP + 1  # the class's first start
                     low, high = max(t["first"], base), min(t["last"], base + STEP - 1)
                     held = raw[low : high + LENGTH]
                     shared = xxhash.xxh3_64_intdigest(raw[base + STEP - 1 : base + LENGTH], seed=c)
                     out.append((shared - (1 << 63), b"\0" * (low - base) + held + b"\0" * (span - (low - base) - len(held)), key, tag, base, low - base, high - base, t["many"]))
-        names = [n.split()[0] for n in CARRIED.split(", ")]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        for a in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 10_000], strict=True), kinds, strict=True)], names)
+        yield from rows(out)
+    yield from merged(starts)
 
 
 RANGES = "text_key long, tag long, first long, last long"
 
 
 def _induced(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of carried tuples sorted by class: the starts that another tuple repeats, as ranges."""
-
-    def work(rows: pa.Table) -> pa.RecordBatch:
+    """Of carried rows sorted by class: the starts that another tuple repeats, as ranges."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        size = pc.binary_length(rows.column("bytes")).to_numpy()
+        by_size = {n: rows.filter(pa.array(size == n)) for n in np.unique(size).tolist()}
+        for n, own in by_size.items():
+            yield settled(own) if n == 0 else alike(own) if n == 8 else induced(own)
+
+    def settled(rows: pa.Table) -> pa.RecordBatch:
+        base, high, key, tag = (rows.column(c).to_numpy().astype(np.int64) for c in ("base", "high", "text_key", "tag"))
+        return _batch(key, tag, base, base + high, names=RANGES)
+
+    def alike(rows: pa.Table) -> pa.RecordBatch:
+        hashed = np.stack([rows.column("class").to_numpy(), np.frombuffer(b"".join(rows.column("bytes").to_pylist()), dtype="<i8")], axis=1)
+        _, which, counts = np.unique(hashed, axis=0, return_inverse=True, return_counts=True)
+        many, base, key, tag = (rows.column(c).to_numpy().astype(np.int64) for c in ("many", "base", "text_key", "tag"))
+        which = which.reshape(-1)
+        # a row that stands for several starts (many) has settled them; they repeat the others
+        now = (counts[which] > 1) & (many == 0)
+        return _batch(key[now], tag[now], base[now], base[now], names=RANGES)
+
+    def induced(rows: pa.Table) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), dtype=np.uint8).reshape(rows.num_rows, -1)
         low, high, many, base, key, tag = (rows.column(c).to_numpy().astype(np.int64) for c in ("low", "high", "many", "base", "text_key", "tag"))
         shared = np.ascontiguousarray(data[:, STEP - 1 : LENGTH]).view(np.dtype((np.void, LENGTH - STEP + 1))).reshape(-1)
@@ -222,10 +282,10 @@ def _induced(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             differ = np.flatnonzero(of != of[-1])
             whole = int(differ[-1]) + 1 if len(differ) else 0
             if whole:
-                yield work(rows.slice(0, whole))
+                yield from work(rows.slice(0, whole))
                 held, n = rows.slice(whole).to_batches(), rows.num_rows - whole
     if n:
-        yield work(pa.Table.from_batches(held))
+        yield from work(pa.Table.from_batches(held))
 
 
 def _heavy_cores(keyed: DataFrame) -> list[int]:
@@ -245,7 +305,10 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     dealt = tuples.withColumn("salt", salt).repartition(parts, "core", "salt").drop("salt").sortWithinPartitions("core", "outer")
     first = written(dealt.mapInArrow(lambda source: _first_round(source, listed), SETTLED))
     settled = first.filter("open = 0").select("text_key", "tag", "first", "last")
-    asked = first.filter("open = 1").groupBy("text_key", "tag").agg(F.collect_list(F.struct("place", "first", "last", "many")).alias("tuples"))
+    opened = first.filter("open = 1")
+    crowded = opened.groupBy("core").count().filter(F.col("count") > CLASS).select("core", F.lit(True).alias("crowded"))  # one row for CLASS tuples at most
+    told = opened.join(F.broadcast(crowded), "core", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    asked = told.groupBy("text_key", "tag").agg(F.collect_list(F.struct("place", "first", "last", "many", "crowded")).alias("tuples"))
     texts = keyed.select("text_key", "tag", "text").dropDuplicates(["text_key", "tag"])
     carried = texts.join(asked, ["text_key", "tag"]).select("text_key", "tag", "text", "tuples").mapInArrow(_carried, CARRIED)
     found = carried.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_induced, RANGES)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from curata.llm import anchors, suffixes
 from curata.llm.queries import QUERIES
@@ -90,6 +91,32 @@ def test_heavy_cores_are_dealt_out(spark, monkeypatch):
     check(spark, texts, 40)
 
 
+def passage_texts(n):
+    """One long passage in different surroundings, some of them alike for a while."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passage, ends = word(700), [word(60) for _ in range(4)]
+    return [word(rng.randint(50, 250)) + rng.choice(ends)[rng.randint(0, 50) :] + passage + rng.choice(ends)[: rng.randint(0, 60)] + word(rng.randint(50, 250)) for _ in range(n)]
+
+
+def test_crowded_cores_go_by_starts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CLASS", 8)
+    monkeypatch.setattr(suffixes, "STARTS", 500)
+    check(spark, passage_texts(120), 7)
+
+
+def test_no_class_holds_a_crowded_core():
+    texts, place = passage_texts(300), 400
+    tuples = [{"place": place, "first": place - 60, "last": place - 10, "many": 0, "crowded": True} for _ in texts]
+    texts = [t[:300] + texts[0][300:1000] + t[1000:] for t in texts]
+    source = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), pa.array(texts), pa.array([[t] for t in tuples])], ["text_key", "tag", "text", "tuples"])
+    rows = pa.Table.from_batches(suffixes._carried(iter([source])))
+    sizes = Counter(rows.column("class").to_pylist())
+    assert rows.num_rows <= 2 * 51 + 300 * 51 and max(sizes.values()) <= 51 + 1
+    found = {(r["text_key"], x) for b in suffixes._induced(iter(rows.sort_by("class").to_batches())) for r in b.to_pylist() for x in range(r["first"], r["last"] + 1)}
+    assert found == {(i, x) for i in range(300) for x in range(place - 60, place - 9)}
+
+
 def test_kept_bytes_and_null_ids(spark):
     t = "é" * 100 + "0123456789" * 3
     docs = spark.createDataFrame([(None, "abc" + t), (7, t), (7, t[:50])], "doc_id long, text string")
