@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 Texts are read as sentences of units: words in lower case, windows of words
-that are very long, and runs of single characters ("i d i o t").  The kernel
+that are very long, runs of single characters ("i d i o t"), and windows of
+scripts without spaces.  The kernel
 of two units sums, over all triples of letters that both hold in order within
 SPAN places, DECAY to the power of both spans, so gaps and inserted characters
 cost weight but not the match; it is normalised by the units' lengths.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,8 @@ from curata.llm.common import schema_with, text_or_empty, with_columns
 
 SPAN, DECAY = 6, 0.7
 PATTERNS = [(p, q) for q in range(2, SPAN + 1) for p in range(1, q)]
-CODES = 64
+CODES = 102  # to the power of three: places of the table of weights; the first OWN**3 of them are of triples of own letters
+OWN = 64
 LONG, STEP = 24, 12  # units over LONG characters are cut into windows of LONG, one every STEP
 TRAINING_TEXTS = 1500  # toxic texts that a model is fitted on at most; of clean ones twice as many
 LANDMARKS = 128
@@ -41,21 +44,23 @@ KEEP = 500_000  # words whose decision a worker remembers
 _SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
-# Signs that stand for letters inside a word; then letters with a code of their own, the rest of them share some.
+# Scripts that put no space between words: their runs are units in windows of 2 and of 4 characters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U00033fff]+")
+# Signs that stand for letters inside a word; then letters with codes below OWN, all others have one of OWN and above.
 _ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"}
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "\x02\x03"  # and a word's begin and end
 
 
 def _code_table() -> np.ndarray:
-    table = np.zeros(0x3000, dtype=np.uint8)
-    own = {c: i + 1 for i, c in enumerate(_LETTERS)}
+    """The code of every code point that has one: letters and the marks that belong to them."""
+    table = np.zeros(0x34000, dtype=np.int32)
     for c in range(0x100, len(table)):
-        if chr(c).isalpha():
-            table[c] = len(own) + 1 + c % (CODES - 1 - len(own))
-    for c, i in own.items():
-        table[ord(c)] = i
+        if unicodedata.category(chr(c))[0] in "LM":
+            table[c] = OWN + c
+    for i, c in enumerate(_LETTERS):
+        table[ord(c)] = i + 1
     for c, as_letter in _ALIKE.items():
-        table[ord(c)] = own[as_letter]
+        table[ord(c)] = table[ord(as_letter)]
     return table
 
 
@@ -69,6 +74,9 @@ def units(text: str) -> set[str]:
     if "  " in low or "\n" in low or "\t" in low:
         low = " ".join(low.split())
     found.update(_SPACED.findall(low))
+    if not low.isascii():
+        for run in {r for w in found for r in _UNSPACED.findall(w)}:
+            found.update(run[i : i + n] for n in (2, 4) for i in range(len(run) - n + 1))
     for w in [w for w in found if len(w) > LONG]:
         found.discard(w)
         found.update(w[i : i + LONG] for i in range(0, len(w) - LONG + STEP, STEP))
@@ -87,7 +95,7 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = codes[codes > 0]
     sizes = np.bincount(owner, minlength=len(words))
     begins = np.cumsum(sizes + SPAN) - sizes - SPAN
-    out = np.zeros(int((sizes + SPAN).sum()) + SPAN, dtype=np.uint8)
+    out = np.zeros(int((sizes + SPAN).sum()) + SPAN, dtype=np.int32)
     out[np.arange(len(codes)) + SPAN * owner] = codes
     norm = np.sqrt(np.maximum(sum(np.maximum(sizes - q, 0) * DECAY ** (2 * q) for _, q in PATTERNS), DECAY**4))
     return out, begins, norm
@@ -95,10 +103,19 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _triples(codes: np.ndarray, n: int) -> Iterator[tuple[float, np.ndarray]]:
     """For each pattern: its weight and the triple that begins at each place (0 where one of its places is a gap)."""
-    c = codes.astype(np.int32)
+    c = codes.astype(np.int64)
+    wide = c >= OWN
+    some = bool(wide.any())
     for p, q in PATTERNS:
         x, y, z = c[:n], c[p : n + p], c[q : n + q]
-        yield DECAY**q, np.where((x > 0) & (y > 0) & (z > 0), (x * CODES + y) * CODES + z, 0)
+        held = (x > 0) & (y > 0) & (z > 0)
+        triple = np.where(held, (x * OWN + y) * OWN + z, 0)
+        if some:
+            at = np.flatnonzero(held & (wide[:n] | wide[p : n + p] | wide[q : n + q]))
+            mixed = ((x[at] << 40) ^ (y[at] << 20) ^ z[at]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            triple[at] = OWN**3 + ((mixed >> np.uint64(32)) % np.uint64(CODES**3 - OWN**3)).astype(np.int64)
+        yield DECAY**q, triple
 
 
 def decisions(words: list[str], weights: np.ndarray, bias: float, part: int = 16384) -> np.ndarray:

@@ -72,6 +72,34 @@ def test_finds_words_gaps_and_insertions(model):
         assert highest(model, clean + word) >= 0.5, word
 
 
+@pytest.mark.parametrize(("signs", "bad"), [("абвгдежзиклмнопрст", "дурак"), ("αβγδεζηθικλμνξοπρσ", "βλακας"), ("नमककलबसतरपदह", "मूर्ख"), ("अआइईउऊएऐ", "बेवकूफ"), ("אבגדהוזחטיכלמנ", "טיפשון")])
+def test_other_scripts(signs, bad):
+    texts, labels = scripts(240, 4, signs, bad, " ")
+    learnt = t.fit(texts, labels)
+    new, truth = scripts(120, 5, signs, bad, " ")
+    assert sum((highest(learnt, x) >= 0.5) == bool(y) for x, y in zip(new, truth, strict=True)) >= 0.97 * len(new)
+
+
+@pytest.mark.parametrize(("signs", "bad"), [("天地人山水火木金土日月年大小中上下左右前後東西南北", "混蛋"), ("あいうえおかきくけこさしすせそたちつてと", "ばかやろう")])
+def test_scripts_without_spaces(signs, bad):
+    texts, labels = scripts(240, 4, signs, bad, "")
+    learnt = t.fit(texts, labels)
+    new, truth = scripts(120, 5, signs, bad, "")
+    assert sum((highest(learnt, x) >= 0.5) == bool(y) for x, y in zip(new, truth, strict=True)) >= 0.97 * len(new)
+
+
+def scripts(n, seed, signs, bad, space):
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choices(signs, k=rng.randint(2, 6))) for _ in range(rng.randint(5, 30))]
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = bad
+        texts.append(space.join(words))
+        labels.append(int(i % 3 == 0))
+    return texts, labels
+
+
 def test_without_both_classes():
     for texts, labels in (([], []), (["a b"], [1]), (["a b"], [0]), (["", ""], [0, 1])):
         assert highest(t.fit(texts, labels), "a b") < 0.5
