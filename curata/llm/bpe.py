@@ -23,13 +23,14 @@ from tokenizers import Tokenizer
 from curata.llm.common import schema_with, text_or_empty, with_columns
 from curata.llm.words import byte_signs
 
-KEEP = 500_000  # words whose ids a worker remembers
+KEEP = 500_000  # words whose ids a worker remembers at most
+KEEP_BYTES = 1 << 26  # bytes of remembered words and ids at most, without what Python adds for each
+LONGEST = 256  # characters of a unit that is remembered
 GROUP = 1 << 19  # units whose ids are joined back together; a longer text is a group of its own
-_WHITE = r"[ \t\n\x0B\f\r]"
-_OTHER = r"[^ \t\n\x0B\f\r]"
+# All white space of the vocabulary's pattern.
+_SPACES = r" \t\n\x0B\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WHITE, _OTHER = f"[{_SPACES}]", f"[^{_SPACES}]"
 UNIT = f" ?{_OTHER}+|{_WHITE}+(?!{_OTHER})|{_WHITE}+"
-# White space beyond ASCII may take part in a stretch: such texts, and texts with a special token, are one unit.
-WIDE_WHITE = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class WordTable:
@@ -40,6 +41,7 @@ class WordTable:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.ids: dict[str, np.ndarray] = {}
+        self.held = 0  # bytes of them
         own = {c: b for b, c in byte_signs().items()}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         special = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -48,14 +50,21 @@ class WordTable:
         self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
 
     def of(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.ids) > KEEP:
+        if len(self.ids) > KEEP or self.held > KEEP_BYTES:
             self.ids.clear()
+            self.held = 0
+        long: dict[str, np.ndarray] = {}  # for this call only
         new = [w for w in words if w not in self.ids]
         for a in range(0, len(new), 8192):
             part = new[a : a + 8192]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, dtype="<u4")
-        return [self.ids[w] for w in words]
+                ids = np.array(e.ids, dtype="<u4")
+                if len(w) > LONGEST:
+                    long[w] = ids
+                else:
+                    self.ids[w] = ids
+                    self.held += 4 * len(w) + ids.nbytes
+        return [long[w] if w in long else self.ids[w] for w in words]
 
 
 _tables: dict[str, WordTable] = {}
@@ -73,8 +82,8 @@ def special_tokens(path: str) -> list[str]:
 
 
 def units(text: Column, special: list[str]) -> Column:
-    """The units of a text; none for an empty one."""
-    whole = text.rlike(WIDE_WHITE)
+    """The units of a text; none for an empty one.  A text that holds a special token is one unit."""
+    whole = F.lit(False)
     for s in special:
         whole = whole | text.contains(s)
     return F.when(text == "", F.array().cast("array<string>")).when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)))
