@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, extract, lines, packing, secrets, simhash, suffixes, syncmers, topk, toxicity
+from curata.llm import bpe, codes, extract, lines, negatives, packing, secrets, simhash, suffixes, syncmers, topk, toxicity
 from curata.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,23 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every byte of ``documents`` that a repeated stretch of 200 bytes covers."""
     return suffixes.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector of ``embeddings`` for its 5 best rows of the same label."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, moved)
+
+
+ORACLES["op12_hard_negatives"] = negatives.ORACLE_HARD_NEGATIVES
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector of ``embeddings`` in 4 parts of 256 entries, with their errors."""
+    coded, books = codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", codes.codebooks_digest(books).alias("codebooks_sha256"))
+
+
+ORACLES["op13_vector_codes"] = codes.ORACLE_VECTOR_CODES
