@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curata.llm import bpe, codes, extract, lines, negatives, packing, secrets, simhash, suffixes, syncmers, topk, toxicity
+from curata.llm import bpe, codes, extract, lines, negatives, packing, pii, secrets, simhash, suffixes, syncmers, topk, toxicity
 from curata.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_substrings(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``: counts and digest of the base kinds, all spans."""
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 50th vector of ``embeddings`` for its 5 best rows of the same label."""
