@@ -81,8 +81,9 @@ def _tricube(d: Column) -> Column:
     return F.when(d <= NEAR, F.lit(1.0)).when(d > FAR, F.lit(0.0)).otherwise(F.pow(1 - F.pow(d, 3), 3))
 
 
-# Points that are packed into one row; a pair of such rows is compared in arrays.
-CHUNK = 1024
+# Positions are cut into leaves, FANOUT leaves make a node of the next level, and so on.
+LEAF, FANOUT = 128, 4
+CHUNK = 1024  # positions whose points are fitted together
 NEIGHBOURS = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
 
 
@@ -105,40 +106,38 @@ def lowess(
     (``degree=2``), then ``iterations`` rounds of bisquare robustness weights
     from 6 x the median absolute residual.
 
-    Every row is fitted, at any size: m * k neighbour terms a round, summed in
-    arrays over pairs of packed rows (m * k / CHUNK partial rows).  Only on
-    request, ``anchor_every=s`` fits every s-th row (and the last) and
-    interpolates linearly in x in between -- the interpolation surface that
-    lowess/loess implementations use for speed, an approximation.
+    Every row is fitted, at any size, in m log(m) work a round (see
+    ``_lowess_exact``).  Only on request, ``anchor_every=s`` fits every s-th row
+    (and the last) and interpolates linearly in x in between -- the
+    interpolation surface that lowess/loess implementations use for speed, an
+    approximation.
     """
     src = with_position(df.withColumn(column, numeric_column(df, column)), order_by, "_x")
     y = F.col(f"`{column}`")
     fitted = src.where(y.isNotNull()).select("_x", y.alias("_y"))
     ranked = with_position(fitted, ["_x"], "_r")  # rank among fitted rows
-    ranked = ranked.select("_r", F.col("_x").cast("double").alias("_xd"), "_y").cache()
-    m = ranked.count()
+    ranked = ranked.select("_r", F.col("_x").cast("double").alias("_xd"), "_y")
+    m, first, last = ranked.agg(F.count(F.lit(1)), F.min("_xd"), F.max("_xd")).first()
     if m == 0:
-        ranked.unpersist()
         return src.drop("_x")
     k = max(2, min(m, int(math.floor(frac * m + 1e-10))))
-    rng = ranked.agg(F.max("_xd") - F.min("_xd")).first()[0] or 0.0
+    rng = last - first
     if anchor_every is None or anchor_every <= 1:
-        out_fit = _lowess_exact(ranked, m, k, iterations, degree, rng)
+        out_fit = _lowess_exact(ranked, m, k, iterations, degree, rng, int(last) + 1)
     else:
         out_fit = _lowess_anchored(ranked, m, k, iterations, degree, rng, anchor_every)
-    ranked.unpersist()
     out = src.join(out_fit, "_x", "left").withColumn(column, F.when(y.isNotNull(), F.col("_smooth")))
     return out.drop("_x", "_smooth")
 
 
-def _robust_weights(resid: DataFrame) -> DataFrame | None:
-    """Bisquare weights from 6 x the median absolute residual (None: all 1)."""
-    med = exact_percentiles(resid, "_e", [0.5]).first()[0] or 0.0
+def _robust_weight(errors: DataFrame, error: Column) -> Column | None:
+    """Bisquare weight of an error from 6 x the median of the column ``_e`` (None: all 1)."""
+    med = exact_percentiles(errors, "_e", [0.5]).first()[0] or 0.0
     cmad = 6.0 * med
     if cmad == 0:
         return None
-    q = F.col("_e") / F.lit(cmad)
-    return resid.select("_r", F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2)).alias("_rw"))
+    q = error / F.lit(cmad)
+    return F.when(q <= NEAR, F.lit(1.0)).when(q > FAR, F.lit(0.0)).otherwise(F.pow(1 - q * q, 2))
 
 
 def _moment_sums(frame: DataFrame, key: str, w: Column, u: Column) -> DataFrame:
@@ -173,58 +172,177 @@ def _windows(ranked: DataFrame, m: int, k: int) -> DataFrame:
     return placed.join(left, "_L").join(end, "_L").select("_r", "_xd", "_L", radius.alias("_h"))
 
 
-def _packed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per CHUNK ranks: _c and the arrays of ``names`` in rank order."""
-    held = F.sort_array(F.collect_list(F.struct("_r", *[n for n in names if n != "_r"]))).alias("_p")
-    return rows.groupBy(F.floor(F.col("_r") / CHUNK).alias("_c")).agg(held).select("_c", *[F.col(f"_p.{n}").alias(n) for n in names])
+def _node_width(level: int) -> int:
+    return LEAF * FANOUT**level
 
 
-def _pair_sums(k: int):
-    def sums(batches):
+def _canonical(a: int, b: int, top: int) -> list[tuple[int, int]]:
+    """The largest nodes (level, number) that together are the leaves a to b - 1."""
+    out, level = [], 0
+    while a < b:
+        if level == top:
+            out += [(level, n) for n in range(a, b)]
+            break
+        while a < b and a % FANOUT:
+            out.append((level, a))
+            a += 1
+        while a < b and b % FANOUT:
+            b -= 1
+            out.append((level, b))
+        a, b, level = a // FANOUT, b // FANOUT, level + 1
+    return out
+
+
+def _limits(x, h):
+    """Leaves in which the weight changes its form, one column each: far left, near left, near right, far right."""
+    import numpy as np
+
+    at = np.stack([x - FAR * h, x - NEAR * h, x + NEAR * h, x + FAR * h], axis=1)
+    return np.floor(at / LEAF).astype(np.int64)
+
+
+def _asked(top: int):
+    """(_c, level, node) of all that the points of one chunk meet; level -1: the points of a leaf themselves."""
+
+    def asked(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        limits = _limits(rows["_xd"].to_numpy(), rows["_h"].to_numpy())
+        found = {(-1, int(leaf)) for leaf in np.unique(limits) if leaf >= 0}
+        for i in range(3):
+            for a, b in np.unique(limits[:, i : i + 2], axis=0):
+                found.update(_canonical(max(int(a) + 1, 0), min(int(b), FANOUT**top), top))
+        level, node = (np.array(v, dtype=np.int64) for v in zip(*sorted(found), strict=True))
+        chunk = np.full(len(level), int(rows["_xd"][0].as_py()) // CHUNK)
+        return pa.table({"_c": chunk, "_level": level, "_node": node})
+
+    return asked
+
+
+def _centre(level: int, node):
+    """Middle of a node and half of its width."""
+    width = _node_width(level)
+    return node * width + (width - 1) / 2, (width - 1) / 2
+
+
+def _node_moments(top: int, degree: int):
+    """Sums of rw t^j and rw t^j y by node, t the place in the node from -1 to 1: of each batch, to be added up."""
+
+    def moments(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                ar, ax, start, h = (np.array(row[c], dtype=float) for c in ("_ar", "_ax", "_L", "_h"))
-                r, x, y, rw = (np.array(row[c], dtype=float) for c in ("_r", "_xd", "_y", "_rw"))
-                u = x[None, :] - ax[:, None]
-                d = np.divide(np.abs(u), h[:, None], out=np.full_like(u, np.nan), where=h[:, None] != 0)
-                w = np.where(d <= NEAR, 1.0, np.where(d > FAR, 0.0, (1 - d**3) ** 3))
-                w = np.where((r[None, :] >= start[:, None]) & (r[None, :] < start[:, None] + k), w, 0.0) * rw[None, :]
-                out = [pa.array(ar.astype(np.int64))]
-                power = w
-                held = {}
-                for j in range(5):
-                    held[f"s{j}"] = power.sum(axis=1)
-                    if j < 3:
-                        held[f"t{j}"] = power @ y
+            x, y, rw = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            order = np.argsort(x, kind="stable")
+            x, y, rw = x[order], y[order], rw[order]
+            if not len(x):
+                continue
+            for level in range(top + 1):
+                node, start = np.unique((x // _node_width(level)).astype(np.int64), return_index=True)
+                centre, half = _centre(level, (x // _node_width(level)))
+                power = ((x - centre) / half)[:, None] ** np.arange(10 + 2 * degree) * rw[:, None]
+                held = np.concatenate([power, power[:, : 10 + degree] * y[:, None]], axis=1)
+                sums = np.add.reduceat(held, start, axis=0)
+                names = ["_level", "_node", *(f"m{j}" for j in range(sums.shape[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), level)), pa.array(node), *[pa.array(c) for c in sums.T]], names)
+
+    return moments
+
+
+def _fit_sums(top: int, degree: int):
+    """The sums of ``_local_fit`` for the points of one chunk, from the nodes and leaves that they ask for.
+
+    Beside a point the tricube weight is 1 - 3 d^3 + 3 d^6 - d^9 with d = |x - x_a| / h, so over a node that lies on
+    one side its sums are combinations of the node's moments, moved to the point.  All numbers stay within 1 in size
+    (in units of h), so nothing cancels.  Leaves in which the weight changes its form are summed point by point.
+    """
+
+    def sums(key, rows, material):
+        import numpy as np
+        import pyarrow as pa
+
+        x, y, h = (rows[c].to_numpy() for c in ("_xd", "_y", "_h"))
+        limits = _limits(x, h)
+        n_s, n_t = 2 * degree + 1, degree + 1
+        s, t = np.zeros((len(x), 5)), np.zeros((len(x), 3))
+        choose = [np.array([math.comb(q, i) for i in range(q + 1)], dtype=float) for q in range(10 + 2 * degree)]
+        levels, nodes, held = (material[c].to_pylist() for c in ("_level", "_node", "_v"))
+
+        def moved(moments, alpha, beta, n):
+            """Sums of (alpha t + beta)^q for q < n, from those of t^q."""
+            a, b = alpha[:, None] ** np.arange(n), beta[:, None] ** np.arange(n)
+            return [(a[:, : q + 1] * b[:, q::-1]) @ (choose[q] * moments[: q + 1]) for q in range(n)]
+
+        for level, node, v in zip(levels, nodes, held, strict=True):
+            v = np.array(v, dtype=float)
+            if level < 0:
+                own = np.flatnonzero((limits == node).any(axis=1))
+                px, py, prw = v.reshape(3, -1)
+                u = px[None, :] - x[own][:, None]
+                d = np.abs(u) / h[own][:, None]
+                power = np.where(d <= NEAR, 1.0, np.where(d > FAR, 0.0, (1 - d**3) ** 3)) * prw[None, :]
+                for j in range(n_s):
+                    s[own, j] += power.sum(axis=1)
+                    if j < n_t:
+                        t[own, j] += power @ py
                     power = power * u
-                yield pa.RecordBatch.from_arrays(out + [pa.array(held[n]) for n in NEIGHBOURS], ["_r", *NEIGHBOURS])
+                continue
+            count = FANOUT**level
+            centre, half = _centre(level, node)
+            for i, signs in enumerate(((1, 3, 3, 1), (1, 0, 0, 0), (1, -3, 3, -1))):
+                a, b = limits[:, i] + 1, limits[:, i + 1]
+                within = (node * count >= a) & ((node + 1) * count <= b)
+                parent = node // FANOUT * FANOUT * count
+                if level < top:
+                    within &= ~((parent >= a) & (parent + FANOUT * count <= b))
+                own = np.flatnonzero(within)
+                if not len(own):
+                    continue
+                last = 9 if signs[1] else 0
+                alpha, beta = half / h[own], (centre - x[own]) / h[own]
+                for out, n, moments in ((s, n_s, v[: 10 + 2 * degree]), (t, n_t, v[10 + 2 * degree :])):
+                    each = moved(moments, alpha, beta, n + last)
+                    for j in range(n):
+                        out[own, j] += h[own] ** j * sum(c * each[j + 3 * e] for e, c in enumerate(signs) if c)
+        return pa.table({"_xd": x, "_y": y, "_h": h, **dict(zip(NEIGHBOURS, [*s.T, *t.T], strict=True))})
 
     return sums
 
 
-def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float) -> DataFrame:
-    """Every row is fitted: packed rows of anchors meet the packed rows of points that their windows reach."""
-    windows = _windows(ranked, m, k)
-    anchors = cut_lineage(_packed(windows, ["_r", "_xd", "_L", "_h"]))
-    reach = F.sequence(F.floor(F.array_min("_L") / CHUNK), F.floor((F.array_max("_L") + k - 1) / CHUNK))
-    asked = anchors.select(F.col("_r").alias("_ar"), F.col("_xd").alias("_ax"), "_L", "_h", F.explode(reach).alias("_c"))
-    robust = None
+def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float, size: int) -> DataFrame:
+    """Every row is fitted, in m log(m) work a round, from a tree of moments over the positions.
+
+    A window is the positions within 0.999 h of its point (rows beyond the k nearest are at h or farther).  Positions
+    are cut into leaves, and each node of the tree over them holds the moments of its points around its middle.  A chunk
+    of consecutive points asks for the few leaves in which a window of its begins or ends and for the O(log m) nodes
+    between them; both are joined by number, so a task holds one chunk and what it asks for, whatever the window.
+    """
+    top = max(0, math.ceil(math.log(max(size / LEAF, 1), FANOUT)))
+    spread = _windows(ranked, m, k).select("_r", "_h")
+    chunk = F.floor(F.col("_xd") / CHUNK).alias("_c")
+    rows = cut_lineage(ranked.join(spread, "_r").select("_xd", "_y", "_h", F.lit(1.0).alias("_rw")))
+    asked = cut_lineage(rows.select("_xd", "_h", chunk).groupBy("_c").applyInArrow(_asked(top), "_c long, _level long, _node long"))
+    names = [f"m{j}" for j in range(20 + 3 * degree)]
     for it in range(iterations + 1):
-        rows = ranked.withColumn("_rw", F.lit(1.0)) if robust is None else ranked.join(robust, "_r")
-        pairs = asked.join(_packed(rows, ["_r", "_xd", "_y", "_rw"]), "_c").select("_ar", "_ax", "_L", "_h", "_r", "_xd", "_y", "_rw")
-        partial = pairs.mapInArrow(_pair_sums(k), ", ".join(["_r long", *(f"{n} double" for n in NEIGHBOURS)]))
-        total = partial.groupBy("_r").agg(*[F.sum(n).alias(n) for n in NEIGHBOURS])
-        row_fit = cut_lineage(ranked.join(total.select("_r", _local_fit(degree, rng).alias("_f")), "_r"))
+        partial = rows.select("_xd", "_y", "_rw").mapInArrow(_node_moments(top, degree), ", ".join(["_level long, _node long", *(f"{n} double" for n in names)]))
+        nodes = partial.groupBy("_level", "_node").agg(*[F.sum(n).alias(n) for n in names]).select("_level", "_node", F.array(*names).alias("_v"))
+        points = F.sort_array(F.collect_list(F.struct("_xd", "_y", "_rw"))).alias("_p")
+        leaves = rows.groupBy(F.floor(F.col("_xd") / LEAF).alias("_node")).agg(points)
+        leaves = leaves.select(F.lit(-1).cast("long").alias("_level"), "_node", F.concat("_p._xd", "_p._y", "_p._rw").alias("_v"))
+        material = asked.join(nodes.unionByName(leaves), ["_level", "_node"]).select("_c", "_level", "_node", "_v")
+        met = rows.select("_xd", "_y", "_h", chunk).groupBy("_c").cogroup(material.groupBy("_c"))
+        fitted = met.applyInArrow(_fit_sums(top, degree), ", ".join(["_xd double, _y double, _h double", *(f"{n} double" for n in NEIGHBOURS)]))
+        fits = cut_lineage(fitted.select("_xd", "_y", "_h", _local_fit(degree, rng).alias("_f")))
         if it == iterations:
             break
-        robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
-        if robust is None:
+        residual = F.abs(F.col("_y") - F.col("_f"))
+        weight = _robust_weight(fits.select(residual.alias("_e")), residual)
+        if weight is None:
             break
-        robust = cut_lineage(robust)
-    return row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth"))
+        rows = fits.select("_xd", "_y", "_h", weight.alias("_rw"))
+    return fits.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth"))
 
 
 def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree: int, rng: float, s: int) -> DataFrame:
@@ -276,31 +394,26 @@ def _lowess_anchored(ranked: DataFrame, m: int, k: int, iterations: int, degree:
 
     seg = F.least((r / F.lit(s)).cast("int"), F.lit(g_n - 1))
     robust = None
-    cached: list[DataFrame] = []
-    try:
-        for it in range(iterations + 1):
-            p = members(ranked if robust is None else ranked.join(robust, "_r"))
-            w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
-            fits = {row["_a"]: row["_fit"] for row in _moment_sums(p, "_a", w, F.col("_u")).select("_a", _local_fit(degree, rng).alias("_fit")).collect()}
-            fit_arr = F.array(*[F.lit(float(fits[a]) if fits.get(a) is not None else None).cast("double") for a in range(g_n)])
-            a0 = seg
-            a1 = F.least(seg + 1, F.lit(g_n - 1))
-            x0, x1 = F.element_at(xs_arr, a0 + 1), F.element_at(xs_arr, a1 + 1)
-            f0, f1 = F.element_at(fit_arr, a0 + 1), F.element_at(fit_arr, a1 + 1)
-            t = F.try_divide(F.col("_xd") - x0, x1 - x0)
-            interp = F.when(a0 == a1, f0).otherwise(f0 + t * (f1 - f0))
-            row_fit = ranked.withColumn("_f", interp)
-            if it == iterations:
-                break
-            robust = _robust_weights(row_fit.select("_r", F.abs(F.col("_y") - F.col("_f")).alias("_e")))
-            if robust is None:
-                break
-            robust = robust.cache()
-            cached.append(robust)
-        return cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
-    finally:
-        for c in cached:
-            c.unpersist()
+    for it in range(iterations + 1):
+        p = members(ranked if robust is None else ranked.join(robust, "_r"))
+        w = F.col("_tw") if robust is None else F.col("_tw") * F.col("_rw")
+        fits = {row["_a"]: row["_fit"] for row in _moment_sums(p, "_a", w, F.col("_u")).select("_a", _local_fit(degree, rng).alias("_fit")).collect()}
+        fit_arr = F.array(*[F.lit(float(fits[a]) if fits.get(a) is not None else None).cast("double") for a in range(g_n)])
+        a0 = seg
+        a1 = F.least(seg + 1, F.lit(g_n - 1))
+        x0, x1 = F.element_at(xs_arr, a0 + 1), F.element_at(xs_arr, a1 + 1)
+        f0, f1 = F.element_at(fit_arr, a0 + 1), F.element_at(fit_arr, a1 + 1)
+        t = F.try_divide(F.col("_xd") - x0, x1 - x0)
+        interp = F.when(a0 == a1, f0).otherwise(f0 + t * (f1 - f0))
+        row_fit = ranked.withColumn("_f", interp)
+        if it == iterations:
+            break
+        residual = F.abs(F.col("_y") - F.col("_f"))
+        weight = _robust_weight(row_fit.select(residual.alias("_e")), residual)
+        if weight is None:
+            break
+        robust = cut_lineage(row_fit.select("_r", weight.alias("_rw")))
+    return cut_lineage(row_fit.select(F.col("_xd").cast("long").alias("_x"), F.col("_f").alias("_smooth")))
 
 
 def _local_fit(degree: int, x_range: float) -> Column:

@@ -164,6 +164,30 @@ def test_lowess_exact_matches_brute_force(spark):
     assert np.allclose([got2[i] for i in np.arange(n)[mask]], exp2, atol=1e-8)
 
 
+@pytest.mark.parametrize(("frac", "iters", "degree"), [(0.3, 1, 1), (0.02, 0, 1), (0.6, 0, 2)])
+def test_lowess_over_many_leaves_and_gaps(spark, frac, iters, degree):
+    """Several chunks, long gaps between fitted rows, windows of many nodes and of less than a leaf."""
+    rng = np.random.default_rng(3)
+    n = 5200
+    y = np.sin(np.arange(n) / 300.0) + rng.normal(scale=0.2, size=n)
+    y[1100:2900] = np.nan
+    y[rng.random(n) < 0.2] = np.nan
+    y[4000:4003] = 40.0
+    df = spark.createDataFrame(pd.DataFrame({"pos": np.arange(n), "y": y})).repartition(5)
+    mask = ~np.isnan(y)
+    got = dict(rows(smoothing.lowess(df, "y", ["pos"], frac=frac, iterations=iters, degree=degree), "pos", "y"))
+    exp = lowess_ref(np.arange(n)[mask].astype(float), y[mask], frac, iters, degree)
+    assert np.allclose([got[i] for i in np.arange(n)[mask]], exp, atol=1e-7)
+
+
+def test_canonical_nodes_cover_each_leaf_once():
+    for a in range(0, 40):
+        for b in range(a, 90):
+            found = smoothing._canonical(a, b, 3)
+            leaves = [i for level, n in found for i in range(n * 4**level, (n + 1) * 4**level)]
+            assert sorted(leaves) == list(range(a, b))
+
+
 def test_lowess_anchored_interpolates(spark):
     rng = np.random.default_rng(6)
     n = 300
