@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions import count_below, numeric_column
-from curata.functions.stats import pairwise_sums, value_ranks
+from curata.functions import numeric_column
+from curata.functions.stats import pairwise_sums, running_sums, value_ranks
 
 # Aggregate expressions per Spark job when many pairs are computed at once.
 _AGGS_PER_JOB = 600
@@ -110,48 +110,72 @@ def with_average_ranks(df: DataFrame, column: str, rank_col: str) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Spearman matrix (P7): Pearson on average ranks.
 
-    All pairs at once: rows are unpivoted to (pair, x, y) keeping the pair's
-    complete rows, average ranks of x and of y come from distributed running
-    counts grouped by pair, and one grouped aggregate gives every r.
+    Every column is ranked once, whatever the number of pairs: one frame
+    (column, value) holds how many rows a value has, and how many of them lack
+    each column that has NULLs at all.  Running sums of these counts give the
+    rank of a value among all rows and, less the rows that lack column b, its
+    rank beside b.  The ranks go back to the rows by one join on (column,
+    value), and the sums of all pairs come from one pass.
     """
-    base = df.select(*[numeric_column(df, c).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
+    names = [f"_c{i}" for i in range(len(columns))]
+    base = df.select(*[numeric_column(df, c).alias(n) for c, n in zip(columns, names, strict=True)])
+    seen = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(n).alias(n) for n in names]).first()
+    gaps = [i for i, n in enumerate(names) if seen[n] < seen["n"]]  # columns that some row lacks
+    lacks = [F.col(names[g]).isNull().cast("int").alias(f"_lack{g}") for g in gaps]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(n).alias("_v")) for i, n in enumerate(names)])).alias("_p")
+    long = base.withColumn("_row", F.monotonically_increasing_id()).select("_row", *lacks, cells).select("_row", *[f"_lack{g}" for g in gaps], "_p.*")
+    long = long.where(F.col("_v").isNotNull())
+    sums = ["_n", *[f"_lack{g}" for g in gaps]]
+    counted = long.groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_lack{g}").alias(f"_lack{g}") for g in gaps])
+    run = running_sums(counted, "_v", sums, by=["_col"])
+    # average rank among all rows, then among those that have each column with gaps
+    mean = lambda cum, n: cum - (n - 1) / 2.0
+    among = [mean(F.col("_cum_n"), F.col("_n")), *[mean(F.col("_cum_n") - F.col(f"_cum_lack{g}"), F.col("_n") - F.col(f"_lack{g}")) for g in gaps]]
+    ranks = run.select("_col", "_v", F.array(*among).alias("_r"))
+    rows = long.select("_row", "_col", "_v").join(ranks, ["_col", "_v"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_col", "_r"))).alias("_m"))
+    wide = rows.select(*[F.get(F.col("_m")[i], g).alias(f"r{i}_{g}") for i in range(len(columns)) for g in range(len(gaps) + 1)])
+    place = {g: k + 1 for k, g in enumerate(gaps)}
     values: dict[tuple[str, str], float | None] = {}
-    if pairs:
-        items = [
-            F.struct(F.lit(k).alias("pid"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y"))
-            for k, (a, b) in enumerate(pairs)
-        ]
-        long = base.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(
-            F.col("x").isNotNull() & F.col("y").isNotNull()
-        )
-        rx = value_ranks(long.select("pid", "x"), "x", by=["pid"]).select(
-            "pid", "x", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("rx")
-        )
-        ry = value_ranks(long.select("pid", "y"), "y", by=["pid"]).select(
-            "pid", "y", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("ry")
-        )
-        ranked = long.join(rx, ["pid", "x"]).join(ry, ["pid", "y"])
-        stats = ranked.groupBy("pid").agg(
-            F.covar_samp("rx", "ry").alias("cv"), F.stddev_samp("rx").alias("sx"), F.stddev_samp("ry").alias("sy")
-        )
-        for r in stats.collect():
-            cv, sx, sy = r["cv"], r["sx"], r["sy"]
-            ok = cv is not None and sx and sy and not math.isnan(cv)
-            values[pairs[r["pid"]]] = max(-1.0, min(1.0, cv / (sx * sy))) if ok else None
-    # the diagonal: 1 when the column varies, else undefined
-    sd = base.agg(*[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    for i, c in enumerate(columns):
-        values[(c, c)] = 1.0 if sd[f"s{i}"] else None
+    found = _rank_sums(wide, len(columns), place, float(seen["n"] or 0))
+    for i, j in combinations_with_replacement(range(len(columns)), 2):
+        n, si, sj, ii, jj, ij = found[i, j]
+        cii, cjj = (ii - si * si / n, jj - sj * sj / n) if n >= 2 else (0.0, 0.0)
+        if i == j:
+            values[columns[i], columns[i]] = 1.0 if cii > 0 else None
+        else:
+            values[columns[i], columns[j]] = float(np.clip((ij - si * sj / n) / math.sqrt(cii * cjj), -1.0, 1.0)) if cii > 0 and cjj > 0 else None
     return _long(df.sparkSession, columns, values)
 
 
-# --- Kendall tau-b --------------------------------------------------------------------
+def _rank_sums(wide: DataFrame, p: int, place: dict[int, int], n: float) -> dict[tuple[int, int], tuple]:
+    """For i <= j: rows, sums of the ranks of i beside j and of j beside i, of their squares and of their product.
+
+    Ranks are halves, so around a whole middle all sums are exact up to 2^53 quarters.  One row a task and pair.
+    """
+    shift, width = float(int(n / 2)), len(place) + 1
+    pairs = list(combinations_with_replacement(range(p), 2))
+
+    def partial(batches):
+        import pyarrow as pa
+
+        total = np.zeros((len(pairs), 6))
+        for batch in batches:
+            r = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]).reshape(p, width, -1) - shift
+            there = ~np.isnan(r[:, 0])
+            for k, (i, j) in enumerate(pairs):
+                on = there[i] & there[j]
+                a, b = r[i, place.get(j, 0)][on], r[j, place.get(i, 0)][on]
+                total[k] += len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs))), *[pa.array(c) for c in total.T]], ["k", *"nabcde"])
+
+    rows = wide.mapInArrow(partial, "k long, n double, a double, b double, c double, d double, e double")
+    out = dict.fromkeys(pairs, (0.0,) * 6)
+    for r in rows.groupBy("k").agg(*[F.sum(c).alias(c) for c in "nabcde"]).collect():
+        out[pairs[r["k"]]] = tuple(r[c] for c in "nabcde")
+    return out
 
-_KENDALL_ROWS_PER_BLOCK = 200_000
-_KENDALL_MAX_BLOCKS = 1024
-_KENDALL_DRIVER_CELLS = 100_000
 
+# --- Kendall tau-b --------------------------------------------------------------------
 
 def weighted_inversions(rank: np.ndarray, w: np.ndarray) -> float:
     """Sum of w_i * w_j over pairs i < j with rank_i > rank_j.
@@ -194,20 +218,11 @@ def _discordant(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"d": [weighted_inversions(ranks, pdf["w"].to_numpy(dtype=np.float64))]})
 
 
-def _block_id(v: Column, cuts: list[float]) -> Column:
-    """Monotone block id; a cut value gets a block of its own (hot values)."""
-    if not cuts:
-        return F.lit(0)
-    below = count_below(v, cuts)            # cuts strictly below v
-    at_or_below = count_below(v, cuts, strict=False)
-    return below * 2 + (at_or_below - below)  # + 1 when v equals a cut
-
-
 _KENDALL_GROUP_ROWS = 200_000  # distinct (x, y) rows one task counts directly
 _KENDALL_SUB_BLOCKS = 64
 
 
-def _grouped_discordant(df: DataFrame, keys: list[str], limit: int = _KENDALL_GROUP_ROWS, depth: int = 0) -> DataFrame:
+def _grouped_discordant(df: DataFrame, keys: list[str], limit: int = _KENDALL_GROUP_ROWS, blocks: int = _KENDALL_SUB_BLOCKS, depth: int = 0) -> DataFrame:
     """Weighted discordant pairs per group of ``keys`` over rows (keys, x, y, w).
 
     Groups up to ``limit`` rows are counted inside one ``applyInPandas`` task
@@ -243,7 +258,7 @@ def _grouped_discordant(df: DataFrame, keys: list[str], limit: int = _KENDALL_GR
     # split every large group by its own value blocks
     from curata.functions.stats import _stable
 
-    probs = [i / _KENDALL_SUB_BLOCKS for i in range(1, _KENDALL_SUB_BLOCKS)]
+    probs = [i / blocks for i in range(1, blocks)]
     big = df.join(big_keys, keys, "left_semi")
     cuts = _stable(big.groupBy(*kc).agg(
         F.array_sort(F.array_distinct(F.percentile_approx("x", probs, 10_000))).alias("_qx"),
@@ -274,111 +289,54 @@ def _grouped_discordant(df: DataFrame, keys: list[str], limit: int = _KENDALL_GR
         F.struct(F.lit(2).alias(kind), F.col("_xb").alias(k1), F.col("_yb").alias(k2)),
     )
     split = tagged.select(*kc, "x", "y", "w", F.explode(kinds).alias("_g")).select(*kc, "x", "y", "w", "_g.*")
-    inner = _grouped_discordant(split, [*keys, kind, k1, k2], limit, depth + 1)
+    inner = _grouped_discordant(split, [*keys, kind, k1, k2], limit, blocks, depth + 1)
     signed = F.when(F.col(kind) == 2, -F.col("d")).otherwise(F.col("d"))
     within = inner.groupBy(*kc).agg(F.sum(signed).alias("_w"))
     big_d = cross.join(within, keys, "left").select(*kc, (F.col("d") + F.coalesce("_w", F.lit(0.0))).alias("d"))
     return result.unionByName(big_d)
 
 
-def kendall_tau(
-    df: DataFrame, a: str, b: str, blocks: int | None = None, group_rows: int = _KENDALL_GROUP_ROWS
-) -> float | None:
-    """Kendall tau-b of two columns on their complete rows (P8), exact.
-
-    Rows collapse to distinct (x, y, w) first.  Discordant pairs are split by
-    value blocks of x and y (cut points from a quantile sketch of the
-    distinct pairs; a cut value gets a block of its own, so a hot value never
-    shares one): pairs in different x- and y-blocks come from the block count
-    matrix; pairs sharing an x-block, a y-block or both are counted per block
-    by a weighted inversion count in ``applyInPandas`` (blocks above
-    ``group_rows`` rows are split again, recursively), and
-    D = cross + same-x + same-y - same-both.  No cross join, no task holding
-    more than ``group_rows`` rows.
+def _kendall_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], group_rows: int, blocks: int | None = None) -> dict[tuple[str, str], float | None]:
+    """tau-b of every pair on its complete rows, all pairs in one frame keyed by pair.
+
+    Rows collapse to distinct (pair, x, y, w), written once.  Two tied rows
+    share an x or a y, so pairs of rows that are neither come from group sums
+    and the discordant ones from ``_grouped_discordant``: the number of jobs
+    does not depend on the number of pairs.
     """
-    x = numeric_column(df, a)
-    y = numeric_column(df, b)
-    sub = df.select(x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    xy = sub.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).cache()
-    try:
-        nb = blocks or _KENDALL_MAX_BLOCKS
-        probs = [i / nb for i in range(1, nb)]
-        stats = xy.agg(
-            F.sum("w").alias("n"),
-            F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("n3"),
-            F.count(F.lit(1)).alias("k"),
-            F.percentile_approx("x", probs, 10_000).alias("qx"),
-            F.percentile_approx("y", probs, 10_000).alias("qy"),
-        ).first()
-        n = stats["n"] or 0.0
-        if n < 2:
-            return None
-        if blocks is None:
-            # thin the cut grid to about k / rows-per-block blocks
-            want = int(min(_KENDALL_MAX_BLOCKS, max(4, math.ceil(stats["k"] / _KENDALL_ROWS_PER_BLOCK))))
-            step = max(1, _KENDALL_MAX_BLOCKS // want)
-            qx, qy = (stats["qx"] or [])[step - 1 :: step], (stats["qy"] or [])[step - 1 :: step]
-        else:
-            qx, qy = stats["qx"] or [], stats["qy"] or []
-        cx, cy = sorted(set(qx)), sorted(set(qy))
-        ties = (
-            xy.select(F.explode(F.array(
-                F.struct(F.lit(0).alias("kind"), F.col("x").alias("key"), "w"),
-                F.struct(F.lit(1).alias("kind"), F.col("y").alias("key"), "w"),
-            )).alias("t"))
-            .select("t.*")
-            .groupBy("kind", "key").agg(F.sum("w").alias("t"))
-            .groupBy("kind").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("s"))
-            .collect()
-        )
-        tie = {r["kind"]: r["s"] for r in ties}
-        n1, n2 = tie.get(0, 0.0), tie.get(1, 0.0)
-        n0 = n * (n - 1) / 2
-        n3 = stats["n3"]
-        tagged = xy.withColumn("xb", _block_id(F.col("x"), cx)).withColumn("yb", _block_id(F.col("y"), cy))
-        nx, ny = 2 * len(cx) + 1, 2 * len(cy) + 1
-
-        def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-            # pairs in different x- and y-blocks: a 2-D dominance sum over the
-            # (at most (2B+1)^2) block cells, in one task
-            mat = np.zeros((nx, ny))
-            np.add.at(mat, (pdf["xb"].to_numpy(), pdf["yb"].to_numpy()), pdf["w"].to_numpy())
-            below = np.cumsum(np.cumsum(mat[::-1, :], axis=0)[::-1, :], axis=1)  # xb' >= i, yb' <= j
-            return pd.DataFrame({"d": [float((mat[:-1, 1:] * below[1:, :-1]).sum())]})
-
-        cells = tagged.groupBy("xb", "yb").agg(F.sum("w").alias("w"))
-        if nx * ny <= _KENDALL_DRIVER_CELLS:
-            # a small block grid (bounded by nx * ny) is reduced on the driver
-            d_cross = float(cross(cells.toPandas())["d"].iloc[0])
-        else:
-            one = cells.withColumn("_one", F.lit(0))
-            d_cross = one.groupBy("_one").applyInPandas(lambda p: cross(p), "d double").first()[0]
-        # same-x-block (kind 0), same-y-block (kind 1), same cell (kind 2)
-        kinds = F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("xb").alias("k1"), F.lit(0).alias("k2")),
-            F.struct(F.lit(1).alias("kind"), F.col("yb").alias("k1"), F.lit(0).alias("k2")),
-            F.struct(F.lit(2).alias("kind"), F.col("xb").alias("k1"), F.col("yb").alias("k2")),
-        )
-        grouped = tagged.select("x", "y", "w", F.explode(kinds).alias("g")).select("x", "y", "w", "g.*")
-        part = _grouped_discordant(grouped, ["kind", "k1", "k2"], group_rows)
-        within = {r["kind"]: r["s"] for r in part.groupBy("kind").agg(F.sum("d").alias("s")).collect()}
-        d = d_cross + within.get(0, 0.0) + within.get(1, 0.0) - within.get(2, 0.0)
-        denom = (n0 - n1) * (n0 - n2)
-        if denom <= 0:
-            return None
-        return (n0 - n1 - n2 + n3 - 2 * d) / math.sqrt(denom)
-    finally:
-        xy.unpersist()
-
-
-def kendall_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Kendall tau-b matrix."""
-    values: dict[tuple[str, str], float | None] = {}
-    for a, b in combinations(columns, 2):
-        values[(a, b)] = kendall_tau(df, a, b)
-    for c in columns:
-        values[(c, c)] = 1.0
-    return _long(df.sparkSession, columns, values)
+    from curata.session import cut_lineage
+
+    if not pairs:
+        return {}
+    base = df.select(*[numeric_column(df, c).alias(c) for c in dict.fromkeys(c for p in pairs for c in p)])
+    items = [F.struct(F.lit(k).alias("pid"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for k, (a, b) in enumerate(pairs)]
+    long = base.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    xy = cut_lineage(long.groupBy("pid", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    pairs_of = lambda w: F.sum(F.col(w) * (F.col(w) - 1) / 2)
+    # rows alike in x, in y and in both, in one pass each over the distinct rows
+    whole = xy.groupBy("pid").agg(F.sum("w").alias("n"), pairs_of("w").alias("n3"))
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("key")), F.struct(F.lit(1).alias("side"), F.col("y").alias("key")))).alias("t")
+    alike = xy.select("pid", "w", sides).groupBy("pid", "t.side", "t.key").agg(F.sum("w").alias("t"))
+    ties = alike.groupBy("pid").agg(*[F.sum(F.when(F.col("side") == s, F.col("t") * (F.col("t") - 1) / 2)).alias(f"n{s + 1}") for s in (0, 1)])
+    apart = _grouped_discordant(xy, ["pid"], group_rows, max(2, blocks or _KENDALL_SUB_BLOCKS)).groupBy("pid").agg(F.sum("d").alias("d"))
+    out: dict[tuple[str, str], float | None] = dict.fromkeys(pairs)
+    for r in whole.join(ties, "pid").join(apart, "pid", "left").collect():
+        n0 = r["n"] * (r["n"] - 1) / 2
+        spread = (n0 - r["n1"]) * (n0 - r["n2"])
+        if r["n"] >= 2 and spread > 0:
+            out[pairs[r["pid"]]] = (n0 - r["n1"] - r["n2"] + r["n3"] - 2 * (r["d"] or 0.0)) / math.sqrt(spread)
+    return out
+
+
+def kendall_tau(df: DataFrame, a: str, b: str, blocks: int | None = None, group_rows: int = _KENDALL_GROUP_ROWS) -> float | None:
+    """Kendall tau-b of two columns on their complete rows (P8), exact; ``blocks`` value blocks split a pair of more than ``group_rows`` rows."""
+    return _kendall_pairs(df, [(a, b)], group_rows, blocks)[a, b]
+
+
+def kendall_matrix(df: DataFrame, columns: Sequence[str], group_rows: int = _KENDALL_GROUP_ROWS) -> DataFrame:
+    """Pairwise-complete Kendall tau-b matrix (P8): all pairs at once, no cross join, no task above ``group_rows`` rows."""
+    values = _kendall_pairs(df, list(combinations(columns, 2)), group_rows)
+    return _long(df.sparkSession, columns, values | {(c, c): 1.0 for c in columns})
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from curata.functions import count_below, is_numeric_type, numeric_column, require_columns
 from curata.functions.stats import global_percentiles, running_sums
 from curata.operators.fitted import Fitted
+from curata.session import cut_lineage
 
 # --- fixed values -------------------------------------------------------------------
 DEFAULT_BINS = 4
@@ -50,7 +51,6 @@ def fit_discretizer(
     method: str = "equalwidth",
     bins: int = DEFAULT_BINS,
     target: str | None = None,
-    seed: int = 1,
 ) -> Fitted:
     """Learn the inner breakpoints; every method ends as right-closed codes
     ``1 + number of inner breaks below x`` in ``<column>_discretized``."""
@@ -73,7 +73,7 @@ def fit_discretizer(
                 raise ValueError("breaks are not unique: the column has a single value")
             inner = uniq[1:-1]
     elif method == "kmeans":
-        inner = kmeans_breaks(df, column, bins, seed)
+        inner = kmeans_breaks(df, column, bins)
     elif method == "entropy":
         if target is None:
             raise ValueError("a target column is required for entropy discretisation")
@@ -96,27 +96,44 @@ def discretize(
     method: str = "equalwidth",
     bins: int = DEFAULT_BINS,
     target: str | None = None,
-    seed: int = 1,
 ) -> DataFrame:
-    return fit_discretizer(df, column, method, bins, target, seed).transform(df)
+    return fit_discretizer(df, column, method, bins, target).transform(df)
 
 
-def kmeans_breaks(df: DataFrame, column: str, k: int = DEFAULT_BINS, seed: int = 1) -> list[float]:
-    """D3: 1-D k-means (``pyspark.ml``); the boundaries between clusters
-    numbered by ascending centre are the midpoints of neighbouring centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def kmeans_breaks(df: DataFrame, column: str, k: int = DEFAULT_BINS) -> list[float]:
+    """D3: 1-D k-means; the boundaries between clusters numbered by ascending
+    centre are the midpoints of neighbouring centres (a value on one belongs
+    to the lower cluster).
 
+    Lloyd's rounds from the quantiles (2i + 1) / 2k of the distinct values, so
+    the result depends on the values alone.  Rows collapse to (value, count),
+    written once; a round is one aggregate of them with k rows, until no value
+    changes its cluster.  Fewer distinct values than k are a cluster each.
+    """
     keyed = df.select(numeric_column(df, column).alias("_kx")).where(F.col("_kx").isNotNull())
-    train = VectorAssembler(inputCols=["_kx"], outputCol="_kv").transform(keyed)
-    model = KMeans(k=k, maxIter=KMEANS_MAX_ITER, seed=seed, featuresCol="_kv", predictionCol="_kc").fit(train)
-    centres = sorted(float(c[0]) for c in model.clusterCenters())
-    return [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:])]
-
-
-def kmeans_codes(df: DataFrame, column: str, k: int = DEFAULT_BINS, seed: int = 1) -> DataFrame:
+    counted = cut_lineage(keyed.groupBy("_kx").agg(F.count(F.lit(1)).alias("_n")))
+    distinct = counted.count()
+    if not distinct:
+        return []
+    k = min(k, distinct)
+    centres = global_percentiles(counted, "_kx", [(2 * i + 1) / (2 * k) for i in range(k)])
+    inner: list[float] = []
+    held: dict[int, int] = {}
+    for _ in range(KMEANS_MAX_ITER):
+        inner = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)]
+        code = code_from_breaks(F.col("_kx"), inner).alias("_k")
+        groups = counted.groupBy(code).agg(F.sum("_n").alias("n"), (F.sum(F.col("_kx") * F.col("_n")) / F.sum("_n")).alias("mean")).collect()
+        for g in groups:  # an empty cluster keeps its centre
+            centres[g["_k"] - 1] = g["mean"]
+        if (sizes := {g["_k"]: g["n"] for g in groups}) == held:
+            break  # the same intervals again
+        held = sizes
+    return [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)]
+
+
+def kmeans_codes(df: DataFrame, column: str, k: int = DEFAULT_BINS) -> DataFrame:
     """D3: codes of the nearest k-means centre, numbered by ascending centre."""
-    return fit_discretizer(df, column, "kmeans", k, seed=seed).transform(df)
+    return fit_discretizer(df, column, "kmeans", k).transform(df)
 
 
 # --- D4: MDLP (Fayyad & Irani) --------------------------------------------------------------

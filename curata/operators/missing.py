@@ -218,13 +218,14 @@ def tree_impute(df: DataFrame, column: str, features: Sequence[str] | None = Non
 
 
 def unimputable_report(df: DataFrame, column: str, predictors: Sequence[str] | None = None) -> DataFrame:
-    """Rows whose ``column`` is NULL and that lack a predictor, with the
-    missing predictor names: (all input columns..., missing_predictors)."""
+    """Rows whose ``column`` is missing and that lack a predictor, with the
+    missing predictor names: (all input columns..., missing_predictors).  NaN
+    is missing like NULL, in the column and in the predictors."""
     require_columns(df, [column])
     preds = list(predictors) if predictors is not None else [c for c in df.columns if c != column]
-    names = F.array_compact(F.array(*[F.when(F.col(f"`{p}`").isNull(), F.lit(p)) for p in preds]))
+    names = F.array_compact(F.array(*[F.when(nan_as_null(df, p).isNull(), F.lit(p)) for p in preds]))
     return (
-        df.where(F.col(f"`{column}`").isNull())
+        df.where(nan_as_null(df, column).isNull())
         .withColumn("missing_predictors", names)
         .where(F.size("missing_predictors") > 0)
     )

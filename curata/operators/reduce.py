@@ -121,7 +121,7 @@ def _predictor_groups(df: DataFrame, feats: Sequence[str]) -> tuple[list[Column]
         c = F.col(f"`{f}`")
         if is_numeric_type(df, f):
             groups.append([len(exprs)])
-            exprs.append(c.cast("double"))
+            exprs.append(numeric_column(df, f))  # NaN is missing like NULL
             continue
         txt = c.cast("string")
         levels = [r[0] for r in df.where(txt.isNotNull()).select(txt.alias("l")).distinct().orderBy("l").collect()]

@@ -9,6 +9,7 @@ from curata.plans.catalog import query, rnd
 from curata.plans.inputs import table
 
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+STEP_COLUMNS = ["l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_partkey"]  # target first
 
 
 @query("r1_pca")
@@ -39,6 +40,57 @@ for _dir in ("forward", "backward", "both"):
     query(f"r2_stepwise_{_dir}" if _dir == "forward" else (f"r3_stepwise_{_dir}" if _dir == "backward" else "r4_stepwise_both"))(_fn)
 
 
+def _determinant(names: list[str]) -> str:
+    """Determinant of the centred cross products of columns, expanded along the first row."""
+    cell = lambda a, b: f"s_{min(a, b)}_{max(a, b)}"
+
+    def minor(rows: list[str], cols: list[str]) -> str:
+        if not rows:
+            return "1.0"
+        parts = [f"{'-' if k % 2 else '+'} {cell(rows[0], c)} * ({minor(rows[1:], cols[:k] + cols[k + 1 :])})" for k, c in enumerate(cols)]
+        return " ".join(parts).removeprefix("+ ")
+
+    return minor(names, names)
+
+
+def _stepwise_sql(target: str, feats: list[str], direction: str) -> str:
+    """Every subset's AIC from determinants (RSS = |S with y| / |S|), then the greedy path over the subsets."""
+    names = [target, *feats]
+    mean = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}" for c in names)
+    sums = ", ".join(f"sum((CAST({a} AS DOUBLE) - m_{a}) * (CAST({b} AS DOUBLE) - m_{b})) / 1e6 AS s_{min(a, b)}_{max(a, b)}" for i, a in enumerate(names) for b in names[i:])
+    models = []
+    for mask in range(1 << len(feats)):
+        own = [f for i, f in enumerate(feats) if mask >> i & 1]
+        models.append(f"SELECT {mask} AS mask, n * ln(({_determinant([target, *own])}) / ({_determinant(own)}) * 1e6 / n) + 2 * {len(own) + 1} AS aic FROM g")
+    full = (1 << len(feats)) - 1
+    step = {"forward": "b.mask & p.mask = p.mask", "backward": "b.mask & p.mask = b.mask", "both": "true"}[direction]
+    body = " UNION ALL ".join(f"SELECT '{f}' AS feature, (mask >> {i}) & 1 = 1 AS chosen FROM last" for i, f in enumerate(feats))
+    return f"""WITH RECURSIVE a AS (SELECT {mean} FROM lineitem),
+g AS MATERIALIZED (SELECT count(*) AS n, {sums} FROM lineitem, a),
+models AS MATERIALIZED ({' UNION ALL '.join(models)}),
+-- from each subset to its best neighbour of one feature more or less, if that is better
+moves AS MATERIALIZED (SELECT p.mask, arg_min(b.mask, b.aic) AS best, min(b.aic) AS best_aic, any_value(p.aic) AS aic
+  FROM models p JOIN models b ON bit_count(xor(b.mask, p.mask)) = 1 AND {step} GROUP BY p.mask),
+path AS (SELECT {0 if direction == "forward" else full} AS mask, 0 AS steps UNION ALL
+  SELECT best, steps + 1 FROM path JOIN moves USING (mask) WHERE best_aic < aic - 1e-7),
+last AS (SELECT arg_max(mask, steps) AS mask FROM path)
+{body}"""
+
+
+def _chosen(spark, kept: list[str], feats: list[str]):
+    return spark.createDataFrame([(f, f in kept) for f in feats], "feature string, chosen boolean")
+
+
+for _dir, _name in (("forward", "r2_stepwise_forward_choice"), ("backward", "r3_stepwise_backward_choice"), ("both", "r4_stepwise_both_choice")):
+
+    def _fn(spark, sf_dir, _dir=_dir):
+        """Which features the stepwise search keeps, against the AIC of every subset."""
+        li = table(spark, sf_dir, "lineitem").select(*STEP_COLUMNS)
+        return _chosen(spark, red.stepwise(li, STEP_COLUMNS[0], _dir).columns, STEP_COLUMNS[1:])
+
+    query(_name, _stepwise_sql(STEP_COLUMNS[0], STEP_COLUMNS[1:], _dir))(_fn)
+
+
 @query("r4_stepwise_both_text_predictors")
 def r4_stepwise_both_text_predictors(spark, sf_dir):
     """Stepwise (both directions) with the text columns l_returnflag and

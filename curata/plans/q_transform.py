@@ -255,7 +255,24 @@ def d2_equal_frequency_ties(spark, sf_dir):
     return disc.discretize(li, "l_linenumber", "equalfreq")
 
 
-@query("d3_kmeans")
+def _kmeans_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds over all orders from the quantiles of the distinct prices, one CTE a round."""
+    starts = " UNION ALL ".join(f"SELECT {i} AS i, quantile_cont(x, {(2 * i + 1) / (2 * k)}) AS c FROM v" for i in range(k))
+    ctes = [
+        "v AS MATERIALIZED (SELECT CAST(o_totalprice AS DOUBLE) AS x, count(*) AS n FROM orders GROUP BY 1)",
+        f"c0 AS MATERIALIZED ({starts})",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"b{r} AS MATERIALIZED (SELECT list((a.c + b.c) / 2 ORDER BY a.i) AS b FROM c{r} a JOIN c{r} b ON b.i = a.i + 1)")
+        if r < rounds:
+            ctes.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.i, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT len(list_filter(b, lambda z: z < x)) AS i, sum(x * n) / sum(n) AS c FROM v, b{r} GROUP BY 1) m ON m.i = c.i)"
+            )
+    body = f"SELECT o_orderkey, o_totalprice, CAST(len(list_filter(b, lambda z: z < CAST(o_totalprice AS DOUBLE))) + 1 AS INTEGER) AS o_totalprice_discretized FROM orders, b{rounds}"
+    return f"WITH {', '.join(ctes)}\n{body}"
+
+
+@query("d3_kmeans", _kmeans_sql(disc.DEFAULT_BINS, disc.KMEANS_MAX_ITER))
 def d3_kmeans(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return disc.discretize(o, "o_totalprice", "kmeans")

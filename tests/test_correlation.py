@@ -65,3 +65,47 @@ def test_kendall_recursive_blocks_match_brute_force(tied, group_rows):
     assert got == pytest.approx(kendall_brute(pdf.x.values, pdf.y.values), abs=1e-12)
     got2 = correlation.kendall_tau(df, "x", "z", blocks=3, group_rows=group_rows)
     assert got2 == pytest.approx(kendall_brute(pdf.x.values, pdf.z.values), abs=1e-12)
+
+
+@pytest.mark.parametrize("group_rows", [40, 200_000])
+def test_matrices_with_nulls_ties_and_a_constant(spark, group_rows):
+    rng = np.random.default_rng(12)
+    n = 150
+    pdf = pd.DataFrame({f"c{i}": rng.integers(0, 12, n).astype(float) + (0 if i % 2 else rng.normal(size=n)) for i in range(5)})
+    pdf["c4"] = pdf["c0"] - pdf["c1"]
+    for i, share in ((1, 0.3), (2, 0.1), (4, 0.5)):
+        pdf.loc[rng.random(n) < share, f"c{i}"] = np.nan
+    pdf["flat"] = 2.0
+    cols = list(pdf.columns)
+    df = spark.createDataFrame(pdf).repartition(4)
+    rho = {(r.col_a, r.col_b): r.r for r in correlation.spearman_matrix(df, cols).collect()}
+    tau = {(r.col_a, r.col_b): r.r for r in correlation.kendall_matrix(df, cols, group_rows).collect()}
+    for a in cols:
+        for b in cols:
+            both = pdf[[a, b]].dropna() if a != b else pdf[[a]].dropna()
+            if a == b:
+                assert rho[a, a] == (None if a == "flat" else 1.0) and tau[a, a] == 1.0
+            elif "flat" in (a, b):
+                assert rho[a, b] is None and tau[a, b] is None
+            else:
+                assert rho[a, b] == pytest.approx(both[a].rank().corr(both[b].rank()), abs=1e-12)
+                assert tau[a, b] == pytest.approx(kendall_brute(both[a].values, both[b].values), abs=1e-12)
+
+
+def test_matrices_of_an_empty_table_and_of_one_column(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    for matrix in (correlation.spearman_matrix, correlation.kendall_matrix):
+        assert {(r.col_a, r.col_b): r.r for r in matrix(df, ["a", "b"]).collect()}["a", "b"] is None
+        assert matrix(spark.createDataFrame([(1.0,), (2.0,)], "a double"), ["a"]).first().r == 1.0
+
+
+def test_number_of_jobs_does_not_follow_the_number_of_pairs(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame(pd.DataFrame({f"c{i}": rng.normal(size=60) for i in range(8)})).repartition(2)
+    counts = []
+    for p in (2, 8):
+        spark.sparkContext.setJobGroup(f"kendall-{p}", "jobs")
+        correlation.kendall_matrix(df, [f"c{i}" for i in range(p)])
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"kendall-{p}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] <= counts[0] + 2

@@ -84,3 +84,17 @@ def test_outliers_and_skew_need_numbers(spark):
     df = spark.createDataFrame([("a",)], "c string")
     with pytest.raises(ValueError):
         outliers.zscore_outliers(df, "c")
+
+
+def test_report_and_derive_take_nan_as_missing(spark):
+    from curata.operators import derive, missing
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, None, nan), (2, nan, None), (3, 1.0, nan), (4, nan, 2.0), (5, 1e308, 1e308), (6, inf, 1.0), (7, 4.0, 2.0)], "id int, a double, b double")
+    report = {r["id"]: r["missing_predictors"] for r in missing.unimputable_report(df, "a").collect()}
+    assert report == {1: ["b"], 2: ["b"]}
+    for op, last in (("add", 6.0), ("subtract", 2.0), ("multiply", 8.0), ("divide", 2.0), ("mod", 0.0)):
+        got = {r["id"]: r["v"] for r in derive.derive(df, "a", "b", op, "v").collect()}
+        assert [got[i] for i in (1, 2, 3, 4, 6)] == [None] * 5 and got[7] == last
+        if op in ("add", "multiply"):
+            assert got[5] is None  # beyond the range of numbers

@@ -261,3 +261,19 @@ def test_stepwise_with_text_predictor(spark, direction):
     out = red.stepwise(spark.createDataFrame(pdf), "y", direction)
     assert out.columns == ["y"] + cur
     assert "grp" in out.columns
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward", "both"])
+def test_stepwise_takes_nan_as_missing(spark, direction):
+    rng = np.random.default_rng(17)
+    n = 200
+    x1, x2, x3 = rng.normal(size=(3, n))
+    y = x1 + 2 * x2 + rng.normal(scale=0.1, size=n)
+    gap = rng.random(n) < 0.2
+    with_null = [(float(a), None if g else float(b), float(c), float(d)) for a, b, c, d, g in zip(x1, x2, x3, y, gap, strict=True)]
+    with_nan = [(a, float("nan") if b is None else b, c, d) for a, b, c, d in with_null]
+    schema = "x1 double, x2 double, x3 double, y double"
+    grams = [red._Gram(df, df["y"], red._predictor_groups(df, ["x1", "x2", "x3"])[0]) for df in (spark.createDataFrame(r, schema) for r in (with_null, with_nan))]
+    assert grams[0].n == grams[1].n == n - gap.sum()
+    assert np.allclose(grams[0].s, grams[1].s)
+    assert red.stepwise(spark.createDataFrame(with_nan, schema), "y", direction).columns == red.stepwise(spark.createDataFrame(with_null, schema), "y", direction).columns

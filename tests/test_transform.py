@@ -120,6 +120,35 @@ def test_equal_frequency_dedupes(spark):
     assert set(codes.values()) == {1, 2} and codes[5] == 1 and codes[6] == 2
 
 
+def lloyd(values, k):
+    """Plain Lloyd rounds on sorted values from the quantiles of the distinct ones."""
+    distinct = np.unique(values)
+    centres = [float(np.quantile(distinct, (2 * i + 1) / (2 * k))) for i in range(k)]
+    held = None
+    while True:
+        cuts = [(a + b) / 2 for a, b in zip(centres[:-1], centres[1:], strict=True)]
+        codes = np.searchsorted(cuts, values, side="left")
+        if held is not None and (codes == held).all():
+            return codes + 1
+        held = codes
+        centres = [float(values[codes == i].mean()) if (codes == i).any() else c for i, c in enumerate(centres)]
+
+
+def test_kmeans_is_lloyd_under_any_partitioning(spark):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(0, 1, 300), rng.normal(9, 2, 80), np.full(200, 4.0), rng.normal(30, 1, 20)])
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(v)), "v": v}))
+    for k, parts in ((4, 1), (4, 9), (3, 4), (7, 2)):
+        got = dict(rows(discretize.discretize(df.repartition(parts), "v", "kmeans", bins=k), "id", "v_discretized"))
+        assert [got[i] for i in range(len(v))] == list(lloyd(v, k))
+
+
+def test_kmeans_few_values_and_none(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 8.0), (4, None), (5, float("nan"))], "id int, v double")
+    assert dict(rows(discretize.discretize(df, "v", "kmeans", bins=4), "id", "v_discretized")) == {1: 1, 2: 1, 3: 2, 4: None, 5: None}
+    assert discretize.discretize(df.limit(0), "v", "kmeans").count() == 0
+
+
 def test_kmeans_codes_ordered(spark):
     vals = [1.0, 1.1, 0.9, 10.0, 10.2, 20.0, 20.5, 40.0, 41.0]
     df = spark.createDataFrame(list(enumerate(vals)), "id int, v double")
