@@ -77,6 +77,7 @@ def exact_percentiles(
     by: Sequence[str] = (),
     names: Sequence[str] | None = None,
     buckets: int | None = None,
+    counted: str | None = None,
 ) -> DataFrame:
     """Exact type-7 (linear interpolation) percentiles of ``value`` per group.
 
@@ -86,6 +87,8 @@ def exact_percentiles(
     ``(group, value, count)`` first (map-side combine); ``_running`` gives each
     value its ranks, and the wanted ranks are picked by an aggregate per group.
     ``buckets``: number of range partitions (default: the session's).
+    ``counted``: column with the rows of each (group, value), where the frame
+    already holds each of them once.
     """
     by = list(by)
     names = list(names) if names is not None else [f"p{i}" for i in range(len(probs))]
@@ -95,8 +98,12 @@ def exact_percentiles(
         by = ["_g"]
     v = F.col(f"`{value}`").cast("double")
     # rows without a value stay in with no weight, so that their group comes out
-    counted = df.select(*_cols(by), F.when(~F.isnan(v), v).alias("_v")).groupBy(*_cols(by), "_v").agg(F.count("_v").alias("_n"))
-    ranked = _running(counted, by, "_v", ["_n"], buckets)
+    there = F.when(~F.isnan(v), v).alias("_v")
+    if counted is None:
+        values = df.select(*_cols(by), there).groupBy(*_cols(by), "_v").agg(F.count("_v").alias("_n"))
+    else:
+        values = df.select(*_cols(by), there, F.when(v.isNotNull(), F.col(f"`{counted}`")).otherwise(0).alias("_n"))
+    ranked = _running(values, by, "_v", ["_n"], buckets)
     present, start, stop = F.col("_v").isNotNull(), F.col("_before_n"), F.col("_before_n") + F.col("_n")
     aggs = []
     for p, name in zip(probs, names, strict=True):

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from curata.functions import count_below, is_numeric_type, numeric_column
 from curata.functions.stats import exact_percentiles, top_k_per_group
 from curata.operators.schema import classify_and_count, classify_columns, r_type_name
+from curata.session import cut_lineage
 
 # --- fixed values ---------------------------------------------------------------
 TOP_LABELS = 10          # categorical frequency table keeps this many labels
@@ -83,43 +84,37 @@ COLUMN_STATS_SCHEMA = T.StructType(
 )
 
 
-def value_label(df: DataFrame, name: str) -> Column:
-    """Text label of a value as a frequency table names it.
-
-    Whole doubles print without a fraction (``5`` not ``5.0``); other values use
-    Spark's string cast.
-    """
-    c = _c(name)
-    dt = df.schema[name].dataType
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = c.cast("double")
-        return F.when(
-            (d == F.floor(d)) & (F.abs(d) < 1e15), F.floor(d).cast("long").cast("string")
-        ).otherwise(d.cast("string"))
-    return c.cast("string")
-
-
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(_col, _d, _s, _cnt): count of every distinct non-null value per column.
+    """(_i, _col, _d, _s, _cnt): count of every distinct value per column, the one frame that all value statistics share.
 
-    ``_d`` is the numeric value (NULL for non-numeric columns) and ``_s`` the
-    text label; ordering by (_d, _s) sorts numbers numerically.
+    ``_i`` is the column's place in ``columns``, ``_d`` the numeric value (NULL for other columns) and ``_s`` its text
+    label: whole numbers print without a fraction (``5`` not ``5.0``), other values as Spark casts them.  Ordering by
+    (_d, _s) sorts numbers numerically.  Missing values (NULL, NaN) are left out.  What is shuffled is the column's
+    number and a DOUBLE; only text, and whole numbers too long for a DOUBLE's digits, travel as text.
     """
     items = []
-    for c in columns:
-        d = numeric_column(df, c) if is_numeric_type(df, c) else F.lit(None).cast("double")
-        items.append(F.struct(F.lit(c).alias("_col"), d.alias("_d"), value_label(df, c).alias("_s")))
-    long = df.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(F.col("_s").isNotNull())
-    return long.groupBy("_col", "_d", "_s").agg(F.count(F.lit(1)).alias("_cnt"))
+    for i, c in enumerate(columns):
+        dt = df.schema[c].dataType
+        if is_numeric_type(df, c):
+            d = numeric_column(df, c)
+            t = F.when(F.abs(d) >= 1e15, _c(c).cast("string")) if isinstance(dt, T.IntegralType) else F.lit(None).cast("string")
+        else:
+            d, t = F.lit(None).cast("double"), _c(c).cast("string")
+        items.append(F.struct(F.lit(i).alias("_i"), d.alias("_d"), t.alias("_t")))
+    long = df.select(F.explode(F.array(*items)).alias("_p")).select("_p.*").where(F.col("_d").isNotNull() | F.col("_t").isNotNull())
+    counted = long.groupBy("_i", "_d", "_t").agg(F.count(F.lit(1)).alias("_cnt"))
+    d = F.col("_d")
+    label = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), F.floor(d).cast("long").cast("string")).otherwise(d.cast("string"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_i") + 1)
+    return counted.select("_i", name.alias("_col"), "_d", F.coalesce("_t", label).alias("_s"), "_cnt")
 
 
-def column_stats(df: DataFrame) -> DataFrame:
+def column_stats(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Per-column statistics, one row per column.
 
-    Passes: (1) one wide aggregate for counts, moments, min/max;
-    (2) exact quartiles of all numeric columns together (unpivoted, grouped by
-    column); (3) Tukey outlier counts with the fences of (2);
-    (4) value counts -> distinct count and most frequent value.
+    Two scans of the input: one wide aggregate for counts, moments, min and max, and one that collapses all columns to
+    (column, value, count), written once.  Quartiles, outlier counts by Tukey fences, distinct counts and most frequent
+    values come from the collapsed frame (``counts``, where the caller has it already).
     """
     cols = df.columns
     numeric = [c for c in cols if is_numeric_type(df, c)]
@@ -139,54 +134,46 @@ def column_stats(df: DataFrame) -> DataFrame:
             F.count(x).alias(f"nx{i}"),
         ]
     wide = df.agg(*aggs).first()
+    n_rows = wide["_rows"]
 
-    quart: dict[str, tuple] = {}
+    counted = cut_lineage(_value_counts(df, cols)) if counts is None else counts
+    quart: dict[int, tuple] = {}
+    outliers: dict[int, int] = {}
     if numeric:
-        long = df.select(
-            F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), num[c].alias("_v")) for c in numeric])).alias("_p")
-        ).select("_p._col", "_p._v")
-        q = exact_percentiles(long, "_v", [0.25, 0.5, 0.75], by=["_col"], names=["q1", "q2", "q3"])
-        for r in q.collect():
-            quart[r["_col"]] = (r["q1"], r["q2"], r["q3"])
-        fences = []
-        for i, c in enumerate(numeric):
-            q1, _, q3 = quart.get(c, (None, None, None))
-            if q1 is None:
-                fences.append(F.lit(None).cast("long").alias(f"o{i}"))
-                continue
-            lo = q1 - TUKEY_FACTOR * (q3 - q1)
-            hi = q3 + TUKEY_FACTOR * (q3 - q1)
-            fences.append(F.count_if((num[c] < F.lit(lo)) | (num[c] > F.lit(hi))).alias(f"o{i}"))
-        out_row = df.agg(*fences).first()
-    counts = _value_counts(df, cols)
+        values = counted.where(F.col("_d").isNotNull())
+        for r in exact_percentiles(values, "_d", [0.25, 0.5, 0.75], by=["_i"], names=["q1", "q2", "q3"], counted="_cnt").collect():
+            quart[r["_i"]] = (r["q1"], r["q2"], r["q3"])
+        if quart:  # one row a column, as constants
+            low, high = {}, {}
+            for i, (q1, _, q3) in quart.items():
+                low[i], high[i] = q1 - TUKEY_FACTOR * (q3 - q1), q3 + TUKEY_FACTOR * (q3 - q1)
+            fence = lambda side: F.element_at(F.create_map(*[F.lit(x) for i, v in side.items() for x in (i, v)]), F.col("_i"))
+            beyond = (F.col("_d") < fence(low)) | (F.col("_d") > fence(high))
+            for r in values.groupBy("_i").agg(F.sum(F.when(beyond, F.col("_cnt")).otherwise(0)).alias("n")).collect():
+                outliers[r["_i"]] = r["n"]
     best = F.min(F.struct((-F.col("_cnt")).alias("neg"), F.col("_d"), F.col("_s"))).alias("_best")
     per_col = {
-        r["_col"]: r
-        for r in counts.groupBy("_col")
+        r["_i"]: r
+        for r in counted.groupBy("_i")
         .agg(F.count(F.lit(1)).alias("_distinct"), best)
-        .select("_col", "_distinct", F.col("_best._s").alias("_mf"), (-F.col("_best.neg")).alias("_mfc"))
+        .select("_i", "_distinct", F.col("_best._s").alias("_mf"), (-F.col("_best.neg")).alias("_mfc"))
         .collect()
     }
 
     rows = []
-    n_rows = wide["_rows"]
     for i, c in enumerate(cols):
-        pc = per_col.get(c)
-        distinct = pc["_distinct"] if pc else 0
-        mf = pc["_mf"] if pc else None
-        mfc = pc["_mfc"] if pc else None
+        pc = per_col.get(i)
         rec = dict(
             column_name=c,
             type=r_type_name(df.schema[c].dataType),
             missing=n_rows - wide[f"nn{i}"],
-            distinct=distinct,
-            most_frequent=mf,
-            freq_count=mfc,
+            distinct=pc["_distinct"] if pc else 0,
+            most_frequent=pc["_mf"] if pc else None,
+            freq_count=pc["_mfc"] if pc else None,
         )
         if c in numeric:
             j = numeric.index(c)
-            has = wide[f"nx{j}"] > 0
-            q1, q2, q3 = quart.get(c, (None, None, None))
+            q1, q2, q3 = quart.get(i, (None, None, None))
             rec.update(
                 missing=n_rows - wide[f"nx{j}"],
                 zeros=wide[f"z{j}"],
@@ -195,9 +182,9 @@ def column_stats(df: DataFrame) -> DataFrame:
                 sd=wide[f"sd{j}"],
                 min=wide[f"min{j}"],
                 max=wide[f"max{j}"],
-                iqr=(q3 - q1) if has and q1 is not None else None,
+                iqr=(q3 - q1) if q1 is not None else None,
                 skewness=wide[f"sk{j}"],
-                outliers=out_row[f"o{j}"] if has else None,
+                outliers=outliers.get(i),
             )
         rows.append(tuple(rec.get(f.name) for f in COLUMN_STATS_SCHEMA.fields))
     return df.sparkSession.createDataFrame(rows, COLUMN_STATS_SCHEMA)
@@ -206,17 +193,18 @@ def column_stats(df: DataFrame) -> DataFrame:
 # --- P3 ------------------------------------------------------------------------------
 
 
-def categorical_frequencies(df: DataFrame, columns: Sequence[str], top: int = TOP_LABELS) -> DataFrame:
+def categorical_frequencies(df: DataFrame, columns: Sequence[str], top: int = TOP_LABELS, counts: DataFrame | None = None) -> DataFrame:
     """Top labels per column with percentages of the top-``top`` total.
 
     Returns (column_name, rank, label, count, percentage); ties are broken by
     ascending value.  The top-k is salted, so a column with many distinct
-    values is ranked by many tasks.
+    values is ranked by many tasks.  ``counts``: the collapsed frame of
+    ``column_stats``, where the caller has it.
     """
     if not columns:
         schema = "column_name string, rank int, label string, count bigint, percentage double"
         return df.sparkSession.createDataFrame([], schema)
-    counts = _value_counts(df, columns)
+    counts = _value_counts(df, columns) if counts is None else counts.where(F.col("_col").isin(*columns))
     order = [F.col("_cnt").desc(), F.col("_d").asc_nulls_last(), F.col("_s").asc()]
     top_rows = top_k_per_group(counts, ["_col"], order, top, salt_on="_s")
     total = F.sum("_cnt").over(Window.partitionBy("_col"))
@@ -351,30 +339,22 @@ class Profile:
     correlation: DataFrame | None
     qualitative: list[str]
     quantitative: list[str]
-    source: DataFrame | None = None
-
-    def release(self) -> None:
-        """Drop the cached input once the lazy parts are consumed."""
-        if self.source is not None:
-            self.source.unpersist()
 
 
 def profile(df: DataFrame, max_unique_cat: int = 10) -> Profile:
-    """Whole profile (P1-P5).  The input is cached for the duration; nothing is
+    """Whole profile (P1-P5).  The input is never cached: all value statistics
+    share one collapsed frame (column, value, count), written once; nothing is
     run automatically after other operators (profiling is opt-in)."""
     from curata.operators.correlation import correlation_matrix
 
-    cached = df.cache()
-    qual, quant = classify_columns(cached, max_unique_cat)
-    quant_nonnull = [c for c in quant]
-    corr = correlation_matrix(cached, quant_nonnull, "pearson") if len(quant_nonnull) > 1 else None
+    qual, quant = classify_columns(df, max_unique_cat)
+    counts = cut_lineage(_value_counts(df, df.columns))
     return Profile(
-        summary=dataset_summary(cached, max_unique_cat),
-        columns=column_stats(cached),
-        categorical=categorical_frequencies(cached, qual),
-        numerical=numeric_histograms(cached, quant),
-        correlation=corr,
+        summary=dataset_summary(df, max_unique_cat),
+        columns=column_stats(df, counts),
+        categorical=categorical_frequencies(df, qual, counts=counts),
+        numerical=numeric_histograms(df, quant),
+        correlation=correlation_matrix(df, quant, "pearson") if len(quant) > 1 else None,
         qualitative=qual,
         quantitative=quant,
-        source=cached,
     )

@@ -33,6 +33,10 @@ DERIVED = {
                CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
                o_orderpriority
         FROM orders""",
+    # every 13th order without its date
+    "orders_dated": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS o_orderdate, o_totalprice, o_orderstatus
+        FROM orders""",
     # text priority with NULLs on every 11th order (for the mode)
     "orders_text_gaps": """
         SELECT o_orderkey, o_totalprice,

@@ -81,18 +81,18 @@ def _label_sql(c: str, kind: str) -> str:
     return f"CAST({c} AS VARCHAR)"
 
 
-def _p2_sql() -> str:
+def _p2_sql(columns, source: str) -> str:
     parts = []
-    for c, kind in P2_COLS:
+    for c, kind in columns:
         lab = _label_sql(c, kind)
         mode = (
-            f"(SELECT {{f}} FROM (SELECT {lab} AS lab, {c if kind != 'txt' else 'NULL'} AS num, count(*) AS n FROM src "
+            f"(SELECT {{f}} FROM (SELECT {lab} AS lab, {c if kind not in ('txt', 'date') else 'NULL'} AS num, count(*) AS n FROM src "
             f"WHERE {c} IS NOT NULL GROUP BY ALL ORDER BY n DESC, num ASC NULLS LAST, lab ASC LIMIT 1))"
         )
         mf, mfc = mode.format(f="lab"), mode.format(f="n")
-        if kind == "txt":
+        if kind in ("txt", "date"):
             parts.append(
-                f"SELECT '{c}' AS column_name, 'character' AS type, count(*) - count({c}) AS missing, "
+                f"SELECT '{c}' AS column_name, '{'Date' if kind == 'date' else 'character'}' AS type, count(*) - count({c}) AS missing, "
                 f"count(DISTINCT {c}) AS \"distinct\", CAST(NULL AS BIGINT) AS zeros, CAST(NULL AS DOUBLE) AS mean, "
                 f"CAST(NULL AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS sd, CAST(NULL AS DOUBLE) AS min, "
                 f"CAST(NULL AS DOUBLE) AS max, CAST(NULL AS DOUBLE) AS iqr, CAST(NULL AS DOUBLE) AS skewness, "
@@ -118,7 +118,7 @@ def _p2_sql() -> str:
         )
     body = "\nUNION ALL\n".join(parts)
     return with_derived(
-        "orders_gaps",
+        source,
         f"""SELECT column_name, type, missing, "distinct", zeros, round(mean, 4) AS mean, round(median, 4) AS median,
        round(sd, 4) AS sd, round(min, 4) AS min, round(max, 4) AS max, round(iqr, 4) AS iqr,
        round(skewness, 6) AS skewness, outliers, most_frequent, freq_count
@@ -126,13 +126,22 @@ FROM ({body})""",
     )
 
 
-@query("p2_column_stats", _p2_sql())
-def p2_column_stats(spark, sf_dir):
-    df = derived(spark, sf_dir, "orders_gaps")
-    out = profile.column_stats(df)
+def _column_stats(spark, sf_dir, source: str):
+    out = profile.column_stats(derived(spark, sf_dir, source))
     return rnd(rnd(out, 4, ["mean", "median", "sd", "min", "max", "iqr"]), 6, ["skewness"])
 
 
+@query("p2_column_stats", _p2_sql(P2_COLS, "orders_gaps"))
+def p2_column_stats(spark, sf_dir):
+    return _column_stats(spark, sf_dir, "orders_gaps")
+
+
+@query("p2_column_stats_dates", _p2_sql([("o_orderkey", "int"), ("o_orderdate", "date"), ("o_totalprice", "dbl"), ("o_orderstatus", "txt")], "orders_dated"))
+def p2_column_stats_dates(spark, sf_dir):
+    """Column statistics with a date column that has gaps."""
+    return _column_stats(spark, sf_dir, "orders_dated")
+
+
 # --- P3 -------------------------------------------------------------------------------------
 
 P3_COLS = [("l_linenumber", "int"), ("l_tax", "dbl"), ("l_returnflag", "txt"), ("l_linestatus", "txt"), ("l_shipdate", "txt")]
@@ -234,23 +243,20 @@ FROM ({_summary_sql(P6_COLS, "src")}) s,
 
 @query("p6_profile_bundle", _p6_sql())
 def p6_profile_bundle(spark, sf_dir):
-    """The whole profile (P1-P5 on one cached input): the summary row plus the
+    """The whole profile (P1-P5): the summary row plus the
     row counts of the column table, the frequency table, the histograms and
     the correlation matrix, so every part is computed."""
     prof = profile.profile(derived(spark, sf_dir, "orders_gaps"))
-    try:
-        parts = {
-            "column_rows": prof.columns.count(),
-            "categorical_rows": prof.categorical.count(),
-            "numerical_rows": prof.numerical.count(),
-            "correlation_rows": prof.correlation.count() if prof.correlation is not None else 0,
-        }
-        out = prof.summary
-        for k, v in parts.items():
-            out = out.withColumn(k, F.lit(v).cast("long"))
-        return out  # a one-row frame built from collected numbers
-    finally:
-        prof.release()
+    parts = {
+        "column_rows": prof.columns.count(),
+        "categorical_rows": prof.categorical.count(),
+        "numerical_rows": prof.numerical.count(),
+        "correlation_rows": prof.correlation.count() if prof.correlation is not None else 0,
+    }
+    out = prof.summary
+    for k, v in parts.items():
+        out = out.withColumn(k, F.lit(v).cast("long"))
+    return out  # a one-row frame built from collected numbers
 
 
 _P6_NUM = [c for c, kind in P6_COLS if kind == "num"]
@@ -272,21 +278,18 @@ _P6_TXT = [c for c, kind in P6_COLS if kind == "txt"]
 def p6_profile_values(spark, sf_dir):
     """The values of every part of the whole profile in long form."""
     prof = profile.profile(derived(spark, sf_dir, "orders_gaps"))
-    try:
-        long = lambda df, part, a, b, value: df.select(
-            F.lit(part).alias("part"), F.col(a).alias("a"), b.cast("string").alias("b"), value.cast("double").alias("value")
-        )
-        missing = next(c for c in prof.columns.columns if "missing" in c and "per" not in c)
-        parts = [
-            long(prof.categorical, "categorical", "column_name", F.col("label"), F.col("count")),
-            long(prof.numerical, "numerical", "column_name", F.col("bin"), F.col("count")),
-            long(prof.correlation, "correlation", "col_a", F.col("col_b"), F.round("r", 6)),
-            long(prof.columns, "columns", prof.columns.columns[0], F.lit("missing"), F.col(missing)),
-        ]
-        rows = [tuple(r) for p in parts for r in p.collect()]  # a few dozen figures, before the cached input goes
-        return spark.createDataFrame(rows, "part string, a string, b string, value double")
-    finally:
-        prof.release()
+    long = lambda df, part, a, b, value: df.select(
+        F.lit(part).alias("part"), F.col(a).alias("a"), b.cast("string").alias("b"), value.cast("double").alias("value")
+    )
+    missing = next(c for c in prof.columns.columns if "missing" in c and "per" not in c)
+    parts = [
+        long(prof.categorical, "categorical", "column_name", F.col("label"), F.col("count")),
+        long(prof.numerical, "numerical", "column_name", F.col("bin"), F.col("count")),
+        long(prof.correlation, "correlation", "col_a", F.col("col_b"), F.round("r", 6)),
+        long(prof.columns, "columns", prof.columns.columns[0], F.lit("missing"), F.col(missing)),
+    ]
+    rows = [tuple(r) for p in parts for r in p.collect()]  # a few dozen figures
+    return spark.createDataFrame(rows, "part string, a string, b string, value double")
 
 
 # --- P5 / P7 / P8 -----------------------------------------------------------------------------
