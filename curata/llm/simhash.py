@@ -152,10 +152,11 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: doc_id, text_key (hash of the text), fingerprint (long) and component_id.
+    """One row per input row: doc_id, text_key (hash of the text), fingerprint (long), component_id and root.
 
     Rows are linked if their fingerprints differ in at most ``distance`` bits; component_id is the smallest doc_id of
-    all rows that links connect (null only if none of them has an id).  Null and empty texts have fingerprint 0.
+    all rows that links connect (null only if none of them has an id); root is one of their fingerprints, the same for
+    all of them and for no others, whatever the ids.  Null and empty texts have fingerprint 0.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     prints = cut(fingerprint(rows, keep=["doc_id", "text_key"], words=words))
@@ -163,18 +164,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(nodes.select("fingerprint"), distance))
     rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(ids, "root").select("fingerprint", "component_id")
-    return prints.join(found, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id")
+    found = rooted.join(ids, "root").select("fingerprint", "component_id", "root")
+    return prints.join(found, "fingerprint").select("doc_id", "text_key", "fingerprint", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row of each group of near duplicates with all its columns: the one with the smallest (id, hash of the text).
 
-    Null ids are the smallest; of rows that repeat id and text one stays.
+    Groups go by what links connect, not by ids, so unlinked rows stay even if they share an id or have none.  Null ids
+    are the smallest; of rows that repeat id and text one stays.
     """
     found = near_duplicates(docs, id_col, text_col, words, distance)
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
-    stay = found.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias("_sh_id"), F.col("s.text_key").alias("_sh_key"))
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select(F.col("s.doc_id").alias("_sh_id"), F.col("s.text_key").alias("_sh_key"))
     keyed = docs.withColumn("_sh_text", F.xxhash64(text_or_empty(text_col)))
     same = keyed[f"`{id_col}`"].cast("long").eqNullSafe(stay["_sh_id"]) & (keyed["_sh_text"] == stay["_sh_key"])
     return keyed.join(stay, same, "left_semi").dropDuplicates([id_col, "_sh_text"]).drop("_sh_text")

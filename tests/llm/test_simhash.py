@@ -104,3 +104,23 @@ def test_edge_rows_and_keep_one(spark):
     kept = simhash.keep_one(docs).collect()
     assert sorted(r.fingerprint for r in kept) == [3, 4, 6, 7]
     assert simhash.keep_one(docs.limit(0)).count() == 0 == simhash.near_duplicates(docs.limit(0)).count()
+
+
+def test_keep_one_goes_by_links_not_by_ids(spark):
+    """Unlinked texts stay whatever ids they share; of each linked group one row stays, with or without ids."""
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghik"), 6)) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    near = d + " one"  # a few more shingles
+    rows = [(1, a), (1, b), (2, c), (None, d), (None, near), (None, a + " x y z w v u " * 30), (3, c), (1, c), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    roots = {r["text_key"]: r["root"] for r in simhash.near_duplicates(df).collect()}
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()]
+    assert len(kept) == len(set(roots.values()))
+    assert {(1, a), (1, b)} <= set(kept)
+    assert [k for k in kept if k[1] == c] == [(1, c)]
+    assert sum(k[1] in (d, near) for k in kept) == len({roots[r] for r in _keys(spark, [d, near])})
+
+
+def _keys(spark, texts):
+    return [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t)").collect()]
