@@ -14,7 +14,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-KEEP = 500_000  # words, and runs, whose ids a worker remembers; as many of the generation before
+KEEP = 750_000  # words whose ids a worker remembers; as many of the generation before (some 200 bytes a word)
+RUNS = 500_000  # letter, digit and sign runs that it remembers
 # Letters and numbers of Latin-1 in lower case; beyond it the library cuts the text.
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
@@ -74,7 +75,7 @@ class WordEncoder:
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
-            if len(self.runs) > KEEP:
+            if len(self.runs) > RUNS:
                 self.runs.clear()
             signs = run if run.isascii() and run.isalnum() else run.translate(_TO_SIGNS)
             ids = array(self.kind.char, [t.id for t in self.tokenizer.model.tokenize(signs)]).tobytes()
