@@ -21,8 +21,9 @@ PERCENTILE_BOUNDS = (0.01, 0.99)
 LIB_ZSCORE_THRESHOLD = 2.5    # library z-score rule (sample sd)
 DBSCAN_EPS = 0.5
 DBSCAN_MIN_PTS = 5
-DBSCAN_MAX_KEY_DIMS = 6         # coarse join key grows up to this many dimensions
-DBSCAN_MAX_KEY_POINTS = 20_000  # ... while one key holds more sparse points than this
+DBSCAN_KEY_DIMS = 3             # the widest dimensions that the first cells are cut in
+DBSCAN_HALVED_DIMS = 6          # a crowded cell is halved in this many of its widest dimensions at once
+DBSCAN_MAX_KEY_POINTS = 128     # a cell with more points than this is crowded
 RARE_THRESHOLD = 0.1
 # ----------------------------------------------------------------------------------
 
@@ -200,26 +201,107 @@ def rare_categories(
 # --- C20 DBSCAN noise ------------------------------------------------------------------------
 
 
+def _near2(d: int, q: str = "q") -> Column:
+    """Squared distance from the query to the nearest place of the box (lo*, hi*)."""
+    return sum(
+        F.greatest(F.col(f"lo{i}") - F.col(f"{q}{i}"), F.col(f"{q}{i}") - F.col(f"hi{i}"), F.lit(0.0)) ** 2 for i in range(d)
+    )
+
+
+def _far2(d: int, q: str = "q") -> Column:
+    """Squared distance from the query to the farthest corner of the box."""
+    return sum(F.greatest(F.abs(F.col(f"{q}{i}") - F.col(f"lo{i}")), F.abs(F.col(f"{q}{i}") - F.col(f"hi{i}"))) ** 2 for i in range(d))
+
+
+def _halved(points: DataFrame, crowded: DataFrame, d: int) -> DataFrame:
+    """The points of the crowded cells (``_node``, lo*, hi*), each in its half-size cell:
+    the box is halved in its DBSCAN_HALVED_DIMS widest dimensions.  Whatever the box, at
+    least two of its cells hold points, unless all of its points are equal."""
+    spans = F.array(*[F.col(f"hi{i}") - F.col(f"lo{i}") for i in range(d)])
+    wide = F.lit(0.0) if d <= DBSCAN_HALVED_DIMS else F.sort_array(spans, asc=False)[DBSCAN_HALVED_DIMS - 1]
+    cuts = []
+    for i in range(d):
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        middle = lo + (hi - lo) / 2
+        cuts.append(F.when((hi > lo) & (hi - lo >= wide), F.when(middle < hi, middle).otherwise(lo)).alias(f"cut{i}"))
+    nodes = crowded.select("_node", *cuts)
+    side = [F.when(F.col(f"z{i}") > F.col(f"cut{i}"), F.lit("1")).otherwise(F.lit("0")) for i in range(d)]
+    return points.join(nodes, "_node").select(
+        F.col("_node").alias("_up"), F.concat("_node", F.lit("/"), *side).alias("_node"), *[f"z{i}" for i in range(d)]
+    )
+
+
+def _neighbours_up_to(queries: DataFrame, points: DataFrame, dims: Sequence[int], d: int, eps: float, need: int) -> DataFrame:
+    """(_id, _n): how many of ``points`` lie within ``eps`` of each query, exact below
+    ``need`` and ``need`` from there on; queries without any are absent.
+
+    Queries go down a tree of cells whose boxes (count, lower and upper corner) are
+    aggregates.  A box wholly within eps adds its count, one wholly outside adds
+    nothing, one cut by the ball's surface is gone into: a crowded cell is halved and
+    its halves are tested in the next round, the few points of another are compared
+    one by one.  A query that has found ``need`` goes no further.  Only crowded
+    cells that a query still asks about are ever halved.
+    """
+    eps2 = eps * eps
+    cell = F.transform(F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in dims]), lambda k: k)
+    points = points.select(F.array_join(cell.cast("array<string>"), ",").alias("_node"), *[f"z{i}" for i in range(d)])
+    points = points.withColumn("_up", F.col("_node"))
+    offsets: list[list[int]] = [[]]
+    for _ in dims:
+        offsets = [[*o, k] for o in offsets for k in (-1, 0, 1)]
+    shifts = F.array(*[F.array(*[F.lit(k).cast("long") for k in o]) for o in offsets])
+    around = F.transform(shifts, lambda sh: F.array_join(F.zip_with(cell, sh, lambda a, b: a + b).cast("array<string>"), ","))
+    qs = [f"q{i}" for i in range(d)]
+    corners = [f"{side}{i}" for i in range(d) for side in ("lo", "hi")]
+    asked = queries.select("_id", *[F.col(f"z{i}").alias(f"q{i}") for i in range(d)], F.lit(0).cast("long").alias("_have"), F.explode(around).alias("_up"))
+    dist2 = sum((F.col(f"q{i}") - F.col(f"z{i}")) ** 2 for i in range(d))
+    gains = []
+    while True:
+        boxes = points.groupBy("_up", "_node").agg(
+            F.count(F.lit(1)).alias("_m"),
+            *[f(f"z{i}").alias(f"{side}{i}") for i in range(d) for side, f in (("lo", F.min), ("hi", F.max))],
+        )
+        met = asked.join(boxes, "_up").where(_near2(d) <= eps2)
+        met = cut_lineage(met.select("_id", *qs, "_have", "_node", "_m", *corners, (_far2(d) <= eps2).alias("_inside")))
+        whole = met.where("_inside").groupBy("_id").agg(F.sum("_m").alias("_n"))
+        gains.append(whole)
+        open_ = met.where(~F.col("_inside")).join(whole, "_id", "left").withColumn("_have", F.col("_have") + F.coalesce("_n", F.lit(0)))
+        open_ = open_.where(F.col("_have") < need)
+        few = open_.where(F.col("_m") <= DBSCAN_MAX_KEY_POINTS).select("_id", "_node", *qs)
+        gains.append(few.join(points.select("_node", *[f"z{i}" for i in range(d)]), "_node").where(dist2 <= eps2).groupBy("_id").agg(F.count(F.lit(1)).alias("_n")))
+        crowd = F.col("_m") > DBSCAN_MAX_KEY_POINTS
+        if met.where(~F.col("_inside") & crowd).isEmpty():
+            break
+        crowded = open_.where(crowd)
+        nodes = cut_lineage(crowded.groupBy("_node").agg(*[F.first(c).alias(c) for c in corners]))
+        if nodes.isEmpty():
+            break
+        asked = crowded.select("_id", *qs, "_have", F.col("_node").alias("_up"))
+        points = cut_lineage(_halved(points, nodes, d))
+    found = gains[0]
+    for g in gains[1:]:
+        found = found.unionByName(g)
+    return found.groupBy("_id").agg(F.least(F.sum("_n"), F.lit(need)).alias("_n"))
+
+
 def dbscan_noise_flags(
     df: DataFrame, columns: Sequence[str] | None = None, eps: float = DBSCAN_EPS, min_pts: int = DBSCAN_MIN_PTS, id_col: str = "_rid"
 ) -> DataFrame:
     """Flag DBSCAN noise points on z-scaled numeric columns (C20), exactly.
 
-    Grid method (no cluster labels are needed, only noise):
+    No cluster labels are needed, only noise, so no list of neighbours is built:
 
     * points are z-scaled (sample sd); a fine cell of side eps/sqrt(d) has
       diameter <= eps, so every point of a fine cell holding >= min_pts
       points is core, with no distance computed;
-    * only points of sparse fine cells can be noise.  Each is exploded to the
-      3^k coarse cells (side eps; k = the 3 widest dimensions, more -- up to
-      6 -- while one cell still gathers too many sparse points) around it and
-      equi-joined (a) with the sparse points there, by full distance, and
-      (b) with dense cells summarised per (coarse, fine) cell as a count and
-      a bounding box: a box wholly inside the eps-ball adds its count, a box
-      wholly outside adds nothing, and only boxes cut by the ball's surface
-      are expanded to their points.  A hot spot of equal points is one box.
-    * core(p) = neighbours (self included) >= min_pts; noise = not core and
-      no core neighbour (every dense-cell point is core).
+    * the points of sparse fine cells count their neighbours (self included)
+      among all points, up to min_pts; those that reach it are core too;
+    * what is left is noise unless one core point lies within eps: the same
+      count among the core points, up to 1.
+
+    Both counts go down halved cells (``_neighbours_up_to``): a hot spot of
+    equal points is one box, a crowded cell is entered only along the surface
+    of an undecided point's ball.
 
     Input must have a unique ``id_col``; returns (id_col, noise boolean).
     """
@@ -236,90 +318,26 @@ def dbscan_noise_flags(
                 *[F.max(f"`{c}`").alias(f"hi{i}") for i, c in enumerate(cols)]).first()
     scaled, spans = [], []
     for i, c in enumerate(cols):
-        m, sd = st[f"m{i}"], st[f"s{i}"] or 1.0
-        scaled.append(((F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(sd)).alias(f"z{i}"))
-        spans.append(((st[f"hi{i}"] - st[f"lo{i}"]) / sd, i))
+        m, sd = st[f"m{i}"] or 0.0, st[f"s{i}"] or 1.0
+        scaled.append(((F.col(f"`{c}`").cast("double") - F.lit(float(m))) / F.lit(float(sd))).alias(f"z{i}"))
+        spans.append((float((st[f"hi{i}"] or 0) - (st[f"lo{i}"] or 0)) / float(sd), i))
     zs = [f"z{i}" for i in range(d)]
-    eps2 = eps * eps
     fine_side = eps / math.sqrt(d)
-    by_span = [i for _, i in sorted(spans, reverse=True)]
     pts = df.select(F.col(f"`{id_col}`").alias("_id"), *scaled).withColumn(
         "_fine", F.array(*[F.floor(F.col(z) / fine_side) for z in zs])
     )
     cell_n = pts.groupBy("_fine").agg(F.count(F.lit(1)).alias("_fine_n"))
     # every branch below reads the scored points: write them once to the
     # shared checkpoint folder instead of re-scanning and re-joining per branch
-    pts = cut_lineage(pts.join(cell_n, "_fine").withColumn("_dense", F.col("_fine_n") >= min_pts))
-    # coarse join key (cells of side eps): the widest 3 dimensions, more (up
-    # to 6) while one key still gathers too many sparse points
-    n_key = min(3, d)
-    while True:
-        key = F.array(*[F.floor(F.col(f"z{i}") / eps).cast("long") for i in by_span[:n_key]])
-        if n_key >= min(d, DBSCAN_MAX_KEY_DIMS):
-            break
-        crowd = pts.where(~F.col("_dense")).groupBy(key.alias("_k")).count().agg(F.max("count")).first()[0] or 0
-        if crowd <= DBSCAN_MAX_KEY_POINTS:
-            break
-        n_key += 1
-    coarse_dims = by_span[:n_key]
-    pts = pts.withColumn("_coarse", key)
-    sparse = pts.where(~F.col("_dense")).select("_id", "_coarse", *zs)
-    dense = pts.where(F.col("_dense")).select("_coarse", "_fine", *zs)
-
-    offsets = [[]]
-    for _ in coarse_dims:
-        offsets = [o + [k] for o in offsets for k in (-1, 0, 1)]
-    shifts = F.array(*[F.array(*[F.lit(k) for k in o]) for o in offsets])
-    probe = sparse.select(
-        "_id", *[F.col(z).alias(f"q{i}") for i, z in enumerate(zs)],
-        F.explode(F.transform(shifts, lambda sh: F.zip_with(F.col("_coarse"), sh, lambda a, b: a + b))).alias("_coarse"),
-    )
-    # (a) sparse neighbours by full distance
-    dist2 = sum((F.col(f"q{i}") - F.col(z)) ** 2 for i, z in enumerate(zs))
-    ss = probe.join(sparse.select(F.col("_id").alias("_nid"), "_coarse", *zs), "_coarse").where(dist2 <= eps2)
-    ss = ss.select("_id", "_nid")
-    # (b) dense cells as (count, bounding box) pieces
-    pieces = dense.groupBy("_coarse", "_fine").agg(
-        F.count(F.lit(1)).alias("_pn"),
-        *[F.min(z).alias(f"lo{i}") for i, z in enumerate(zs)],
-        *[F.max(z).alias(f"hi{i}") for i, z in enumerate(zs)],
-    )
-    pj = probe.join(pieces, "_coarse")
-    near2 = sum(F.greatest(F.col(f"lo{i}") - F.col(f"q{i}"), F.col(f"q{i}") - F.col(f"hi{i}"), F.lit(0.0)) ** 2 for i in range(d))
-    far2 = sum(F.greatest(F.abs(F.col(f"q{i}") - F.col(f"lo{i}")), F.abs(F.col(f"q{i}") - F.col(f"hi{i}"))) ** 2 for i in range(d))
-    pj = pj.where(near2 <= eps2).withColumn("_inside", far2 <= eps2)
-    whole = pj.where("_inside").groupBy("_id").agg(F.sum("_pn").alias("_dn"))
-    cut = pj.where(~F.col("_inside")).select("_id", "_coarse", "_fine", *[f"q{i}" for i in range(d)])
-    partial = (
-        cut.join(dense, ["_coarse", "_fine"])
-        .where(dist2 <= eps2)
-        .groupBy("_id")
-        .agg(F.count(F.lit(1)).alias("_dn"))
-    )
-    dense_n = whole.unionByName(partial).groupBy("_id").agg(F.sum("_dn").alias("_dense_n"))
-    sparse_n = ss.groupBy("_id").agg(F.count(F.lit(1)).alias("_sparse_n"))
-    counts = (
-        sparse.select("_id")
-        .join(sparse_n, "_id", "left")
-        .join(dense_n, "_id", "left")
-        .select(
-            "_id",
-            F.coalesce("_sparse_n", F.lit(0)).alias("_sn"),
-            F.coalesce("_dense_n", F.lit(0)).alias("_dn"),
-        )
-        .withColumn("_core", F.col("_sn") + F.col("_dn") >= min_pts)
-    )
-    core_nb = (
-        ss.join(counts.select(F.col("_id").alias("_nid"), F.col("_core").alias("_ncore")), "_nid")
-        .groupBy("_id")
-        .agg(F.bool_or("_ncore").alias("_has_core"))
-    )
-    sparse_flags = counts.join(core_nb, "_id", "left").select(
-        F.col("_id").alias(id_col),
-        (~F.col("_core") & (F.col("_dn") == 0) & ~F.coalesce(F.col("_has_core"), F.lit(False))).alias("noise"),
+    pts = cut_lineage(pts.join(cell_n, "_fine").select("_id", *zs, (F.col("_fine_n") >= min_pts).alias("_dense")))
+    dims = [i for _, i in sorted(spans, reverse=True)][:DBSCAN_KEY_DIMS]
+    sparse = pts.where(~F.col("_dense"))
+    counts = _neighbours_up_to(sparse, pts, dims, d, eps, min_pts)
+    scored = cut_lineage(
+        pts.join(counts, "_id", "left").select("_id", *zs, (F.col("_dense") | (F.coalesce("_n", F.lit(0)) >= min_pts)).alias("_core"))
     )
-    dense_flags = pts.where(F.col("_dense")).select(F.col("_id").alias(id_col), F.lit(False).alias("noise"))
-    return sparse_flags.unionByName(dense_flags)
+    near = _neighbours_up_to(scored.where(~F.col("_core")), scored.where("_core"), dims, d, eps, 1)
+    return scored.join(near, "_id", "left").select(F.col("_id").alias(id_col), (~F.col("_core") & F.col("_n").isNull()).alias("noise"))
 
 
 def dbscan_outliers(

@@ -496,6 +496,23 @@ def c20_dbscan_replace(spark, sf_dir):
     return outliers.dbscan_outliers(sup, ["s_nationkey", "s_acctbal"], action="replace", id_col="s_suppkey")
 
 
+_DBSCAN_ALL_SQL = """
+WITH s AS (SELECT *, (c_custkey - avg(c_custkey) OVER ()) / stddev_samp(c_custkey) OVER () AS z0,
+                  (c_nationkey - avg(c_nationkey) OVER ()) / stddev_samp(c_nationkey) OVER () AS z1,
+                  (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS z2 FROM customer),
+nb AS (SELECT a.c_custkey AS id, b.c_custkey AS nid FROM s a JOIN s b
+       ON (a.z0 - b.z0) * (a.z0 - b.z0) + (a.z1 - b.z1) * (a.z1 - b.z1) + (a.z2 - b.z2) * (a.z2 - b.z2) <= 0.09),
+core AS (SELECT id, count(*) >= 8 AS is_core FROM nb GROUP BY id),
+flag AS (SELECT nb.id, bool_or(c.is_core) AS near_core FROM nb JOIN core c ON c.id = nb.nid GROUP BY nb.id)
+SELECT s.* EXCLUDE (z0, z1, z2) FROM s JOIN flag ON flag.id = s.c_custkey WHERE flag.near_core"""
+
+
+@query("c20_dbscan_all_numeric", _DBSCAN_ALL_SQL)
+def c20_dbscan_all_numeric(spark, sf_dir):
+    """Every numeric column of customer, the key too: dozens of noise points at sf0.01."""
+    return outliers.dbscan_outliers(table(spark, sf_dir, "customer"), eps=0.3, min_pts=8)
+
+
 _RARE_T = 0.13
 _RARE = f"lang IN (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY 1 HAVING count(*) / (SELECT count(lang) FROM documents) < {_RARE_T})"
 

@@ -183,3 +183,50 @@ def test_dbscan_high_dimension_key_growth_matches_brute_force(spark, monkeypatch
     got = dict(rows(flags, "rid", "noise"))
     exp = dbscan_noise_brute(a, 0.9, 4)
     assert [got[i] for i in range(len(a))] == list(exp)
+
+
+def test_dbscan_crowded_cell_beside_a_shell(spark):
+    """10^5 equal points and 10^4 crowded ones; a sparse shell around decides box by box."""
+    rng = np.random.default_rng(21)
+    equal = spark.range(100_000).selectExpr("id AS rid", "0.0D AS a", "0.0D AS b")
+    disc = rng.uniform(-1, 1, (10_000, 2)) * 0.02 + 3
+    turn = rng.uniform(0, 2 * np.pi, 80)
+    inner = np.where(turn < np.pi, rng.uniform(0.9, 1.1, 80), rng.uniform(1.04, 1.1, 80))  # below: out of reach of the crowd
+    shell = np.c_[np.cos(turn), np.sin(turn)] * inner[:, None]
+    rim = np.c_[np.cos(turn), np.sin(turn)] * np.where(turn < np.pi, 1.0, 1.05)[:, None] + 3
+    others = np.vstack([disc, shell, rim])
+    pdf = pd.DataFrame({"rid": np.arange(len(others)) + 100_000, "a": others[:, 0], "b": others[:, 1]})
+    df = equal.unionByName(spark.createDataFrame(pdf))
+    x = np.vstack([np.zeros((100_000, 2)), others])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    eps = float(1.0 / x.std(0, ddof=1).mean())  # a ball's surface runs through the shell and the disc
+    got = dict(rows(outliers.dbscan_noise_flags(df, ["a", "b"], eps=eps, min_pts=500, id_col="rid"), "rid", "noise"))
+    near = np.array([(((z - p) ** 2).sum(1) <= eps * eps).sum() for p in z[110_000:]])
+    zero = (((z - z[0]) ** 2).sum(1) <= eps * eps).sum()
+    assert zero >= 500
+    core = np.r_[np.ones(110_000, bool), near >= 500]
+    want = [not core[i] and not (core & (((z - z[i]) ** 2).sum(1) <= eps * eps)).any() for i in range(110_000, len(z))]
+    assert len(got) == len(z) and not any(got[i] for i in range(110_000))
+    assert [got[i] for i in range(110_000, len(z))] == want
+    assert 10 < sum(want) < 100
+
+
+def test_dbscan_counts_stop_at_need_and_cells_always_part(spark, monkeypatch):
+    monkeypatch.setattr(outliers, "DBSCAN_MAX_KEY_POINTS", 1)
+    monkeypatch.setattr(outliers, "DBSCAN_HALVED_DIMS", 2)
+    rng = np.random.default_rng(22)
+    a = np.vstack([rng.normal(0, 0.3, (50, 4)), np.repeat(rng.normal(0, 1, (5, 4)), 4, axis=0)])
+    a[:10, 0] = np.nextafter(a[0, 0], 9)  # neighbouring doubles have no middle between them
+    a[10:20, 0] = a[0, 0]
+    pts = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "_id long, z0 double, z1 double, z2 double, z3 double")
+    d2 = ((a[:, None, :] - a[None, :, :]) ** 2).sum(-1)
+    for need in (1, 3, 100):
+        got = dict(rows(outliers._neighbours_up_to(pts, pts, [0, 1, 2], 4, 0.5, need), "_id", "_n"))
+        assert got == {i: min(int(n), need) for i, n in enumerate((d2 <= 0.25).sum(1))}
+
+
+def test_dbscan_empty_and_single(spark):
+    none = spark.createDataFrame([], "rid long, a double")
+    assert outliers.dbscan_noise_flags(none, ["a"], id_col="rid").count() == 0
+    one = spark.createDataFrame([(7, 2.0)], "rid long, a double")
+    assert rows(outliers.dbscan_noise_flags(one, ["a"], id_col="rid"), "rid", "noise") == [(7, True)]
