@@ -54,6 +54,22 @@ def test_likeness():
     assert syncmers.likeness("", "") == 1 and syncmers.likeness("", fa) == 0
 
 
+def test_long_texts_share_anchors_of_a_passage(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(3, 9, 50_000)]
+    shared = words[:300]
+    a = " ".join(words[300:10_300] + shared + words[10_300:20_000])
+    b = " ".join(words[20_000:35_000] + shared + words[35_000:39_700])
+    fa, fb = syncmers.fingerprints([a, b])
+    assert fa.count(",") > 400  # in proportion to the length
+    at, h = syncmers.closed_syncmers(np.frombuffer(a.encode("utf-32-le"), dtype=np.uint32))
+    assert {w[:10] for w in fa.split(",")} == {f"{int(x) >> 24:010x}" for x in h if int(x) < 1 << 59}
+    got = {r.doc_id: r for r in syncmers.edited_neighbours(spark.createDataFrame([(2, a), (1, b)], "doc_id long, text string")).collect()}
+    assert got[2].near_next > 0 and got[1].near_next > 0 and 0.4 < got[2].near_edited < 0.8
+    other = " ".join(rng.permutation(words[40_000:]))
+    assert syncmers.likeness(fa, syncmers.fingerprints([other])[0]) == 0
+
+
 def check(rows, got):
     """rows: (id, text); by descending id, then text; rows without an id last."""
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
