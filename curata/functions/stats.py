@@ -211,18 +211,20 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
 
 
 def running_sums(
-    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), buckets: int | None = None, totals: bool = False
 ) -> DataFrame:
     """Inclusive running totals of ``sums`` over ``value`` order per group.
 
     ``df`` must hold one row per (group, value).  Adds ``_cum<name>`` for each
-    name in ``sums``.  NULL keys are a group.  Same plan as ``exact_percentiles``.
+    name in ``sums`` and, with ``totals``, the group's ``_all<name>``.  NULL keys are a group.  Same plan as ``exact_percentiles``.
     """
     keys = list(by) or ["_g"]
     rows = df if by else df.withColumn("_g", F.lit(0))
     out = _running(rows, keys, value, list(sums), buckets)
     return out.select(
-        *[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"`_before{s}`") + F.col(f"`{s}`")).alias(f"_cum{s}") for s in sums]
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[(F.col(f"`_before{s}`") + F.col(f"`{s}`")).alias(f"_cum{s}") for s in sums],
+        *[F.col(f"`_all{s}`") for s in sums if totals],
     )
 
 

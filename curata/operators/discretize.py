@@ -18,7 +18,6 @@ DEFAULT_BINS = 4
 KMEANS_MAX_ITER = 50
 # Equal-width outer breaks are widened by range / 1000 on each side.
 EQUAL_WIDTH_WIDEN = 1000
-# Entropy discretisation keeps one count column per class.
 # -------------------------------------------------------------------------------------
 
 METHODS = ("equalwidth", "equalfreq", "kmeans", "entropy")
@@ -139,94 +138,73 @@ def kmeans_codes(df: DataFrame, column: str, k: int = DEFAULT_BINS) -> DataFrame
 # --- D4: MDLP (Fayyad & Irani) --------------------------------------------------------------
 
 
-def _entropy(counts: list[Column], total: Column) -> Column:
-    ent = F.lit(0.0)
-    for c in counts:
-        p = F.try_divide(c.cast("double"), total.cast("double"))
-        ent = ent - F.when(c > 0, p * F.log2(p)).otherwise(F.lit(0.0))
-    return ent
+def _bits(c: Column, scale: int) -> Column:
+    """c log2 c as a whole number of 1/scale bits, so that sums do not depend on their order."""
+    return F.when(c > 1, F.round(c * F.log2(c.cast("double")) * F.lit(float(scale))).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def _np_entropy(counts: list[float]) -> float:
-    tot = sum(counts)
-    return -sum((c / tot) * math.log2(c / tot) for c in counts if c > 0) if tot > 0 else 0.0
+def _xlog(c: float) -> float:
+    return c * math.log2(c) if c > 1 else 0.0
 
 
 def mdlp_cuts(df: DataFrame, column: str, target: str) -> list[float]:
     """Minimum-description-length cut points of ``column`` for class ``target``.
 
-    Works on ``(value, class counts)`` rows.  Each recursion level is one pass
-    over all open intervals together: running class counts per interval come
-    from distributed running sums (value-range buckets, no window over a
-    whole interval); the best cut per interval is a ``min_by`` aggregate; the
-    MDL test runs on the driver on a few numbers per interval.
+    Works on ``(value, class, count)`` rows, whatever the number of classes.
+    A level of the recursion examines all open intervals together: running
+    counts per (interval, class) say by how much each row moves the sum of
+    c log2 c over the classes on either side, and running totals of these
+    moves per interval give the entropy of every cut.  ``min_by`` picks one cut
+    an interval; the driver sees a few numbers an interval for the MDL test and
+    the next value beside each accepted cut.  Equal entropies go to the smallest value.
     """
     require_columns(df, [column, target])
     x = numeric_column(df, column)
     base = df.select(x.alias("_v"), F.col(f"`{target}`").cast("string").alias("_y")).where(
         F.col("_v").isNotNull() & F.col("_y").isNotNull()
     )
-    classes = [r[0] for r in base.select("_y").distinct().orderBy("_y").collect()]
-    k_all = len(classes)
-    per_value = base.groupBy("_v").agg(
-        *[F.count_if(F.col("_y") == F.lit(c)).alias(f"_n{i}") for i, c in enumerate(classes)]
-    ).cache()
-    names = [f"_n{i}" for i in range(k_all)]
+    counted = cut_lineage(base.groupBy("_v", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    rows = counted.agg(F.sum("_n")).first()[0] or 0
+    if rows < 2:
+        return []
+    scale = 1 << max(0, min(40, 59 - math.ceil(math.log2(rows * math.log2(rows) + 1))))
+    cum, n, total = F.col("_cum_n"), F.col("_n"), F.col("_all_n")
+    moves = {
+        "_l": _bits(cum, scale) - _bits(cum - n, scale),
+        "_r": _bits(total - cum, scale) - _bits(total - cum + n, scale),
+        "_new": (cum == n).cast("long"),  # the class's first rows
+        "_gone": (cum == total).cast("long"),  # ... and its last
+    }
     cuts: list[float] = []
-    open_ivals = {0}
-    try:
-        while open_ivals:
-            tagged = per_value.withColumn("_iv", count_below(F.col("_v"), cuts))
-            tagged = tagged.where(F.col("_iv").isin(list(open_ivals)))
-            run = running_sums(tagged, "_v", names, by=["_iv"])  # adds _cum_* (inclusive) per interval
-            totals = {
-                r["_iv"]: [r[n] for n in names]
-                for r in tagged.groupBy("_iv").agg(*[F.sum(n).alias(n) for n in names]).collect()
-            }
-            tot_lit = {iv: t for iv, t in totals.items()}
-            tot_cols = [
-                F.element_at(F.create_map(*[a for iv, t in tot_lit.items() for a in (F.lit(iv), F.lit(t[i]))]), F.col("_iv"))
-                for i in range(k_all)
-            ]
-            left = [F.col(f"_cum{n}") for n in names]
-            right = [t - l for t, l in zip(tot_cols, left)]
-            nl = sum(left[1:], left[0])
-            nr = sum(right[1:], right[0])
-            ntot = nl + nr
-            ent = (nl / ntot) * _entropy(left, nl) + (nr / ntot) * _entropy(right, nr)
-            cand = run.where(nr > 0).withColumn("_e", ent)
-            best = cand.groupBy("_iv").agg(
-                F.min_by(F.struct("_v", *[F.col(f"_cum{n}").alias(n) for n in names]), F.struct("_e", "_v")).alias("b"),
-                F.min("_e").alias("e"),
-            ).collect()
-            nxt = set()
-            new_cuts = []
-            for r in best:
-                iv = r["_iv"]
-                tot = totals[iv]
-                lcounts = [r["b"][n] for n in names]
-                rcounts = [t - l for t, l in zip(tot, lcounts)]
-                n = sum(tot)
-                e_s = _np_entropy(tot)
-                e1, e2 = _np_entropy(lcounts), _np_entropy(rcounts)
-                k = sum(1 for t in tot if t > 0)
-                k1 = sum(1 for t in lcounts if t > 0)
-                k2 = sum(1 for t in rcounts if t > 0)
-                gain = e_s - r["e"]
-                delta = math.log2(3**k - 2) - (k * e_s - k1 * e1 - k2 * e2)
-                if n > 1 and gain > (math.log2(n - 1) + delta) / n:
-                    v = r["b"]["_v"]
-                    nv = per_value.where(F.col("_v") > F.lit(v)).agg(F.min("_v")).first()[0]
-                    new_cuts.append((v + nv) / 2.0)
-            if not new_cuts:
-                break
-            cuts = sorted(cuts + new_cuts)
-            # children of split intervals are the ones to examine next level
-            arr2 = sorted(cuts)
-            for c in new_cuts:
-                i = arr2.index(c)
-                nxt.update({i, i + 1})
-            open_ivals = nxt
-    finally:
-        per_value.unpersist()
+    open_ivals = [0]
+    while open_ivals:
+        tagged = counted.withColumn("_iv", count_below(F.col("_v"), cuts)).where(F.col("_iv").isin(open_ivals))
+        by_class = running_sums(tagged, "_v", ["_n"], by=["_iv", "_y"], totals=True).withColumns(moves)
+        moved = by_class.groupBy("_iv", "_v").agg(*[F.sum(c).alias(c) for c in ("_n", *moves)])
+        run = running_sums(moved, "_v", ["_n", *moves], by=["_iv"], totals=True)
+        right = total - cum
+        cost = _bits(cum, scale) - F.col("_cum_l") + _bits(right, scale) - F.col("_all_l") - F.col("_cum_r")
+        sums = ["_all_n", "_all_l", "_all_new", "_cum_n", "_cum_l", "_cum_r", "_cum_new", "_cum_gone"]
+        best = run.where(right > 0).withColumn("_e", cost).groupBy("_iv").agg(F.min_by(F.struct("_v", "_e", *sums), F.struct("_e", "_v")).alias("b")).collect()
+        left_of = sorted(r["b"]["_v"] for r in best if _worth_a_cut(r["b"], scale))
+        if not left_of:
+            break
+        after = counted.groupBy(count_below(F.col("_v"), left_of).alias("_g")).agg(F.min("_v").alias("_v")).where(F.col("_g") > 0).collect()
+        following = {r["_g"]: r["_v"] for r in after}
+        new_cuts = [(v + following[i + 1]) / 2.0 for i, v in enumerate(left_of)]
+        cuts = sorted(cuts + new_cuts)
+        # children of split intervals are the ones to examine next level
+        open_ivals = sorted({j for c in new_cuts for j in (cuts.index(c), cuts.index(c) + 1)})
     return cuts
+
+
+def _worth_a_cut(b, scale: int) -> bool:
+    """The description-length test: does the best cut's gain pay for the cut?"""
+    n, nl = b["_all_n"], b["_cum_n"]
+    nr = n - nl
+    whole = (_xlog(n) - b["_all_l"] / scale) / n
+    left = (_xlog(nl) - b["_cum_l"] / scale) / nl
+    right = (_xlog(nr) - (b["_all_l"] + b["_cum_r"]) / scale) / nr
+    k, k1, k2 = b["_all_new"], b["_cum_new"], b["_all_new"] - b["_cum_gone"]
+    delta = math.log2(3**k - 2) - (k * whole - k1 * left - k2 * right)
+    return n > 1 and whole - b["_e"] / scale / n > (math.log2(n - 1) + delta) / n

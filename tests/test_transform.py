@@ -208,6 +208,21 @@ def test_mdlp_matches_reference(spark):
     assert codes.agg(F.max("v_discretized")).first()[0] == len(cuts) + 1
 
 
+def test_mdlp_many_classes_and_edges(spark):
+    rng = np.random.default_rng(10)
+    v = np.repeat(np.arange(120.0), 25)  # ties throughout, four bands of 30 classes each
+    y = np.array([f"c{int(x // 30) * 30 + rng.integers(0, 30)}" for x in v])
+    order = rng.permutation(len(v))
+    v, y = v[order], y[order]
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "y": y}))
+    cuts = discretize.mdlp_cuts(df, "v", "y")
+    assert cuts == pytest.approx(mdlp_ref(v, y)) and cuts == discretize.mdlp_cuts(df.repartition(13, "y"), "v", "y")
+    assert {29.5, 59.5, 89.5} <= set(cuts)
+    edge = spark.createDataFrame([(None, "a"), (1.0, None), (2.0, "a"), (2.0, "b")], "v double, y string")
+    assert discretize.mdlp_cuts(edge, "v", "y") == []
+    assert discretize.mdlp_cuts(edge.limit(0), "v", "y") == [] and discretize.mdlp_cuts(edge.where("y = 'a'"), "v", "y") == []
+
+
 def test_boxcox_two_distinct_values_unchanged(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 2.0), (4, None)], "id int, v double")
     assert dict(rows(skew.reduce_skew(df, "v", "boxcox"), "id", "v")) == {1: 2.0, 2: 5.0, 3: 2.0, 4: None}
