@@ -11,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curata.functions import is_numeric_type, is_string_type, nan_as_null, numeric_column, require_columns
-from curata.functions.stats import global_percentiles, most_frequent, value_ranks
+from curata.functions.stats import global_percentiles, most_frequent, with_position
 from curata.operators.fitted import Fitted
 
 METHODS = ("mean", "median", "mode", "constant", "remove_row", "remove_col", "regression", "decision_tree", "tree")
@@ -145,10 +145,8 @@ def _feature_frame(df: DataFrame, feats: Sequence[str]) -> tuple[DataFrame, list
             continue
         text = F.col(f"`{f}`").cast("string")
         levels = df.select(text.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
-        ranked = value_ranks(levels.withColumn("_neg", (-F.col("_cnt")).cast("double")), "_neg")
-        inside = Window.partitionBy("_neg").orderBy("_v")
-        numbered = levels.withColumn("_neg", (-F.col("_cnt")).cast("double")).join(ranked, "_neg")
-        numbered = numbered.select(F.col("_v").alias(f"_lv{i}"), (F.col("_before") + F.row_number().over(inside) - 1).cast("double").alias(f"_code{i}"))
+        numbered = with_position(levels.withColumn("_neg", -F.col("_cnt")), ["_neg", "_v"], "_at")
+        numbered = numbered.select(F.col("_v").alias(f"_lv{i}"), F.col("_at").cast("double").alias(f"_code{i}"))
         out = out.join(numbered, text == numbered[f"_lv{i}"], "left").drop(f"_lv{i}")
         codes[f] = F.col(f"_code{i}")
     means = out.agg(*[F.avg(codes[f]).alias(f"m{i}") for i, f in enumerate(feats)]).first()

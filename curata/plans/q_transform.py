@@ -71,6 +71,20 @@ def e1_onehot(spark, sf_dir):
     return enc.onehot(_customer(spark, sf_dir), "c_mktsegment")
 
 
+@query(
+    "e1_onehot_sparse",
+    "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY kind) - 1 AS INTEGER) AS at, 1.0::DOUBLE AS value, "
+    "CAST((SELECT count(DISTINCT c_nationkey || '/' || c_mktsegment) FROM customer) AS INTEGER) AS size "
+    "FROM (SELECT c_custkey, c_nationkey || '/' || c_mktsegment AS kind FROM customer) WHERE kind IS NOT NULL",
+)
+def e1_onehot_sparse(spark, sf_dir):
+    """Sparse one-hot vectors of nation and segment, one row per non-zero entry."""
+    kind = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), "c_mktsegment").alias("kind")
+    out = enc.onehot_sparse(table(spark, sf_dir, "customer").select("c_custkey", kind), "kind")
+    entry = F.explode(F.arrays_zip("kind.indices", "kind.values")).alias("e")
+    return out.select("c_custkey", F.col("kind.size").alias("size"), entry).select("c_custkey", F.col("e.indices").alias("at"), F.col("e.values").alias("value"), "size")
+
+
 @query(
     "e2_label_encode",
     "SELECT o_orderkey, o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS o_orderpriority FROM orders",

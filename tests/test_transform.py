@@ -226,3 +226,18 @@ def test_mdlp_many_classes_and_edges(spark):
 def test_boxcox_two_distinct_values_unchanged(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 5.0), (3, 2.0), (4, None)], "id int, v double")
     assert dict(rows(skew.reduce_skew(df, "v", "boxcox"), "id", "v")) == {1: 2.0, 2: 5.0, 3: 2.0, 4: None}
+
+
+def test_onehot_sparse_many_levels(spark, monkeypatch):
+    """10^5 levels: vectors from a joined table; the wide form refuses them without collecting them."""
+    n = 100_000
+    df = spark.range(2 * n).selectExpr("id", f"concat('k', lpad(CAST(id % {n} AS STRING), 6, '0')) AS c")
+    fitted = encode.fit_onehot_sparse(df, "c")
+    assert fitted.transform(df).where(f"c.size <> {n} OR c.indices <> array(CAST(id % {n} AS INT)) OR c.values <> array(1.0D)").count() == 0
+    new = spark.createDataFrame([(1, None), (2, "unseen"), (3, "k000007")], "id int, c string")
+    got = {r.id: (r.c.size, r.c.indices, r.c["values"]) for r in fitted.transform(new).collect()}
+    assert got == {1: (n, [], []), 2: (n, [], []), 3: (n, [7], [1.0])}
+    with pytest.raises(ValueError, match="sparse"):
+        encode.fit_onehot(df, "c")
+    empty = encode.encode(new.limit(0), "c", "onehot_sparse")
+    assert empty.collect() == [] and empty.columns == ["id", "c"]
