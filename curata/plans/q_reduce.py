@@ -31,6 +31,29 @@ def r1_pca_two_columns(spark, sf_dir):
     return rnd(red.pca_reduce(part.select(part.p_partkey.cast("string").alias("p_partkey"), part.p_size.cast("double").alias("p_size"), "p_retailprice"), 0.9))
 
 
+# Three columns: the correlation matrix less its diagonal has the closed eigenvalues
+# 2 sqrt(s / 3) cos(phi + 2 pi j / 3); its eigenvectors are cross products of two rows.
+_PCA3_SQL = """
+WITH m AS (SELECT avg(c_custkey) AS m1, avg(c_nationkey) AS m2, avg(c_acctbal) AS m3, stddev_samp(c_custkey) AS s1,
+       stddev_samp(c_nationkey) AS s2, stddev_samp(c_acctbal) AS s3, corr(c_custkey, c_nationkey) AS r,
+       corr(c_custkey, c_acctbal) AS q, corr(c_nationkey, c_acctbal) AS t FROM customer),
+o AS (SELECT *, (r * r + q * q + t * t) / 3 AS w FROM m),
+e AS (SELECT o.*, j, 2 * sqrt(w) * cos(acos(greatest(-1, least(1, r * q * t / (w * sqrt(w))))) / 3 - 2 * pi() * j / 3) AS l
+      FROM o, (VALUES (0), (1), (2)) k(j)),
+v AS (SELECT *, r * t + q * l AS a, q * r + l * t AS b, l * l - r * r AS c, row_number() OVER (ORDER BY l DESC) AS pc FROM e),
+u AS (SELECT *, sqrt(a * a + b * b + c * c) * sign(CASE WHEN abs(a) >= abs(b) AND abs(a) >= abs(c) THEN a WHEN abs(b) >= abs(c) THEN b ELSE c END) AS d FROM v),
+z AS (SELECT c_mktsegment, c_name, pc, (a * (c_custkey - m1) / s1 + b * (c_nationkey - m2) / s2 + c * (c_acctbal - m3) / s3) / d AS score
+      FROM customer, u)
+SELECT c_mktsegment, c_name, round(max(score) FILTER (pc = 1), 6) + 0.0 AS PC1, round(max(score) FILTER (pc = 2), 6) + 0.0 AS PC2,
+       round(max(score) FILTER (pc = 3), 6) + 0.0 AS PC3 FROM z GROUP BY c_mktsegment, c_name"""
+
+
+@query("r1_pca_three_columns", _PCA3_SQL)
+def r1_pca_three_columns(spark, sf_dir):
+    """All three components of the numeric columns of customer, against their closed form."""
+    return rnd(red.pca_reduce(table(spark, sf_dir, "customer").select("c_mktsegment", "c_name", "c_custkey", "c_nationkey", "c_acctbal"), 0.999))
+
+
 for _dir in ("forward", "backward", "both"):
 
     def _fn(spark, sf_dir, _dir=_dir):
