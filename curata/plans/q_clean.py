@@ -279,6 +279,27 @@ def c9_tree_impute_bounds(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.when(was.isNotNull(), value).alias("known"), was.isNull().alias("filled"), inside.alias("in_range"))
 
 
+# A predictor of a few values: the leaves are its values, so a fill is the mean of the known rows that share it.
+_STATUS_MEAN = (
+    "SELECT o_orderkey, o_orderstatus, round(coalesce(o_totalprice, avg(o_totalprice) OVER (PARTITION BY o_orderstatus)), 4) + 0.0 AS o_totalprice FROM src"
+)
+
+
+@query("c8_boosted_tree_impute_values", with_derived("orders_gaps", _STATUS_MEAN))
+def c8_boosted_tree_impute_values(spark, sf_dir):
+    """Boosted trees on the status as a number: the fill itself, against the mean of its status."""
+    df = derived(spark, sf_dir, "orders_gaps").withColumn("code", F.ascii("o_orderstatus"))
+    out = missing.handle_missing(df, "o_totalprice", "decision_tree", features=["code"])
+    return out.select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 4) + 0.0).alias("o_totalprice"))
+
+
+@query("c9_tree_impute_values", with_derived("orders_gaps", _STATUS_MEAN))
+def c9_tree_impute_values(spark, sf_dir):
+    """One tree on the status as text: the fill itself, against the mean of its status."""
+    out = missing.handle_missing(derived(spark, sf_dir, "orders_gaps"), "o_totalprice", "tree", features=["o_orderstatus"])
+    return out.select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 4) + 0.0).alias("o_totalprice"))
+
+
 @query("c9_tree_impute_text")
 def c9_tree_impute_text(spark, sf_dir):
     df = derived(spark, sf_dir, "orders_text_gaps")
