@@ -2,12 +2,13 @@
 
 ``handle_missing(df, column, method, ...)`` with method in
 ``mean | median | mode | constant | remove_row | remove_col | regression |
-decision_tree | tree``.  Fitted values are learned by Spark aggregates (or
-``pyspark.ml`` estimators) and written back with a column expression.
+decision_tree | tree``.  Fitted values are learned by Spark aggregates and
+written back with a column expression; the trees are in ``trees``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curata.functions import is_numeric_type, is_string_type, nan_as_null, numeric_column, require_columns
-from curata.functions.stats import global_percentiles, most_frequent, with_position
+from curata.functions.stats import global_percentiles, most_frequent
 from curata.operators.fitted import Fitted
 
 METHODS = ("mean", "median", "mode", "constant", "remove_row", "remove_col", "regression", "decision_tree", "tree")
@@ -134,82 +135,106 @@ def regression_impute(df: DataFrame, column: str, features: Sequence[str] | None
 # --- C8 / C9: tree models -------------------------------------------------------------------
 
 
-def _feature_frame(df: DataFrame, feats: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Mean-filled features plus one missing-indicator per feature.  Text (and
-    any other non-numeric) features become level numbers by falling frequency,
-    joined from a level table, so any number of levels will do."""
-    out, codes = df, {}
-    for i, f in enumerate(feats):
-        if is_numeric_type(df, f):
-            codes[f] = numeric_column(df, f)
-            continue
-        text = F.col(f"`{f}`").cast("string")
-        levels = df.select(text.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_cnt"))
-        numbered = with_position(levels.withColumn("_neg", -F.col("_cnt")), ["_neg", "_v"], "_at")
-        numbered = numbered.select(F.col("_v").alias(f"_lv{i}"), F.col("_at").cast("double").alias(f"_code{i}"))
-        out = out.join(numbered, text == numbered[f"_lv{i}"], "left").drop(f"_lv{i}")
-        codes[f] = F.col(f"_code{i}")
-    means = out.agg(*[F.avg(codes[f]).alias(f"m{i}") for i, f in enumerate(feats)]).first()
-    names = []
-    for i, f in enumerate(feats):
-        m = means[f"m{i}"] if means[f"m{i}"] is not None else 0.0
-        out = out.withColumn(f"_f{i}", F.coalesce(codes[f], F.lit(float(m))))
-        out = out.withColumn(f"_na{i}", codes[f].isNull().cast("double"))
-        names += [f"_f{i}", f"_na{i}"]
-    return out, names
-
-
-def boosted_impute(df: DataFrame, column: str, features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+def _fixed_point(train: DataFrame, value: Column) -> tuple[int, float, int]:
+    """(rows, middle, digits): sums of all rows' distance from the middle, as multiples of 2^-digits, stay below 2^61."""
+    n, low, high = train.agg(F.count(value), F.min(value), F.max(value)).first()
+    if not n:
+        return 0, 0.0, 0
+    middle = low + (high - low) / 2
+    widest = max(high - middle, middle - low, 1e-300)
+    return n, middle, min(1000, 60 - math.ceil(math.log2(widest)) - math.ceil(math.log2(n + 1)))
+
+
+def boosted_impute(
+    df: DataFrame,
+    column: str,
+    features: Sequence[str] | None = None,
+    seed: int = 42,
+    rounds: int = 100,
+    rate: float = 0.1,
+    max_depth: int = 5,
+    min_leaf: int = 1,
+) -> DataFrame:
     """Gradient-boosted trees predict NULLs of a numeric column.  Training
-    and predicted rows need at least one non-NULL feature."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+    and predicted rows need at least one non-NULL feature.
+
+    Missing predictors are a bin of their own, which goes to the better side of
+    each split.  Nothing is drawn, so ``seed`` has no effect: the trees are the
+    same under any partitioning."""
+    from curata.operators import trees
 
     df = df.withColumn(column, numeric_column(df, column))
     feats = _numeric_features(df, column, features)
     if not feats:
         raise ValueError("no numeric features available for tree imputation")
-    any_feat = F.lit(False)
+    y, any_feat = F.col(f"`{column}`"), F.lit(False)
     for f in feats:
-        any_feat = any_feat | nan_as_null(df, f).isNotNull()
-    framed, names = _feature_frame(df.withColumn("_any", any_feat), feats)
-    assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(framed)
-    train = assembled.where(F.col(f"`{column}`").isNotNull() & F.col("_any"))
-    if train.limit(2).count() < 2:
+        any_feat = any_feat | (numeric_column(df, f) if is_numeric_type(df, f) else F.col(f"`{f}`")).isNotNull()
+    train = df.where(y.isNotNull() & any_feat)
+    n, middle, digits = _fixed_point(train, y)
+    if n < 2:
         raise ValueError("boosting needs two rows that have a known value and a predictor")
-    model = GBTRegressor(featuresCol="_features", labelCol=column, seed=seed, maxIter=100, maxDepth=5).fit(train)
-    scored = model.setPredictionCol("_pred").transform(assembled)
-    filled = F.when(F.col(f"`{column}`").isNull() & F.col("_any"), F.col("_pred")).otherwise(F.col(f"`{column}`"))
-    return scored.withColumn(column, filled).select(*df.columns)
+    whole = F.rint((y - F.lit(middle)) * F.lit(2.0**digits)).cast("long")
+    binning = trees.fit_binning(train, feats, whole)
+    rows = trees.training_rows(train, binning, y)
+    model = trees.boost(rows, len(feats), binning.ordered, middle, rounds, rate, max_depth, min_leaf, digits)
+    scored = trees.with_prediction(df.withColumn("_any", any_feat), binning, model, middle, "_pred")
+    return scored.withColumn(column, F.when(y.isNull() & F.col("_any"), F.col("_pred")).otherwise(y)).select(*df.columns)
 
 
-def tree_impute(df: DataFrame, column: str, features: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+def tree_impute(
+    df: DataFrame,
+    column: str,
+    features: Sequence[str] | None = None,
+    seed: int = 42,
+    max_depth: int = 5,
+    min_split: int = 2,
+    min_leaf: int = 1,
+    complexity: float = 0.0,
+) -> DataFrame:
     """One decision tree over all other columns; regression for a numeric
-    target, classification (labels restored from indices) for a text target."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
+    target, classification for any other.
+
+    Text predictors are split into sets of levels.  A row that lacks a split's
+    predictor goes the way of its surrogates (splits of other predictors that
+    agree with it most), or with the larger side.  ``complexity``: share of the
+    root's risk that a split must save to stay.  ``seed`` has no effect."""
+    from curata.operators import trees
 
     feats = [f for f in (features if features is not None else df.columns) if f != column]
     require_columns(df, feats)
     if not feats:
         raise ValueError("a tree needs at least one other column")
-    framed, names = _feature_frame(df, feats)
-    assembled = VectorAssembler(inputCols=names, outputCol="_features").transform(framed)
-    known = assembled.where(nan_as_null(df, column).isNotNull())
+    own = nan_as_null(df, column)
+    known = df.where(own.isNotNull())
     if is_numeric_type(df, column):
-        model = DecisionTreeRegressor(featuresCol="_features", labelCol=column, seed=seed).fit(
-            known.withColumn(column, F.col(f"`{column}`").cast("double"))
-        )
-        scored = model.setPredictionCol("_pred").transform(assembled)
-        pred = F.col("_pred").cast(df.schema[column].dataType)
+        y = numeric_column(df, column)
+        known = known.where(y.isNotNull())
+        n, middle, digits = _fixed_point(known, y)
+        if not n:
+            raise ValueError(f"a tree needs known values of {column!r}")
+        target, kinds, unit = F.rint((y - F.lit(middle)) * F.lit(2.0**digits)).cast("long"), 0, 2.0**digits
+        order_by = target
     else:
-        indexer = StringIndexer(inputCol=column, outputCol="_label", stringOrderType="alphabetAsc").fit(known)
-        model = DecisionTreeClassifier(featuresCol="_features", labelCol="_label", seed=seed).fit(indexer.transform(known))
-        scored = model.setPredictionCol("_pidx").transform(assembled)
-        scored = IndexToString(inputCol="_pidx", outputCol="_pred", labels=indexer.labels).transform(scored)
-        pred = F.col("_pred")
-    return scored.withColumn(column, F.coalesce(nan_as_null(df, column), pred)).select(*df.columns)
+        text = F.col(f"`{column}`").cast("string")
+        most = trees.CELLS // (len(feats) * (trees.BINS + 1))
+        labels = [tuple(r) for r in known.groupBy(text.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).limit(most + 1).collect()]
+        if len(labels) > most:
+            raise ValueError(f"{column!r} has more than {most} classes")
+        if not labels:
+            raise ValueError(f"a tree needs known values of {column!r}")
+        names = sorted(c for c, _ in labels)
+        common = min(labels, key=lambda r: (-r[1], r[0]))[0]
+        at = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
+        target, kinds, unit, middle = at[text].cast("long"), len(names), 1.0, 0.0
+        order_by = (text == F.lit(common)).cast("long")
+    binning = trees.fit_binning(known, feats, order_by)
+    rows = trees.training_rows(known, binning, target)
+    tree, _ = trees.grow(rows, len(feats), binning.ordered, kinds, unit, max_depth, min_split, min_leaf, complexity)
+    scored = trees.with_prediction(df, binning, [tree], middle, "_pred")
+    dtype = df.schema[column].dataType
+    pred = F.col("_pred") if not kinds else F.array(*[F.lit(c) for c in names])[F.col("_pred").cast("int")]
+    return scored.withColumn(column, F.coalesce(own, pred.cast(dtype))).select(*df.columns)
 
 
 # --- C9b ----------------------------------------------------------------------------------
