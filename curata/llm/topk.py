@@ -8,14 +8,15 @@ vector's features (sqrt(len) m, r) make that bound one small matrix product.
 Candidates go through coarse, then fine segments; only pairs whose bound
 reaches the query's k-th best score so far get exact distances.
 
-Queries are worked on in blocks of bounded size, each sent to all tasks;
-candidates stay where they are read, and each task returns its k best.
+Queries are worked on in blocks of bounded size, each sent to all tasks and its
+rows written before the next is read; candidates stay where they are read, and
+each task returns its k best.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.llm.common import cut
+from curata.session import ensure_checkpoint_dir
 
 QUERY_BLOCK = 4096  # queries that are sent to the tasks at once (times 8 bytes a component)
 CHUNK = 1024  # candidates that are compared at once
 LEVELS = (16, 4)  # components of a segment, coarse to fine
 EXACT = float(1 << 53)
+OUT = "query_id long, rank int, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
@@ -106,21 +109,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Candidates are all rows but those of the query's own id.  Rows without an id, and vectors that are null or hold a
     null or non-finite component, take no part; vectors of another length than the query's are no candidates for it.
-    Repeated candidate rows count each.  Scores beyond long end at its range.
+    Repeated candidate rows count each.  Scores beyond long end at its range.  Input columns of other names take no
+    part, whatever they are called (also ``rank`` and ``score``); an empty table gives an empty result.
     """
     rows = vectors.filter(F.col(f"`{id_col}`").isNotNull() & usable(F.col(f"`{vec_col}`")))
     rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), quantised(F.col(f"`{vec_col}`")).alias("v"), is_query.alias("asks"))
     asking = cut(rows.filter("asks").select("vec_id", "v").distinct())
-    n = asking.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = [_block(rows, asking.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), k) for b in range(blocks)]
-    best = reduce(DataFrame.unionByName, found)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
-    """Each task's k best for the queries of one block, which is bounded and therefore sent to all tasks."""
+    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    spark = vectors.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    spark.createDataFrame([], OUT).write.parquet(path)
+    for b in range(blocks):
+        _block(rows, asking.filter(part == b), k, path)
+    return spark.read.schema(OUT).parquet(path)
+
+
+def _block(rows: DataFrame, block: DataFrame, k: int, path: str) -> None:
+    """Appends the rows of one block of queries, which is bounded and therefore sent to all tasks, and lets go of it."""
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     local = block.collect()
     for d in {len(r.v) for r in local}:
@@ -144,7 +150,11 @@ def _block(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
             if len(best.q):
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.q]), pa.array(best.vec), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
-    return rows.select("vec_id", "v").mapInArrow(nearest, "query_id long, vec_id long, score long")
+    found = rows.select("vec_id", "v").mapInArrow(nearest, "query_id long, vec_id long, score long")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best.write.mode("append").parquet(path)
+    sent.destroy()
 
 
 ORACLE_TOP_K = """

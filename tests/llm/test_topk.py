@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from curata.llm import topk
@@ -42,3 +43,27 @@ def test_bounds_hold():
     q, x = rng.normal(size=(50, 37)) * 900, rng.normal(size=(60, 37)) * 900
     for width in (*topk.LEVELS, 37, 1):
         assert (topk.features(q, width) @ topk.features(x, width).T >= q @ x.T - 1e-6).all()
+
+
+def test_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    """At most one block of queries is on the driver and with the tasks; its rows are written before the next is read."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    held, most, blocks = 0, 0, 0
+    sending, going = spark.sparkContext.broadcast, Broadcast.destroy
+
+    def broadcast(value):
+        nonlocal held, most, blocks
+        held, blocks = held + 1, blocks + 1
+        most = max(most, held)
+        return sending(value)
+
+    def destroy(self, *args):
+        nonlocal held
+        held -= 1
+        return going(self, *args)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    rows = [(i, [float(i % 7), float(i % 11) - 5.0, 1.0]) for i in range(120)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 10).collect()))
+    assert got == brute(rows, 10) and blocks == 3 and most == 1 and held == 0
