@@ -176,8 +176,8 @@ def boosted_impute(
         raise ValueError("boosting needs two rows that have a known value and a predictor")
     whole = F.rint((y - F.lit(middle)) * F.lit(2.0**digits)).cast("long")
     binning = trees.fit_binning(train, feats, whole)
-    rows = trees.training_rows(train, binning, y)
-    model = trees.boost(rows, len(feats), binning.ordered, middle, rounds, rate, max_depth, min_leaf, digits)
+    rows = trees.training_rows(train, binning, whole)
+    model = trees.boost(rows, len(feats), binning.ordered, rounds, rate, max_depth, min_leaf, digits)
     scored = trees.with_prediction(df.withColumn("_any", any_feat), binning, model, middle, "_pred")
     return scored.withColumn(column, F.when(y.isNull() & F.col("_any"), F.col("_pred")).otherwise(y)).select(*df.columns)
 
@@ -214,7 +214,7 @@ def tree_impute(
         if not n:
             raise ValueError(f"a tree needs known values of {column!r}")
         target, kinds, unit = F.rint((y - F.lit(middle)) * F.lit(2.0**digits)).cast("long"), 0, 2.0**digits
-        order_by = target
+        order_by, squares = target, known.agg(F.sum(target.cast("double") ** 2)).first()[0]
     else:
         text = F.col(f"`{column}`").cast("string")
         most = trees.CELLS // (len(feats) * (trees.BINS + 1))
@@ -227,10 +227,10 @@ def tree_impute(
         common = min(labels, key=lambda r: (-r[1], r[0]))[0]
         at = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))])
         target, kinds, unit, middle = at[text].cast("long"), len(names), 1.0, 0.0
-        order_by = (text == F.lit(common)).cast("long")
+        order_by, squares = (text == F.lit(common)).cast("long"), 0.0
     binning = trees.fit_binning(known, feats, order_by)
-    rows = trees.training_rows(known, binning, target)
-    tree, _ = trees.grow(rows, len(feats), binning.ordered, kinds, unit, max_depth, min_split, min_leaf, complexity)
+    rows = trees.training_rows(known, binning, target, classes=kinds > 0)
+    tree, _ = trees.grow(rows, len(feats), binning.ordered, kinds, unit, squares, max_depth, min_split, min_leaf, complexity)
     scored = trees.with_prediction(df, binning, [tree], middle, "_pred")
     dtype = df.schema[column].dataType
     pred = F.col("_pred") if not kinds else F.array(*[F.lit(c) for c in names])[F.col("_pred").cast("int")]

@@ -5,10 +5,10 @@ predictor of up to 255 values has a bin for each, any other one for each of 255
 quantile ranges.  A text predictor has a bin for each level, levels numbered by
 their mean target; beyond 255 levels neighbours in that order share a bin.
 
-Training rows are written once as (codes, target).  A level of a tree is one
-pass: each task routes its rows through the splits so far, adds up counts and
-targets per (node, predictor, bin, class) and returns only those sums, which
-Spark adds up.  They are as many as the bins of the open nodes, at most
+Training rows of equal codes are one row with their number and the sum of their
+targets, written once.  A level of a tree is one pass: each task routes its rows
+through the splits so far, adds up counts and targets per (node, predictor, bin,
+class) and returns only those sums, which Spark adds up.  They are as many as the bins of the open nodes, at most
 ``CELLS`` a pass, whatever the number of rows; the splits are chosen from them.
 Targets are whole numbers (fixed point), so sums, and with them the trees, do
 not depend on the partitioning.
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curata.functions import is_numeric_type, numeric_column
-from curata.functions.stats import exact_percentiles, with_position
+from curata.functions.stats import _running, with_position
 from curata.session import cut_lineage
 
 BINS = 255
@@ -60,22 +60,26 @@ class Tree:
     def route(self, codes: np.ndarray) -> np.ndarray:
         """The node that each row (of codes) ends in."""
         at = np.zeros(len(codes), np.int64)
-        for node in sorted(self.splits):  # parents come before their children
-            split = self.splits[node]
-            rows = np.flatnonzero(at == node)
-            if not len(rows):
-                continue
-            own = codes[rows, split.feature]
-            left = split.left[own]
-            open_ = own == 0
-            for feature, mask in split.surrogates:
-                if not open_.any():
-                    break
-                other = codes[rows, feature]
-                known = open_ & (other > 0)
-                left[known] = mask[other[known]]
-                open_ &= ~known
-            at[rows] = 2 * node + np.where(left, 1, 2)
+        if not self.splits:
+            return at
+        names = np.array(sorted(self.splits), dtype=np.int64)
+        splits = [self.splits[n] for n in names]
+        feature, left = np.array([x.feature for x in splits]), np.array([x.left for x in splits])
+        rows = np.arange(len(codes))
+        while len(rows):  # a level at a time
+            slot = np.minimum(np.searchsorted(names, at[rows]), len(names) - 1)
+            inner = names[slot] == at[rows]
+            rows, slot = rows[inner], slot[inner]
+            own = codes[rows, feature[slot]]
+            goes = left[slot, own]
+            lacking = np.flatnonzero(own == 0)
+            for k in np.unique(slot[lacking]) if any(x.surrogates for x in splits) else ():
+                rest = lacking[slot[lacking] == k]
+                for other, mask in splits[k].surrogates:
+                    code = codes[rows[rest], other]
+                    goes[rest[code > 0]] = mask[code[code > 0]]
+                    rest = rest[code == 0]
+            at[rows] = 2 * at[rows] + np.where(goes, 1, 2)
         return at
 
     def values(self, codes: np.ndarray) -> np.ndarray:
@@ -147,8 +151,12 @@ def fit_binning(train: DataFrame, features: Sequence[str], target: Column) -> Bi
             edges[numeric[c]] = v[:-1] + (v[1:] - v[:-1]) / 2
         many = values.filter(F.col("_col").isin([c for c in sizes if c not in few]))
         if len(few) < len(sizes):
-            for r in exact_percentiles(many, "_v", [i / BINS for i in range(1, BINS)], by=["_col"], counted="_n").collect():
-                edges[numeric[r["_col"]]] = np.unique(np.array(r[1:], dtype=np.float64))
+            ranked = _running(many, ["_col"], "_v", ["_n"], None)
+            share = F.floor(F.col("_before_n") * F.lit(BINS) / F.col("_all_n")).alias("_share")
+            for r in ranked.groupBy("_col", share).agg(F.max("_v").alias("_v")).collect():  # at most 255 a predictor
+                found.setdefault(r["_col"], []).append(r["_v"])
+            for c in set(sizes) - set(few):
+                edges[numeric[c]] = np.sort(np.array(found[c]))[:-1]
     levels = {}
     for f in features:
         if f in edges:
@@ -173,7 +181,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def _sums(rows: DataFrame, width: int, nodes: Sequence[int], kinds: int, place) -> tuple[np.ndarray, np.ndarray]:
     """Counts and totals, each [node, predictor, bin, kind], of the rows that ``place`` puts into ``nodes``.
 
-    ``place(codes, target, score)`` returns (node, kind, amount) of each row; a node that is not asked for is left out.
+    ``place(codes, target, rows, score)`` returns (node, kind, amount) of each row; a node that is not asked for is left out.
     """
     names = np.array(nodes, dtype=np.int64)
     shape = (len(names), width, BINS + 1, kinds)
@@ -182,12 +190,13 @@ def _sums(rows: DataFrame, width: int, nodes: Sequence[int], kinds: int, place)
         n, g = np.zeros(math.prod(shape), np.int64), np.zeros(math.prod(shape), np.int64)
         for batch in batches:
             codes = _matrix(batch.column(0), width)
-            node, kind, amount = place(codes, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))
+            target, many, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            node, kind, amount = place(codes, target, many, score)
             slot = np.minimum(np.searchsorted(names, node), len(names) - 1)
             own = np.flatnonzero(names[slot] == node)
             for f in range(width):
                 cell = ((slot[own] * width + f) * (BINS + 1) + codes[own, f]) * kinds + kind[own]
-                np.add.at(n, cell, 1)
+                np.add.at(n, cell, many[own])
                 np.add.at(g, cell, amount[own])
         cells = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells]), pa.array(g[cells])], ["cell", "n", "g"])
@@ -290,25 +299,24 @@ def _risk(total_n: np.ndarray, total_g: np.ndarray, squares: float, classes: boo
 
 
 def grow(
-    rows: DataFrame, width: int, ordered: np.ndarray, kinds: int, scale: float, max_depth: int, min_split: int, min_leaf: int, complexity: float
+    rows: DataFrame, width: int, ordered: np.ndarray, kinds: int, scale: float, squares: float, max_depth: int, min_split: int, min_leaf: int, complexity: float
 ) -> tuple[Tree, dict[int, np.ndarray]]:
     """One tree with surrogate splits, pruned by complexity, and the class counts of its nodes.
 
-    ``rows``: (codes binary, target long, score double).  ``kinds``: number of classes, or 0 for a numeric target, which
-    is target / scale.  A subtree stays only if each of its splits lowers the risk (squared error, or rows of the wrong
+    ``rows``: as from ``training_rows``.  ``kinds``: number of classes, or 0 for a numeric target, which is target / scale
+    and whose squares add up to ``squares``.  A subtree stays only if each of its splits lowers the risk (squared error, or rows of the wrong
     class) on average by more than ``complexity`` times the root's.
     """
     classes = kinds > 0
     tree = Tree({}, {})
     counts, totals, gains = {}, {}, {}
     open_ = [0]
-    squares = 0.0 if classes else float(rows.agg(F.sum(F.col("target").cast("double") ** 2)).first()[0] or 0.0)
     for depth in range(max_depth + 1):
         if not open_:
             break
         splits = dict(tree.splits)
 
-        def place(codes, target, score, splits=splits):
+        def place(codes, target, many, score, splits=splits):
             node = Tree(splits, {}).route(codes)
             return node, target if classes else np.zeros(len(node), np.int64), np.zeros(len(node), np.int64) if classes else target
 
@@ -323,7 +331,7 @@ def grow(
         if not chosen:
             break
 
-        def sides(codes, target, score, splits=splits, chosen=chosen):
+        def sides(codes, target, many, score, splits=splits, chosen=chosen):
             node = Tree(splits, {}).route(codes)
             kind, used = np.zeros(len(node), np.int64), np.zeros(len(node), bool)
             for name, split in chosen.items():
@@ -377,11 +385,11 @@ def _prune(tree: Tree, counts: dict, totals: dict, squares: float, classes: bool
 # --- C8: boosting ----------------------------------------------------------------------------
 
 
-def boost(rows: DataFrame, width: int, ordered: np.ndarray, middle: float, rounds: int, rate: float, max_depth: int, min_leaf: int, digits: int) -> list[Tree]:
-    """Trees whose values add up to target - middle, in squared error; missing values go to the better side of a split.
+def boost(rows: DataFrame, width: int, ordered: np.ndarray, rounds: int, rate: float, max_depth: int, min_leaf: int, digits: int) -> list[Tree]:
+    """Trees whose values add up to the target, in squared error; missing values go to the better side of a split.
 
-    ``rows``: (codes binary, target double, score double).  The first tree counts in full, each other one by ``rate``.
-    Residuals are summed as whole multiples of 2^-digits.  Ends early when a tree gains a millionth of the first one's.
+    ``rows``: as from ``training_rows``, targets as whole multiples of 2^-digits from the middle.  The first tree counts in
+    full, each other one by ``rate``.  Ends early when a tree gains a millionth of the first one's.
     """
     trees: list[Tree] = []
     recent: list[Tree] = []
@@ -389,27 +397,30 @@ def boost(rows: DataFrame, width: int, ordered: np.ndarray, middle: float, round
     first = None
     for step in range(rounds):
         tree, open_, gained = Tree({}, {}), [0], 0.0
-        for depth in range(max_depth + 1):
+        for _ in range(max_depth):
             if not open_:
                 break
 
-            def place(codes, target, score, splits=dict(tree.splits), recent=tuple(recent)):
+            def place(codes, target, many, score, splits=dict(tree.splits), recent=tuple(recent)):
                 for t in recent:
                     score = score + t.values(codes)
-                rest = np.rint((target - middle - score) * unit).astype(np.int64)
-                node = Tree(splits, {}).route(codes)
-                return node, np.zeros(len(node), np.int64), rest
+                rest = target - many * np.rint(score * unit).astype(np.int64)
+                return Tree(splits, {}).route(codes), np.zeros(len(codes), np.int64), rest
 
             following = []
             for node, n, g in _in_passes(rows, width, open_, 1, place):
-                best = _best(n, g, ordered, False, min_leaf, missing_side=True) if depth < max_depth else None
-                total = float(g[0].sum()) / max(1, int(n[0].sum()))
-                tree.leaves[node] = total / unit * (1.0 if step == 0 else rate)
-                if best is not None and best[0] > 0.5 * float(n[0].sum()):  # beyond the rounding of the residuals
-                    tree.splits[node] = Split(best[1], best[2])
-                    del tree.leaves[node]
-                    gained += best[0]
-                    following += [2 * node + 1, 2 * node + 2]
+                factor = (1.0 if step == 0 else rate) / unit
+                tree.leaves.setdefault(node, float(g[0].sum()) / max(1, int(n[0].sum())) * factor)
+                best = _best(n, g, ordered, False, min_leaf, missing_side=True)
+                if best is None or best[0] <= 0.5 * float(n[0].sum()):  # not beyond the rounding of the residuals
+                    continue
+                gain, f, left = best
+                del tree.leaves[node]
+                tree.splits[node] = Split(f, left)
+                gained += gain
+                for child, side in ((2 * node + 1, left), (2 * node + 2, ~left)):
+                    tree.leaves[child] = float(g[f][side].sum()) / int(n[f][side].sum()) * factor
+                    following.append(child)
             open_ = following
         trees.append(tree)
         recent.append(tree)
@@ -424,10 +435,10 @@ def boost(rows: DataFrame, width: int, ordered: np.ndarray, middle: float, round
 def _rescored(rows: DataFrame, width: int, trees: Sequence[Tree]) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, score = _matrix(batch.column(0), width), batch.column(2).to_numpy(zero_copy_only=False)
+            codes, score = _matrix(batch.column(0), width), batch.column(3).to_numpy(zero_copy_only=False)
             for t in trees:
                 score = score + t.values(codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["codes", "target", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], ["codes", "target", "rows", "score"])
 
     return rows.mapInArrow(add, rows.schema)
 
@@ -435,8 +446,11 @@ def _rescored(rows: DataFrame, width: int, trees: Sequence[Tree]) -> DataFrame:
 # --- frames in, frames out -------------------------------------------------------------------
 
 
-def training_rows(train: DataFrame, binning: Binning, target: Column) -> DataFrame:
-    """(codes, target, score 0.0) of the training rows, written once."""
+def training_rows(train: DataFrame, binning: Binning, target: Column, classes: bool = False) -> DataFrame:
+    """(codes, target, rows, score 0.0): training rows of equal codes as one, with the sum of their targets, written once.
+
+    With ``classes`` the target is a class number, and rows of equal codes and class are one.
+    """
     framed, columns = binning.columns(train)
     code = binning.coder()
 
@@ -445,7 +459,11 @@ def training_rows(train: DataFrame, binning: Binning, target: Column) -> DataFra
         matrix = code([x.to_numpy(np.float64, na_value=np.nan) for x in xs])
         return pd.Series([r.tobytes() for r in matrix])
 
-    return cut_lineage(framed.select(coded(*columns).alias("codes"), target.alias("target"), F.lit(0.0).alias("score")))
+    each = framed.select(coded(*columns).alias("codes"), target.alias("target"))
+    many = F.count(F.lit(1)).alias("rows")
+    alike = each.groupBy("codes", "target").agg(many) if classes else each.groupBy("codes").agg(F.sum("target").alias("target"), many)
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # every pass computes: small rows, much work
+    return cut_lineage(alike.withColumn("score", F.lit(0.0)).repartition(parts, "codes"))
 
 
 def with_prediction(df: DataFrame, binning: Binning, trees: Sequence[Tree], base: float, name: str) -> DataFrame:
