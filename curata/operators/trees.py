@@ -462,8 +462,7 @@ def training_rows(train: DataFrame, binning: Binning, target: Column, classes: b
     each = framed.select(coded(*columns).alias("codes"), target.alias("target"))
     many = F.count(F.lit(1)).alias("rows")
     alike = each.groupBy("codes", "target").agg(many) if classes else each.groupBy("codes").agg(F.sum("target").alias("target"), many)
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # every pass computes: small rows, much work
-    return cut_lineage(alike.withColumn("score", F.lit(0.0)).repartition(parts, "codes"))
+    return cut_lineage(alike.withColumn("score", F.lit(0.0)))
 
 
 def with_prediction(df: DataFrame, binning: Binning, trees: Sequence[Tree], base: float, name: str) -> DataFrame:

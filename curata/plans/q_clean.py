@@ -300,6 +300,32 @@ def c9_tree_impute_values(spark, sf_dir):
     return out.select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 4) + 0.0).alias("o_totalprice"))
 
 
+_STATUS_OR_NONE = _STATUS_MEAN.replace("PARTITION BY o_orderstatus", "PARTITION BY CASE WHEN o_orderkey % 6 <> 0 THEN o_orderstatus END")
+
+
+@query("c8_boosted_tree_impute_missing_side", with_derived("orders_gaps", _STATUS_OR_NONE))
+def c8_boosted_tree_impute_missing_side(spark, sf_dir):
+    """A predictor that every sixth order lacks: missing is a bin of its own, so those rows get their own mean.
+
+    The second predictor says nothing but is always there (rows without any predictor are not filled).
+    """
+    code = F.when(F.col("o_orderkey") % 6 != 0, F.ascii("o_orderstatus"))
+    df = derived(spark, sf_dir, "orders_gaps").withColumns({"code": code, "present": F.lit(1)})
+    out = missing.handle_missing(df, "o_totalprice", "decision_tree", features=["code", "present"])
+    return out.select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 4) + 0.0).alias("o_totalprice"))
+
+
+@query("c9_tree_impute_surrogate", with_derived("orders_gaps", _STATUS_MEAN))
+def c9_tree_impute_surrogate(spark, sf_dir):
+    """Two predictors that say the same, each missing where the other is not: rows that lack one go by the other."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    df = derived(spark, sf_dir, "orders_gaps").withColumns(
+        {"text": F.when(key % 6 != 0, status), "code": F.when((key % 5 != 0) | (key % 6 == 0), F.ascii(status))}
+    )
+    out = missing.handle_missing(df, "o_totalprice", "tree", features=["text", "code"])
+    return out.select("o_orderkey", "o_orderstatus", (F.round("o_totalprice", 4) + 0.0).alias("o_totalprice"))
+
+
 @query("c9_tree_impute_text")
 def c9_tree_impute_text(spark, sf_dir):
     df = derived(spark, sf_dir, "orders_text_gaps")
