@@ -177,8 +177,8 @@ def boosted_impute(
     whole = F.rint((y - F.lit(middle)) * F.lit(2.0**digits)).cast("long")
     binning = trees.fit_binning(train, feats, whole)
     rows = trees.training_rows(train, binning, whole)
-    model = trees.boost(rows, len(feats), binning.ordered, rounds, rate, max_depth, min_leaf, digits)
-    scored = trees.with_prediction(df.withColumn("_any", any_feat), binning, model, middle, "_pred")
+    model = trees.boost(rows, binning.ordered, rounds, rate, max_depth, min_leaf, digits)
+    scored = trees.with_prediction(df.withColumn("_any", any_feat), binning, model, middle, "_pred", y.isNull() & F.col("_any"))
     return scored.withColumn(column, F.when(y.isNull() & F.col("_any"), F.col("_pred")).otherwise(y)).select(*df.columns)
 
 
@@ -230,8 +230,8 @@ def tree_impute(
         order_by, squares = (text == F.lit(common)).cast("long"), 0.0
     binning = trees.fit_binning(known, feats, order_by)
     rows = trees.training_rows(known, binning, target, classes=kinds > 0)
-    tree, _ = trees.grow(rows, len(feats), binning.ordered, kinds, unit, squares, max_depth, min_split, min_leaf, complexity)
-    scored = trees.with_prediction(df, binning, [tree], middle, "_pred")
+    tree, _ = trees.grow(rows, binning.ordered, kinds, unit, squares, max_depth, min_split, min_leaf, complexity)
+    scored = trees.with_prediction(df, binning, [tree], middle, "_pred", own.isNull())
     dtype = df.schema[column].dataType
     pred = F.col("_pred") if not kinds else F.array(*[F.lit(c) for c in names])[F.col("_pred").cast("int")]
     return scored.withColumn(column, F.coalesce(own, pred.cast(dtype))).select(*df.columns)

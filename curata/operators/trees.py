@@ -6,10 +6,13 @@ quantile ranges.  A text predictor has a bin for each level, levels numbered by
 their mean target; beyond 255 levels neighbours in that order share a bin.
 
 Training rows of equal codes are one row with their number and the sum of their
-targets, written once.  A level of a tree is one pass: each task routes its rows
+targets, written once, ``BLOCK`` of them as one record, a partition a core or
+more.  A level of a tree is one pass: each task routes its rows
 through the splits so far, adds up counts and targets per (node, predictor, bin,
-class) and returns only those sums, which Spark adds up.  They are as many as the bins of the open nodes, at most
+class) and returns only those sums.  They are as many as the bins of the open nodes, at most
 ``CELLS`` a pass, whatever the number of rows; the splits are chosen from them.
+Up to ``GATHERED`` of them from all tasks are added up where the split is chosen,
+more than that by Spark first.
 Targets are whole numbers (fixed point), so sums, and with them the trees, do
 not depend on the partitioning.
 """
@@ -33,7 +36,10 @@ from curata.session import cut_lineage
 BINS = 255
 CELLS = 1 << 22  # (node, predictor, bin, class) sums of one pass
 SURROGATES = 5
-ROUNDS_KEPT = 10  # boosting rounds after which the rows' scores are written anew
+ROUNDS_KEPT = 5  # boosting rounds after which the rows' scores are written anew
+BLOCK = 1 << 16  # rows of one record
+PART_ROWS = (1 << 12, 1 << 20)  # a partition of fewer rows is not worth a task; one of more is cut
+GATHERED = 1 << 21  # partial sums of one pass that are added up without a shuffle
 
 
 # --- a tree and how rows go down it ---------------------------------------------------------
@@ -62,6 +68,9 @@ class Tree:
         at = np.zeros(len(codes), np.int64)
         if not self.splits:
             return at
+        if not any(x.surrogates for x in self.splits.values()):
+            names, ends = self._ends(codes)
+            return names[ends]
         names = np.array(sorted(self.splits), dtype=np.int64)
         splits = [self.splits[n] for n in names]
         feature, left = np.array([x.feature for x in splits]), np.array([x.left for x in splits])
@@ -73,7 +82,7 @@ class Tree:
             own = codes[rows, feature[slot]]
             goes = left[slot, own]
             lacking = np.flatnonzero(own == 0)
-            for k in np.unique(slot[lacking]) if any(x.surrogates for x in splits) else ():
+            for k in np.unique(slot[lacking]):
                 rest = lacking[slot[lacking] == k]
                 for other, mask in splits[k].surrogates:
                     code = codes[rows[rest], other]
@@ -82,8 +91,27 @@ class Tree:
             at[rows] = 2 * at[rows] + np.where(goes, 1, 2)
         return at
 
+    def _ends(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tree's nodes, and the place among them where each row ends: by tables, for splits without surrogates."""
+        names = np.array(sorted({0} | {m for n in self.splits for m in (n, 2 * n + 1, 2 * n + 2)}), dtype=np.int64)
+        place = {int(n): i for i, n in enumerate(names)}
+        feature, left = np.zeros(len(names), np.int64), np.zeros((len(names), BINS + 1), np.int64)
+        child = np.repeat(np.arange(len(names)), 2)  # right, left; a leaf's are itself
+        for n, split in self.splits.items():
+            i = place[n]
+            feature[i], left[i] = split.feature, split.left
+            child[2 * i], child[2 * i + 1] = place[2 * n + 2], place[2 * n + 1]
+        flat, goes, start = np.ascontiguousarray(codes).reshape(-1), left.reshape(-1), np.arange(len(codes)) * codes.shape[1]
+        at = np.zeros(len(codes), np.int64)
+        for _ in range(max((int(n + 1).bit_length() for n in self.splits), default=0)):
+            at = child[2 * at + goes[at * (BINS + 1) + flat[start + feature[at]]]]
+        return names, at
+
     def values(self, codes: np.ndarray) -> np.ndarray:
         """The value of each row's leaf."""
+        if not any(x.surrogates for x in self.splits.values()):
+            names, ends = self._ends(codes)
+            return np.array([self.leaves.get(int(n), 0.0) for n in names], dtype=np.float64)[ends]
         names = np.array(sorted(self.leaves), dtype=np.int64)
         value = np.array([self.leaves[n] for n in names], dtype=np.float64)
         return value[np.searchsorted(names, self.route(codes))]
@@ -173,50 +201,100 @@ def fit_binning(train: DataFrame, features: Sequence[str], target: Column) -> Bi
 # --- sums of one pass ------------------------------------------------------------------------
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+@dataclass
+class Rows:
+    """Training rows of ``width`` codes: records of (codes, target, rows, score), each the bytes of up to ``BLOCK`` rows."""
+
+    blocks: DataFrame
+    parts: int
+    width: int
+
+
+_KINDS = (np.uint8, np.int64, np.int64, np.float64)
+_PACKED = "codes binary, target binary, rows binary, score binary"
+
+
+def _binary(column: pa.Array, width: int) -> np.ndarray:
+    """A column of equally long byte strings as a matrix."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
 
 
-def _sums(rows: DataFrame, width: int, nodes: Sequence[int], kinds: int, place) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(codes, target, rows, score) of each record."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes, *others = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in enumerate(_KINDS))
+            yield codes.reshape(-1, width), *others
+
+
+def _record(parts: Sequence[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p.astype(kind, copy=False).tobytes()], pa.binary()) for p, kind in zip(parts, _KINDS, strict=True)], ["codes", "target", "rows", "score"])
+
+
+def _pack(width: int):
+    """Rows (codes, target, rows) to records, with the score 0."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            held.append((_binary(batch.column(0), width), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))))
+            many += batch.num_rows
+            if many >= BLOCK:
+                codes, target, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+                for a in range(0, many - many % BLOCK, BLOCK):
+                    yield _record([codes[a : a + BLOCK], target[a : a + BLOCK], rows[a : a + BLOCK], np.zeros(BLOCK)])
+                a = many - many % BLOCK
+                held, many = [(codes[a:], target[a:], rows[a:])], many % BLOCK
+        if many:
+            codes, target, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield _record([codes, target, rows, np.zeros(many)])
+
+    return pack
+
+
+def _sums(rows: Rows, nodes: Sequence[int], kinds: int, place) -> tuple[np.ndarray, np.ndarray]:
     """Counts and totals, each [node, predictor, bin, kind], of the rows that ``place`` puts into ``nodes``.
 
     ``place(codes, target, rows, score)`` returns (node, kind, amount) of each row; a node that is not asked for is left out.
     """
-    names = np.array(nodes, dtype=np.int64)
+    width, names = rows.width, np.array(nodes, dtype=np.int64)
     shape = (len(names), width, BINS + 1, kinds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, g = np.zeros(math.prod(shape), np.int64), np.zeros(math.prod(shape), np.int64)
-        for batch in batches:
-            codes = _matrix(batch.column(0), width)
-            target, many, score = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        for codes, target, many, score in _unpacked(batches, width):
             node, kind, amount = place(codes, target, many, score)
             slot = np.minimum(np.searchsorted(names, node), len(names) - 1)
             own = np.flatnonzero(names[slot] == node)
+            slot, kind, many, amount, codes = slot[own], kind[own], many[own], amount[own], codes[own]
             for f in range(width):
-                cell = ((slot[own] * width + f) * (BINS + 1) + codes[own, f]) * kinds + kind[own]
-                np.add.at(n, cell, many[own])
-                np.add.at(g, cell, amount[own])
+                cell = ((slot * width + f) * (BINS + 1) + codes[:, f]) * kinds + kind
+                np.add.at(n, cell, many)
+                np.add.at(g, cell, amount)
         cells = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells]), pa.array(g[cells])], ["cell", "n", "g"])
 
-    found = rows.mapInArrow(add, "cell long, n long, g long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()
+    found = rows.blocks.mapInArrow(add, "cell long, n long, g long")
+    if rows.parts * math.prod(shape) > GATHERED:
+        found = found.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    found = found.toArrow()
     n, g = np.zeros(math.prod(shape), np.int64), np.zeros(math.prod(shape), np.int64)
     cells = found.column("cell").to_numpy()
-    n[cells], g[cells] = found.column("n").to_numpy(), found.column("g").to_numpy()
+    np.add.at(n, cells, found.column("n").to_numpy())
+    np.add.at(g, cells, found.column("g").to_numpy())
     return n.reshape(shape), g.reshape(shape)
 
 
-def _in_passes(rows: DataFrame, width: int, nodes: Sequence[int], kinds: int, place) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _in_passes(rows: Rows, nodes: Sequence[int], kinds: int, place) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(node, counts, totals) of each node, as many nodes in a pass as ``CELLS`` allows."""
-    cells = width * (BINS + 1) * kinds
+    cells = rows.width * (BINS + 1) * kinds
     if cells > CELLS:
-        raise ValueError(f"{width} predictors and {kinds} classes are too many for a tree")
+        raise ValueError(f"{rows.width} predictors and {kinds} classes are too many for a tree")
     step = max(1, CELLS // cells)
     for a in range(0, len(nodes), step):
         some = sorted(nodes)[a : a + step]
-        n, g = _sums(rows, width, some, kinds, place)
+        n, g = _sums(rows, some, kinds, place)
         yield from zip(some, n, g, strict=True)
 
 
@@ -299,7 +377,7 @@ def _risk(total_n: np.ndarray, total_g: np.ndarray, squares: float, classes: boo
 
 
 def grow(
-    rows: DataFrame, width: int, ordered: np.ndarray, kinds: int, scale: float, squares: float, max_depth: int, min_split: int, min_leaf: int, complexity: float
+    rows: Rows, ordered: np.ndarray, kinds: int, scale: float, squares: float, max_depth: int, min_split: int, min_leaf: int, complexity: float
 ) -> tuple[Tree, dict[int, np.ndarray]]:
     """One tree with surrogate splits, pruned by complexity, and the class counts of its nodes.
 
@@ -321,7 +399,7 @@ def grow(
             return node, target if classes else np.zeros(len(node), np.int64), np.zeros(len(node), np.int64) if classes else target
 
         chosen = {}
-        for node, n, g in _in_passes(rows, width, open_, max(1, kinds), place):
+        for node, n, g in _in_passes(rows, open_, max(1, kinds), place):
             counts[node], totals[node] = n[0].sum(axis=0), g[0].sum(axis=0)
             if depth == max_depth or counts[node].sum() < min_split or (classes and (counts[node] > 0).sum() < 2):
                 continue
@@ -340,7 +418,7 @@ def grow(
                 used |= mine
             return np.where(used, node, -1), kind, np.zeros(len(node), np.int64)
 
-        for node, n, _ in _in_passes(rows, width, list(chosen), 2, sides):
+        for node, n, _ in _in_passes(rows, list(chosen), 2, sides):
             split = chosen[node]
             going = n[split.feature].sum(axis=0)
             split.left[0] = going[1] >= going[0]
@@ -385,7 +463,7 @@ def _prune(tree: Tree, counts: dict, totals: dict, squares: float, classes: bool
 # --- C8: boosting ----------------------------------------------------------------------------
 
 
-def boost(rows: DataFrame, width: int, ordered: np.ndarray, rounds: int, rate: float, max_depth: int, min_leaf: int, digits: int) -> list[Tree]:
+def boost(rows: Rows, ordered: np.ndarray, rounds: int, rate: float, max_depth: int, min_leaf: int, digits: int) -> list[Tree]:
     """Trees whose values add up to the target, in squared error; missing values go to the better side of a split.
 
     ``rows``: as from ``training_rows``, targets as whole multiples of 2^-digits from the middle.  The first tree counts in
@@ -408,7 +486,7 @@ def boost(rows: DataFrame, width: int, ordered: np.ndarray, rounds: int, rate: f
                 return Tree(splits, {}).route(codes), np.zeros(len(codes), np.int64), rest
 
             following = []
-            for node, n, g in _in_passes(rows, width, open_, 1, place):
+            for node, n, g in _in_passes(rows, open_, 1, place):
                 factor = (1.0 if step == 0 else rate) / unit
                 tree.leaves.setdefault(node, float(g[0].sum()) / max(1, int(n[0].sum())) * factor)
                 best = _best(n, g, ordered, False, min_leaf, missing_side=True)
@@ -428,54 +506,63 @@ def boost(rows: DataFrame, width: int, ordered: np.ndarray, rounds: int, rate: f
         if not tree.splits or gained <= 1e-6 * first:
             break
         if len(recent) == ROUNDS_KEPT and step + 1 < rounds:
-            rows, recent = cut_lineage(_rescored(rows, width, tuple(recent))), []
+            rows, recent = _rescored(rows, tuple(recent)), []
     return trees
 
 
-def _rescored(rows: DataFrame, width: int, trees: Sequence[Tree]) -> DataFrame:
+def _rescored(rows: Rows, trees: Sequence[Tree]) -> Rows:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, score = _matrix(batch.column(0), width), batch.column(3).to_numpy(zero_copy_only=False)
+        for codes, target, many, score in _unpacked(batches, width):
             for t in trees:
                 score = score + t.values(codes)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], ["codes", "target", "rows", "score"])
+            yield _record([codes, target, many, score])
 
-    return rows.mapInArrow(add, rows.schema)
+    width = rows.width
+    return Rows(cut_lineage(rows.blocks.mapInArrow(add, _PACKED)), rows.parts, width)
 
 
 # --- frames in, frames out -------------------------------------------------------------------
 
 
-def training_rows(train: DataFrame, binning: Binning, target: Column, classes: bool = False) -> DataFrame:
-    """(codes, target, rows, score 0.0): training rows of equal codes as one, with the sum of their targets, written once.
+def training_rows(train: DataFrame, binning: Binning, target: Column, classes: bool = False) -> Rows:
+    """Training rows of equal codes as one, with the sum of their targets, their number and the score 0, written once.
 
     With ``classes`` the target is a class number, and rows of equal codes and class are one.
     """
     framed, columns = binning.columns(train)
-    code = binning.coder()
+    code, width = binning.coder(), len(binning.features)
 
-    @F.pandas_udf("binary")
-    def coded(*xs: pd.Series) -> pd.Series:
-        matrix = code([x.to_numpy(np.float64, na_value=np.nan) for x in xs])
-        return pd.Series([r.tobytes() for r in matrix])
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = code([x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in batch.columns[:width]])
+            ends = np.arange(len(matrix) + 1, dtype=np.int32) * np.int32(width)
+            codes = pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(matrix))])
+            yield pa.RecordBatch.from_arrays([codes, batch.column(width)], ["codes", "target"])
 
-    each = framed.select(coded(*columns).alias("codes"), target.alias("target"))
+    numbers = framed.select(*[c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns)], target.cast("long").alias("target"))
+    each = numbers.mapInArrow(coded, "codes binary, target long")
     many = F.count(F.lit(1)).alias("rows")
     alike = each.groupBy("codes", "target").agg(many) if classes else each.groupBy("codes").agg(F.sum("target").alias("target"), many)
-    return cut_lineage(alike.withColumn("score", F.lit(0.0)))
+    alike = cut_lineage(alike)
+    count, (least, most) = alike.count(), PART_ROWS
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, -(-count // least)), -(-count // most))
+    return Rows(cut_lineage(alike.repartition(parts).mapInArrow(_pack(width), _PACKED)), parts, width)
 
 
-def with_prediction(df: DataFrame, binning: Binning, trees: Sequence[Tree], base: float, name: str) -> DataFrame:
-    """``df`` with ``base`` and the values of the trees added up as a DOUBLE column ``name``."""
+def with_prediction(df: DataFrame, binning: Binning, trees: Sequence[Tree], base: float, name: str, asked: Column) -> DataFrame:
+    """``df`` with ``base`` and the values of the trees added up as a DOUBLE column ``name``, NULL or NaN where not ``asked``."""
     framed, columns = binning.columns(df)
     code, trees = binning.coder(), list(trees)
 
     @F.pandas_udf("double")
-    def predicted(*xs: pd.Series) -> pd.Series:
-        codes = code([x.to_numpy(np.float64, na_value=np.nan) for x in xs])
-        out = np.zeros(len(codes))
+    def predicted(wanted: pd.Series, *xs: pd.Series) -> pd.Series:
+        own = np.flatnonzero(wanted.to_numpy(bool))
+        codes = code([x.to_numpy(np.float64, na_value=np.nan)[own] for x in xs])
+        sums = np.zeros(len(codes))
         for t in trees:
-            out = out + t.values(codes)
-        return pd.Series(base + out)
+            sums = sums + t.values(codes)
+        out = np.full(len(wanted), np.nan)
+        out[own] = base + sums
+        return pd.Series(out)
 
-    return framed.withColumn(name, predicted(*columns)).select(*df.columns, name)
+    return framed.withColumn(name, predicted(F.coalesce(asked, F.lit(False)), *columns)).select(*df.columns, name)

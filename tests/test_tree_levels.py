@@ -102,3 +102,43 @@ def test_classes_and_edge_rows(spark):
         missing.tree_impute(df.where("c IS NULL"), "c", ["v"])
     with pytest.raises(ValueError):
         missing.boosted_impute(df.withColumn("y", F.lit(None).cast("double")), "y", ["v"])
+
+
+def test_tree_passes_read_packed_rows_without_a_shuffle(spark, monkeypatch):
+    """Training rows are a few records of many rows; a pass adds up the tasks' sums itself, the same as by a shuffle."""
+    data = [(i % 40, i % 7 if i % 5 else None, (i * 37) % 1001 - 500) for i in range(3000)]
+    df = spark.createDataFrame(data, "a long, b long, y long")
+    binning = trees.fit_binning(df, ["a", "b"], F.col("y"))
+    rows = trees.training_rows(df, binning, F.col("y"))
+    distinct = df.select("a", "b").distinct().count()
+    assert rows.parts == 1 and rows.blocks.count() == 1 and len(rows.blocks.first()["codes"]) == 2 * distinct
+
+    def place(codes, target, many, score):
+        return (codes[:, 0] > 20).astype(np.int64) + 1, np.zeros(len(codes), np.int64), target
+
+    direct = trees._sums(rows, [1, 2], 1, place)
+    monkeypatch.setattr(trees, "GATHERED", 0)
+    shuffled = trees._sums(rows, [1, 2], 1, place)
+    monkeypatch.setattr(trees, "BLOCK", 16)
+    monkeypatch.setattr(trees, "PART_ROWS", (8, 64))
+    small = trees.training_rows(df, binning, F.col("y"))
+    assert small.parts > 1 and small.blocks.count() >= distinct / 16
+    cut = trees._sums(small, [1, 2], 1, place)
+    for n, g in (direct, shuffled, cut):
+        assert n[:, 0].sum() == len(data) and g[:, 1].sum() == sum(r[2] for r in data)
+        assert (n == direct[0]).all() and (g == direct[1]).all()
+
+
+def test_rows_end_in_the_same_leaf_by_tables():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 256, (500, 3)).astype(np.uint8)
+    splits = {n: trees.Split(int(rng.integers(3)), rng.random(256) < 0.5) for n in (0, 1, 2, 4, 9, 20)}
+    leaves = trees._leaves(trees.Tree(splits, {}))
+    tree = trees.Tree(splits, {n: float(n) for n in leaves})
+    expected = []
+    for row in codes:
+        n = 0
+        while n in splits:
+            n = 2 * n + (1 if splits[n].left[row[splits[n].feature]] else 2)
+        expected.append(n)
+    assert tree.route(codes).tolist() == expected and tree.values(codes).tolist() == [float(n) for n in expected]
