@@ -18,6 +18,8 @@ DEFAULT_BINS = 4
 KMEANS_MAX_ITER = 50
 # Equal-width outer breaks are widened by range / 1000 on each side.
 EQUAL_WIDTH_WIDEN = 1000
+# An interval of at most so many (value, class) rows is cut to its end in one task.
+MDLP_ROWS = 1 << 16
 # -------------------------------------------------------------------------------------
 
 METHODS = ("equalwidth", "equalfreq", "kmeans", "entropy")
@@ -157,6 +159,8 @@ def mdlp_cuts(df: DataFrame, column: str, target: str) -> list[float]:
     moves per interval give the entropy of every cut.  ``min_by`` picks one cut
     an interval; the driver sees a few numbers an interval for the MDL test and
     the next value beside each accepted cut.  Equal entropies go to the smallest value.
+    Intervals of at most ``MDLP_ROWS`` rows are cut to their end in one job, a
+    task an interval, so jobs do not grow with the number of cuts.
     """
     require_columns(df, [column, target])
     x = numeric_column(df, column)
@@ -176,9 +180,20 @@ def mdlp_cuts(df: DataFrame, column: str, target: str) -> list[float]:
         "_gone": (cum == total).cast("long"),  # ... and its last
     }
     cuts: list[float] = []
+    finished: list[float] = []
     open_ivals = [0]
+
+    def small_cuts(rows: DataFrame) -> list[float]:
+        return [r["cut"] for r in rows.groupBy("_iv").applyInArrow(_interval_cuts(scale), "cut double").collect()]
+
     while open_ivals:
         tagged = counted.withColumn("_iv", count_below(F.col("_v"), cuts)).where(F.col("_iv").isin(open_ivals))
+        small = [r["_iv"] for r in tagged.groupBy("_iv").agg(F.count(F.lit(1)).alias("_k")).collect() if r["_k"] <= MDLP_ROWS]
+        if small:
+            finished += small_cuts(tagged.where(F.col("_iv").isin(small)))
+            tagged = tagged.where(~F.col("_iv").isin(small))
+            if len(small) == len(open_ivals):
+                break
         by_class = running_sums(tagged, "_v", ["_n"], by=["_iv", "_y"], totals=True).withColumns(moves)
         moved = by_class.groupBy("_iv", "_v").agg(*[F.sum(c).alias(c) for c in ("_n", *moves)])
         run = running_sums(moved, "_v", ["_n", *moves], by=["_iv"], totals=True)
@@ -195,6 +210,62 @@ def mdlp_cuts(df: DataFrame, column: str, target: str) -> list[float]:
         cuts = sorted(cuts + new_cuts)
         # children of split intervals are the ones to examine next level
         open_ivals = sorted({j for c in new_cuts for j in (cuts.index(c), cuts.index(c) + 1)})
+    return sorted(cuts + finished)
+
+
+def _interval_cuts(scale: int):
+    """All cuts of one interval's (value, class, count) rows, by the sums and the test of ``mdlp_cuts``."""
+
+    def bits(c):
+        import numpy as np
+
+        x = c * (np.log(np.maximum(c, 1)) / np.log(2.0)) * float(scale)
+        return np.where(x < 2.0**52, np.floor(x + 0.5), x).astype(np.int64)
+
+    def cuts(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        value, n = rows["_v"].to_numpy(), rows["_n"].to_numpy()
+        kind = np.unique(rows["_y"].to_numpy().astype(str), return_inverse=True)[1].reshape(-1)
+        order = np.lexsort((kind, value))
+        value, kind, n = value[order], kind[order], n[order]
+        found = []
+        todo = [(0, len(value), np.lexsort((np.arange(len(value)), kind)))]  # rows from, to, and the same rows by class
+        while todo:
+            lo, hi, own = todo.pop()
+            firsts = lo + np.flatnonzero(np.diff(value[lo:hi], prepend=np.nan))
+            if len(firsts) < 2:
+                continue
+            many = n[own]
+            start = np.flatnonzero(np.diff(kind[own], prepend=-1))
+            length = np.diff(start, append=len(own))
+            total = np.repeat(np.add.reduceat(many, start), length)
+            cum = np.cumsum(many)
+            cum = cum - np.repeat(cum[start] - many[start], length)
+            moves = np.empty((5, hi - lo), np.int64)
+            moves[:, own - lo] = (
+                many,
+                bits(cum) - bits(cum - many),
+                bits(total - cum) - bits(total - cum + many),
+                cum == many,
+                cum == total,
+            )
+            at, left, right, new, gone = np.cumsum(np.add.reduceat(moves, firsts - lo, axis=1), axis=1)
+            rest = at[-1] - at[:-1]
+            cost = bits(at[:-1]) - left[:-1] + bits(rest) - left[-1] - right[:-1]
+            i = int(np.argmin(cost))
+            best = {"_v": value[firsts[i]], "_e": int(cost[i]), "_all_n": int(at[-1]), "_all_l": int(left[-1]), "_all_new": int(new[-1])}
+            best |= {"_cum_n": int(at[i]), "_cum_l": int(left[i]), "_cum_r": int(right[i]), "_cum_new": int(new[i]), "_cum_gone": int(gone[i])}
+            if not _worth_a_cut(best, scale):
+                continue
+            cut = (value[firsts[i]] + value[firsts[i + 1]]) / 2.0
+            found.append(float(cut))
+            middle = lo + int(np.searchsorted(value[lo:hi], cut, side="right"))
+            if middle < hi:
+                todo += [(lo, middle, own[own < middle]), (middle, hi, own[own >= middle])]
+        return pa.table({"cut": pa.array(found, pa.float64())})
+
     return cuts
 
 

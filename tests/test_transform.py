@@ -241,3 +241,24 @@ def test_onehot_sparse_many_levels(spark, monkeypatch):
         encode.fit_onehot(df, "c")
     empty = encode.encode(new.limit(0), "c", "onehot_sparse")
     assert empty.collect() == [] and empty.columns == ["id", "c"]
+
+
+@pytest.mark.parametrize("most", [0, 40, 1 << 16])
+def test_mdlp_jobs_do_not_grow_with_the_cuts(spark, monkeypatch, most):
+    """Copies of a noisy class make hundreds of cuts, one below another: the same by levels, by tasks and by both."""
+    rng = np.random.default_rng(12)
+    v = np.arange(60.0)
+    y = np.where(rng.random(60) < 0.5, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"v": np.repeat(v, 400), "y": np.repeat(y, 400)}))
+    levels = []
+    real = discretize.running_sums
+
+    def counted(*args, **kw):
+        levels.append(1)
+        return real(*args, **kw)
+
+    monkeypatch.setattr(discretize, "running_sums", counted)
+    monkeypatch.setattr(discretize, "MDLP_ROWS", most)
+    cuts = discretize.mdlp_cuts(df, "v", "y")
+    assert cuts == [i + 0.5 for i in range(59) if y[i] != y[i + 1]]
+    assert (len(levels) == 0) == (most > 60)
