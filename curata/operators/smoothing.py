@@ -83,7 +83,8 @@ def _tricube(d: Column) -> Column:
 
 # Positions are cut into leaves, FANOUT leaves make a node of the next level, and so on.
 LEAF, FANOUT = 128, 4
-CHUNK = 1024  # positions whose points are fitted together
+CHUNK = 2048  # positions whose points are fitted together
+SPREAD = 1.5  # points of a chunk share sums as long as moving them enlarges no number more than that
 NEIGHBOURS = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
 
 
@@ -226,86 +227,130 @@ def _centre(level: int, node):
     return node * width + (width - 1) / 2, (width - 1) / 2
 
 
+def _shifts(alpha, beta, size: int):
+    """Matrices that make the sums of (alpha t + beta)^q out of those of t^i, for q, i < ``size``; one each of alpha, beta."""
+    import numpy as np
+
+    q, i = np.indices((size, size))
+    choose = np.array([[math.comb(int(n), int(k)) for k in range(size)] for n in range(size)], dtype=float)
+    powers = np.arange(size)
+    return choose * (alpha[:, None] ** powers)[:, i] * (beta[:, None] ** powers)[:, np.maximum(q - i, 0)]
+
+
 def _node_moments(top: int, degree: int):
-    """Sums of rw t^j and rw t^j y by node, t the place in the node from -1 to 1: of each batch, to be added up."""
+    """Sums of rw t^j and rw t^j y by node, t the place in the node from -1 to 1: of each batch, to be added up.
+
+    Leaves are summed from the points, the nodes above from their children, moved to the middle of the node.
+    """
+    size = 10 + 2 * degree
 
     def moments(batches):
         import numpy as np
         import pyarrow as pa
 
+        up = []
+        for level in range(top):
+            (middle, half), (centre, part) = _centre(level + 1, 0), _centre(level, np.arange(FANOUT))
+            up.append(_shifts(np.full(FANOUT, part / half), (centre - middle) / half, size))
+        names = ["_level", "_node", *(f"m{j}" for j in range(2 * size - degree))]
         for batch in batches:
             x, y, rw = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             order = np.argsort(x, kind="stable")
             x, y, rw = x[order], y[order], rw[order]
             if not len(x):
                 continue
+            node, start = np.unique((x // LEAF).astype(np.int64), return_index=True)
+            centre, half = _centre(0, x // LEAF)
+            place, power = (x - centre) / half, rw
+            sums = np.zeros((len(node), size, 2))
+            for j in range(size):
+                sums[:, j, 0], sums[:, j, 1] = np.add.reduceat(power, start), np.add.reduceat(power * y, start)
+                power = power * place
             for level in range(top + 1):
-                node, start = np.unique((x // _node_width(level)).astype(np.int64), return_index=True)
-                centre, half = _centre(level, (x // _node_width(level)))
-                power = ((x - centre) / half)[:, None] ** np.arange(10 + 2 * degree) * rw[:, None]
-                held = np.concatenate([power, power[:, : 10 + degree] * y[:, None]], axis=1)
-                sums = np.add.reduceat(held, start, axis=0)
-                names = ["_level", "_node", *(f"m{j}" for j in range(sums.shape[1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), level)), pa.array(node), *[pa.array(c) for c in sums.T]], names)
+                held = np.concatenate([sums[:, :, 0], sums[:, : size - degree, 1]], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), level)), pa.array(node), *[pa.array(c) for c in held.T]], names)
+                if level < top:
+                    moved = up[level][node % FANOUT] @ sums
+                    node, start = np.unique(node // FANOUT, return_index=True)
+                    sums = np.add.reduceat(moved, start, axis=0)
 
     return moments
 
 
+def _alike(x, h):
+    """Runs (start, end) of points, in order of x, whose sums can be moved from the middle of the run to each of them."""
+    runs = [(0, len(x))]
+    while runs:
+        a, b = runs.pop()
+        if b - a > 1 and h[a:b].max() + x[b - 1] - x[a] > SPREAD * h[a:b].min():
+            runs += [((a + b) // 2, b), (a, (a + b) // 2)]
+        else:
+            yield a, b
+
+
 def _fit_sums(top: int, degree: int):
     """The sums of ``_local_fit`` for the points of one chunk, from the nodes and leaves that they ask for.
 
-    Beside a point the tricube weight is 1 - 3 d^3 + 3 d^6 - d^9 with d = |x - x_a| / h, so over a node that lies on
-    one side its sums are combinations of the node's moments, moved to the point.  All numbers stay within 1 in size
-    (in units of h), so nothing cancels.  Leaves in which the weight changes its form are summed point by point.
+    Beside a point the tricube weight is 1 - 3 d^3 + 3 d^6 - d^9 with d = |x - x_a| / h, so over nodes that lie on
+    one side its sums are combinations of the nodes' moments, moved to the point: first to the middle of a run of points
+    with windows of about the same size, where those of all nodes between two limits are added up, then to each point.
+    All numbers stay within 1 in size (in units of h; ``SPREAD`` in a run), so nothing cancels.  Leaves in which the
+    weight changes its form are summed point by point.
     """
+    size = 10 + 2 * degree
 
     def sums(key, rows, material):
         import numpy as np
         import pyarrow as pa
 
+        rows = rows.sort_by("_xd")
         x, y, h = (rows[c].to_numpy() for c in ("_xd", "_y", "_h"))
         limits = _limits(x, h)
         n_s, n_t = 2 * degree + 1, degree + 1
         s, t = np.zeros((len(x), 5)), np.zeros((len(x), 3))
-        choose = [np.array([math.comb(q, i) for i in range(q + 1)], dtype=float) for q in range(10 + 2 * degree)]
-        levels, nodes, held = (material[c].to_pylist() for c in ("_level", "_node", "_v"))
-
-        def moved(moments, alpha, beta, n):
-            """Sums of (alpha t + beta)^q for q < n, from those of t^q."""
-            a, b = alpha[:, None] ** np.arange(n), beta[:, None] ** np.arange(n)
-            return [(a[:, : q + 1] * b[:, q::-1]) @ (choose[q] * moments[: q + 1]) for q in range(n)]
-
-        for level, node, v in zip(levels, nodes, held, strict=True):
-            v = np.array(v, dtype=float)
-            if level < 0:
-                own = np.flatnonzero((limits == node).any(axis=1))
-                px, py, prw = v.reshape(3, -1)
-                u = px[None, :] - x[own][:, None]
-                d = np.abs(u) / h[own][:, None]
-                power = np.where(d <= NEAR, 1.0, np.where(d > FAR, 0.0, (1 - d**3) ** 3)) * prw[None, :]
-                for j in range(n_s):
-                    s[own, j] += power.sum(axis=1)
-                    if j < n_t:
-                        t[own, j] += power @ py
-                    power = power * u
-                continue
+        level, node = (material[c].to_numpy() for c in ("_level", "_node"))
+        lists = [chunk for chunk in material["_v"].chunks if len(chunk)]
+        ends = [chunk.offsets.to_numpy() for chunk in lists]
+        held = [v[a:b] for v, at in ((c.values.to_numpy(zero_copy_only=False), e) for c, e in zip(lists, ends, strict=True)) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(level < 0):
+            own = np.flatnonzero((limits == node[i]).any(axis=1))
+            px, py, prw = held[i].reshape(3, -1)
+            u = px[None, :] - x[own][:, None]
+            d = np.abs(u) / h[own][:, None]
+            rest = 1 - d * d * d
+            power = np.where(d <= NEAR, 1.0, np.where(d > FAR, 0.0, rest * rest * rest)) * prw[None, :]
+            for j in range(n_s):
+                s[own, j] += power.sum(axis=1)
+                if j < n_t:
+                    t[own, j] += power @ py
+                power = power * u
+        inner = np.flatnonzero(level >= 0)
+        if len(inner):
+            level, node, flat = level[inner], node[inner], np.stack([held[i] for i in inner])
             count = FANOUT**level
-            centre, half = _centre(level, node)
-            for i, signs in enumerate(((1, 3, 3, 1), (1, 0, 0, 0), (1, -3, 3, -1))):
-                a, b = limits[:, i] + 1, limits[:, i + 1]
-                within = (node * count >= a) & ((node + 1) * count <= b)
-                parent = node // FANOUT * FANOUT * count
-                if level < top:
-                    within &= ~((parent >= a) & (parent + FANOUT * count <= b))
-                own = np.flatnonzero(within)
-                if not len(own):
+            centre, half = node * count * LEAF + (count * LEAF - 1) / 2, (count * LEAF - 1) / 2
+            first, end, parent = node * count, (node + 1) * count, node // FANOUT * FANOUT * count
+            moments = np.zeros((len(node), size, 2))
+            moments[:, :, 0], moments[:, : size - degree, 1] = flat[:, :size], flat[:, size:]
+            for lo, hi in _alike(x, h):
+                kinds, kind = np.unique(limits[lo:hi], axis=0, return_inverse=True)
+                within = []
+                for i in range(3):
+                    a, b = kinds[:, i, None] + 1, kinds[:, i + 1, None]
+                    whole = (parent >= a) & (parent + FANOUT * count <= b) & (level < top)
+                    within.append((first >= a) & (end <= b) & ~whole)
+                used = np.flatnonzero(np.any(within, axis=(0, 1)))
+                if not len(used):
                     continue
-                last = 9 if signs[1] else 0
-                alpha, beta = half / h[own], (centre - x[own]) / h[own]
-                for out, n, moments in ((s, n_s, v[: 10 + 2 * degree]), (t, n_t, v[10 + 2 * degree :])):
-                    each = moved(moments, alpha, beta, n + last)
-                    for j in range(n):
-                        out[own, j] += h[own] ** j * sum(c * each[j + 3 * e] for e, c in enumerate(signs) if c)
+                middle, widest = (x[lo] + x[hi - 1]) / 2, h[lo:hi].max() + (x[hi - 1] - x[lo]) / 2
+                moved = (_shifts(half[used] / widest, (centre[used] - middle) / widest, size) @ moments[used]).reshape(len(used), -1)
+                added = [(w[:, used].astype(float) @ moved).reshape(-1, size, 2)[kind.reshape(-1)] for w in within]
+                near = h[lo:hi]
+                each = _shifts(widest / near, (middle - x[lo:hi]) / near, size) @ np.concatenate(added, axis=2)
+                for i, signs in enumerate(((1, 3, 3, 1), (1, 0, 0, 0), (1, -3, 3, -1))):
+                    for out, n, at in ((s, n_s, 2 * i), (t, n_t, 2 * i + 1)):
+                        for j in range(n):
+                            out[lo:hi, j] += near**j * sum(c * each[:, j + 3 * e, at] for e, c in enumerate(signs) if c)
         return pa.table({"_xd": x, "_y": y, "_h": h, **dict(zip(NEIGHBOURS, [*s.T, *t.T], strict=True))})
 
     return sums
@@ -322,7 +367,8 @@ def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: in
     top = max(0, math.ceil(math.log(max(size / LEAF, 1), FANOUT)))
     spread = _windows(ranked, m, k).select("_r", "_h")
     chunk = F.floor(F.col("_xd") / CHUNK).alias("_c")
-    rows = cut_lineage(ranked.join(spread, "_r").select("_xd", "_y", "_h", F.lit(1.0).alias("_rw")))
+    rows = ranked.join(spread, "_r").select("_xd", "_y", "_h", F.lit(1.0).alias("_rw"))
+    rows = cut_lineage(rows.repartition(chunk).sortWithinPartitions("_xd"))  # neighbours together: a batch has few nodes
     asked = cut_lineage(rows.select("_xd", "_h", chunk).groupBy("_c").applyInArrow(_asked(top), "_c long, _level long, _node long"))
     names = [f"m{j}" for j in range(20 + 3 * degree)]
     for it in range(iterations + 1):

@@ -277,3 +277,37 @@ def test_stepwise_takes_nan_as_missing(spark, direction):
     assert grams[0].n == grams[1].n == n - gap.sum()
     assert np.allclose(grams[0].s, grams[1].s)
     assert red.stepwise(spark.createDataFrame(with_nan, schema), "y", direction).columns == red.stepwise(spark.createDataFrame(with_null, schema), "y", direction).columns
+
+
+def test_points_of_a_chunk_share_the_moves_of_nodes():
+    """Points with windows of one size are one run, so that nodes are moved once a run and not once a point."""
+    x = np.arange(2048.0)
+    assert list(smoothing._alike(x, np.full(2048, 1e6))) == [(0, 2048)]
+    h = np.where(x < 700, 40.0, 9000.0)
+    runs = list(smoothing._alike(x, h))
+    assert [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]] and runs[-1][1] == 2048
+    assert all(b - a == 1 or h[a:b].max() + x[b - 1] - x[a] <= smoothing.SPREAD * h[a:b].min() for a, b in runs)
+    t = np.linspace(-1, 1, 9)
+    sums = np.array([(t**j).sum() for j in range(12)])
+    for m, a, b in zip(smoothing._shifts(np.array([0.3, 1.1]), np.array([-0.6, 0.2]), 12), (0.3, 1.1), (-0.6, 0.2), strict=True):
+        assert np.allclose(m @ sums, [((a * t + b) ** j).sum() for j in range(12)], rtol=1e-12)
+
+
+@pytest.mark.parametrize("degree", [1, 2])
+def test_node_moments_from_children(degree):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.choice(9000, 3000, replace=False)).astype(float)
+    y, rw = rng.normal(size=3000), rng.random(3000)
+    found = {}
+    for batch in smoothing._node_moments(3, degree)([pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, rw)], ["x", "y", "rw"])]):
+        level, node, *sums = (c.to_numpy() for c in batch.columns)
+        found |= {(int(a), int(b)): row for a, b, row in zip(level, node, np.stack(sums, axis=1), strict=True)}
+    for (level, node), held in found.items():
+        own = x // smoothing._node_width(level) == node
+        centre, half = smoothing._centre(level, node)
+        t = (x[own] - centre) / half
+        direct = [(rw[own] * t**j).sum() for j in range(10 + 2 * degree)] + [(rw[own] * y[own] * t**j).sum() for j in range(10 + degree)]
+        assert np.allclose(held, direct, atol=1e-11)
+    assert len(found) == sum(len(np.unique(x // smoothing._node_width(level))) for level in range(4))
