@@ -277,6 +277,21 @@ def _node_moments(top: int, degree: int):
     return moments
 
 
+def _leaf_points(batches):
+    """(-1, leaf, x of its points, then y, then rw): a record a leaf and batch, so a leaf may come in parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        held = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        held = held[:, np.argsort(held[0], kind="stable")]
+        node, start = np.unique((held[0] // LEAF).astype(np.int64), return_index=True)
+        ends = np.append(start, held.shape[1])
+        values = np.concatenate([np.zeros(0), *(held[:, a:b].reshape(-1) for a, b in zip(ends[:-1], ends[1:], strict=True))])
+        lists = pa.ListArray.from_arrays(pa.array(3 * ends, pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), -1)), pa.array(node), lists], ["_level", "_node", "_v"])
+
+
 def _alike(x, h):
     """Runs (start, end) of points, in order of x, whose sums can be moved from the middle of the run to each of them."""
     runs = [(0, len(x))]
@@ -374,9 +389,7 @@ def _lowess_exact(ranked: DataFrame, m: int, k: int, iterations: int, degree: in
     for it in range(iterations + 1):
         partial = rows.select("_xd", "_y", "_rw").mapInArrow(_node_moments(top, degree), ", ".join(["_level long, _node long", *(f"{n} double" for n in names)]))
         nodes = partial.groupBy("_level", "_node").agg(*[F.sum(n).alias(n) for n in names]).select("_level", "_node", F.array(*names).alias("_v"))
-        points = F.sort_array(F.collect_list(F.struct("_xd", "_y", "_rw"))).alias("_p")
-        leaves = rows.groupBy(F.floor(F.col("_xd") / LEAF).alias("_node")).agg(points)
-        leaves = leaves.select(F.lit(-1).cast("long").alias("_level"), "_node", F.concat("_p._xd", "_p._y", "_p._rw").alias("_v"))
+        leaves = rows.select("_xd", "_y", "_rw").mapInArrow(_leaf_points, "_level long, _node long, _v array<double>")
         material = asked.join(nodes.unionByName(leaves), ["_level", "_node"]).select("_c", "_level", "_node", "_v")
         met = rows.select("_xd", "_y", "_h", chunk).groupBy("_c").cogroup(material.groupBy("_c"))
         fitted = met.applyInArrow(_fit_sums(top, degree), ", ".join(["_xd double, _y double, _h double", *(f"{n} double" for n in NEIGHBOURS)]))

@@ -311,3 +311,19 @@ def test_node_moments_from_children(degree):
         direct = [(rw[own] * t**j).sum() for j in range(10 + 2 * degree)] + [(rw[own] * y[own] * t**j).sum() for j in range(10 + degree)]
         assert np.allclose(held, direct, atol=1e-11)
     assert len(found) == sum(len(np.unique(x // smoothing._node_width(level))) for level in range(4))
+
+
+def test_leaf_points_come_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x = np.arange(0, 1000, 3).astype(float)
+    y, rw = rng.normal(size=len(x)), rng.random(len(x))
+    batches = [pa.RecordBatch.from_arrays([pa.array(v[a : a + 50][::-1]) for v in (x, y, rw)], ["x", "y", "rw"]) for a in range(0, len(x), 50)]
+    seen = []
+    for batch in smoothing._leaf_points(batches):
+        for level, leaf, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            points = np.array(v).reshape(3, -1)
+            assert level == -1 and (points[0] // smoothing.LEAF == leaf).all()
+            seen += points.T.tolist()
+    assert seen == np.stack([x, y, rw], axis=1).tolist()
